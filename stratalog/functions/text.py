@@ -74,6 +74,11 @@ def fold(c: str | Column) -> Column:
     return F.translate(F.lower(col(c)), ACCENTED, UNACCENTED)
 
 
+def fold_word(word: str) -> str:
+    """The same folding for a word of a query."""
+    return word.lower().translate(str.maketrans(ACCENTED, UNACCENTED))
+
+
 def strip_thinking(c: str | Column) -> Column:
     return strip(F.regexp_replace(col(c), r"(?is)<think>.*?</think>", ""))
 

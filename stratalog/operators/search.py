@@ -59,7 +59,8 @@ def build_index(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(query.split()))
+    """Words of a query, folded like the indexed tokens."""
+    return list(dict.fromkeys(X.fold_word(w) for w in query.split()))
 
 
 def search(query: str, postings: DataFrame, lengths: DataFrame, scope: str = "all",
@@ -76,13 +77,13 @@ def search(query: str, postings: DataFrame, lengths: DataFrame, scope: str = "al
     out = "source_type STRING, source_id STRING, date STRING, rank DOUBLE"
     if not words:
         return postings.sparkSession.createDataFrame([], out)
-    folded = F.transform(F.array(*[F.lit(w) for w in words]), X.fold)
-    hits = postings.withColumn("_w", F.explode(F.filter(
-        folded, lambda w: F.startswith(F.col("token"), w))))
     starts = F.lit(False)
     for w in words:
-        starts = starts | F.startswith(F.col("token"), X.fold(F.lit(w)))
-    per_doc = (hits.filter(starts).groupBy(*DOC, "doc_len", "_w").agg(F.sum("tf").alias("tf")))
+        starts = starts | F.col("token").startswith(w)
+    matched = F.filter(F.array(*[F.lit(w) for w in words]),
+                       lambda w: F.startswith(F.col("token"), w))
+    hits = postings.filter(starts).withColumn("_w", F.explode(matched))
+    per_doc = hits.groupBy(*DOC, "doc_len", "_w").agg(F.sum("tf").alias("tf"))
     # One row per query word, so this side is bounded by the query's length.
     idf = F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("avg_len"))
@@ -106,16 +107,11 @@ def top_hits(ranked: DataFrame, limit: int | None) -> DataFrame:
 
 def snippets(hits: DataFrame, corpus: DataFrame, query: str, n: int = 150) -> DataFrame:
     """Add ``context``: the text around the first token that starts with a query word."""
-    words = [w for w in query_terms(query)]
     rows = hits.join(corpus.select("source_type", "source_id", "content"),
                      ["source_type", "source_id"])
-    body = F.col("content")
-    folded = X.fold("content")
-    alternatives = "|".join(_literal(w) for w in words)
-    pattern = rf"(?s)^(.*?)(?<![\p{{L}}\p{{N}}])((?:{alternatives})[\p{{L}}\p{{N}}]*)"
-    pattern = F.translate(F.lower(F.lit(pattern)), X.ACCENTED, X.UNACCENTED)
-    pattern = F.replace(F.replace(pattern, F.lit(r"\p{l}"), F.lit(r"\p{L}")),
-                        F.lit(r"\p{n}"), F.lit(r"\p{N}"))
+    body, folded = F.col("content"), X.fold("content")
+    starts = "|".join(_literal(w) for w in query_terms(query))
+    pattern = rf"(?s)^(.*?)(?<![\p{{L}}\p{{N}}])((?:{starts})[\p{{L}}\p{{N}}]*)"
     at = F.length(F.regexp_extract(folded, pattern, 1)) + 1
     size = F.length(F.regexp_extract(folded, pattern, 2))
     left = F.greatest(at - F.lit(n), F.lit(1))

@@ -16,7 +16,10 @@ from stratalog.plans import models
 from stratalog.schema import (CHAT_FILE, DAY_FILE, ENTRY_DEFAULTS, LEVELS, MERGED_FILE,
                               PROFILE_BODY, SUMMARY_BODY, TURN_FILE)
 
-FILE_NAME = F.col("_metadata.file_name")
+
+
+def file_name() -> Column:
+    return F.col("_metadata.file_name")
 
 
 def _stem(name: Column) -> Column:
@@ -48,8 +51,8 @@ def read_split_json(spark: SparkSession, path: str, roles: Iterable[str] | None
                     ) -> DataFrame:
     """A folder of one JSON file per day; unreadable files are skipped."""
     docs = spark.read.schema(DAY_FILE).json(path, multiLine=True, pathGlobFilter="*.json")
-    named = docs.select(F.coalesce("date", _stem(FILE_NAME)).alias("date"), "entries",
-                        FILE_NAME.alias("_name"))
+    named = docs.select(F.coalesce("date", _stem(file_name())).alias("date"), "entries",
+                        file_name().alias("_name"))
     return _entries(named, F.col("_name"), roles)
 
 
@@ -59,9 +62,9 @@ def read_dated_text(spark: SparkSession, path: str, extension: str = "txt",
     kind = extension.lower()
     suffix = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in kind)
     docs = spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{suffix}")
-    at = F.try_to_timestamp(_stem(FILE_NAME), F.lit(pattern))
+    at = F.try_to_timestamp(_stem(file_name()), F.lit(pattern))
     return docs.select(P.date_text(at).alias("date"), F.lit(ENTRY_DEFAULTS["time"]).alias("time"),
-                       F.lit(kind).alias("source"), FILE_NAME.alias("source_file"),
+                       F.lit(kind).alias("source"), file_name().alias("source_file"),
                        F.lit("user").alias("role"), X.strip("value").alias("text")
                        ).filter(F.col("date").isNotNull() & (F.col("text") != ""))
 
@@ -72,14 +75,14 @@ def read_dated_csv(spark: SparkSession, path: str, date_col: str = "date",
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     at = F.try_to_timestamp(X.strip(date_col), F.lit(pattern))
     return rows.select(P.date_text(at).alias("date"), F.lit(ENTRY_DEFAULTS["time"]).alias("time"),
-                       F.lit("csv").alias("source"), FILE_NAME.alias("source_file"),
+                       F.lit("csv").alias("source"), file_name().alias("source_file"),
                        F.lit("user").alias("role"), X.strip(text_col).alias("text")
                        ).filter(F.col("date").isNotNull() & (F.col("text") != ""))
 
 
 def _messages(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.schema(CHAT_FILE).json(path, multiLine=True)
-    return docs.select(FILE_NAME.alias("source_file"),
+    return docs.select(file_name().alias("source_file"),
                        F.coalesce("title", F.lit("(no title)")).alias("title"),
                        F.posexplode("chat.messages").alias("msg_index", "_m")).select(
         "source_file", "title", "msg_index", F.col("_m.role").alias("role"),
@@ -148,7 +151,7 @@ def activity_turns(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def read_activity_html(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.text(path, wholetext=True).select(
-        FILE_NAME.alias("source_file"), F.col("value").alias("html"))
+        file_name().alias("source_file"), F.col("value").alias("html"))
     return activity_turns(pages)
 
 
@@ -160,7 +163,7 @@ def read_preparsed_json(spark: SparkSession, path: str, check: bool = True) -> D
     docs = spark.read.schema(TURN_FILE).json(path, multiLine=True)
     parsed = F.coalesce(X.present("datetime_parsed"), X.present("datetime_raw_parsed"))
     user = F.coalesce(X.present("user"), X.present("text"))
-    rows = docs.select(FILE_NAME.alias("source_file"), parsed.alias("datetime_parsed"),
+    rows = docs.select(file_name().alias("source_file"), parsed.alias("datetime_parsed"),
                        F.coalesce("datetime_raw", parsed).alias("datetime_raw"),
                        X.strip(user).alias("user"),
                        F.coalesce("response", F.lit("")).alias("response")
@@ -179,7 +182,7 @@ def split_lines(docs: DataFrame, text: str) -> DataFrame:
 def read_line_dated_text(spark: SparkSession, path: str, fn: models.ModelFn | None = None
                          ) -> DataFrame:
     """One long text with date lines between paragraphs, as entry rows."""
-    docs = spark.read.text(path, wholetext=True).select(FILE_NAME.alias("file"),
+    docs = spark.read.text(path, wholetext=True).select(file_name().alias("file"),
                                                         F.col("value").alias("text"))
     lines = models.detect_dates(split_lines(docs, "text"), fn)
     return ingest.dated_entries(ingest.resolve_undated(ingest.forward_fill_dates(lines)))
@@ -200,7 +203,7 @@ def read_legacy_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """A tree of raw_entries/, summaries/<level>/ and entity_profiles/ JSON files."""
     raw = spark.read.schema(DAY_FILE).json(f"{root}/raw_entries", multiLine=True,
                                            pathGlobFilter="*.json")
-    rows = raw.select("date", "entries", FILE_NAME.alias("_name")).filter(
+    rows = raw.select("date", "entries", file_name().alias("_name")).filter(
         F.coalesce("date", F.lit("")) != "").withColumn("_e", F.explode("entries"))
     entries = ingest.with_entry_id(rows.select(
         "date", _default(F.col("_e.time"), "time").alias("time"),
@@ -215,7 +218,7 @@ def read_legacy_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
                  .drop("unit"))
     profiles = (spark.read.schema(PROFILE_BODY)
                 .json(f"{root}/entity_profiles", multiLine=True, pathGlobFilter="*.json")
-                .withColumn("_name", FILE_NAME).filter(F.col("_name") != "_index.json")
+                .withColumn("_name", file_name()).filter(F.col("_name") != "_index.json")
                 .drop("_name"))
     return {"raw_entry": entries, "summary": summaries, "entity_profile": profiles}
 
