@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -10,9 +11,11 @@ from pyspark.sql import Column, functions as F
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
               + "".join(chr(c) for c in range(0x2000, 0x200B))
               + "\u2028\u2029\u202f\u205f\u3000")
-# Accented Latin letters and the letter the search index folds each to.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťţùúûüūůűýÿźżž"
-UNACCENTED = "aaaaaaaaacccdeeeeeeeegiiiiiilnnnooooooooorrsssttuuuuuuuyyzzz"
+# Lower-case Latin letters with one accent, and the letter the search index folds each to.
+_FOLDED = {c: unicodedata.normalize("NFD", c)[0]
+           for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+           if c.islower() and len(unicodedata.normalize("NFD", c)) == 2}
+ACCENTED, UNACCENTED = "".join(_FOLDED), "".join(_FOLDED.values())
 # Characters per token, for prompts and for cost reports.
 CHARS_PER_TOKEN = 3.2
 COST_CHARS_PER_TOKEN = 3.5

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stratalog.functions import periods as P, text as X
 from stratalog.operators import paging
@@ -19,32 +21,49 @@ def context_window(entries: DataFrame, centers: DataFrame, n_before: int, n_afte
 
     The context depends on the date alone, so it is built once per distinct center and
     not once per mention.  Offsets are exploded onto the centers and equi-joined with day
-    blocks.  Columns: keys, center, page, n, chars, text; days without text are left out.
+    blocks; where a block starts inside its context follows from the lengths of the few
+    days before it.  Columns: keys, center, page, n, start, chars, text; days without text
+    are left out.
     """
     keys = list(keys)
     around = (centers.select(*keys, center).distinct()
               .withColumn("_c", P.as_date(center)).filter(F.col("_c").isNotNull())
               .withColumn("delta", F.explode(F.sequence(F.lit(-n_before), F.lit(n_after))))
               .withColumn("date", P.date_text(F.date_add("_c", F.col("delta")))).drop("_c"))
-    near = entries.join(around.select(*keys, "date").distinct(), [*keys, "date"], "left_semi")
+    near = (entries.join(around.select(*keys, "date").distinct(), [*keys, "date"], "left_semi")
+            .filter(X.nonblank("text")))
     body = X.strip("text")
     line = F.when(F.col("time") != "", F.concat(F.lit("  ["), F.col("time"), F.lit("] "), body)
                   ).otherwise(F.concat(F.lit("  "), body))
-    blocks = paging.paged_text(near.filter(X.nonblank("text")), [*keys, "date"],
-                               paging.by_time_and_id(), line, "\n", page_chars)
-    head = F.concat(F.lit("=== Raw entries: "), F.col("date"), F.lit(" ("),
+    blocks = paging.paged_text(near, [*keys, "date"], paging.by_time_and_id(), line, "\n",
+                               page_chars)
+    sizes = near.groupBy(*keys, "date").agg((F.sum(F.length(line) + 1) - 1).alias("_day_chars"))
+    head = F.concat(F.lit("\n\n=== Raw entries: "), F.col("date"), F.lit(" ("),
                     X.day_label("delta"), F.lit(") ===\n"))
-    # A block's later pages follow its first on a new line; blocks stand a blank line apart.
-    parts = around.join(blocks.select(*keys, "date", "page", "text"), [*keys, "date"]).select(
-        *keys, center, "delta", F.col("page").alias("_page"),
-        F.when(F.col("page") == 0, F.concat(head, "text"))
-        .otherwise(F.concat(F.lit("\n"), "text")).alias("text"))
-    first = parts.groupBy(*keys, center).agg(F.min("delta").alias("_first"))
-    lead = F.when((F.col("_page") == 0) & (F.col("delta") > F.col("_first")), F.lit("\n\n")
-                  ).otherwise(F.lit(""))
-    parts = parts.join(first, [*keys, center]).withColumn("text", F.concat(lead, "text"))
-    order = paging.Order(["delta", "_page"], [F.col("delta")], [F.col("_page")])
-    return paging.paged_text(parts, [*keys, center], order, F.col("text"), "", page_chars)
+    # At most n_before + n_after + 1 rows per center.
+    w = (Window.partitionBy(*keys, center).orderBy("delta")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    placed = (around.join(sizes, [*keys, "date"]).withColumn("_head", head)
+              .withColumn("_base", F.coalesce(
+                  F.sum(F.length("_head") + F.col("_day_chars")).over(w), F.lit(0))))
+    # A block's later pages follow its first on a new line; the blank line in front of a
+    # context's first block is cut off at the end.
+    first = F.col("_page") == 0
+    parts = placed.join(blocks.select(*keys, "date", F.col("page").alias("_page"), "start", "text"),
+                        [*keys, "date"]).select(
+        *keys, center, "delta", "_page",
+        (F.col("_base") + F.when(first, 0).otherwise(F.length("_head") + F.col("start")))
+        .alias("_at"),
+        F.when(first, F.concat("_head", "text")).otherwise(F.concat(F.lit("\n"), "text"))
+        .alias("_text")).withColumn("page", F.floor(F.col("_at") / F.lit(page_chars)))
+    joined = paging.concat_pages(parts, [*keys, center], ["delta", "_page"], "")
+    opening = F.col("page") == 0
+    return joined.select(
+        *keys, center, "page", "n",
+        F.when(opening, 0).otherwise(F.col("start") - 2).alias("start"),
+        F.when(opening, F.col("chars") - 2).otherwise(F.col("chars")).alias("chars"),
+        F.when(opening, F.substring("text", F.lit(3), F.length("text")))
+        .otherwise(F.col("text")).alias("text"))
 
 
 def history_days(days: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,8 +102,7 @@ def day_history(entries: DataFrame, n: int, context_tokens: int, overhead_chars:
     lengths of days are needed, so no text is moved.
     """
     keys = list(keys)
-    line = F.length(X.entry_line()) + 2
-    days = entries.groupBy(*keys, "date").agg((F.sum(line) - 2).alias("chars"))
+    days = day_sizes(entries, keys)
     own = days.select(*keys, "date", F.col("chars").alias("_own"))
     pairs = history_days(days, n, keys).withColumn("chars", F.col("chars") + 13)
     kept = budget_history(pairs.join(own, [*keys, "date"]), [*keys, "date"], "past", "chars",
@@ -92,6 +110,12 @@ def day_history(entries: DataFrame, n: int, context_tokens: int, overhead_chars:
     return kept.select(*keys, "date", "past", "chars")
 
 
+def day_sizes(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Length of each day's labelled text, without building it."""
+    return entries.groupBy(*keys, "date").agg(
+        (F.sum(F.length(X.entry_line()) + 2) - 2).alias("chars"))
+
+
 def attach_children(parents: DataFrame, children: DataFrame, keys: Sequence[str] = (),
                     ) -> DataFrame:
     """One row per parent and listed source unit that exists: the child's columns follow."""
@@ -141,7 +165,7 @@ def chunk_budget(context_window: int, output_tokens: int, fixed_tokens: int,
 
 
 def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, budget: int,
-                overlap: int = 3, tokens: str = "tokens") -> DataFrame:
+                overlap: int = 3, tokens: str = "tokens", segment: int = 65_536) -> DataFrame:
     """Greedy packing into chunks of at most ``budget`` tokens, sharing ``overlap`` blocks.
 
     A chunk closes before the block that would exceed the budget; the next one opens with
@@ -151,15 +175,17 @@ def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, bu
         f(e) = max(e + 1, number of blocks whose prefix sum is <= budget + prefix(s)),
         s = max(0, e - overlap)
 
-    f is an as-of lookup in prefix sums, done in windows over ``budget``-wide token buckets,
-    and the chain 0, f(0), f(f(0)) ... is marked by pointer doubling: log2(chunks) rounds
-    of equi-joins.  No group is folded by one task.  Returns group, chunk, block, and the
-    order columns, one row per block and chunk.
+    f is an as-of lookup in prefix sums, done in windows over ``budget``-wide token buckets.
+    The chain 0, f(0), f(f(0)) ... is then walked segment by segment: a task follows it
+    through ``segment`` blocks.  Groups longer than a segment first get every block's way
+    out of its segment, and the segments a chain enters are found by pointer doubling, in
+    log2(segments) rounds of equi-joins.  No task sees more than a segment of a group.
+    Returns group, chunk, block and the order columns, one row per block and chunk.
     """
     group = list(group)
     slim = blocks.select(*group, *order.columns, F.col(tokens).cast("long").alias("_tok"))
-    at = paging.position(slim, group, order, "block")
-    at = cut_lineage(paging.running_total(at, group, order, F.col("_tok"), "_before"))
+    at = cut_lineage(paging.running_total(slim, group, order,
+                                          {"block": F.lit(1), "_before": F.col("_tok")}))
     count = at.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
 
     # Prefix sums P(0)..P(n-1) sit at their block; P(n) closes the group.
@@ -190,25 +216,75 @@ def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, bu
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = (points.unionByName(carried).unionByName(asked)
              .withColumn("_hit", F.max("_j").over(w)).filter("_ask = 1"))
-    step = cut_lineage(found.select(*group, "_e", F.greatest(F.col("_hit"), F.col("_e") + 1)
-                                    .alias("_f")))
+    seg = F.floor(F.col("_e") / F.lit(segment))
+    step = found.select(*group, seg.alias("_seg"), "_e",
+                        F.greatest(F.col("_hit"), F.col("_e") + 1).alias("_f"))
+    entry = count.select(*group, F.lit(0).cast("long").alias("_entry"),
+                         F.lit(0).cast("long").alias("_chunk"))
+    if not count.filter(F.col("_n") > segment).isEmpty():
+        step = cut_lineage(step)
+        entry = _segment_entries(step, entry, count, group, segment)
+    entered = step.join(entry.withColumn("_seg", F.floor(F.col("_entry") / F.lit(segment))),
+                        [*group, "_seg"])
+    fields = {f.name: f for f in entered.schema.fields}
+    out = T.StructType([*[fields[g] for g in group], T.StructField("chunk", T.LongType()),
+                        fields["_e"], fields["_f"]])
+    closed = entered.groupBy(*group, "_seg").applyInPandas(_follow(group), out)
+    spans = closed.select(
+        *group, "chunk",
+        F.explode(F.sequence(F.greatest(F.col("_e") - F.lit(overlap), F.lit(0)),
+                             F.col("_f") - 1)).alias("block"))
+    return spans.join(at.select(*group, "block", *order.columns), [*group, "block"])
 
-    reached = count.select(*group, F.lit(0).cast("long").alias("_e"), F.lit(0).alias("chunk"))
-    jump, hop = step, 1
+
+def _follow(group: list[str]):
+    """Walk one segment from its entry: the chunks that close after e and run to f(e)."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_e")
+        first, ends = int(pdf["_e"].iloc[0]), pdf["_f"].to_numpy()
+        at, rows = int(pdf["_entry"].iloc[0]) - first, []
+        while at < len(ends):
+            rows.append(at)
+            at = int(ends[at]) - first
+        taken = pdf.iloc[rows]
+        chunk = int(pdf["_chunk"].iloc[0]) + np.arange(len(rows))
+        return taken.assign(chunk=chunk)[[*group, "chunk", "_e", "_f"]]
+    return walk
+
+
+def _ways_out(group: list[str]):
+    """For every block of a segment: where its chain leaves, and after how many chunks."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_e")
+        first, ends = int(pdf["_e"].iloc[0]), pdf["_f"].tolist()
+        leave, hops = list(ends), [1] * len(ends)
+        for i in range(len(ends) - 1, -1, -1):
+            inner = ends[i] - first
+            if inner < len(ends):
+                leave[i], hops[i] = leave[inner], hops[inner] + 1
+        return pdf.assign(_f=leave, _hops=hops)[[*group, "_e", "_f", "_hops"]]
+    return walk
+
+
+def _segment_entries(step: DataFrame, entry: DataFrame, count: DataFrame, group: list[str],
+                     segment: int) -> DataFrame:
+    """Block and chunk number at which each group's chain enters each segment it visits."""
+    fields = {f.name: f for f in step.schema.fields}
+    out = T.StructType([*[fields[g] for g in group], fields["_e"], fields["_f"],
+                        T.StructField("_hops", T.LongType())])
+    long = step.join(count.filter(F.col("_n") > segment).select(*group), group, "left_semi")
+    jump = cut_lineage(long.groupBy(*group, "_seg").applyInPandas(_ways_out(group), out))
+    reached = entry
     while True:
-        onward = (reached.join(jump, [*group, "_e"])
+        onward = (reached.join(jump.withColumnRenamed("_e", "_entry"), [*group, "_entry"])
                   .join(count, group).filter(F.col("_f") < F.col("_n"))
-                  .select(*group, F.col("_f").alias("_e"), (F.col("chunk") + hop).alias("chunk")))
+                  .select(*group, F.col("_f").alias("_entry"),
+                          (F.col("_chunk") + F.col("_hops")).alias("_chunk")))
         if onward.isEmpty():
-            break
+            return reached
         reached = cut_lineage(reached.unionByName(onward))
-        far = jump.select(*group, F.col("_e").alias("_f"), F.col("_f").alias("_ff"))
+        far = jump.select(*group, F.col("_e").alias("_f"), F.col("_f").alias("_ff"),
+                          F.col("_hops").alias("_more"))
         jump = cut_lineage(jump.join(far, [*group, "_f"]).select(
-            *group, "_e", F.col("_ff").alias("_f")))
-        hop *= 2
-
-    spans = reached.join(step, [*group, "_e"]).select(
-        *group, "chunk",
-        F.explode(F.sequence(F.greatest(F.col("_e") - F.lit(overlap), F.lit(0)),
-                             F.col("_f") - 1)).alias("block"))
-    return spans.join(at.select(*group, "block", *order.columns), [*group, "block"])
+            *group, "_e", F.col("_ff").alias("_f"),
+            (F.col("_hops") + F.col("_more")).alias("_hops")))

@@ -47,52 +47,64 @@ def by_seq(seq: str, rows_per_bucket: int = 65_536) -> Order:
                  [F.floor(F.col(seq) / F.lit(rows_per_bucket))])
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Order, amount: Column,
-                  out: str) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all earlier rows of the same group."""
-    keys = list(keys)
+def running_total(df: DataFrame, keys: Sequence[str], order: Order,
+                  amounts: dict[str, Column]) -> DataFrame:
+    """Add for each name the sum of its amount over all earlier rows of the same group."""
+    keys, names = list(keys), list(amounts)
     c = [f"_c{i}" for i in range(len(order.coarse))]
     f = [f"_f{i}" for i in range(len(order.fine))]
     rows = df.withColumns({**dict(zip(c, order.coarse)), **dict(zip(f, order.fine)),
-                           "_amount": amount.cast("long")})
+                           **{f"_amount_{n}": a.cast("long") for n, a in amounts.items()}})
 
     def before(name: str, group: list[str], along: list[str]) -> Column:
         w = (Window.partitionBy(*group).orderBy(*along)
              .rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.sum(name).over(w), F.lit(0).cast("long"))
 
-    fine = rows.groupBy(*keys, *c, *f).agg(F.sum("_amount").alias("_fine"))
-    coarse = (fine.groupBy(*keys, *c).agg(F.sum("_fine").alias("_coarse"))
-              .select(*keys, *c, before("_coarse", keys, c).alias("_coarse_start")))
-    starts = (fine.join(coarse, [*keys, *c])
-              .select(*keys, *c, *f,
-                      (F.col("_coarse_start") + before("_fine", keys + c, f)).alias("_start")))
+    fine = rows.groupBy(*keys, *c, *f).agg(*[F.sum(f"_amount_{n}").alias(f"_fine_{n}")
+                                             for n in names])
+    coarse = (fine.groupBy(*keys, *c).agg(*[F.sum(f"_fine_{n}").alias(f"_coarse_{n}")
+                                            for n in names])
+              .select(*keys, *c, *[before(f"_coarse_{n}", keys, c).alias(f"_base_{n}")
+                                   for n in names]))
+    starts = fine.join(coarse, [*keys, *c]).select(
+        *keys, *c, *f, *[(F.col(f"_base_{n}") + before(f"_fine_{n}", keys + c, f))
+                         .alias(f"_start_{n}") for n in names])
     return (rows.join(starts, [*keys, *c, *f])
-            .withColumn(out, F.col("_start") + before("_amount", keys + c + f, order.columns))
-            .drop(*c, *f, "_amount", "_start"))
+            .select(*df.columns, *[(F.col(f"_start_{n}")
+                                    + before(f"_amount_{n}", keys + c + f, order.columns)).alias(n)
+                                   for n in names]))
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Order, out: str = "position") -> DataFrame:
     """Zero-based position of each row in its group."""
-    return running_total(df, keys, order, F.lit(1), out)
+    return running_total(df, keys, order, {out: F.lit(1)})
 
 
 def paged_text(df: DataFrame, keys: Sequence[str], order: Order, text: Column, separator: str,
                page_size: int = PAGE_CHARS) -> DataFrame:
-    """Concatenate ``text`` per group in order: columns keys, page, n, chars, text.
+    """Concatenate ``text`` per group in order: columns keys, page, n, start, chars, text.
 
-    Joining the pages of a group with ``separator`` gives the whole text.
+    Joining the pages of a group with ``separator`` gives the whole text; ``start`` is a
+    page's offset in it.
     """
     keys = list(keys)
     rows = df.select(*keys, *order.columns, text.alias("_text"))
-    placed = running_total(rows, keys, order, F.length("_text") + F.lit(len(separator)), "_at")
-    return (placed.withColumn("page", F.floor(F.col("_at") / F.lit(page_size)))
-            .groupBy(*keys, "page")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.array_sort(F.collect_list(F.struct(*order.columns, "_text"))).alias("_rows"))
+    placed = running_total(rows, keys, order, {"_at": F.length("_text") + F.lit(len(separator))})
+    return concat_pages(placed.withColumn("page", F.floor(F.col("_at") / F.lit(page_size))),
+                        keys, order.columns, separator)
+
+
+def concat_pages(placed: DataFrame, keys: Sequence[str], along: Sequence[str], separator: str
+                 ) -> DataFrame:
+    """Concatenate ``_text`` of rows that know their ``page`` and their offset ``_at``."""
+    keys = list(keys)
+    return (placed.groupBy(*keys, "page")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("start"),
+                 F.array_sort(F.collect_list(F.struct(*along, "_text"))).alias("_rows"))
             .withColumn("text", F.array_join(F.transform("_rows", lambda r: r["_text"]), separator))
             .withColumn("chars", F.length("text").cast("long"))
-            .select(*keys, "page", "n", "chars", "text"))
+            .select(*keys, "page", "n", "start", "chars", "text"))
 
 
 def paged_rows(df: DataFrame, keys: Sequence[str], order: Order, fields: Sequence[str], out: str,
@@ -100,7 +112,8 @@ def paged_rows(df: DataFrame, keys: Sequence[str], order: Order, fields: Sequenc
     """Nest rows per group in order: columns keys, page, n, and an array of structs."""
     keys, fields = list(keys), list(fields)
     kept = list(dict.fromkeys([*keys, *order.columns, *fields]))
-    placed = running_total(df.select(*kept, size.alias("_size")), keys, order, F.col("_size"), "_at")
+    placed = running_total(df.select(*kept, size.alias("_size")), keys, order,
+                           {"_at": F.col("_size")})
     return (placed.withColumn("page", F.floor(F.col("_at") / F.lit(page_size)))
             .groupBy(*keys, "page")
             .agg(F.count(F.lit(1)).alias("n"),

@@ -135,7 +135,8 @@ def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, s
         # The reply is stored before it is parsed, so no call is repeated by a retry later on.
         replied = cut_lineage(models.apply_model(
             asked.select(*on, "page", "prompt"), fn, system, "prompt", concurrency).drop("prompt"))
-        parsed = replied.withColumn("_s", R.parse_sections(X.strip_thinking("reply")))
+        parsed = R.parse_replies(replied.withColumn("_clean", X.strip_thinking("reply")),
+                                 "_clean", "_s")
         per_unit = parsed.groupBy(*on).agg(
             F.min_by("_s", "page").alias("_s"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(

@@ -95,12 +95,13 @@ def day_prompts(entries: DataFrame, template: str, system: str, n: int = 3,
     else:
         history, n_history = F.lit("(none)"), F.lit(0)
     values = {"date": F.col("date"), "history": history, "n": F.lit(str(n))}
-    last = asked.groupBy(*keys, "date").agg(F.max("page").alias("_last"))
+    # A page is the last one when it ends where the day's text does.
+    whole = C.day_sizes(entries, keys).withColumnRenamed("chars", "_whole")
+    last = F.col("start") + F.col("chars") == F.col("_whole")
     text = F.concat(F.when(F.col("page") == 0, _pieces(head, values)).otherwise(F.lit("")),
                     F.col("text"),
-                    F.when(F.col("page") == F.col("_last"), _pieces(tail, values))
-                    .otherwise(F.lit("\n\n")))
-    return asked.join(last, [*keys, "date"]).select(
+                    F.when(last, _pieces(tail, values)).otherwise(F.lit("\n\n")))
+    return asked.join(whole, [*keys, "date"]).select(
         *keys, "date", "page", n_history.cast("long").alias("n_history"),
         F.length(text).cast("long").alias("prompt_chars"), text.alias("prompt"))
 

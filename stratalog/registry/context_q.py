@@ -31,7 +31,7 @@ JOIN (SELECT date, string_agg('  [' || time || '] ' || trim(text, {WS}), E'\\n'
 GROUP BY center"""
 
 query("context_window", f"""SELECT center_date, 0 AS page, length(text) AS chars, text FROM ({CONTEXT})""")(
-    lambda s, d: contexts(s, d).drop("n"))
+    lambda s, d: contexts(s, d).drop("n", "start"))
 
 
 def contexts(s, d):
@@ -169,7 +169,7 @@ FROM ({DAY_PROMPTS})""")(lambda s, d: _called(s, d))
 def _called(s, d):
     from stratalog.functions import replies
     done = models.apply_model(day_prompts(s, d), models.stub_model, SYSTEM)
-    return done.withColumn("_s", replies.parse_sections("reply")).select(
+    return replies.parse_replies(done, "reply", "_s").select(
         "date", "page", "_s.overall_vibe", "_s.summary", "_s.emotional_tone",
         F.array_join("_s.key_events", ",").alias("events"), "_s.energy_level", "tokens_in")
 

@@ -291,7 +291,7 @@ query("day_rollup", f"""SELECT date, count(*) AS entries,
 query("combined_text", f"""SELECT date, CAST(page AS BIGINT) AS page, count(*) AS n,
   length(string_agg(line, E'\\n\\n' ORDER BY time, id)) AS chars,
   string_agg(line, E'\\n\\n' ORDER BY time, id) AS text FROM ({PAGED}) GROUP BY date, page""")(
-    lambda s, d: I.day_text(B.raw_entry(s, d)))
+    lambda s, d: I.day_text(B.raw_entry(s, d)).drop("start"))
 
 query("load_days", f"""SELECT date, CAST(page AS BIGINT) AS page, count(*) AS n,
   string_agg(time || ' ' || role || ' ' || source_file || ' ' || text, ' / ' ORDER BY time, id) AS entries

@@ -28,7 +28,7 @@ query("parse_sections", """SELECT period_start, 'MIXED' AS overall_vibe, summary
   array_to_string(key_events, ',') AS key_events, 'why,what for' AS questions_raised, energy_level,
   social_connectedness, CAST(NULL AS INTEGER) AS forward_momentum, period_start AS peak_moment,
   'Anna K.=' || summary || ' and left;Bob=none' AS entities FROM day_unit""")(
-    lambda s, d: _replies(s, d).withColumn("_s", R.parse_sections("reply")).select(
+    lambda s, d: R.parse_replies(_replies(s, d), "reply", "_s").select(
         "period_start", "_s.overall_vibe", "_s.summary", "_s.emotional_tone",
         F.array_join("_s.key_events", ",").alias("key_events"),
         F.array_join("_s.questions_raised", ",").alias("questions_raised"), "_s.energy_level",

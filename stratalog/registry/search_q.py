@@ -53,9 +53,10 @@ query("snippets", r"""SELECT source_id, '...' || trim(regexp_replace(content[gre
     '\s+', ' ', 'g')) || ' >>' || content[p:p + l - 1] || '<< '
     || trim(regexp_replace(content[p + l:p + l + 29], '\s+', ' ', 'g')) || '...' AS context
 FROM (SELECT *, length(m[1]) + 1 AS p, length(m[2]) AS l FROM (SELECT source_id, content,
-        regexp_extract(strip_accents(lower(content)),
-          '(?s)^((?:.*?[^\p{L}\p{N}])??)((?:ther|quean)[\p{L}\p{N}]*)', ['a', 'b']) AS g,
-        [g.a, g.b] AS m
+        regexp_extract_all(strip_accents(lower(content)),
+          '(?s)^((?:.*?[^\p{L}\p{N}])??)(?:ther|quean)', 1)[1] AS head,
+        [head, regexp_extract(substr(strip_accents(lower(content)), length(head) + 1),
+          '^((?:ther|quean)[\p{L}\p{N}]*)', 1)] AS m
       FROM corpus WHERE source_type = 'raw') WHERE m[2] <> '')""")(
     lambda s, d: S.snippets(_search(s, d, QUERY, scope="raw", limit=None), B.corpus(s, d),
                             QUERY, 30).select("source_id", "context"))

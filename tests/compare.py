@@ -72,7 +72,7 @@ def main() -> None:
             text, took = f"FAIL {type(problem).__name__}: {str(problem)[:900]}", 0.0
         if not text.startswith(("ok", "rows")):
             bad.append(name)
-        if not text.startswith("ok") or only or took > 5:
+        if not text.startswith("ok") or only or took > 2.5:
             print(f"{name}: {text} [{took:.1f}s]", flush=True)
     print(f"{len(bad)} bad of {len(entry.queries())}: {bad}")
 
