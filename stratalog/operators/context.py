@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stratalog.functions import periods as P, text as X
@@ -229,7 +229,7 @@ def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, bu
     fields = {f.name: f for f in entered.schema.fields}
     out = T.StructType([*[fields[g] for g in group], T.StructField("chunk", T.LongType()),
                         fields["_e"], fields["_f"]])
-    closed = entered.groupBy(*group, "_seg").applyInPandas(_follow(group), out)
+    closed = entered.groupBy(*group, "_seg").applyInArrow(_follow(group), out)
     spans = closed.select(
         *group, "chunk",
         F.explode(F.sequence(F.greatest(F.col("_e") - F.lit(overlap), F.lit(0)),
@@ -237,32 +237,38 @@ def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, bu
     return spans.join(at.select(*group, "block", *order.columns), [*group, "block"])
 
 
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.argsort(table["_e"].to_numpy(), kind="stable")))
+
+
 def _follow(group: list[str]):
     """Walk one segment from its entry: the chunks that close after e and run to f(e)."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_e")
-        first, ends = int(pdf["_e"].iloc[0]), pdf["_f"].to_numpy()
-        at, rows = int(pdf["_entry"].iloc[0]) - first, []
+    def walk(table: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        first, ends = table["_e"][0].as_py(), table["_f"].to_pylist()
+        at, rows = table["_entry"][0].as_py() - first, []
         while at < len(ends):
             rows.append(at)
-            at = int(ends[at]) - first
-        taken = pdf.iloc[rows]
-        chunk = int(pdf["_chunk"].iloc[0]) + np.arange(len(rows))
-        return taken.assign(chunk=chunk)[[*group, "chunk", "_e", "_f"]]
+            at = ends[at] - first
+        taken = table.take(pa.array(rows, pa.int64()))
+        chunk = pa.array(table["_chunk"][0].as_py() + np.arange(len(rows)), pa.int64())
+        return taken.append_column("chunk", chunk).select([*group, "chunk", "_e", "_f"])
     return walk
 
 
 def _ways_out(group: list[str]):
     """For every block of a segment: where its chain leaves, and after how many chunks."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_e")
-        first, ends = int(pdf["_e"].iloc[0]), pdf["_f"].tolist()
+    def walk(table: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        first, ends = table["_e"][0].as_py(), table["_f"].to_pylist()
         leave, hops = list(ends), [1] * len(ends)
         for i in range(len(ends) - 1, -1, -1):
             inner = ends[i] - first
             if inner < len(ends):
                 leave[i], hops[i] = leave[inner], hops[inner] + 1
-        return pdf.assign(_f=leave, _hops=hops)[[*group, "_e", "_f", "_hops"]]
+        out = table.select([*group, "_e"])
+        return (out.append_column("_f", pa.array(leave, pa.int64()))
+                .append_column("_hops", pa.array(hops, pa.int64())))
     return walk
 
 
@@ -273,7 +279,7 @@ def _segment_entries(step: DataFrame, entry: DataFrame, count: DataFrame, group:
     out = T.StructType([*[fields[g] for g in group], fields["_e"], fields["_f"],
                         T.StructField("_hops", T.LongType())])
     long = step.join(count.filter(F.col("_n") > segment).select(*group), group, "left_semi")
-    jump = cut_lineage(long.groupBy(*group, "_seg").applyInPandas(_ways_out(group), out))
+    jump = cut_lineage(long.groupBy(*group, "_seg").applyInArrow(_ways_out(group), out))
     reached = entry
     while True:
         onward = (reached.join(jump.withColumnRenamed("_e", "_entry"), [*group, "_entry"])
