@@ -52,7 +52,7 @@ def context_window(entries: DataFrame, centers: DataFrame, n_before: int, n_afte
     parts = placed.join(blocks.select(*keys, "date", F.col("page").alias("_page"), "start", "text"),
                         [*keys, "date"]).select(
         *keys, center, "delta", "_page",
-        (F.col("_base") + F.when(first, 0).otherwise(F.length("_head") + F.col("start")))
+        (F.col("_base") + F.when(first, 0).otherwise(F.length("_head") + F.col("start") - 1))
         .alias("_at"),
         F.when(first, F.concat("_head", "text")).otherwise(F.concat(F.lit("\n"), "text"))
         .alias("_text")).withColumn("page", F.floor(F.col("_at") / F.lit(page_chars)))

@@ -207,7 +207,7 @@ def pending_units(candidates: DataFrame, done: DataFrame, keys: Sequence[str] =
 def pending_except(candidates: DataFrame, done: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Candidate unit keys minus completed ones, as a set."""
     on = [*keys, "level", "period_start"]
-    return candidates.select(*on).exceptAll(done.select(*on)).distinct()
+    return candidates.select(*on).subtract(done.select(*on))
 
 
 # --- files and checkpoints ---------------------------------------------------
@@ -243,11 +243,11 @@ def category_counts(df: DataFrame) -> DataFrame:
 
 
 def conversation_stats(messages: DataFrame, keys: Sequence[str] = ("title",)) -> DataFrame:
-    """Per conversation: user messages and the date of the first message of any role."""
+    """Per conversation: user messages and the date of the first stamped message of any role."""
     return messages.groupBy(*keys).agg(
         F.count_if(F.col("role") == "user").alias("message_count"),
-        F.coalesce(P.date_text(F.timestamp_seconds(F.min("timestamp"))), F.lit(""))
-        .alias("date_start"))
+        F.coalesce(P.date_text(F.timestamp_seconds(F.min(F.nullif("timestamp", F.lit(0))))),
+                   F.lit("")).alias("date_start"))
 
 
 def apply_date_overrides(entries: DataFrame, fixes: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -155,12 +155,15 @@ def read_activity_html(spark: SparkSession, path: str) -> DataFrame:
     return activity_turns(pages)
 
 
-def read_preparsed_json(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+def read_preparsed_json(spark: SparkSession, path: str, check: bool = True, lines: bool = False
+                        ) -> DataFrame:
     """Turns saved earlier; items without date or text are skipped.
 
-    With ``check`` a path without any valid item is an error.
+    A file is one JSON array, or with ``lines`` one turn per line, as the turn cache is
+    written; lines can be split over tasks.  With ``check`` a path without any valid item
+    is an error.
     """
-    docs = spark.read.schema(TURN_FILE).json(path, multiLine=True)
+    docs = spark.read.schema(TURN_FILE).json(path, multiLine=not lines)
     parsed = F.coalesce(X.present("datetime_parsed"), X.present("datetime_raw_parsed"))
     user = F.coalesce(X.present("user"), X.present("text"))
     rows = docs.select(file_name().alias("source_file"), parsed.alias("datetime_parsed"),

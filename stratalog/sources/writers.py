@@ -130,7 +130,7 @@ def list_dossiers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_turn_cache(entries: DataFrame, path: str) -> None:
-    """Dated text blocks as turns that ``read_preparsed_json`` reads back."""
+    """Dated text blocks as turns, one per line; ``read_preparsed_json`` reads them back."""
     entries.select(F.coalesce("datetime_raw", F.lit("")).alias("datetime_raw"),
                    F.coalesce("datetime_parsed", F.lit("")).alias("datetime_parsed"),
                    X.strip(F.coalesce("user", F.lit(""))).alias("user"),
