@@ -24,21 +24,29 @@ def _named(mentions: DataFrame) -> DataFrame:
             .withColumn("id", X.normalize_id(F.coalesce(X.present("_norm"), "_raw"))))
 
 
+def name_table(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct (id, written name, normalized name) with count and first sight.
+
+    The one pass over all mentions: it combines before the shuffle, so a name that makes
+    up a third of the rows costs one row per task.  What follows works on names.
+    """
+    seen = F.struct("period_start", "seq")
+    return _named(mentions).groupBy(*keys, "id", "_raw", "_norm").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(seen).alias("_seen"),
+        F.min(F.coalesce("source_date", "period_start")).alias("_date"))
+
+
 def discover_entities(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per canonical id: first written name, earliest date, number of appearances."""
-    seen = F.struct("period_start", "seq")
-    return _named(mentions).groupBy(*keys, "id").agg(
-        F.min_by("_raw", seen).alias("display_name"),
-        F.min(F.coalesce("source_date", "period_start")).alias("first_mentioned"),
-        F.count(F.lit(1)).alias("appearances"),
-        F.min(seen).alias("first_seen"))
+    return name_table(mentions, keys).groupBy(*keys, "id").agg(
+        F.min_by("_raw", "_seen").alias("display_name"), F.min("_date").alias("first_mentioned"),
+        F.sum("_n").alias("appearances"), F.min("_seen").alias("first_seen"))
 
 
 def entity_aliases(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct (id, alias): the written name and, where it differs, the normalized one."""
     both = F.array_distinct(F.array(F.lower("_raw"), F.lower("_norm")))
-    return (_named(mentions).select(*keys, "id", "_raw", "_norm").distinct()
-            .select(*keys, "id", F.explode(both).alias("alias")).distinct())
+    return name_table(mentions, keys).select(*keys, "id", F.explode(both).alias("alias")).distinct()
 
 
 def alias_map(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -160,13 +160,15 @@ def appended_dates(staged: DataFrame, existing: DataFrame, keys: Sequence[str] =
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Replace by key; inside ``new`` the highest ``_seq`` wins when that column is given."""
-    cols = old.columns
-    if "_seq" in new.columns:
-        new = paging.latest(new, key, "_seq")
-    stamped = (old.withColumn("_write", F.lit(0))
-               .unionByName(new.select(*cols).withColumn("_write", F.lit(1))))
-    return paging.latest(stamped, key, "_write").select(*cols)
+    """Replace by key; inside ``new`` the highest ``_seq`` wins when that column is given.
+
+    The store is only filtered by an anti join on the new keys: with few of them Spark
+    broadcasts those (by its size limit) and the store is not shuffled at all.
+    """
+    key, cols = list(key), old.columns
+    new = (paging.latest(new, key, "_seq") if "_seq" in new.columns
+           else new.dropDuplicates(key)).select(*cols)
+    return old.join(new.select(*key), key, "left_anti").select(*cols).unionByName(new)
 
 
 def upsert_raw(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -20,16 +20,23 @@ def write_raw(entries: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
      .write.mode("append").partitionBy("month").parquet(path))
 
 
-def read_store(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The entry store; a path that does not exist yet is an empty store."""
+def read_store(spark: SparkSession, path: str, keys: Sequence[str] = (),
+               months: Sequence[str] | None = None) -> DataFrame:
+    """The entry store, or only some of its month partitions.
+
+    A path that does not exist yet is an empty store.
+    """
     cols = [*keys, *ENTRY_COLUMNS]
     schema = ", ".join(f"{c} STRING" for c in [*cols, "month"])
     try:
-        return spark.read.schema(schema).parquet(path).select(*cols)
+        rows = spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ", ".join(f"{c} STRING" for c in cols))
+        rows = spark.createDataFrame([], schema)
+    if months is not None:
+        rows = rows.filter(F.col("month").isin(*months)) if months else rows.limit(0)
+    return rows.select(*cols)
 
 
 def upsert_table(updates: DataFrame, path: str, key: Sequence[str], partition: str) -> None:

@@ -51,7 +51,7 @@ def merge_batch(batch: DataFrame, store: str, keys: Sequence[str] = (),
     are written first, so a crash in between loses none of them.
     """
     spark = batch.sparkSession
-    existing = writers.read_store(spark, store, keys)
+    existing = writers.read_store(spark, store, keys, touched_months(batch))
     fresh = ingest.new_entries(batch, existing, keys)
     if affected:
         days = fresh.select(*keys, "date").distinct()
@@ -66,6 +66,18 @@ def merge_batch(batch: DataFrame, store: str, keys: Sequence[str] = (),
     writers.write_raw(fresh, store, keys)
 
 
+def touched_months(batch: DataFrame) -> list[str]:
+    """Month partitions the batch's weeks lie in; an id contains its date, so duplicates
+    can only be there.  The list is as long as the calendar at most.
+    """
+    day = P.as_date("date")
+    near = F.array(F.date_sub(day, 6), day, F.date_add(day, 6))
+    months = (batch.select(F.explode(F.array_append(
+        F.transform(near, lambda d: F.date_format(d, "yyyy-MM")), P.month_key("date")))
+        .alias("month")).distinct())
+    return sorted(r.month for r in months.collect() if r.month is not None)
+
+
 def merge_stream(rows: DataFrame, store: str, checkpoint: str, keys: Sequence[str] = (),
                  affected: str | None = None) -> StreamingQuery:
     """Run ``merge_batch`` on everything available, then stop."""
