@@ -149,6 +149,23 @@ def _timeline(s, d):
         "id", "text")
 
 
+NOTES_FIXED = len("sys") + 1 + len("About :\n\nEnd.")
+
+
+@query("timeline_prompts", f"""WITH n AS (SELECT id, '[' || period_start || ']: ' || content AS line,
+    period_start, seq, sum(length(content) + 16) OVER (PARTITION BY id
+      ORDER BY period_start DESC, seq DESC) - 2 AS total FROM fact),
+  k AS (SELECT id, count(*) AS n, string_agg(line, E'\\n\\n' ORDER BY period_start, seq) AS t FROM n
+    WHERE trunc((total + length(id) + {NOTES_FIXED}) / CAST(3.2 AS DOUBLE)) <= 300 GROUP BY id)
+SELECT id, coalesce(n, 0) AS n_notes, 'About ' || id || E':\\n' || coalesce(t, '(none)') || E'\\nEnd.' AS prompt
+FROM (SELECT DISTINCT id FROM fact) LEFT JOIN k USING (id)""")
+def _(s, d):
+    notes = facts(s, d).withColumnRenamed("content", "note")
+    return synthesis.timeline_prompts(
+        notes, ["id"], paging.by_date_and_seq("period_start", "seq"),
+        "About {entity}:\n{entity_timeline}\nEnd.", "sys", 300 + 1024 + 5000, 1024)
+
+
 @query("upsert_profile", f"""SELECT id, CASE WHEN mention_count > 60 THEN 'frequent' ELSE id END
   AS display_name FROM ({PROFILES})""")
 def _(s, d):

@@ -336,3 +336,32 @@ def test_streams(spark, tmp_path):
     streaming.usage_stream(spark.readStream.schema(schema).json(os.path.dirname(calls)), str(tmp_path / "log"),
                            str(tmp_path / "c3")).awaitTermination()
     assert spark.read.csv(str(tmp_path / "log"), header=True).first().empirical_ratio == "2.5"
+
+
+def test_whole_run(spark, tmp_path):
+    from stratalog.plans import hierarchy, pipeline
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    put(raw, "chat.json", [{"title": "T", "chat": {"messages": [
+        {"role": "user", "content": "hello", "timestamp": 1700000000}]}}])
+    put(raw, "act.html", "<div>Prompted code<br>Nov 14, 2023, 1:00:00 PM UTC<p>ok</p></div>"
+                         "<div>Prompted feelings<br>Nov 15, 2023, 1:00:00 PM UTC<p>hm</p></div>")
+    put(raw, "old.md", "2023-11-20\nfirst")
+
+    def label(system, user):
+        return "coding related" if "code" in user else "therapy"
+    parsing = {"label": label, "keep": ["self_reflection_psychology_therapy_dating"]}
+    dry = pipeline.run_ingest(spark, str(raw), store, dry_run=True, **parsing)
+    assert tuple(dry.stats.first()) == (3, 4, 0) and not (tmp_path / "store").exists()
+    run = pipeline.run_ingest(spark, str(raw), store, **parsing)
+    assert tuple(run.stats.first()) == (3, 4, 0)
+    units = pipeline.update_units(spark, store, None, run.dates)
+    assert units.filter("level = 'day'").count() == 3
+    again = pipeline.run_ingest(spark, str(raw), store, run.manifest, **parsing)
+    assert tuple(again.stats.first()) == (0, 0, 0) and again.dates.count() == 0
+    put(raw, "late.txt", "2023-11-14\nlate\n2023-12-01\nlater")
+    more = pipeline.run_ingest(spark, str(raw), store, run.manifest, **parsing)
+    assert tuple(more.stats.first()) == (1, 2, 1)
+    assert rows(more.dates, "date") == [("2023-11-14",), ("2023-12-01",)]
+    units = pipeline.update_units(spark, store, units, more.dates)
+    full = hierarchy.structural_units(writers.read_store(spark, store))
+    assert rows(units, *hierarchy.UNIT) == rows(full, *hierarchy.UNIT)
