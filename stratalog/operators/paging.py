@@ -20,7 +20,7 @@ PAGE_CHARS = 4_000_000
 class Order:
     """A total order inside a group, with two levels of order-preserving buckets.
 
-    ``coarse`` and ``fine`` must be non-decreasing along ``columns``.
+    ``coarse`` and ``fine`` must be non-decreasing along ``columns`` and never null.
     """
 
     def __init__(self, columns: Sequence[str], coarse: Sequence[Column], fine: Sequence[Column]):
@@ -32,13 +32,13 @@ def by_time_and_id(time: str = "time", id_: str = "id") -> Order:
 
     Ids are uniform hex, so even a day whose rows all carry one time splits evenly.
     """
-    return Order([time, id_], [F.substring(time, 1, 5)],
-                 [F.col(time), F.substring(id_, 1, 3)])
+    at = F.coalesce(time, F.lit(""))
+    return Order([time, id_], [F.substring(at, 1, 5)], [at, F.substring(id_, 1, 3)])
 
 
 def by_date_and_seq(date: str, seq: str, rows_per_bucket: int = 65_536) -> Order:
     """Dated rows of an entity or label: by date, then by blocks of the sequence number."""
-    return Order([date, seq], [F.col(date)],
+    return Order([date, seq], [F.coalesce(date, F.lit(""))],
                  [F.floor(F.col(seq) / F.lit(rows_per_bucket))])
 
 

@@ -50,12 +50,15 @@ def build_index(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Rows are spread by document before tokens are exploded, and the count per document
     and token keeps that partitioning: the text is shuffled once and postings never.
     """
-    doc = [*keys, "source_type", "source_id"]
-    spread = corpus.repartition(*doc) if doc else corpus
-    exploded = (spread.withColumn("_t", tokens())
-                .select(*keys, *DOC, F.size("_t").cast("long").alias("doc_len"),
-                        F.explode("_t").alias("token")))
-    return exploded.groupBy(*keys, *DOC, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    doc = [*keys, *DOC]
+    cut = (corpus.repartition("source_id")
+           .select(*doc, tokens().alias("_t")))
+    # The length is taken before the explode, so that the token array is not copied into
+    # every row, and the outer form keeps Spark from tokenizing once more for a filter.
+    sized = cut.select(*doc, F.size("_t").cast("long").alias("doc_len"), "_t")
+    exploded = sized.select(*doc, "doc_len", F.explode_outer("_t").alias("token"))
+    return (exploded.filter(F.col("token").isNotNull())
+            .groupBy(*doc, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def query_terms(query: str) -> list[str]:
@@ -153,17 +156,22 @@ def search_sentences(query: str, entries: DataFrame, radius: int = 1) -> DataFra
     A sentence ends at ``.``, ``!`` or ``?`` before white space.  Neighbours sit in the same
     row, so nothing is joined.
     """
-    sentences = F.split("text", r"(?<=[.!?])\s+")
-    rows = (entries.filter((F.col("role") == "user")
-                           & F.contains(F.lower("text"), F.lit(query.lower())))
-            .withColumn("_s", sentences)
-            .select("id", "date", "_s", F.posexplode("_s").alias("sentence_no", "_one"))
-            .filter(F.contains(F.lower("_one"), F.lit(query.lower()))))
-    first = F.greatest(F.col("sentence_no") - F.lit(radius), F.lit(0))
-    last = F.least(F.col("sentence_no") + F.lit(radius), F.size("_s") - 1)
-    return rows.select("id", "date", "sentence_no",
-                       F.array_join(F.slice("_s", first + 1, last - first + 1), " ")
-                       .alias("context"))
+    rows = entries.filter((F.col("role") == "user")
+                          & F.contains(F.lower("text"), F.lit(query.lower())))
+    cut = rows.select("id", "date", F.split("text", r"(?<=[.!?])\s+").alias("_s"))
+    lead = F.lit(radius)
+
+    def around(one: Column, i: Column) -> Column:
+        first = F.greatest(i - lead, F.lit(0))
+        size = F.least(i + lead, F.size("_s") - 1) - first + 1
+        return F.when(F.contains(F.lower(one), F.lit(query.lower())), F.struct(
+            i.alias("sentence_no"),
+            F.array_join(F.slice("_s", first + 1, size), " ").alias("context")))
+
+    hits = F.filter(F.transform("_s", around), lambda h: h.isNotNull())
+    return (cut.select("id", "date", hits.alias("_hits"))
+            .select("id", "date", F.explode_outer("_hits").alias("_h"))
+            .filter(F.col("_h").isNotNull()).select("id", "date", "_h.*"))
 
 
 def search_events(query: str, units: DataFrame, level: str = "month") -> DataFrame:

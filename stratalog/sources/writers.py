@@ -58,6 +58,11 @@ def upsert_table(updates: DataFrame, path: str, key: Sequence[str], partition: s
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
+def write_units(units: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """Upsert units; only the levels that ``units`` holds are rewritten."""
+    upsert_table(units, path, [*keys, "level", "period_start"], "level")
+
+
 def merged_metadata(entries: DataFrame) -> DataFrame:
     """Header of a merged export: days, entries, first and last date, format."""
     return entries.agg(F.countDistinct("date").alias("total_days"),

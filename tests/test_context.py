@@ -67,6 +67,14 @@ def test_positions_and_nested_days(entries, by_day):
     assert flat == [(d, r.id) for d, rows in sorted(by_day.items()) for r in rows if r.role == "user"]
 
 
+def test_rows_without_time_are_kept(spark):
+    rows = ingest.with_entry_id(spark.createDataFrame(
+        [("2024-01-01", None, "s", "f", "user", "a"), ("2024-01-01", "08:00:00", "s", "f", "user", "b")],
+        ENTRY))
+    got = ingest.load_days(rows).first()
+    assert [e.text for e in got.entries] == ["a", "b"]
+
+
 def context_of(by_day, center, before, after):
     from datetime import date, timedelta
     out = []

@@ -363,5 +363,11 @@ def test_whole_run(spark, tmp_path):
     assert tuple(more.stats.first()) == (1, 2, 1)
     assert rows(more.dates, "date") == [("2023-11-14",), ("2023-12-01",)]
     units = pipeline.update_units(spark, store, units, more.dates)
+    path = str(tmp_path / "units")
+    writers.write_units(units, path)
+    writers.write_units(units.filter("level = 'week'").withColumn("period_end", F.lit("x")), path)
+    saved = spark.read.parquet(path)
+    assert saved.count() == units.count() and saved.filter("period_end = 'x'").count() == units.filter(
+        "level = 'week'").count()
     full = hierarchy.structural_units(writers.read_store(spark, store))
     assert rows(units, *hierarchy.UNIT) == rows(full, *hierarchy.UNIT)
