@@ -183,7 +183,9 @@ def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, bu
     Returns group, chunk, block and the order columns, one row per block and chunk.
     """
     group = list(group)
-    slim = blocks.select(*group, *order.columns, F.col(tokens).cast("long").alias("_tok"))
+    # Only keys and sizes from here on, written once instead of deriving the blocks twice.
+    slim = cut_lineage(blocks.select(*group, *order.columns,
+                                     F.col(tokens).cast("long").alias("_tok")))
     at = cut_lineage(paging.running_total(slim, group, order,
                                           {"block": F.lit(1), "_before": F.col("_tok")}))
     count = at.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
