@@ -21,13 +21,12 @@ VERIFY = """SELECT date, src_entries, dst_entries, CASE WHEN src_entries <> dst_
 FROM (SELECT coalesce(a.date, b.date) AS date, count(a.date) AS src_entries, count(b.date) AS dst_entries,
         count(*) FILTER ((a.time, a.role, a.text) IS DISTINCT FROM (b.time, b.role, b.text)) AS bad
       FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY time, id) AS rn FROM raw_entry) a
-      FULL JOIN (SELECT *, CASE WHEN time = '08:05:00' THEN upper(text) ELSE text END AS text,
+      FULL JOIN (SELECT date, time, id, role,
+                   CASE WHEN time = '08:05:00' THEN upper(text) ELSE text END AS text,
                    row_number() OVER (PARTITION BY date ORDER BY time, id) AS rn
                  FROM raw_entry WHERE role <> 'system') b ON a.date = b.date AND a.rn = b.rn
       GROUP BY 1)
-WHERE CASE WHEN src_entries <> dst_entries THEN 1 ELSE bad END > 0""".replace(
-    "SELECT *, CASE WHEN time = '08:05:00' THEN upper(text) ELSE text END AS text,",
-    "SELECT date, time, id, role, CASE WHEN time = '08:05:00' THEN upper(text) ELSE text END AS text,")
+WHERE CASE WHEN src_entries <> dst_entries THEN 1 ELSE bad END > 0"""
 
 query("verify_entries", VERIFY)(lambda s, d: A.verify_entries(B.raw_entry(s, d), _copy(s, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as X
-from stratalog.operators import context as C, ingest
+from stratalog.operators import context as C
 from stratalog.plans import models, prompts, synthesis
 from stratalog.registry import base as B
 from stratalog.registry.base import query

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import text as X
 from stratalog.operators import entities as O, ingest, paging
-from stratalog.plans import models, synthesis
+from stratalog.plans import synthesis
 from stratalog.registry import base as B
 from stratalog.registry.base import query
 
@@ -215,6 +215,3 @@ def _(s, d):
 def _contexts(s, d):
     from stratalog.registry.context_q import contexts
     return contexts(s, d)
-
-
-_ = models

@@ -49,14 +49,12 @@ query("parse_keyword", r"""SELECT doc_id,
   nullif(upper(replace(regexp_extract(text, '^\s*(\S+)', 1), 'ß', 'ss')), '') AS word FROM documents""")(
     lambda s, d: B.table(s, d, "documents").select("doc_id", R.keyword("text").alias("word")))
 
-query("parse_list", r"""SELECT doc_id, CASE WHEN len(items) = 1 AND contains(items[1], ',')
+query("parse_list", r"""SELECT doc_id, array_to_string(CASE WHEN len(items) = 1 AND contains(items[1], ',')
   THEN list_filter(list_transform(string_split(items[1], ','), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '')
-  ELSE list_filter(items, lambda x: x <> '') END AS items
+  ELSE list_filter(items, lambda x: x <> '') END, '|') AS items
 FROM (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)),
         lambda l: trim(l, E' \t\n\r') <> ''),
-        lambda l: trim(regexp_replace(l, '^[-•*]\s*', ''), E' \t\n\r')) AS items FROM documents)""".replace(
-    "AS items\nFROM", "AS items_list\nFROM").replace("SELECT doc_id, CASE", "SELECT doc_id, array_to_string(CASE")
-      .replace("END AS items_list", "END, '|') AS items"))(
+        lambda l: trim(regexp_replace(l, '^[-•*]\s*', ''), E' \t\n\r')) AS items FROM documents)""")(
     lambda s, d: B.table(s, d, "documents").select(
         "doc_id", F.array_join(R.bullet_list("text"), "|").alias("items")))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.operators import search as S
-from stratalog.plans import models
 from stratalog.registry import base as B
 from stratalog.registry.base import query
 
@@ -111,6 +110,3 @@ def _(s, d):
         F.col("period_start"), F.lit("\n  last_active: "), F.col("period_end"),
         F.lit("\n- thread_all: dormant\n  last_active: "), F.col("period_end"))
     return S.scan_threads(B.day_unit(s, d).withColumn("narrative_threads", block), "day")
-
-
-_ = models

@@ -36,6 +36,7 @@ ENTRY_DEFAULTS = {"time": "00:00:00", "source": "unknown", "source_file": "",
 
 ENTRY_COLUMNS = ("id", "date", "time", "source", "source_file", "role", "text")
 
+# Fixed values from here on: field names of the stored and imported JSON documents.
 ENTRY_BODY = T.StructType([
     T.StructField(c, T.StringType())
     for c in ("time", "source", "source_file", "role", "text")
