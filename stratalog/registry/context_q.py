@@ -30,7 +30,7 @@ JOIN (SELECT date, string_agg('  [' || time || '] ' || trim(text, {WS}), E'\\n'
       FROM raw_entry WHERE trim(text, {WS}) <> '' GROUP BY date) USING (date)
 GROUP BY center"""
 
-query("context_window", f"""SELECT center_date, 0 AS page, length(text) AS chars, text FROM ({CONTEXT})""")(
+query("context_window", f"""SELECT center_date, CAST(0 AS BIGINT) AS page, length(text) AS chars, text FROM ({CONTEXT})""")(
     lambda s, d: contexts(s, d).drop("n", "start"))
 
 
@@ -60,7 +60,7 @@ query("budget_history", f"SELECT date, past, c AS chars FROM ({KEPT})")(
 
 PROMPT = f"""'Date: ' || date || E'\\nHistory ({N_DAYS} days):\\n' || coalesce(history, '(none)')
   || E'\\nEntries:\\n' || text || E'\\nSummarise.'"""
-DAY_PROMPTS = f"""SELECT date, 0 AS page, coalesce(h.k, 0) AS n_history, length({PROMPT}) AS prompt_chars,
+DAY_PROMPTS = f"""SELECT date, CAST(0 AS BIGINT) AS page, coalesce(h.k, 0) AS n_history, length({PROMPT}) AS prompt_chars,
   {PROMPT} AS prompt
 FROM ({DAYS}) LEFT JOIN (SELECT date, string_agg(block, E'\\n\\n' ORDER BY past) AS history,
   count(*) AS k FROM ({KEPT}) GROUP BY date) h USING (date)"""
@@ -145,7 +145,7 @@ walk AS (SELECT id, i, 0 AS chunk, t AS cur, CAST(0 AS BIGINT) AS s FROM b WHERE
     CAST(CASE WHEN cur + t > 60 THEN last3 + t ELSE cur + t END AS BIGINT),
     CASE WHEN cur + t > 60 THEN b.i - 3 ELSE s END
   FROM walk JOIN b ON b.id = walk.id AND b.i = walk.i + 1)
-SELECT c.id, c.chunk, b.i AS block FROM (SELECT id, chunk, min(s) AS s, max(i) AS e FROM walk
+SELECT c.id, CAST(c.chunk AS BIGINT) AS chunk, b.i AS block FROM (SELECT id, chunk, min(s) AS s, max(i) AS e FROM walk
   GROUP BY id, chunk) c JOIN b ON b.id = c.id AND b.i BETWEEN c.s AND c.e"""
 
 

@@ -203,7 +203,7 @@ def _count_words(system: str, user: str) -> str:
     return f"{user.count('TYPE A')} mentions"
 
 
-@query("synthesize_entities", """SELECT id, 1 AS arc_chunks_used, count(*) || ' mentions' AS arc_summary
+@query("synthesize_entities", """SELECT id, CAST(1 AS BIGINT) AS arc_chunks_used, count(*) || ' mentions' AS arc_summary
 FROM fact GROUP BY id""")
 def _(s, d):
     # Budgets wide enough for one chunk each; chunked synthesis is checked by the tests.

@@ -60,8 +60,8 @@ FROM (SELECT *, estimated_tokens / CAST(976 AS DOUBLE) AS fraction FROM (SELECT
                                        .alias("_e")).select("source_id", "_e.*").withColumn(
         "usage_fraction", F.round("usage_fraction", 6)))
 
-query("context_size", """SELECT level, period_start, CASE level WHEN 'day' THEN 65536 WHEN 'week' THEN 262144
-  ELSE 32768 END AS size FROM unit""")(
+query("context_size", """SELECT level, period_start, CAST(CASE level WHEN 'day' THEN 65536 WHEN 'week' THEN 262144
+  ELSE 32768 END AS BIGINT) AS size FROM unit""")(
     lambda s, d: B.unit(s, d).select("level", "period_start", X.context_size(
         F.when(F.col("level") == "day", "64k").when(F.col("level") == "week", "256k")
         .otherwise(F.col("level"))).alias("size")))
