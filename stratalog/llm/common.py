@@ -36,3 +36,9 @@ def lower_ascii(c: Column) -> Column:
 def spread(df: DataFrame) -> int:
     """Partitions for a keyed step over these rows: the session's own setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts: few rows and few bytes each, so that long texts need no memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

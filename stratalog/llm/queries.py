@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import reputation
+from stratalog.llm import bpe, decontaminate, reputation
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 URL_RULES = reputation.rules("allow com/", "block example.com/en/", "allow www.example.com/en/",
                              "block net/es/", "block net/fr/")
 
@@ -86,3 +92,20 @@ SELECT page_id, r.host, path, rule,
          ELSE 'allow' END AS verdict
 FROM marked r JOIN host_p USING (host)
 """
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.count_tokens(docs, tokenizer_path()).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.find_overlap(docs, table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
