@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, reputation
+from stratalog.llm import bpe, decontaminate, exact, reputation
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,45 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = exact.find_copies(table(spark, sf, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept",
+                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op9_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+    FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
+    count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    row_number() OVER w = 1 AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+"""
+
+ORACLES["op5_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+windows AS (SELECT item_id, unnest(CASE WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS g,
+        least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes),
+hits AS (SELECT doc_id, i, p.size, item_id FROM places p
+        JOIN windows x ON x.size = p.size AND x.g = array_to_string(w[i:i + p.size - 1], ' ')),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM
+        (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+        string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+        FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
