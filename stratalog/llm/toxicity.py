@@ -27,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalog.llm.common import bounded_batches
+from stratalog.llm.shingles import Minima, lower_words, shingle_set
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7)
-PRIOR = 0.01       # weight of the Dirichlet prior, as a share of the observed counts
+PRIOR = 0.05       # weight of the Dirichlet prior, as a share of the observed counts
 OTHER = -0.5       # score of a token without a telling feature
 FOLD = 4           # one sample document in four calibrates
 SIGNIFICANT = 0.05
@@ -123,13 +124,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def likeness(texts: pa.Array) -> pa.Array:
+    """Four keys of two minima each over the word pairs: near copies share one of them."""
+    minima, out = Minima(8, seed=10), []
+    for text in texts.to_pylist():
+        m = minima(shingle_set(lower_words(text), 2))
+        out.append((m[0::2] << np.uint64(32) | m[1::2]).view(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """text, toxic, fold of the distinct texts of the sample."""
+    """text, toxic, fold of the sample, with one document of each group of near copies.
+
+    Otherwise every rare word of a toxic text with many near copies would tell of toxicity.
+    """
     sample = (labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    return (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
             .filter("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic"))
+            .withColumn("keys", likeness("text")).persist())
+    apart = rows.select(F.xxhash64("text").alias("id"), "toxic",
+                        *[F.col("keys")[i].alias(f"k{i}") for i in range(4)])
+    for i in range(4):
+        apart = apart.groupBy(f"k{i}").agg(F.min_by(F.struct(*apart.columns), "id").alias("row"))
+        apart = apart.select("row.*")
+    kept = apart.select("id")
+    return (rows.join(F.broadcast(kept), F.xxhash64("text") == F.col("id"), "left_semi")
             .select("text", "toxic",
                     F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLD)).cast("int").alias("fold")))
 
@@ -176,7 +198,7 @@ def weighed(counts: DataFrame, t: str, c: str) -> tuple[Column, Column]:
     return odds / F.sqrt(1 / a + 1 / b), odds
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z: float = 2.0,
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z: float = 3.0,
         max_features: int = 200_000) -> Model:
     """Learn from labels (doc_id, toxic) outside the held-out rows; no labels, no model."""
     spark = docs.sparkSession
