@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, exact, reputation, toxicity
+from stratalog.llm import bpe, decontaminate, exact, packing, reputation, toxicity
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
