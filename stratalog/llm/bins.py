@@ -7,7 +7,7 @@ lengths whatever the corpus, and so has the work.
 Best-fit decreasing gives the incumbent.  If it needs more bins than the lower bound, a
 depth-first search fills bins around the largest length left: it enumerates fillings of the
 rest that no other dominates (maximal, and no length left over could replace one item or two
-and still fit), the fullest first, applies each as often as the counts allow, and gives up a
+and still fit), the fullest first and no more once one leaves no room, applies each as often as the counts allow, and gives up a
 branch as soon as its waste exceeds what a better packing may waste.  The search stops at the
 lower bound or after ``nodes`` fillings; the incumbent is then the answer, so a limit never
 drops a document.
@@ -15,11 +15,13 @@ drops a document.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-FILLINGS = 12  # branches of one node, the fullest ones
+FILLINGS = 12  # branches of one node, the fullest first
+STEPS = 400    # partial fillings looked at for one node
 
 
 @dataclass(frozen=True)
@@ -73,17 +75,18 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> list[Pattern]:
 def fillings(counts: Mapping[int, int], room: int, waste: int) -> list[tuple[tuple[int, int], ...]]:
     """Undominated fillings of ``room`` that leave at most ``waste``, the fullest first."""
     lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    rising = lengths[::-1]
     out: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     steps = 0
 
     def extend(at: int, room: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[None]:
         nonlocal steps
         steps += 1
-        fits = next((i for i in range(at, len(lengths)) if lengths[i] <= room), None)
-        if fits is None:
+        fits = max(at, len(lengths) - bisect_right(rising, room))
+        if fits >= len(lengths):
             if room <= waste and not dominated(chosen, room):
                 out.append((room, chosen))
-                yield
+            yield
             return
         for i in range(fits, len(lengths)):
             n = lengths[i]
@@ -91,22 +94,23 @@ def fillings(counts: Mapping[int, int], room: int, waste: int) -> list[tuple[tup
                 yield from extend(i + 1, room - n * k, (*chosen, (n, k)))
 
     def dominated(chosen: tuple[tuple[int, int], ...], rest: int) -> bool:
+        """Whether a length left over fits beside the items, or in place of one or two of them."""
         used = dict(chosen)
-        free = [n for n in lengths if used.get(n, 0) < counts[n]]
         items = [n for n, k in chosen for _ in range(min(k, 2))]
-        sums = items + [a + b for i, a in enumerate(items) for b in items[i + 1:]]
-        least = min(lengths, default=0)
-        return (rest >= least and any(used.get(n, 0) < counts[n] and n <= rest for n in lengths)) or (
-            rest > 0 and any(s < n <= s + rest for s in sums for n in free))
+        for s in {0, *items, *(a + b for i, a in enumerate(items) for b in items[i + 1:])}:
+            for i in range(bisect_right(rising, s), bisect_right(rising, s + rest)):
+                if used.get(rising[i], 0) < counts[rising[i]]:
+                    return True
+        return False
 
     for _ in extend(0, room, ()):
-        if len(out) >= 4 * FILLINGS or steps > 4000 or out[-1][0] == 0 and len(out) >= FILLINGS:
+        if len(out) >= FILLINGS or steps > STEPS or out and not out[-1][0]:
             break
     out.sort(key=lambda x: (x[0], len(x[1])))
-    return [chosen for _, chosen in out[:FILLINGS]]
+    return [chosen for _, chosen in out]
 
 
-def complete(counts: Mapping[int, int], capacity: int, nodes: int = 20_000) -> list[Pattern]:
+def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> list[Pattern]:
     """The patterns of the best packing found; every item of the histogram is in one."""
     counts = {n: c for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):

@@ -109,7 +109,7 @@ def runs(patterns: Sequence[bins.Pattern]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text: str = "text",
-         doc_id: str = "doc_id", nodes: int = 20_000) -> DataFrame:
+         doc_id: str = "doc_id", nodes: int = 5_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone.  Rows
