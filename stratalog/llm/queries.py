@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, exact, packing, reputation, toxicity
+from stratalog.llm import bpe, decontaminate, exact, neardup, packing, reputation, toxicity
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return neardup.find_groups(docs, neardup.Plan(words=2))

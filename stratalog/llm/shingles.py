@@ -56,16 +56,20 @@ def shingle_set(words: Sequence[bytes], size: int) -> np.ndarray:
 
 
 class Minima:
-    """Minima of ``count`` universal hash functions x -> (a x + b) mod 2^64 over a set."""
+    """Minima of ``count`` universal hash functions x -> (a x + b) mod 2^32 over a set.
+
+    x is the upper half of a well-mixed 64-bit hash; 32-bit products go through SIMD units.
+    """
 
     def __init__(self, count: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, count, np.uint64) * np.uint64(2)
-
-    def __call__(self, values: np.ndarray, block: int = 512) -> np.ndarray:
-        out = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(values), block):
-            part = values[None, at:at + block] * self.a[:, None] + self.b[:, None]
-            np.minimum(out, (part >> np.uint64(32)).min(axis=1), out=out)
+        self.a = (rng.integers(0, 2**31, count) * 2 + 1).astype(np.uint32)
+        self.b = rng.integers(0, 2**32, count).astype(np.uint32)
+
+    def __call__(self, values: np.ndarray, block: int = 1024) -> np.ndarray:
+        out = np.full(len(self.a), 2**32 - 1, np.uint32)
+        x = (values >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(x), block):
+            part = x[None, at:at + block] * self.a[:, None] + self.b[:, None]
+            np.minimum(out, part.min(axis=1), out=out)
         return out

@@ -129,7 +129,7 @@ def likeness(texts: pa.Array) -> pa.Array:
     """Four keys of two minima each over the word pairs: near copies share one of them."""
     minima, out = Minima(8, seed=10), []
     for text in texts.to_pylist():
-        m = minima(shingle_set(lower_words(text), 2))
+        m = minima(shingle_set(lower_words(text), 2)).astype(np.uint64)
         out.append((m[0::2] << np.uint64(32) | m[1::2]).view(np.int64))
     return pa.array(out, pa.list_(pa.int64()))
 
