@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, exact, neardup, packing, reputation, toxicity
+from stratalog.llm import bpe, decontaminate, exact, neardup, packing, pii, reputation, toxicity, warc
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,19 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return neardup.find_groups(docs, neardup.Plan(words=2))
+
+
+@query
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    # Pages have no time of capture; the id in seconds gives every page one of its own.
+    index = warc.capture_index(table(spark, sf, "pages"), F.timestamp_seconds("page_id"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "url_key", "captured", "intact")
+
+
+@query
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.written_out("base"), 256).alias("base_sha256"),
+                        pii.written_out("spans").alias("spans"))
