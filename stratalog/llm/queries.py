@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, exact, neardup, packing, pii, reputation, toxicity, warc
+from stratalog.llm import bpe, decontaminate, exact, neardup, packing, pii, reputation, substrings, toxicity, warc
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +187,26 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
                         F.sha2(pii.written_out("base"), 256).alias("base_sha256"),
                         pii.written_out("spans").alias("spans"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed",
+                        F.lower(F.hex("kept_digest")).alias("kept_sha256"))
+
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM places),
+least AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k
+        FROM windows JOIN least USING (g) WHERE doc_id > first),
+lists AS (SELECT doc_id, list(k) AS gone FROM covered GROUP BY doc_id),
+kept AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN lists USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM kept
+"""
