@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stratalog.llm.common import bounded_batches
+from stratalog.llm.common import bounded_batches, others
 
 # The split of a byte-level pre-tokenizer, as the format defines it.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,6 +179,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    return (docs.withColumn("n_bytes", F.octet_length(F.coalesce(text, F.lit(""))).cast("long"))
-            .withColumn("n_tokens", token_count(spark, path, F.col(text)))
-            .withColumn("over_limit", F.col("n_tokens") > limit))
+    kept = others(docs, ("n_bytes", "n_tokens", "over_limit"))
+    return docs.select(
+        *kept, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
+        token_count(spark, path, F.col(text)).alias("n_tokens")).select(
+        *kept, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,25 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def others(df: DataFrame, new: Iterable[str]) -> list[str]:
+    """Columns of the table but those that a new one replaces (names ignore case, as in Spark)."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that working columns beside it clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a keyed step over these rows: the session's own setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

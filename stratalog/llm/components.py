@@ -3,7 +3,7 @@
 Both steps group edges by a node, take the smallest neighbour and hang others below it.  The
 smallest neighbour is a pre-aggregated minimum that is joined back, so no neighbourhood is
 ever collected, and a node with a third of all edges is a skewed join that Spark splits.
-Every round is written to the shared folder; the rounds end when the edges no longer change.
+Every round is written to the shared folder; the rounds end when all edges are stars.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (both.join(least, "u").filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -30,18 +30,23 @@ def small_star(edges: DataFrame) -> DataFrame:
     return hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every node hangs below one other that hangs below none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below")).unionAll(
+        edges.select("v", F.lit(0)))
+    loose = ends.groupBy("n").agg(F.sum("below").alias("above"), F.min("below").alias("center"))
+    return loose.filter("above > 1 OR above = 1 AND center = 0").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, component (its smallest node) of all nodes of edges u, v but the smallest ones.
 
     Loops and repeated edges are ignored; no edges give no rows.
     """
-    state = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    before = None
+    state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                    .filter("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        state = written(small_star(large_star(state)), "edges")
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 2**32),
-                              F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
+        if settled(state):
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+        state = written(small_star(large_star(state)), "edges")
     raise RuntimeError("the components did not settle")

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalog.llm.common import LOWER_BYTES, bounded_batches
+from stratalog.llm.common import LOWER_BYTES, bounded_batches, free, others, whole_row
 
 WINDOW = 10
 # Every byte that is no part of a word becomes a blank; A-Z become a-z; the rest stays.
@@ -158,6 +158,14 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
             yield pa.array([_row(t, len(words(t or "")), *h) for t, h in zip(texts, sofar)], _TYPE)
 
     new = ("n_words", "n_hit", "items", "spans")
-    kept = [c for c in docs.columns if c not in new]
-    return (docs.select(*kept, scan(F.col(text)).alias("_found"))
-            .select(*kept, *[F.col(f"_found.{c}").alias(c) for c in new]))
+    kept = others(docs, new)
+    found = free("_found", kept)
+    return (docs.select(*kept, scan(F.col(text)).alias(found))
+            .select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in new]))
+
+
+def drop_overlapping(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that no benchmark window hits, with their columns."""
+    held = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
+    found = find_overlap(held, benchmark, text="_text", **options)
+    return found.filter("n_hit = 0").select("_row.*")

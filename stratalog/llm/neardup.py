@@ -9,7 +9,7 @@
 3. Families are verified on the full sets.  A family is split by size class and then into
    blocks of bounded rows and bytes; only pairs of blocks whose sizes can reach the
    similarity meet.  A task counts all intersections of a pair of blocks with bit rows, in
-   memory, and returns only the links that join something new: never more rows than members.
+   memory, and returns for each member the smallest it reaches: never more rows than members.
 4. The links' components, again by stars, are the groups.
 
 Bands of 6 in 45 miss a pair at similarity 0.8 with probability 1e-6, less above.  Sets are
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stratalog.llm.common import bounded_batches, pick, screen, spread, written
+from stratalog.llm.common import bounded_batches, pick, screen, spread, whole_row, written
 from stratalog.llm.components import connected
 from stratalog.llm.fuse import mix
 from stratalog.llm.shingles import Minima, lower_words, shingle_set
@@ -150,7 +150,7 @@ def _tasks(members: DataFrame, plan: Plan) -> DataFrame:
 
 def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int
              ) -> list[tuple[int, int]]:
-    """Links of a pair of blocks that join what no earlier link had joined."""
+    """The links of a pair of blocks, as edges from each member to the smallest it reaches."""
     m = len(nodes)
     sizes = np.array([len(s) for s in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -171,7 +171,6 @@ def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perce
             i = top[i]
         return i
 
-    out = []
     for i in range(m - 1):
         common = np.bitwise_count(bits[i] & bits[i + 1:]).sum(axis=1, dtype=np.int64)
         near = 100 * common >= percent * (sizes[i] + sizes[i + 1:] - common)
@@ -179,10 +178,8 @@ def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perce
             near &= sides[i + 1:] != sides[i]
         for j in np.flatnonzero(near) + i + 1:
             a, b = find(i), find(int(j))
-            if a != b:
-                top[b] = a
-                out.append((int(nodes[i]), int(nodes[j])))
-    return out
+            top[max(a, b)] = min(a, b)
+    return [(int(nodes[i]), int(nodes[a])) for i in range(m) if (a := find(i)) != i]
 
 
 def _verify(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -193,7 +190,7 @@ def _verify(rows: DataFrame, plan: Plan) -> DataFrame:
         def done() -> pa.RecordBatch:
             links = []
             if len(held) > 1:
-                nodes, sides, sets = zip(*held)
+                nodes, sides, sets = zip(*sorted(held, key=lambda x: x[0]))
                 links = links_of(np.array(nodes), np.array(sides),
                                  [np.frombuffer(s, np.uint64) for s in sets], plan.percent)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64())
@@ -276,13 +273,14 @@ def drop_near_copies(docs: DataFrame, plan: Plan = Plan(), text: str = "text",
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
     unsure = written(ids.filter("rows > 1 OR NOT kept"), "unsure")
     maybe, key = screen(unsure), F.col(doc_id).cast("long")
-    asked = docs.filter(maybe(key)).withColumn("_id", key)
+    asked = docs.filter(maybe(key)).select(whole_row(docs).alias("row"), key.alias("_id"),
+                                           F.col(text).alias("_text"))
     gone = unsure.filter("NOT kept").select(F.col("doc_id").alias("_g"))
     twice = unsure.filter("kept").select(F.col("doc_id").alias("_r"))
     stay = asked.join(gone, F.col("_id").eqNullSafe(F.col("_g")), "left_anti")
     single = stay.join(twice, F.col("_id").eqNullSafe(F.col("_r")), "left_anti")
     several = (stay.join(twice, F.col("_id").eqNullSafe(F.col("_r")), "left_semi")
-               .withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(text)))
+               .withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
                .filter("_nth = 1"))
-    return (docs.filter(~maybe(key)).unionAll(single.select(*docs.columns))
-            .unionAll(several.select(*docs.columns)))
+    return (docs.filter(~maybe(key)).unionAll(single.select("row.*"))
+            .unionAll(several.select("row.*")))

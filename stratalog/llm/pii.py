@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalog.llm.common import bounded_batches, written
+from stratalog.llm.common import bounded_batches, free, others, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -249,19 +249,20 @@ def find_personal(docs: DataFrame, text: str = "text", accept: float = 0.9) -> D
         for batch in batches:
             yield pa.array([_scan(t or "") for t in batch.to_pylist()], _SCAN)
 
-    kept = [c for c in docs.columns if c not in (text, "base", "spans", "_scan")]
-    scanned = written(docs.select(*kept, scan(F.col(text)).alias("_scan")), "scanned")
-    counts = (scanned.select(F.explode("_scan.found").alias("f"))
+    kept = others(docs, (text, "base", "spans"))
+    name = free("_scan", kept)
+    scanned = written(docs.select(*kept, scan(F.col(text)).alias(name)), "scanned")
+    counts = (scanned.select(F.explode(f"{name}.found").alias("f"))
               .groupBy("f.kind", "f.votes").agg(F.count(F.lit(1)).alias("n")).collect())
     good = sorted(accepted([(r["kind"], r["votes"], r["n"]) for r in counts], accept))
 
     def added(f: Column) -> Column:
         return ~f["base"] & F.concat_ws(":", f["kind"], f["votes"]).isin(good)
 
-    plain = F.transform(F.filter("_scan.found", added), lambda f: F.struct(
+    plain = F.transform(F.filter(f"{name}.found", added), lambda f: F.struct(
         f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    return scanned.select(*kept, F.col("_scan.base").alias("base"),
-                          F.array_sort(F.concat("_scan.base", plain)).alias("spans"))
+    return scanned.select(*kept, F.col(f"{name}.base").alias("base"),
+                          F.array_sort(F.concat(f"{name}.base", plain)).alias("spans"))
 
 
 def written_out(spans: str) -> Column:

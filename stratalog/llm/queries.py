@@ -210,3 +210,9 @@ SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
     sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM kept
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)

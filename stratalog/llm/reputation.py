@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalog.llm.common import lower_ascii
+from stratalog.llm.common import lower_ascii, others
 
 
 @dataclass(frozen=True)
@@ -138,16 +138,18 @@ def judge_urls(pages: DataFrame, given: Sequence[Rule], outcome: Column | None =
     rows are judged alike; an empty table gives an empty table.
     """
     host, path = url_parts(F.col(url))
-    new = {"host", "path", "rule", "verdict", "mean", "lower"}
-    kept = [c for c in pages.columns if c not in new]
-    placed = pages.select(*kept, host.alias("_host"), path.alias("_path"))
-    h, p = F.col("_host"), F.col("_path")
-    placed = placed.withColumns({"rule": fitting_rule(h, p, given, "name"),
-                                 "_ruled": fitting_rule(h, p, given, "verdict")})
-    bad = outcome if outcome is not None else (
-        F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0))
-    known = host_posteriors(placed.select(h.alias("host"), bad.alias("bad")), z)
-    verdict = F.coalesce("_ruled", F.when(F.col("lower") >= threshold, "block").otherwise("allow"))
-    return (placed.join(known.select(F.col("host").alias("_host"), "mean", "lower"), "_host", "left")
-            .select(*kept, h.alias("host"), p.alias("path"), "rule", verdict.alias("verdict"),
-                    "mean", "lower"))
+    kept = others(pages, ("host", "path", "rule", "verdict", "mean", "lower"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
+    bad = outcome.cast("int") if outcome is not None else F.lit(None).cast("int")
+    h, p = F.col("host"), F.col("path")
+    placed = (pages.select(row.alias("row"), host.alias("host"), path.alias("path"), bad.alias("bad"))
+              .withColumns({"rule": fitting_rule(h, p, given, "name"),
+                            "ruled": fitting_rule(h, p, given, "verdict")}))
+    if outcome is None:
+        placed = placed.withColumn("bad", F.when(F.col("ruled") == "block", 1)
+                                   .when(F.col("ruled") == "allow", 0))
+    known = host_posteriors(placed.select("host", "bad"), z).select("host", "mean", "lower")
+    verdict = F.coalesce("ruled", F.when(F.col("lower") >= threshold, "block").otherwise("allow"))
+    return placed.join(known, "host", "left").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept], "host", "path", "rule",
+        verdict.alias("verdict"), "mean", "lower")

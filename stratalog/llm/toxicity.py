@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stratalog.llm.common import bounded_batches
+from stratalog.llm.common import bounded_batches, free, others, whole_row
 from stratalog.llm.shingles import Minima, lower_words, shingle_set
 
 WORD = re.compile(r"[^\W_]+")
@@ -307,11 +307,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
             yield pa.array([_judged(held, t or "") for t in batch.to_pylist()], _TYPE)
 
     new = ("score", "predicted", "passages")
-    kept = [c for c in docs.columns if c not in new]
-    return (docs.select(*kept, scored(F.col(text)).alias("_scored"))
-            .select(*kept, F.col("_scored.score").alias("score"),
-                    (F.col("_scored.score") >= threshold).cast("int").alias("predicted"),
-                    F.col("_scored.passages").alias("passages")))
+    kept = others(docs, new)
+    found = free("_scored", kept)
+    return (docs.select(*kept, scored(F.col(text)).alias(found))
+            .select(*kept, F.col(f"{found}.score").alias("score"),
+                    (F.col(f"{found}.score") >= threshold).cast("int").alias("predicted"),
+                    F.col(f"{found}.passages").alias("passages")))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text"
+               ) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with their columns."""
+    held = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
+    return score(held, model, threshold, "_text").filter("predicted = 0").select("_row.*")
 
 
 def _judged(model: Model, text: str) -> dict:
