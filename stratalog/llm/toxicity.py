@@ -38,6 +38,7 @@ PRIOR = 0.05       # weight of the Dirichlet prior, as a share of the observed c
 OTHER = -0.5       # score of a token without a telling feature
 FOLD = 4           # one sample document in four calibrates
 SIGNIFICANT = 0.05
+NO_EVIDENCE = -10.0  # extreme-value score of a text without any segment, and the least of all
 CACHE_WORDS = 1 << 18
 FLUSH_FEATURES = 1 << 19
 
@@ -111,7 +112,8 @@ class Model:
         best = max((s for _, _, s in found), default=0.0)
         more = sum(self.rate * s - level for _, _, s in found
                    if self.expected(n, s) <= SIGNIFICANT)
-        return (self.rate * best - level) / 10, math.log1p(max(more, 0.0))
+        extreme = max(self.rate * best - level, NO_EVIDENCE) if found else NO_EVIDENCE
+        return extreme / 10, math.log1p(max(more, 0.0))
 
     def probability(self, evidence: tuple[float, float]) -> float:
         a, b, c = self.curve
