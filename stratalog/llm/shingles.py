@@ -38,15 +38,19 @@ def word_hashes(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(known_words.__getitem__, words), np.uint64, len(words))
 
 
-def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, in order; none when there are fewer words."""
+def rolled(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, in order; none when there are fewer words.
+
+    A run is a sum of its word hashes, each times an odd constant of its place, mixed.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = hashes[:n]
+    factors = mix(np.arange(seed, seed + size, dtype=np.uint64) * _ODD) | np.uint64(1)
+    out = hashes[:n] * factors[0]
     for k in range(1, size):
-        out = mix(out * _ODD + hashes[k:k + n])
-    return out
+        out += hashes[k:k + n] * factors[k]
+    return mix(out)
 
 
 def shingle_set(words: Sequence[bytes], size: int) -> np.ndarray:

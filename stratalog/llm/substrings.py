@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,82 +39,97 @@ PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 ENTRIES_PER_BUCKET = 1 << 20
 FLUSH_ENTRIES = 1 << 20
-_PACKED = "bucket int, docs binary, counts binary, keys binary, more binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in
-                                                     ("docs", "counts", "keys", "more"))])
+_PACKED = "place long, docs binary, counts binary, keys binary"
+_PACKED_ARROW = pa.schema([("place", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()),
+                           ("keys", pa.binary())])
 _FOUND = "doc long, keys array<long>"
+_ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions on the cover that have an anchor, and its hash."""
-    found = rolled(hashes, ANCHOR)
-    at = np.flatnonzero(np.isin(np.arange(len(found)) % PERIOD, COVER))
-    return at, found[at]
+class Words:
+    """The words of a batch of texts end to end, with each word's place in its text."""
 
+    def __init__(self, texts: list[str | None]):
+        self.texts = [words_of(t) for t in texts]
+        self.sizes = np.array([len(w) for w in self.texts], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        self.hashes = word_hashes([w for words in self.texts for w in words])
+        at = np.arange(len(self.hashes))
+        self.behind = at - (self.ends - self.sizes)[self.text]  # words before it in its text
+        self.ahead = self.ends[self.text] - at                  # words from it on
 
-def anchor_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """An anchor's bucket and 32 bits more, enough to find candidates."""
-    return (hashes % np.uint64(buckets)) << np.uint64(32) | hashes >> np.uint64(32)
+    def runs(self, size: int, seed: int = 1) -> np.ndarray:
+        """A hash at every word, of it and the next ones; only good where enough are ahead."""
+        found = rolled(self.hashes, size, seed)
+        return np.concatenate([found, np.zeros(len(self.hashes) - len(found), np.uint64)])
 
+    def anchors(self) -> np.ndarray:
+        """Words on the cover where an anchor starts, in texts that have a window."""
+        return np.flatnonzero(_ON_COVER[self.behind % PERIOD] & (self.ahead >= ANCHOR)
+                              & (self.sizes[self.text] >= WINDOW))
 
-def window_keys(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits per window, and its bucket by a second hash of the same words, bits on top."""
-    second = rolled(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
-    return rolled(hashes, WINDOW), (second % np.uint64(buckets)).astype(np.int64)
+    def around(self, anchors: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold one of the anchors within their first words."""
+        near = np.zeros(len(self.hashes), bool)
+        for k in range(PERIOD):
+            near[anchors[self.behind[anchors] >= k] - k] = True
+        return np.flatnonzero(near & (self.ahead >= WINDOW))
 
 
-def around(at: np.ndarray, n_words: int) -> np.ndarray:
-    """Starts of the windows that hold an anchor within the first PERIOD positions."""
-    starts = np.unique((at[:, None] - np.arange(PERIOD)[None, :]).ravel())
-    return starts[(starts >= 0) & (starts <= n_words - WINDOW)]
+def anchor_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket and 32 bits more, enough to find candidates."""
+    return (hashes % np.uint64(buckets)) << np.uint64(32) | hashes >> np.uint64(32)
 
 
 class Entries:
-    """Keys of documents gathered by one task, settled among themselves and packed by bucket.
+    """Keys of documents gathered by one task, settled among themselves and packed.
 
     ``smallest`` False: keys that several documents have are found in all of them.  True: keys
-    are found in all documents but the smallest that has them.
+    are found in all documents but the smallest that has them.  A packed row's place is a
+    bucket of keys still to be settled, or below zero a part of documents with found keys.
     """
 
-    def __init__(self, smallest: bool):
-        self.smallest, self.size = smallest, 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, smallest: bool, parts: int):
+        self.smallest, self.parts, self.size = smallest, parts, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, doc: int, keys: np.ndarray, buckets: np.ndarray) -> None:
-        self.parts.append((np.full(len(keys), doc), keys, buckets))
+    def add(self, docs: np.ndarray, keys: np.ndarray, buckets: np.ndarray) -> None:
+        self.held.append((docs, keys, buckets))
         self.size += len(keys)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        docs, keys, buckets = map(np.concatenate, zip(*self.parts))
-        self.parts, self.size = [], 0
-        first, found = settle(docs, keys, buckets, self.smallest)
-        rows = [(-1, *_packed(docs[found], keys[found], np.uint64))] if found.any() else []
-        docs, keys, buckets = docs[first], keys[first], buckets[first]
-        order = np.lexsort((docs, buckets))
-        docs, keys, buckets = docs[order], keys[order], buckets[order]
-        kind = np.uint64 if self.smallest else np.uint32
-        cut = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else []
-        for a, b in zip(cut, [*cut[1:], len(buckets)]):
-            rows.append((int(buckets[a]), *_packed(docs[a:b], keys[a:b], kind)))
-        for at in range(0, len(rows), 512):
-            columns = zip(*rows[at:at + 512])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip((*columns, [b""] * len(rows[at:at + 512])),
-                                                     _PACKED_ARROW)], schema=_PACKED_ARROW)
-
-
-def _packed(docs: np.ndarray, keys: np.ndarray, kind: type) -> tuple[bytes, bytes, bytes]:
-    """Documents with their number of keys, and the keys; documents are in runs."""
-    order = np.argsort(docs, kind="stable")
-    names, counts = np.unique(docs, return_counts=True)
-    return (names.astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes(),
-            keys[order].astype(kind).tobytes())
+        if self.size:
+            docs, keys, buckets = map(np.concatenate, zip(*self.held))
+            self.held, self.size = [], 0
+            first, found = settle(docs, keys, buckets, self.smallest)
+            kind = np.uint64 if self.smallest else np.uint32
+            rows = [*packed(buckets[first], docs[first], keys[first], kind),
+                    *packed(part_of(docs[found], self.parts), docs[found], keys[found], np.uint64)]
+            for at in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 512]), _PACKED_ARROW)],
+                    schema=_PACKED_ARROW)
+
+
+def part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+    return -1 - (mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def packed(places: np.ndarray, docs: np.ndarray, keys: np.ndarray, kind: type
+           ) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Per place: documents, their numbers of keys, the keys."""
+    order = np.lexsort((docs, places))
+    places, docs, keys = places[order], docs[order], keys[order].astype(kind)
+    cuts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else []
+    for a, b in zip(cuts, [*cuts[1:], len(places)]):
+        names, counts = np.unique(docs[a:b], return_counts=True)
+        yield (int(places[a]), names.astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes(),
+               keys[a:b].tobytes())
 
 
 def settle(docs: np.ndarray, keys: np.ndarray, buckets: np.ndarray, smallest: bool
@@ -123,9 +139,8 @@ def settle(docs: np.ndarray, keys: np.ndarray, buckets: np.ndarray, smallest: bo
     d, k, b = docs[order], keys[order], buckets[order]
     start = np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])] if len(k) else np.zeros(0, bool)
     group = np.cumsum(start) - 1
-    least = d[start][group] if len(k) else d
     if smallest:
-        hit = d > least
+        hit = d > d[start][group] if len(k) else start
     else:
         end = np.r_[start[1:], True] if len(k) else start
         hit = (d[end] > d[start])[group] if len(k) else start
@@ -141,33 +156,38 @@ def _unpacked(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return docs, all_of("keys", kind).astype(np.uint64)
 
 
-def _by_document(docs: np.ndarray, keys: np.ndarray) -> pa.Table:
-    order = np.argsort(docs, kind="stable")
-    names, counts = np.unique(docs, return_counts=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)),
-                                     pa.array(keys[order].view(np.int64)))
-    return pa.table({"doc": pa.array(names.astype(np.int64)), "keys": lists})
-
+def meet(entries: DataFrame, smallest: bool, parts: int) -> DataFrame:
+    """doc, keys: what is found of each document's keys, over all tasks' entries.
 
-def meet(packed: DataFrame, smallest: bool) -> DataFrame:
-    """doc, keys: what is found of each document's keys, over all tasks' entries."""
+    One shuffle brings the entries of a bucket together, one the found keys of a part of the
+    documents; both carry packed rows, so their number follows the tasks and buckets.
+    """
     kind = np.uint64 if smallest else np.uint32
 
     def bucket(key: tuple, rows: pa.Table) -> pa.Table:
+        place = key[0].as_py()
+        if place < 0:
+            return rows.select(_PACKED_ARROW.names)
         docs, keys = _unpacked(rows, kind)
         if not smallest:
-            keys = keys | np.uint64(key[0].as_py()) << np.uint64(32)
+            keys = keys | np.uint64(place) << np.uint64(32)
         _, found = settle(docs, keys, np.zeros(len(docs), np.int64), smallest)
-        return _by_document(docs[found], keys[found])
+        out = list(packed(part_of(docs[found], parts), docs[found], keys[found], np.uint64))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(
+            zip(*out) if out else [[]] * 4, _PACKED_ARROW)], schema=_PACKED_ARROW)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from _by_document(*_unpacked(pa.Table.from_batches([batch]), np.uint64)).to_batches()
+    def part(key: tuple, rows: pa.Table) -> pa.Table:
+        docs, keys = _unpacked(rows, np.uint64)
+        order = np.lexsort((keys, docs))
+        docs, keys = docs[order], keys[order]
+        new = np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]
+        names, counts = np.unique(docs[new], return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)),
+                                         pa.array(keys[new].view(np.int64)))
+        return pa.table({"doc": pa.array(names), "keys": lists})
 
-    across = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(bucket, _FOUND)
-    return (across.unionAll(packed.filter("bucket < 0").mapInArrow(own, _FOUND))
-            .groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")))
+    return (entries.groupBy("place").applyInArrow(bucket, _PACKED)
+            .groupBy("place").applyInArrow(part, _FOUND))
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -190,35 +210,35 @@ def _buckets(words: int, share: float, least: int) -> int:
 
 def _anchor_entries(reps: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = Entries(smallest=False)
+        entries = Entries(False, buckets)
         for batch in batches:
-            for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                w = words_of(text)
-                if len(w) >= WINDOW:
-                    keys = np.unique(anchor_keys(anchors(word_hashes(w))[1], buckets))
-                    entries.add(doc, keys, (keys >> np.uint64(32)).astype(np.int64))
-                    if entries.size >= FLUSH_ENTRIES:
-                        yield from entries.flush()
+            words = Words(batch.column(1).to_pylist())
+            at = words.anchors()
+            keys = anchor_keys(words.runs(ANCHOR)[at], buckets)
+            docs = batch.column(0).to_numpy(zero_copy_only=False)[words.text[at]]
+            entries.add(docs, keys, (keys >> np.uint64(32)).astype(np.int64))
+            if entries.size >= FLUSH_ENTRIES:
+                yield from entries.flush()
         yield from entries.flush()
     return reps.select("doc", "text").mapInArrow(run, _PACKED)
 
 
 def _window_entries(flagged: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
+    """Windows around shared anchors: 64 bits each, and a bucket by a second hash on top."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = Entries(smallest=True)
+        entries = Entries(True, buckets)
         for batch in batches:
-            lists = batch.column(2)
-            for i, (doc, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2)))):
-                hashes = word_hashes(words_of(text))
-                at, found = anchors(hashes)
-                shared = lists[i].values.to_numpy().view(np.uint64)
-                starts = around(at[np.isin(anchor_keys(found, anchor_buckets), shared)], len(hashes))
-                if len(starts):
-                    keys, place = window_keys(hashes, buckets)
-                    keys, first = np.unique(keys[starts], return_index=True)
-                    entries.add(doc, keys, place[starts][first])
-                if entries.size >= FLUSH_ENTRIES:
-                    yield from entries.flush()
+            words = Words(batch.column(1).to_pylist())
+            at = words.anchors()
+            # Who has a shared anchor shares it, so one set serves the whole batch.
+            shared = np.unique(batch.column(2).flatten().to_numpy()).view(np.uint64)
+            keys = anchor_keys(words.runs(ANCHOR)[at], anchor_buckets)
+            starts = words.around(at[np.isin(keys, shared)])
+            place = words.runs(WINDOW, seed=1000)[starts] % np.uint64(buckets)
+            docs = batch.column(0).to_numpy(zero_copy_only=False)[words.text[starts]]
+            entries.add(docs, words.runs(WINDOW)[starts], place.astype(np.int64))
+            if entries.size >= FLUSH_ENTRIES:
+                yield from entries.flush()
         yield from entries.flush()
     return flagged.select("doc", "text", "keys").mapInArrow(run, _PACKED)
 
@@ -229,17 +249,24 @@ KEPT = "n_words long, n_removed long, digest binary, kept_digest binary, kept st
 def _remove(keep_text: bool):
     @F.arrow_udf(KEPT)
     def removed(text: pa.Array, keys: pa.Array) -> pa.Array:
+        words = Words(text.to_pylist())
+        # A window is removed from some of its documents: pairs of text and key are compared.
+        gone = keys.flatten().to_numpy().view(np.uint64)
+        known, number = np.unique(gone, return_inverse=True)
+        of_text = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+        found = words.runs(WINDOW)
+        at = np.flatnonzero(np.isin(found, known) & (words.ahead >= WINDOW))
+        pairs = words.text[at] * len(known) + np.searchsorted(known, found[at])
+        at = at[np.isin(pairs, of_text * len(known) + number)]
+        cover = np.zeros(len(found) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + WINDOW, -1)
+        stays = np.cumsum(cover)[:-1] == 0
         out = [[], [], [], [], []]
-        for i, t in enumerate(text.to_pylist()):
-            w = words_of(t)
-            gone = np.isin(rolled(word_hashes(w), WINDOW), keys[i].values.to_numpy().view(np.uint64))
-            cover = np.zeros(len(w) + 1, np.int64)
-            starts = np.flatnonzero(gone)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + WINDOW, -1)
-            covered = np.cumsum(cover)[:-1] > 0
-            rest = b" ".join(x for x, c in zip(w, covered.tolist()) if not c)
-            for column, value in zip(out, (len(w), int(covered.sum()),
+        for w, end in zip(words.texts, words.ends):
+            stay = stays[end - len(w):end]
+            rest = b" ".join(compress(w, stay.tolist()))
+            for column, value in zip(out, (len(w), len(w) - int(stay.sum()),
                                            hashlib.sha256(b" ".join(w)).digest(),
                                            hashlib.sha256(rest).digest(),
                                            rest.decode() if keep_text else None)):
@@ -279,10 +306,10 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     words, least = prints.agg(F.sum("n_words")).first()[0] or 0, spread(docs)
     anchor_buckets = _buckets(words, len(COVER) / PERIOD, least)
-    shared = written(meet(_anchor_entries(reps, anchor_buckets), False), "anchors")
+    shared = written(meet(_anchor_entries(reps, anchor_buckets), False, anchor_buckets), "anchors")
     flagged = reps.filter(screen(shared, "doc")(F.col("doc"))).join(shared, "doc")
     buckets = _buckets(words, 0.5, least)
-    removed = written(meet(_window_entries(flagged, anchor_buckets, buckets), True), "windows")
+    removed = written(meet(_window_entries(flagged, anchor_buckets, buckets), True, buckets), "windows")
 
     hit = reps.filter(screen(removed, "doc")(F.col("doc"))).join(removed, "doc")
     cut = (hit.select("doc", _remove(keep_text)("text", "keys").alias("_r"))
