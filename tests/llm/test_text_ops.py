@@ -156,7 +156,7 @@ def test_spans_are_added_and_base_ones_stay(spark):
     for i in range(3, 300):
         digits = "".join(str(rng.randrange(10)) for _ in range(7))
         rows.append((i, f"call phone +1 (212) {digits[:3]}-{digits[3:]} or mail a{i}@host.example.com "
-                        f"at 10.{i % 256}.3.4 now"))
+                        f"at 10.{i % 256}.3.4 now {'card ' if i % 2 else 'then '}5500005555555559 too"))
     cut = "phone +1 (415) 555-2671 4111111111111111"
     rows += [(400, cut), (401, "version 1.2.3.4.5.6.7 order 123-456-7890x")]
     found = {r.doc_id: r for r in pii.find_personal(clashing(frame(spark, rows))).select(
