@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalog.session import shared_folder
@@ -60,45 +58,49 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts: few rows and few bytes each, so that long texts need no memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-# A screen of row ids is one bitmap of this many bits, 8 MB, whatever the table's size.
+# A screen is one bitmap of this many bits, in at most 2^20 words, whatever the table's size.
 SCREEN_BITS = 26
 
 
-def screen(ids: DataFrame, column: str = "doc_id", bits: int = SCREEN_BITS) -> Callable[[Column], Column]:
-    """A test "may be one of these ids" without a shuffle of the tested side.
+class Screen:
+    """A test "may this be one of these ids" without a shuffle of the tested side.
 
-    The ids are hashed into a bitmap of fixed size which is broadcast; ids of the set always
-    pass, others pass by chance, so an exact join must follow.  A set too large for the bitmap
-    only makes more rows pass.  Null is an id like any other.
+    The ids are hashed into a bitmap of fixed size, kept as a table of 64-bit words that is
+    broadcast; ids of the set always pass, others pass by chance, so an exact join must
+    follow.  A set too large for the bitmap only makes more rows pass.  Null is an id like any
+    other.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1
-    parts = (ids.select(F.bitmap_bucket_number(place).alias("part"),
-                        F.bitmap_bit_position(place).alias("bit"))
-             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect())
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    for row in parts:
-        chunk = np.frombuffer(row["bitmap"], np.uint8)
-        at = (row["part"] - 1) * len(chunk)
-        whole[at:at + len(chunk)] = chunk[:len(whole) - at]
-    shared = ids.sparkSession.sparkContext.broadcast(whole)
 
-    @F.arrow_udf("boolean")
-    def passes(places: pa.Array) -> pa.Array:
-        at = places.to_numpy(zero_copy_only=False)
-        return pa.array(shared.value[at >> 3] >> (at & 7) & 1 == 1)
+    def __init__(self, ids: DataFrame, column: str = "doc_id", bits: int = SCREEN_BITS):
+        self.bits = bits
+        word, bit = self._place(F.col(column))
+        self.words = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "bit")).alias("set"))
+
+    def _place(self, c: Column) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(c), F.lit(1 << self.bits))
+        return F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
 
-    return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(1 << bits)))
+    def split(self, df: DataFrame, c: Column, inside: bool = True) -> DataFrame:
+        """The rows whose id passes, or those whose id does not."""
+        word, bit = self._place(c)
+        w, s = free("_word", df.columns), free("_set", df.columns)
+        held = F.broadcast(self.words.select(F.col("word").alias(w), F.col("set").alias(s)))
+        found = F.call_function("shiftright", F.coalesce(s, F.lit(0).cast("long")), bit)
+        kept = [F.col(f"`{n}`") for n in df.columns]
+        return df.join(held, word == F.col(w), "left").filter(
+            found.bitwiseAND(1) == int(inside)).select(*kept)
 
 
 def pick(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id is among ``ids``; only rows that pass the screen are shuffled."""
     ids = ids.select(column).distinct()
-    return (docs.filter(screen(ids, column)(F.col(column))).alias("_d")
+    return (Screen(ids, column).split(docs, F.col(column)).alias("_d")
             .join(ids.alias("_i"), F.col(f"_d.{column}").eqNullSafe(F.col(f"_i.{column}")),
                   "left_semi"))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts: few rows and few bytes each, so that long texts need no memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

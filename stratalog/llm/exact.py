@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stratalog.llm import fuse
-from stratalog.llm.common import bounded_batches, pick, screen, spread, whole_row, written
+from stratalog.llm.common import Screen, bounded_batches, pick, spread, whole_row, written
 
 BLANKS = b" \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 KEYS_PER_FILTER = 1 << 18
@@ -211,9 +211,8 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bat
     loose = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"),
                                         F.min("kept").alias("all_kept"))
     unsure = written(loose.filter("rows > 1 OR NOT all_kept").select("doc_id"), "unsure")
-    maybe = screen(unsure)
-    key = F.col(doc_id).cast("long")
-    asked = docs.filter(maybe(key)).select(
+    maybe, key = Screen(unsure), F.col(doc_id).cast("long")
+    asked = maybe.split(docs, key).select(
         whole_row(docs).alias("row"), key.alias("_id"),
         F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_points"),
         sha256(F.col(text)).alias("_digest"))
@@ -224,4 +223,4 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bat
                           & (F.col("_points") == F.col("_p"))
                           & (F.col("_digest") == F.col("_g")), "left_semi")
                .withColumn("_nth", F.row_number().over(same)).filter("_nth = 1"))
-    return docs.filter(~maybe(key)).unionAll(settled.select("row.*"))
+    return maybe.split(docs, key, False).unionAll(settled.select("row.*"))

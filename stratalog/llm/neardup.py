@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stratalog.llm.common import bounded_batches, pick, screen, spread, whole_row, written
+from stratalog.llm.common import Screen, bounded_batches, pick, spread, whole_row, written
 from stratalog.llm.components import connected
 from stratalog.llm.fuse import mix
 from stratalog.llm.shingles import Minima, lower_words, shingle_set
@@ -93,8 +93,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"))
                      .filter("n > 1").select("key", "v"), "buckets")
-    maybe = screen(shared, "key")
-    return (rows.filter(maybe(F.col("key"))).join(shared, "key").filter("node <> v")
+    return (Screen(shared, "key").split(rows, F.col("key")).join(shared, "key").filter("node <> v")
             .select(F.col("node").alias("u"), "v").distinct())
 
 
@@ -272,8 +271,8 @@ def drop_near_copies(docs: DataFrame, plan: Plan = Plan(), text: str = "text",
     found = written(find_groups(docs, plan, text, doc_id), "near")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
     unsure = written(ids.filter("rows > 1 OR NOT kept"), "unsure")
-    maybe, key = screen(unsure), F.col(doc_id).cast("long")
-    asked = docs.filter(maybe(key)).select(whole_row(docs).alias("row"), key.alias("_id"),
+    maybe, key = Screen(unsure), F.col(doc_id).cast("long")
+    asked = maybe.split(docs, key).select(whole_row(docs).alias("row"), key.alias("_id"),
                                            F.col(text).alias("_text"))
     gone = unsure.filter("NOT kept").select(F.col("doc_id").alias("_g"))
     twice = unsure.filter("kept").select(F.col("doc_id").alias("_r"))
@@ -282,5 +281,5 @@ def drop_near_copies(docs: DataFrame, plan: Plan = Plan(), text: str = "text",
     several = (stay.join(twice, F.col("_id").eqNullSafe(F.col("_r")), "left_semi")
                .withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
                .filter("_nth = 1"))
-    return (docs.filter(~maybe(key)).unionAll(single.select("row.*"))
+    return (maybe.split(docs, key, False).unionAll(single.select("row.*"))
             .unionAll(several.select("row.*")))

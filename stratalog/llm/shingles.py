@@ -10,7 +10,7 @@ import xxhash
 from stratalog.llm.common import LOWER_BYTES
 from stratalog.llm.fuse import mix
 
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalog.llm.common import bounded_batches, screen, spread, written
+from stratalog.llm.common import Screen, bounded_batches, spread, written
 from stratalog.llm.fuse import mix
 from stratalog.llm.shingles import rolled, word_hashes
 
@@ -299,19 +299,19 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                      .select("doc", "digest"), "copies")
 
     # Representatives: rows that cannot be copies, and of the rest those that are not.
-    maybe = screen(copies.select("doc").distinct(), "doc")
-    checked = _read(rows.filter(maybe(F.col("doc")))).join(
+    maybe, doc = Screen(copies, "doc"), F.col("doc")
+    checked = _read(maybe.split(rows, doc)).join(
         copies.distinct(), ["doc", "digest"], "left_anti")
-    reps = rows.filter(~maybe(F.col("doc"))).unionAll(checked.select("doc", "text"))
+    reps = maybe.split(rows, doc, False).unionAll(checked.select("doc", "text"))
 
     words, least = prints.agg(F.sum("n_words")).first()[0] or 0, spread(docs)
     anchor_buckets = _buckets(words, len(COVER) / PERIOD, least)
     shared = written(meet(_anchor_entries(reps, anchor_buckets), False, anchor_buckets), "anchors")
-    flagged = reps.filter(screen(shared, "doc")(F.col("doc"))).join(shared, "doc")
+    flagged = Screen(shared, "doc").split(reps, doc).join(shared, "doc")
     buckets = _buckets(words, 0.5, least)
     removed = written(meet(_window_entries(flagged, anchor_buckets, buckets), True, buckets), "windows")
 
-    hit = reps.filter(screen(removed, "doc")(F.col("doc"))).join(removed, "doc")
+    hit = Screen(removed, "doc").split(reps, doc).join(removed, "doc")
     cut = (hit.select("doc", _remove(keep_text)("text", "keys").alias("_r"))
            .select("doc", "_r.digest", "_r.n_removed", "_r.kept_digest", "_r.kept")
            .dropDuplicates(["doc", "digest"]))

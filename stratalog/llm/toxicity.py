@@ -39,8 +39,8 @@ OTHER = -0.5       # score of a token without a telling feature
 FOLD = 4           # one sample document in four calibrates
 SIGNIFICANT = 0.05
 NO_EVIDENCE = -10.0  # extreme-value score of a text without any segment, and the least of all
-CACHE_WORDS = 1 << 18
-FLUSH_FEATURES = 1 << 19
+CACHE_WORDS = 1 << 16
+FLUSH_FEATURES = 1 << 18
 
 
 def features(word: str) -> list[str]:
