@@ -102,5 +102,5 @@ def pick(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of texts: few rows and few bytes each, so that long texts need no memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
@@ -108,12 +107,6 @@ def _spans(text: str, hit: set[int]) -> list[dict]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _built(windows: tuple) -> Automaton:
-    """One automaton per worker, however many tasks the worker runs."""
-    return Automaton(windows)
-
-
 def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id",
                  item_text: str = "text", text: str = "text", size: int = WINDOW,
                  windows_per_automaton: int = 1_000_000) -> DataFrame:
@@ -137,7 +130,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
     @F.arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if len(shards) == 1:
-            automaton = _built(shards[0].value)
+            automaton = Automaton(shards[0].value)
             for batch in batches:
                 out = []
                 for t in batch.to_pylist():
