@@ -159,9 +159,13 @@ def prior_children(parents: DataFrame, children: DataFrame, level: str, k: int,
 
 
 def chunk_budget(context_window: int, output_tokens: int, fixed_tokens: int,
-                 margin: float = 0.05, floor: int = 500) -> int:
-    """Tokens left for the blocks of one chunk."""
-    return max(context_window - output_tokens - fixed_tokens - int(context_window * margin), floor)
+                 margin: float = 0.05) -> int:
+    """Tokens left for the blocks of one chunk; an error if the window leaves none."""
+    left = context_window - output_tokens - fixed_tokens - int(context_window * margin)
+    if left <= 0:
+        raise ValueError(f"a window of {context_window} tokens has no room for blocks: "
+                         f"{output_tokens} for the output and {fixed_tokens} fixed ones")
+    return left
 
 
 def pack_chunks(blocks: DataFrame, group: Sequence[str], order: paging.Order, budget: int,

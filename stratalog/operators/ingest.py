@@ -117,14 +117,14 @@ def prepare(staged: DataFrame) -> DataFrame:
 def new_entries(staged: DataFrame, existing: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Staged entries whose id is new, each once.
 
-    Copies collapse before the shuffle, so a text repeated in a third of the rows costs
-    one row per task; the anti join then runs on uniformly hashed ids.
+    Known ids leave first, so a re-ingest sorts nothing.  Copies of new ones then collapse
+    before the shuffle: a text repeated in a third of the rows costs one row per task.
     """
     keys = list(keys)
     rest = [c for c in staged.columns if c not in (*keys, "id")]
-    once = (staged.groupBy(*keys, "id").agg(F.min(F.struct(*rest)).alias("_row"))
+    unknown = staged.join(existing.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+    return (unknown.groupBy(*keys, "id").agg(F.min(F.struct(*rest)).alias("_row"))
             .select(*keys, "id", "_row.*").select(*staged.columns))
-    return once.join(existing.select(*keys, "id"), [*keys, "id"], "left_anti")
 
 
 def assemble(staged: DataFrame, existing: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -142,7 +142,7 @@ def ingest_stats(staged: DataFrame, existing: DataFrame, keys: Sequence[str] = (
     keys = list(keys)
     rows = prepare(staged).select(*keys, "date", "id")
     ids = rows.groupBy(*keys, "date", "id").agg(F.count(F.lit(1)).alias("copies"))
-    known = existing.select(*keys, "id", F.lit(1).alias("_known"))
+    known = existing.select(*keys, "id").distinct().withColumn("_known", F.lit(1))
     marked = ids.join(known, [*keys, "id"], "left")
     per_date = marked.groupBy(*keys, "date").agg(
         F.sum("copies").alias("rows"),
@@ -294,7 +294,7 @@ def forward_fill_dates(lines: DataFrame, file: Sequence[str] = ("file",), line:
             .select(*file, "first_line",
                     F.when(dated, F.concat("_date", F.lit("T00:00:00"))).alias("datetime_parsed"),
                     F.when(dated, X.strip("_first"))
-                    .otherwise(F.lit("Prior to first entry")).alias("datetime_raw"), "user"))
+                    .otherwise(F.lit("before any date")).alias("datetime_raw"), "user"))
 
 
 def resolve_undated(entries: DataFrame, file: Sequence[str] = ("file",)) -> DataFrame:
@@ -307,7 +307,7 @@ def resolve_undated(entries: DataFrame, file: Sequence[str] = ("file",)) -> Data
                 .agg(F.min(F.substring("datetime_parsed", 1, 10)).alias("_first")))
     undated = F.col("datetime_parsed").isNull()
     before = P.date_text(F.date_sub(P.as_date("_first"), 1))
-    note = F.concat(F.lit("\n\n[Note: undated entry, placed before "), F.col("_first"), F.lit("]"))
+    note = F.concat(F.lit("\n\n[without a date; filed before "), F.col("_first"), F.lit("]"))
     return (entries.join(earliest, file)
             .withColumn("user", F.when(undated & F.col("_first").isNotNull(),
                                        F.concat("user", note)).otherwise(F.col("user")))

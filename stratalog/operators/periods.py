@@ -120,9 +120,8 @@ def nearest_periods(requests: DataFrame, available: DataFrame, keys: Sequence[st
 
 
 def _hint(subject: Column, noun: str, nothing: str) -> Column:
-    near = F.concat(F.lit(f" Closest available {noun} are: PREVIOUS=("),
-                    F.coalesce("previous", F.lit("None")), F.lit("), NEXT=("),
-                    F.coalesce("next", F.lit("None")), F.lit(")."))
+    near = F.concat(F.lit(f" Nearest {noun}: before "), F.coalesce("previous", F.lit("none")),
+                    F.lit(", after "), F.coalesce("next", F.lit("none")))
     some = F.col("previous").isNotNull() | F.col("next").isNotNull()
     return F.concat(subject, F.when(some, near).otherwise(F.lit(nothing)))
 
@@ -135,13 +134,13 @@ def lookup_periods(requests: DataFrame, units: DataFrame, level: str,
     body = [c for c in at.columns if c not in (*keys, "period_start")]
     found = at.withColumnRenamed("period_start", period).withColumn("_hit", F.lit(True))
     near = nearest_periods(requests, found.select(*keys, period), keys, period)
-    subject = F.concat(F.lit(f"No summary found at {level} level for '"), F.col(period), F.lit("'."))
+    subject = F.concat(F.lit(f"There is no {level} "), F.col(period), F.lit("."))
     return (requests.join(found, [*keys, period], "left").join(near, [*keys, period])
             .select(*keys, F.col(period).alias("request"),
                     F.when(F.col("_hit"), "success").otherwise("not_found").alias("status"),
                     *[c for c in body if c != "level"],
                     F.when(F.col("_hit").isNull(), _hint(
-                        subject, "periods", " No summaries exist at this level.")).alias("hint")))
+                        subject, "periods", " Nothing is stored there yet.")).alias("hint")))
 
 
 def lookup_raw(requests: DataFrame, entries: DataFrame, keys: Sequence[str] = (),
@@ -153,14 +152,14 @@ def lookup_raw(requests: DataFrame, entries: DataFrame, keys: Sequence[str] = ()
                             page_chars=page_chars).withColumnRenamed("date", period)
     dates = list_raw_dates(entries, keys).withColumnRenamed("date", period)
     near = nearest_periods(requests, dates, keys, period)
-    subject = F.concat(F.lit("No raw entry chat log found for '"), F.col(period), F.lit("'."))
+    subject = F.concat(F.lit("There are no entries of "), F.col(period), F.lit("."))
     return (requests.join(days, [*keys, period], "left").join(near, [*keys, period])
             .select(*keys, F.col(period).alias("request"),
                     F.when(F.col("page").isNotNull(), "success").otherwise("not_found")
                     .alias("status"),
                     "page", "n", "entries",
                     F.when(F.col("page").isNull(), _hint(
-                        subject, "dates", " No raw entries exist.")).alias("hint")))
+                        subject, "dates", " Nothing is stored there yet.")).alias("hint")))
 
 
 # --- sequences ---------------------------------------------------------------

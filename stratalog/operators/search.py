@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalog.functions import text as X
 from stratalog.operators import ingest, periods
@@ -39,6 +39,12 @@ def tokens(content: str | Column = "content") -> Column:
     return F.regexp_extract_all(X.fold(content), F.lit(TOKEN), F.lit(0))
 
 
+def totals(lengths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """docs, avg_len: what a ranking needs to know of all rows; one row per stream."""
+    return lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"),
+                                      F.avg("doc_len").alias("avg_len"))
+
+
 def document_lengths(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Length in tokens of every searchable row, also of rows without any token."""
     return corpus.select(*keys, *DOC, F.size(tokens()).cast("long").alias("doc_len"))
@@ -47,18 +53,22 @@ def document_lengths(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def build_index(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Postings: source_type, source_id, date, doc_len, token, tf.
 
-    Rows are spread by document before tokens are exploded, and the count per document
-    and token keeps that partitioning: the text is shuffled once and postings never.
+    A text sits in one row, so its tokens are counted inside the row: runs of the sorted
+    tokens.  Neither texts nor postings are shuffled.
     """
     doc = [*keys, *DOC]
-    cut = (corpus.repartition("source_id")
-           .select(*doc, tokens().alias("_t")))
-    # The length is taken before the explode, so that the token array is not copied into
-    # every row, and the outer form keeps Spark from tokenizing once more for a filter.
-    sized = cut.select(*doc, F.size("_t").cast("long").alias("doc_len"), "_t")
-    exploded = sized.select(*doc, "doc_len", F.explode_outer("_t").alias("token"))
-    return (exploded.filter(F.col("token").isNotNull())
-            .groupBy(*doc, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf")))
+    cut = corpus.select(*doc, F.array_sort(tokens()).alias("_t"))
+    # A run starts where a token differs from the one before it, and ends at the next start.
+    n = F.size("_t")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (
+        F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
+    sized = cut.filter(n > 0).select(*doc, n.cast("long").alias("doc_len"), "_t",
+                                     starts.alias("_s"))
+    runs = F.transform("_s", lambda i, k: F.struct(
+        F.element_at("_t", i).alias("token"),
+        (F.coalesce(F.get("_s", k + 1), F.size("_t") + 1) - i).cast("long").alias("tf")))
+    return (sized.select(*doc, "doc_len", F.explode(runs).alias("_p"))
+            .select(*doc, "doc_len", "_p.token", "_p.tf"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -68,50 +78,66 @@ def query_terms(query: str) -> list[str]:
 
 def search(query: str, postings: DataFrame, lengths: DataFrame, scope: str = "all",
            date_from: str | None = None, date_to: str | None = None,
-           limit: int | None = 50) -> DataFrame:
-    """Rows with a token that starts with a query word, best first.
+           limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with a token that starts with a query word; with a limit the best ones in order.
+
+    ``lengths`` has a row per document, or the ``totals`` of a stored index.  A stream ranks
+    against its own rows only.  Postings with a ``letter`` column are read by letter.
 
     Each word is one phrase: its frequency in a row sums the matching tokens, and its
     document frequency is taken over the whole index, as is the average length.  The
     word test is a literal filter on the postings, so it reaches the scan.
     """
-    types = check_scope(scope)
-    words = query_terms(query)
-    out = "source_type STRING, source_id STRING, date STRING, rank DOUBLE"
+    types, words = check_scope(scope), query_terms(query)
+    keys, doc = list(keys), [*keys, *DOC]
     if not words:
-        return postings.sparkSession.createDataFrame([], out)
+        return postings.select(*doc, F.lit(0.0).alias("rank")).limit(0)
+    if "letter" in postings.columns:
+        postings = postings.filter(F.col("letter").isin(sorted({w[:1] for w in words})))
     starts = F.lit(False)
     for w in words:
         starts = starts | F.col("token").startswith(w)
     matched = F.filter(F.array(*[F.lit(w) for w in words]),
                        lambda w: F.startswith(F.col("token"), w))
     hits = postings.filter(starts).withColumn("_w", F.explode(matched))
-    per_doc = hits.groupBy(*DOC, "doc_len", "_w").agg(F.sum("tf").alias("tf"))
-    # One row per query word, so this side is bounded by the query's length.
+    per_doc = hits.groupBy(*doc, "doc_len", "_w").agg(F.sum("tf").alias("tf"))
     idf = F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("avg_len"))
-    df = (per_doc.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-          .withColumn("_docs", stats.select("docs").scalar())
-          .withColumn("_avg", stats.select("avg_len").scalar())
-          .select("_w", "_avg", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("_idf")))
+    stats = lengths if "avg_len" in lengths.columns else totals(lengths, keys)
+    stats = stats.select(*keys, F.col("docs").alias("_docs"), F.col("avg_len").alias("_avg"))
+    df = per_doc.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_df"))
+    if keys:
+        df = df.join(stats, keys)
+    else:
+        df = df.withColumns({c: stats.select(c).scalar() for c in ("_docs", "_avg")})
+    df = df.select(*keys, "_w", "_avg",
+                   F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("_idf"))
+    # Without keys this is one row per query word; with keys Spark checks the size.
+    df = df if keys else F.broadcast(df)
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("_avg"))
     score = F.col("_idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    scored = (per_doc.join(F.broadcast(df), "_w").filter(F.col("source_type").isin(*types)))
+    scored = per_doc.join(df, [*keys, "_w"]).filter(F.col("source_type").isin(*types))
     scored = ingest.filter_dates(scored, date_from, date_to)
-    ranked = scored.groupBy(*DOC).agg((-F.sum(score)).alias("rank"))
-    return top_hits(ranked, limit)
+    ranked = scored.groupBy(*doc).agg((-F.sum(score)).alias("rank"))
+    return top_hits(ranked, limit, keys)
 
 
-def top_hits(ranked: DataFrame, limit: int | None) -> DataFrame:
+def top_hits(ranked: DataFrame, limit: int | None, keys: Sequence[str] = ()) -> DataFrame:
+    """The best ``limit`` hits, of each stream if there are several."""
     if limit is None:
         return ranked
-    return ranked.orderBy("rank", "source_id").limit(limit)
+    if not keys:
+        return ranked.orderBy("rank", "source_id").limit(limit)
+    # Spark keeps the first rows of each stream in every task before it shuffles them.
+    w = Window.partitionBy(*keys).orderBy("rank", "source_id")
+    return (ranked.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= limit)
+            .drop("_nth").orderBy(*keys, "rank", "source_id"))
 
 
-def snippets(hits: DataFrame, corpus: DataFrame, query: str, n: int = 150) -> DataFrame:
+def snippets(hits: DataFrame, corpus: DataFrame, query: str, n: int = 150,
+             keys: Sequence[str] = ()) -> DataFrame:
     """Add ``context``: the text around the first token that starts with a query word."""
-    rows = hits.join(corpus.select("source_type", "source_id", "content"),
-                     ["source_type", "source_id"])
+    on = [*keys, "source_type", "source_id"]
+    rows = hits.join(corpus.select(*on, "content"), on)
     body, folded = F.col("content"), X.fold("content")
     starts = "|".join(_literal(w) for w in query_terms(query))
     pattern = rf"(?s)^(.*?)(?<![\p{{L}}\p{{N}}])((?:{starts})[\p{{L}}\p{{N}}]*)"
@@ -130,15 +156,15 @@ def _literal(word: str) -> str:
 
 def search_user(query: str, entries: DataFrame, context_chars: int = 150,
                 date_from: str | None = None, date_to: str | None = None,
-                limit: int | None = 50) -> DataFrame:
-    """The user's own entries that contain the query, oldest first, with a snippet."""
+                limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The user's own entries that contain the query, with a snippet; a limit takes the oldest."""
     if not query.split():
-        return entries.sparkSession.createDataFrame(
-            [], "id STRING, date STRING, matched_word STRING, context STRING")
+        entries = entries.limit(0)
     rows = ingest.filter_dates(entries.filter(F.col("role") == "user"), date_from, date_to)
     hits = rows.filter(F.contains(F.lower("text"), F.lit(query.lower())))
     at = F.locate(query.lower(), F.lower("text"))
-    out = hits.select("id", "date", F.substring("text", at, F.lit(len(query))).alias("matched_word"),
+    out = hits.select(*keys, "id", "date",
+                      F.substring("text", at, F.lit(len(query))).alias("matched_word"),
                       X.kwic("text", query, context_chars).alias("context"))
     return out if limit is None else out.orderBy("date", "id").limit(limit)
 
@@ -150,7 +176,8 @@ def search_totals(hits: DataFrame, limit: int) -> DataFrame:
                     (n > limit).alias("truncated"))
 
 
-def search_sentences(query: str, entries: DataFrame, radius: int = 1) -> DataFrame:
+def search_sentences(query: str, entries: DataFrame, radius: int = 1, keys: Sequence[str] = ()
+                     ) -> DataFrame:
     """Every sentence of the user's entries that contains the query, with its neighbours.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space.  Neighbours sit in the same
@@ -158,7 +185,8 @@ def search_sentences(query: str, entries: DataFrame, radius: int = 1) -> DataFra
     """
     rows = entries.filter((F.col("role") == "user")
                           & F.contains(F.lower("text"), F.lit(query.lower())))
-    cut = rows.select("id", "date", F.split("text", r"(?<=[.!?])\s+").alias("_s"))
+    keys = list(keys)
+    cut = rows.select(*keys, "id", "date", F.split("text", r"(?<=[.!?])\s+").alias("_s"))
     lead = F.lit(radius)
 
     def around(one: Column, i: Column) -> Column:
@@ -169,21 +197,22 @@ def search_sentences(query: str, entries: DataFrame, radius: int = 1) -> DataFra
             F.array_join(F.slice("_s", first + 1, size), " ").alias("context")))
 
     hits = F.filter(F.transform("_s", around), lambda h: h.isNotNull())
-    return (cut.select("id", "date", hits.alias("_hits"))
-            .select("id", "date", F.explode_outer("_hits").alias("_h"))
-            .filter(F.col("_h").isNotNull()).select("id", "date", "_h.*"))
+    return (cut.select(*keys, "id", "date", hits.alias("_hits"))
+            .select(*keys, "id", "date", F.explode_outer("_hits").alias("_h"))
+            .filter(F.col("_h").isNotNull()).select(*keys, "id", "date", "_h.*"))
 
 
-def search_events(query: str, units: DataFrame, level: str = "month") -> DataFrame:
+def search_events(query: str, units: DataFrame, level: str = "month", keys: Sequence[str] = ()
+                  ) -> DataFrame:
     """Periods whose joined key events contain the query, in any case."""
     return (periods.filter_level(units, level)
             .filter(F.contains(F.lower(F.array_join("key_events", " ")), F.lit(query.lower())))
-            .select("period_start", "key_events"))
+            .select(*keys, "period_start", "key_events"))
 
 
-def scan_threads(units: DataFrame, level: str = "month") -> DataFrame:
+def scan_threads(units: DataFrame, level: str = "month", keys: Sequence[str] = ()) -> DataFrame:
     """All narrative threads of a level with the period they were found in."""
     from stratalog.functions import replies
     return (periods.filter_level(units, level)
             .withColumn("_t", F.explode(replies.parse_threads("narrative_threads")))
-            .select("period_start", "_t.*"))
+            .select(*keys, "period_start", "_t.*"))

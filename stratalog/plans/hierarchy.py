@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalog.functions import periods as P, replies as R, text as X
 from stratalog.operators import ingest, periods
 from stratalog.plans import models, prompts
-from stratalog.schema import LEVELS, check_level
+from stratalog.schema import CHILD_LEVEL, LEVELS, check_level
 from stratalog.session import cut_lineage
 
 UNIT = ("level", "period_start", "period_end", "source_units", "source_entry_count")
@@ -110,8 +110,9 @@ def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, s
     """A ``describe`` for ``run_hierarchy``: build prompts, call the model, parse sections.
 
     Templates are looked up as ``<level>_historical``, then ``<level>_isolated``.  A day
-    whose own text needs several prompt pages gets one call per page; its summaries are
-    joined in page order and its other fields come from the first page.
+    whose own text needs several prompt pages gets one call per page, and the fields of all
+    pages are merged (``merge_pages``).  Above days the summaries two levels down are offered
+    as {grandchild_items}, for weeks the days' own entries.
     """
     keys = list(keys)
 
@@ -129,31 +130,68 @@ def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, s
                 pending.select(*keys, F.col("period_start").alias("date")), keys
             ).withColumnRenamed("date", "period_start")
         else:
-            asked = prompts.level_prompts(store, level, template(level), system, n,
-                                          context_window, output_budget, parents=pending,
-                                          keys=keys).withColumn("page", F.lit(0))
+            asked = prompts.level_prompts(
+                store, level, template(level), system, n, context_window, output_budget,
+                _grandchildren(level, store, entries, template(level), keys), pending, keys
+            ).withColumn("page", F.lit(0))
         # The reply is stored before it is parsed, so no call is repeated by a retry later on.
         replied = cut_lineage(models.apply_model(
             asked.select(*on, "page", "prompt"), fn, system, "prompt", concurrency).drop("prompt"))
         parsed = R.parse_replies(replied.withColumn("_clean", X.strip_thinking("reply")),
                                  "_clean", "_s")
         per_unit = parsed.groupBy(*on).agg(
-            F.min_by("_s", "page").alias("_s"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                "page", F.col("_s.summary").alias("_t")))), lambda r: r["_t"]), "\n")
-            .alias("_summary"),
+            F.collect_list(F.struct("page", "_s")).alias("_pages"),
             F.min_by(X.thinking_trace("reply"), "page").alias("thinking_trace"),
             F.sum("tokens_in").alias("token_count_input"),
             F.sum("tokens_out").alias("token_count_output"),
             F.sum("seconds").alias("processing_time_seconds"))
-        fields = per_unit.select(*on, "_s.*", "_summary", "thinking_trace", "token_count_input",
+        in_order = F.array_sort("_pages", lambda a, b: a["page"].cast("int") - b["page"].cast("int"))
+        per_unit = per_unit.withColumn("_pages", in_order)  # maps have no order of their own
+        merged = merge_pages("_pages", parsed.schema["_s"].dataType)
+        fields = per_unit.select(*on, *merged, "thinking_trace", "token_count_input",
                                  "token_count_output", "processing_time_seconds")
-        return (pending.join(fields, on, "left")
-                .withColumn("summary", X.present("_summary")).drop("_summary"))
+        return pending.join(fields, on, "left").withColumn("summary", X.present("summary"))
 
     return describe
 
 
+def _grandchildren(level: str, store: DataFrame, entries: DataFrame, template: str,
+                   keys: Sequence[str]) -> DataFrame | None:
+    """What lies two levels below: entries of days for a week, else stored summaries."""
+    if "{grandchild_items}" not in template:
+        return None
+    if level == "week":
+        return ingest.day_text(entries, keys=keys).select(*keys, F.col("date").alias("item"), "text")
+    below = periods.filter_level(store, CHILD_LEVEL[CHILD_LEVEL[level]])
+    return prompts.contexts(below, keys).select(
+        *keys, F.col("period_start").alias("item"), F.col("context").alias("text"))
+
+
+def merge_pages(pages: str, fields: T.StructType) -> list[Column]:
+    """One column per field from ordered (page, fields) structs: nothing of any page is lost.
+
+    Lists are strung together without repeats, of maps the first page's value of a key counts,
+    texts are joined by line and other values come from the first page that has one.
+    """
+    one_line = (*R.KEYWORD_FIELDS, "emotional_tone")
+
+    def merged(field: T.StructField) -> Column:
+        values = F.filter(F.transform(pages, lambda p: p["_s"][field.name]),
+                          lambda v: v.isNotNull())
+        if isinstance(field.dataType, T.ArrayType):
+            return F.array_distinct(F.flatten(values))
+        if isinstance(field.dataType, T.MapType):
+            empty = F.create_map().cast(field.dataType)
+            return F.aggregate(values, empty, lambda acc, m: F.map_concat(acc, F.map_filter(
+                m, lambda k, _: ~F.map_contains_key(acc, k))))
+        if isinstance(field.dataType, T.StringType) and field.name not in one_line:
+            told = F.filter(values, lambda v: v != "")
+            return F.when(F.size(values) > 0, F.array_join(told, "\n"))
+        return F.get(values, 0)
+
+    return [merged(f).alias(f.name) for f in fields]
+
+
 # --- staleness ---------------------------------------------------------------
 
 

@@ -7,14 +7,16 @@ from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalog.functions import text as X
+from stratalog.functions import periods as P, text as X
 from stratalog.operators import context as C, ingest, paging, periods
 from stratalog.schema import CHILD_LEVEL, CHILDREN_PER_UNIT, check_level
 
 RULE = "\n\n---\n\n"
 # Tokens kept free besides the output, for days and for higher levels.
 DAY_RESERVE, LEVEL_RESERVE = 2000, 5000
-NO_HISTORY = "(No entries logged prior to this)"
+NO_HISTORY = "(nothing recorded before)"
+BELOW_NOTE = "(No earlier {level} is known; these are the '{child}' summaries before it.)\n\n"
+PART_NOTE = "(part {part} of {parts})\n"
 
 
 def target_days(days: DataFrame, start: str | None = None, end: str | None = None,
@@ -62,21 +64,38 @@ def _literal_chars(template: str) -> int:
 def day_prompts(entries: DataFrame, template: str, system: str, n: int = 3,
                 context_window: int = 262_144, output_budget: int = 1024,
                 dates: DataFrame | None = None, keys: Sequence[str] = (),
-                page_chars: int = paging.PAGE_CHARS) -> DataFrame:
-    """One prompt per date: keys, date, page, n_history, prompt_chars, prompt.
+                part_note: str = PART_NOTE) -> DataFrame:
+    """Prompts per date: keys, date, page, n_history, n_dropped, prompt_chars, prompt.
 
     The template names {date}, {entries} and, with history, {history} and {n}.  Whole past
-    days are dropped, oldest first, until the prompt fits; so the history of a day is
-    bounded by the context window and only the day's own text can fill several pages.
+    days are dropped, oldest first, until the prompt fits; ``n_dropped`` says how many.  A
+    day whose own text does not fit comes as several pages of half a window, each a full
+    prompt without history that says which part it is; only a single entry longer than that
+    can exceed the window, and stays whole.  With ``dates`` only those days and the ``n``
+    before them are read.
     """
     keys = list(keys)
     limit = context_window - (output_budget + DAY_RESERVE)
     with_history = "{history}" in template and n > 0
     head, tail = _split_at(template, "entries")
+    if dates is not None:
+        dates = dates.select(*keys, "date").distinct()
+        back = F.sequence(F.lit(0), F.lit(n if with_history else 0))
+        needed = dates.select(*keys, F.explode(F.transform(
+            back, lambda k: P.date_text(F.date_sub(P.as_date("date"), k)))).alias("date"))
+        needed = needed.unionByName(dates).distinct()
+        entries = entries.join(needed, [*keys, "date"], "left_semi")
     fixed = (len(system) + 1 + _literal_chars(template) + 10 * template.count("{date}")
              + len(str(n)) * template.count("{n}"))
 
-    pages = ingest.day_text(entries, keys=keys, page_chars=page_chars)
+    room = int(limit * X.CHARS_PER_TOKEN) - fixed - len("(none)") - len(part_note)
+    if room <= 0:
+        raise ValueError("the window has no room for a day's text")
+    whole = C.day_sizes(entries, keys).withColumnRenamed("chars", "_whole")
+    small = entries.join(whole.filter(F.col("_whole") <= room), [*keys, "date"], "left_semi")
+    large = entries.join(whole.filter(F.col("_whole") > room), [*keys, "date"], "left_semi")
+    pages = ingest.day_text(small, keys=keys, page_chars=room).unionByName(
+        ingest.day_text(large, keys=keys, page_chars=max(room // 2, 1)))
     asked = pages if dates is None else pages.join(dates.select(*keys, "date"), [*keys, "date"],
                                                    "left_semi")
     if with_history:
@@ -90,19 +109,25 @@ def day_prompts(entries: DataFrame, template: str, system: str, n: int = 3,
                 F.array_sort(F.collect_list(F.struct("past", "_p", "_block"))),
                 lambda r: r["_block"]), "\n\n").alias("_history"),
             F.countDistinct("past").alias("_n"))
-        asked = asked.join(told, [*keys, "date"], "left")
+        offered = C.history_days(whole, n, keys).groupBy(*keys, "date").agg(
+            F.count(F.lit(1)).alias("_offered"))
+        asked = asked.join(told, [*keys, "date"], "left").join(offered, [*keys, "date"], "left")
         history, n_history = F.coalesce("_history", F.lit("(none)")), F.coalesce("_n", F.lit(0))
+        n_dropped = F.coalesce("_offered", F.lit(0)) - n_history
     else:
-        history, n_history = F.lit("(none)"), F.lit(0)
+        history, n_history, n_dropped = F.lit("(none)"), F.lit(0), F.lit(0)
     values = {"date": F.col("date"), "history": history, "n": F.lit(str(n))}
-    # A page is the last one when it ends where the day's text does.
-    whole = C.day_sizes(entries, keys).withColumnRenamed("chars", "_whole")
-    last = F.col("start") + F.col("chars") == F.col("_whole")
-    text = F.concat(F.when(F.col("page") == 0, _pieces(head, values)).otherwise(F.lit("")),
-                    F.col("text"),
-                    F.when(last, _pieces(tail, values)).otherwise(F.lit("\n\n")))
-    return asked.join(whole, [*keys, "date"]).select(
-        *keys, "date", "page", n_history.cast("long").alias("n_history"),
+    # Pages are numbered by their offset; a long entry may leave numbers out.
+    order = Window.partitionBy(*keys, "date").orderBy("page")
+    asked = asked.withColumn("_part", F.row_number().over(order))
+    parts = asked.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_parts"))
+    note = F.when(F.col("_parts") > 1, _pieces(part_note, {
+        "part": F.col("_part").cast("string"), "parts": F.col("_parts").cast("string")})
+        ).otherwise(F.lit(""))
+    text = F.concat(_pieces(head, values), note, F.col("text"), _pieces(tail, values))
+    return asked.join(parts, [*keys, "date"]).select(
+        *keys, "date", (F.col("_part") - 1).cast("long").alias("page"),
+        n_history.cast("long").alias("n_history"), n_dropped.cast("long").alias("n_dropped"),
         F.length(text).cast("long").alias("prompt_chars"), text.alias("prompt"))
 
 
@@ -121,25 +146,34 @@ def _join_ordered(df: DataFrame, group: Sequence[str], order: str, text: str, se
 
 
 def level_history(parents: DataFrame, units: DataFrame, level: str, n: int,
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """History text per parent: earlier units of its level, else child units before it."""
+                  keys: Sequence[str] = (), below_note: str = BELOW_NOTE) -> DataFrame:
+    """History text per parent: earlier units of its level, else child units before it.
+
+    Earlier units are the stored ones that precede the parent, whether or not they are asked
+    for as well: one window over both, whose rows the calendar bounds per stream.
+    """
     keys = list(keys)
     told = contexts(units, keys)
     group = [*keys, "period_start"]
-    same = told.filter(F.col("level") == level).select(
-        *keys, F.col("period_start").alias("_prior"), "context")
-    pairs = (periods.prior_units(parents.select(*keys, "level", "period_start"), n, keys)
-             .select(*group, F.explode("prior").alias("_prior")))
-    earlier = _join_ordered(pairs.join(same, [*keys, "_prior"]), group, "_prior", "context", RULE,
-                            "_earlier")
     child = CHILD_LEVEL[level]
+    stored = told.filter(F.col("level") == level).select(*group, "context")
+    both = parents.select(*group, F.lit(1).alias("_asked")).join(stored, group, "full")
+    before = Window.partitionBy(*keys).orderBy("period_start")
+    # Ordinals count the units that have text; a parent looks n of them back.
+    ranked = both.withColumn("_n", F.count("context").over(
+        before.rowsBetween(Window.unboundedPreceding, -1)))
+    wanted = ranked.filter("_asked = 1 AND _n > 0").select(*group, F.explode(F.sequence(
+        F.greatest(F.col("_n") - n, F.lit(0)), F.col("_n") - 1)).alias("_n"))
+    have = ranked.filter(F.col("context").isNotNull()).select(
+        *keys, "_n", F.col("period_start").alias("_prior"), "context")
+    earlier = _join_ordered(wanted.join(have, [*keys, "_n"]), group, "_prior", "context", RULE,
+                            "_earlier")
     below = told.filter(F.col("level") == child).select(
         *keys, F.col("period_start").alias("child"), "context")
     fallback = _join_ordered(
         C.prior_children(parents, units, level, n * CHILDREN_PER_UNIT[level], keys)
         .join(below, [*keys, "child"]), group, "child", "context", RULE, "_below")
-    note = F.lit(f"([FALLBACK CONTEXT] The following are '{child}' entries from before this "
-                 "period)\n\n")
+    note = F.lit(below_note.format(level=level, child=child))
     return (parents.select(*group).join(earlier, group, "left").join(fallback, group, "left")
             .select(*group, F.coalesce("_earlier", F.concat(note, "_below"), F.lit(NO_HISTORY))
                     .alias("history")))
@@ -150,11 +184,11 @@ def level_prompts(units: DataFrame, level: str, template: str, system: str, n: i
                   grandchildren: DataFrame | None = None, parents: DataFrame | None = None,
                   keys: Sequence[str] = ()) -> DataFrame:
     """One prompt per unit of ``level``: keys, level, period_start, n_children,
-    n_grandchildren, prompt_chars, prompt.
+    n_grandchildren, n_dropped, prompt_chars, prompt.
 
     ``units`` holds the child level and earlier units of this one.  ``grandchildren`` has
     keys, item and text; oldest items are dropped until the prompt fits, so what is
-    collected per prompt is bounded by the context window.
+    collected per prompt is bounded by the context window, and ``n_dropped`` counts them.
     """
     keys = list(keys)
     child = CHILD_LEVEL[check_level(level)]
@@ -195,14 +229,19 @@ def level_prompts(units: DataFrame, level: str, template: str, system: str, n: i
             kept.join(grandchildren.select(*keys, "item", block.alias("_block")), [*keys, "item"]),
             group, "_at", "_block", RULE, "_items")
         n_items = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        base = base.join(items, group, "left").join(n_items, group, "left")
+        n_offered = offered.groupBy(*group).agg(F.count(F.lit(1)).alias("_offered"))
+        base = base.join(items, group, "left").join(n_items, group, "left").join(
+            n_offered, group, "left")
     else:
         base = base.withColumns({"_items": F.lit(None).cast("string"),
-                                 "_n": F.lit(None).cast("long")})
+                                 "_n": F.lit(None).cast("long"),
+                                 "_offered": F.lit(None).cast("long")})
     prompt = _pieces(template, {
         "date": F.col("period_start"), "entries": F.col("_entries"), "history": F.col("history"),
         "n": F.lit(str(n)), "grandchild_items": F.coalesce("_items", F.lit("(none)"))})
     return base.select(*keys, F.lit(level).alias("level"), "period_start", "n_children",
                        F.coalesce("_n", F.lit(0).cast("long")).alias("n_grandchildren"),
+                       (F.coalesce("_offered", F.lit(0)) - F.coalesce("_n", F.lit(0)))
+                       .cast("long").alias("n_dropped"),
                        F.length(prompt).cast("long").alias("prompt_chars"),
                        prompt.alias("prompt"))

@@ -254,7 +254,7 @@ FROM line""",
     "dated_block": r"""
 SELECT file, first_line, CASE WHEN grp IS NOT NULL THEN anchor || 'T00:00:00' END AS datetime_parsed,
        CASE WHEN grp IS NOT NULL THEN regexp_replace(head, '^\s+|\s+$', '', 'g')
-            ELSE 'Prior to first entry' END AS datetime_raw, "user"
+            ELSE 'before any date' END AS datetime_raw, "user"
 FROM (SELECT file, grp, max(filled) AS anchor, min(line_no) AS first_line,
              arg_min(line, line_no) AS head,
              regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g') AS "user"

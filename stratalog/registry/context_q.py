@@ -17,7 +17,7 @@ SYSTEM = "You are a careful archivist."
 DAY_TEMPLATE = "Date: {date}\nHistory ({n} days):\n{history}\nEntries:\n{entries}\nSummarise."
 LEVEL_TEMPLATE = ("Period: {date}\nEarlier ({n}):\n{history}\nParts:\n{entries}\n"
                   "Details:\n{grandchild_items}\nSummarise.")
-N_DAYS, WINDOW, OUTPUT = 7, 4000, 1024
+N_DAYS, WINDOW, OUTPUT = 7, 40_000, 1024
 DAY_LIMIT = WINDOW - (OUTPUT + 2000)
 DAY_FIXED = len(SYSTEM) + 1 + len("Date: \nHistory ( days):\n\nEntries:\n\nSummarise.") + 10 + 1
 
@@ -60,10 +60,14 @@ query("budget_history", f"SELECT date, past, c AS chars FROM ({KEPT})")(
 
 PROMPT = f"""'Date: ' || date || E'\\nHistory ({N_DAYS} days):\\n' || coalesce(history, '(none)')
   || E'\\nEntries:\\n' || text || E'\\nSummarise.'"""
-DAY_PROMPTS = f"""SELECT date, CAST(0 AS BIGINT) AS page, coalesce(h.k, 0) AS n_history, length({PROMPT}) AS prompt_chars,
+DAY_PROMPTS = f"""SELECT date, CAST(0 AS BIGINT) AS page, coalesce(h.k, 0) AS n_history,
+  coalesce(o.k, 0) - coalesce(h.k, 0) AS n_dropped, length({PROMPT}) AS prompt_chars,
   {PROMPT} AS prompt
 FROM ({DAYS}) LEFT JOIN (SELECT date, string_agg(block, E'\\n\\n' ORDER BY past) AS history,
-  count(*) AS k FROM ({KEPT}) GROUP BY date) h USING (date)"""
+  count(*) AS k FROM ({KEPT}) GROUP BY date) h USING (date)
+LEFT JOIN (SELECT a.date, count(*) AS k FROM ({DAYS}) a JOIN ({DAYS}) b ON CAST(b.date AS DATE)
+  < CAST(a.date AS DATE) AND CAST(b.date AS DATE) >= CAST(a.date AS DATE) - {N_DAYS}
+  GROUP BY a.date) o USING (date)"""
 
 
 def day_prompts(s, d):
@@ -86,7 +90,7 @@ query("level_prompts", f"""WITH m AS (SELECT period_start, source_units,
       count(*) AS n_children
     FROM m JOIN (SELECT *, {CTX} AS ctx FROM week_unit) w ON list_contains(m.source_units, w.period_start)
     GROUP BY m.period_start),
-  hist AS (SELECT m.period_start, CASE WHEN p1 IS NULL THEN '(No entries logged prior to this)'
+  hist AS (SELECT m.period_start, CASE WHEN p1 IS NULL THEN '(nothing recorded before)'
       WHEN p2 IS NULL THEN a.ctx ELSE b.ctx || {RULE} || a.ctx END AS history
     FROM m LEFT JOIN mc a ON a.period_start = p1 LEFT JOIN mc b ON b.period_start = p2),
   item AS (SELECT m.period_start, d.period_start AS day, '[' || d.period_start || E']\\n' || d.ctx AS block
@@ -98,11 +102,13 @@ query("level_prompts", f"""WITH m AS (SELECT period_start, source_units,
     WHERE trunc((total + over) / CAST(3.2 AS DOUBLE)) <= {LEVEL_LIMIT}),
   items AS (SELECT period_start, string_agg(block, {RULE} ORDER BY day) AS items, count(*) AS k
     FROM kept GROUP BY period_start),
-  done AS (SELECT body.*, coalesce(k, 0) AS k, 'Period: ' || body.period_start || E'\\nEarlier (2):\\n'
+  every AS (SELECT period_start, count(*) AS n FROM item GROUP BY period_start),
+  done AS (SELECT body.*, coalesce(k, 0) AS k, coalesce(n, 0) AS n, 'Period: ' || body.period_start || E'\\nEarlier (2):\\n'
       || history || E'\\nParts:\\n' || entries || E'\\nDetails:\\n' || coalesce(items, '(none)')
       || E'\\nSummarise.' AS prompt
-    FROM body JOIN hist USING (period_start) LEFT JOIN items USING (period_start))
-SELECT 'month' AS level, period_start, n_children, k AS n_grandchildren, length(prompt) AS prompt_chars,
+    FROM body JOIN hist USING (period_start) LEFT JOIN items USING (period_start)
+    LEFT JOIN every USING (period_start))
+SELECT 'month' AS level, period_start, n_children, k AS n_grandchildren, n - k AS n_dropped, length(prompt) AS prompt_chars,
   prompt FROM done""")(lambda s, d: _month_prompts(s, d))
 
 
@@ -175,11 +181,10 @@ def _called(s, d):
 
 
 query("classify", """SELECT file, msg_index, CASE WHEN length("user") % 2 = 0 THEN 'coding_related'
-  ELSE 'other_personal' END AS category FROM (SELECT file, msg_index, substr("user", 1, 600) AS "user"
-  FROM message)""")(
+  ELSE 'other_personal' END AS category FROM (SELECT file, msg_index, "user" FROM message)""")(
     lambda s, d: models.classify(B.message(s, d), _parity).select("file", "msg_index", "category"))
 
 
 def _parity(system: str, user: str) -> str:
-    shown = user.split("USER MESSAGE:\n", 1)[1].split("\n\nAI RESPONSE (excerpt):\n", 1)[0]
+    shown = user.removeprefix("Message:\n").split("\n\nReply:\n", 1)[0]
     return "Coding related" if len(shown) % 2 == 0 else "personal"

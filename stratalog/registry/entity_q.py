@@ -188,7 +188,7 @@ from stratalog.registry.context_q import CONTEXT  # noqa: E402
 
 HEAD = """'── TYPE A  [' || valid_from || ']  valence=' || emotional_valence || E' ──\\n' || content
   || E'\\n\\n[Day framing]\\nDay emotional tone: ' || emotional_tone || E'\\nKey events that day:\\n  • '
-  || array_to_string(key_events[1:5], E'\\n  • ')"""
+  || array_to_string(key_events, E'\\n  • ')"""
 B.ORACLES["entity_evidence"] = B.with_views(f"""SELECT id, period_start, seq, head, valid_from AS context_date,
   context_chars, chars AS block_chars, CAST(trunc(chars / CAST(3.2 AS DOUBLE)) AS BIGINT) AS tokens
 FROM (SELECT *, length(head) + CASE WHEN context_chars > 0 THEN context_chars

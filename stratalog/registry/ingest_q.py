@@ -49,8 +49,11 @@ def _(s, d):
 
 query("entry_by_id", """SELECT * FROM raw_entry
 WHERE id = (SELECT max(id) FROM raw_entry WHERE role = 'user')""")(
-    lambda s, d: B.raw_entry(s, d).filter(
-        F.col("id") == B.raw_entry(s, d).filter("role = 'user'").agg(F.max("id")).scalar()))
+    lambda s, d: I.entry_by_id(B.raw_entry(s, d), _last_user_id(s, d)))
+
+
+def _last_user_id(s, d):
+    return B.raw_entry(s, d).filter("role = 'user'").agg(F.max("id")).first()[0]
 
 
 @query("apply_defaults", """SELECT event_id, coalesce(json_extract_string(props, '$.time'), '00:00:00') AS time,
@@ -115,8 +118,10 @@ WHERE id NOT IN (SELECT id FROM raw_entry WHERE role = 'user')""")(
     lambda s, d: I.new_entries(I.prepare(_staged(s, d)), _store(s, d)).select(
         "id", "date", "time", "role"))
 
-query("assemble", "SELECT DISTINCT id, date, time, source, source_file, role, text FROM raw_entry")(
-    lambda s, d: I.assemble(_staged(s, d), _store(s, d).dropDuplicates(["id"])))
+query("assemble", """SELECT id, date, time, source, source_file, role, text FROM raw_entry
+WHERE role = 'user' UNION ALL SELECT DISTINCT id, date, time, source, source_file, role, text
+FROM raw_entry WHERE id NOT IN (SELECT id FROM raw_entry WHERE role = 'user')""")(
+    lambda s, d: I.assemble(_staged(s, d), _store(s, d)))
 
 query("ingest_stats", f"""WITH staged AS ({STAGED}), known AS (
   SELECT * FROM raw_entry WHERE role = 'user')
@@ -125,7 +130,7 @@ SELECT (SELECT count(DISTINCT date) FROM staged WHERE date NOT IN (SELECT date F
        (SELECT count(*) FROM staged)
          - (SELECT count(DISTINCT id) FROM staged WHERE id NOT IN (SELECT id FROM known))
          AS skipped_duplicates""")(
-    lambda s, d: I.ingest_stats(_staged(s, d), _store(s, d).dropDuplicates(["id"])))
+    lambda s, d: I.ingest_stats(_staged(s, d), _store(s, d)))
 
 query("appended_dates", """SELECT DISTINCT date FROM raw_entry
 WHERE id NOT IN (SELECT id FROM raw_entry WHERE role = 'user')""")(
@@ -248,7 +253,7 @@ query("forward_fill_dates", """SELECT file, CAST(first_line AS INTEGER) AS first
 
 RESOLVED = """SELECT file, coalesce(datetime_parsed, coalesce(strftime(CAST(f AS DATE) - 1, '%Y-%m-%d'),
     '1970-01-01') || 'T00:00:00') AS datetime_parsed,
-  CASE WHEN datetime_parsed IS NULL AND f IS NOT NULL THEN "user" || E'\\n\\n[Note: undated entry, placed before '
+  CASE WHEN datetime_parsed IS NULL AND f IS NOT NULL THEN "user" || E'\\n\\n[without a date; filed before '
     || f || ']' ELSE "user" END AS "user"
 FROM (SELECT *, min(substr(datetime_parsed, 1, 10)) OVER (PARTITION BY file) AS f FROM dated_block)"""
 

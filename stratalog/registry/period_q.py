@@ -125,9 +125,8 @@ query("nearest_periods", NEAREST)(
 
 @query("lookup_periods", f"""SELECT n.period AS request,
   CASE WHEN r.n IS NULL THEN 'not_found' ELSE 'success' END AS status, r.n AS source_entry_count,
-  CASE WHEN r.n IS NULL THEN 'No summary found at day level for ''' || n.period
-    || '''. Closest available periods are: PREVIOUS=(' || coalesce(previous, 'None') || '), NEXT=('
-    || coalesce(next, 'None') || ').' END AS hint
+  CASE WHEN r.n IS NULL THEN 'There is no day ' || n.period || '. Nearest periods: before '
+    || coalesce(previous, 'none') || ', after ' || coalesce(next, 'none') END AS hint
 FROM ({NEAREST}) n LEFT JOIN ({ALL_DAYS}) r ON r.date = n.period""")
 def _(s, d):
     return O.lookup_periods(_requests(s, d), O.day_units(B.raw_entry(s, d)), "day").select(
@@ -136,9 +135,8 @@ def _(s, d):
 
 @query("lookup_raw", f"""SELECT n.period AS request,
   CASE WHEN r.n IS NULL THEN 'not_found' ELSE 'success' END AS status, r.n AS n, r.texts AS texts,
-  CASE WHEN r.n IS NULL THEN 'No raw entry chat log found for ''' || n.period
-    || '''. Closest available dates are: PREVIOUS=(' || coalesce(previous, 'None') || '), NEXT=('
-    || coalesce(next, 'None') || ').' END AS hint
+  CASE WHEN r.n IS NULL THEN 'There are no entries of ' || n.period || '. Nearest dates: before '
+    || coalesce(previous, 'none') || ', after ' || coalesce(next, 'none') END AS hint
 FROM ({NEAREST}) n LEFT JOIN (SELECT date, count(*) AS n, string_agg(role || ': ' || text, ' / '
   ORDER BY time, id) AS texts FROM raw_entry GROUP BY date) r ON r.date = n.period""")
 def _(s, d):

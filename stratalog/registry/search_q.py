@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratalog.operators import search as S
 from stratalog.registry import base as B
 from stratalog.registry.base import query
+from stratalog.session import shared_folder
+from stratalog.sources import writers
 
 query("index_corpus", "SELECT source_type, source_id, date, length(content) AS chars FROM corpus")(
     lambda s, d: B.corpus(s, d).select("source_type", "source_id", "date",
@@ -31,7 +35,7 @@ QUERY = "ther Queán"
 
 query("search_ranked", RANKED.format(words=WORDS) + """
 SELECT source_type, source_id, date, round(rank, 6) AS rank FROM r""")(
-    lambda s, d: _search(s, d, QUERY, limit=None).withColumn("rank", F.round("rank", 6)))
+    lambda s, d: S.search(QUERY, *_stored(s, d)).withColumn("rank", F.round("rank", 6)))
 
 query("search_summaries", RANKED.format(words="'week', 'custom'") + """
 SELECT source_type, source_id, date, round(rank, 6) AS rank FROM r
@@ -66,12 +70,44 @@ def _search(s, d, text, **kw):
     return S.search(text, S.build_index(rows), S.document_lengths(rows), **kw)
 
 
+def _stored(s, d, keys=()):
+    """The index as a table on disk, written by this query and read again."""
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    writers.write_index(_by_source(s, d) if keys else B.corpus(s, d), path, keys)
+    return writers.read_index(s, path, keys)
+
+
+def _by_source(s, d):
+    """Documents as two streams that share their ids: each text is in both, shorter in one."""
+    docs = B.corpus(s, d).filter("source_type = 'raw'")
+    return docs.withColumn("tenant", F.lit("a")).unionByName(docs.select(
+        *[c for c in docs.columns if c != "content"], F.lit("b").alias("tenant"),
+        F.concat_ws(" ", "content", F.lit("ther extra words")).alias("content")))
+
+
+query("search_by_key", """WITH docs AS (SELECT 'a' AS tenant, source_id, content FROM corpus WHERE source_type = 'raw'
+    UNION ALL SELECT 'b', source_id, content || ' ther extra words' FROM corpus WHERE source_type = 'raw'),
+  tok AS (SELECT tenant, source_id, regexp_extract_all(strip_accents(lower(content)),
+    '[\\p{L}\\p{N}]+') AS l FROM docs),
+  p AS (SELECT tenant, source_id, word, len(l) AS n, len(list_filter(l, lambda t: starts_with(t, word))) AS f
+    FROM tok, (SELECT unnest(['ther', 'quean']) AS word)),
+  st AS (SELECT tenant, count(*) AS n, avg(len(l)) AS al FROM tok GROUP BY tenant),
+  idf AS (SELECT tenant, word, al, CASE WHEN ln((st.n - df + 0.5) / (df + 0.5)) > 0
+    THEN ln((st.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS i
+    FROM (SELECT tenant, word, count(*) AS df FROM p WHERE f > 0 GROUP BY ALL) JOIN st USING (tenant))
+SELECT tenant, source_id, round(-sum(i * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE
+  + 0.75::DOUBLE * n / al))), 6) + 0.0 AS rank
+FROM p JOIN idf USING (tenant, word) WHERE f > 0 GROUP BY tenant, source_id""".replace("\\\\", "\\"))(
+    lambda s, d: S.search(QUERY, *_stored(s, d, ["tenant"]), keys=["tenant"]).select(
+        "tenant", "source_id", (F.round("rank", 6) + 0.0).alias("rank")))
+
+
 SNIPPET = r"""'...' || trim(regexp_replace(text[greatest(p - 40, 1):p - 1], '\s+', ' ', 'g')) || ' >>'
   || text[p:p + 1] || '<< ' || trim(regexp_replace(text[p + 2:p + 41], '\s+', ' ', 'g')) || '...'"""
 
 query("search_user", f"""SELECT id, date, text[p:p + 1] AS matched_word, {SNIPPET} AS context FROM (
   SELECT *, instr(lower(text), 'en') AS p FROM raw_entry WHERE role = 'user')
-WHERE p > 0 AND date <= '2025-06-30' ORDER BY date, id LIMIT 50""")(
+WHERE p > 0 AND date <= '2025-06-30'""")(
     lambda s, d: S.search_user("En", B.raw_entry(s, d), 40, date_to="2025-06-30"))
 
 query("kwic", f"""SELECT id, CASE WHEN p > 0 THEN {SNIPPET} END AS context FROM (

@@ -40,9 +40,15 @@ def _entries(days: DataFrame, source_file: Column, roles: Iterable[str] | None)
     return ingest.filter_roles(rows.filter(F.col("text") != ""), roles)
 
 
-def read_merged_json(spark: SparkSession, path: str, roles: Iterable[str] | None = None
-                     ) -> DataFrame:
-    """``{entries: [{date, entries: [...]}]}`` documents."""
+def read_merged_json(spark: SparkSession, path: str, roles: Iterable[str] | None = None,
+                     lines: bool = False) -> DataFrame:
+    """``{entries: [{date, entries: [...]}]}`` documents.
+
+    With ``lines`` the folder that ``export_merged`` writes: one day, or page of a day, per line.
+    """
+    if lines:
+        days = spark.read.schema(DAY_FILE).json(f"{path}/entries")
+        return _entries(days, F.lit(""), roles)
     doc = spark.read.schema(MERGED_FILE).json(path, multiLine=True)
     return _entries(doc.select(F.explode("entries").alias("_d")).select("_d.*"), F.lit(""), roles)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from stratalog.functions import periods as P, text as X
-from stratalog.operators import entities, ingest, paging
+from stratalog.operators import entities, ingest, paging, search
 from stratalog.schema import ENTRY_COLUMNS, USAGE_COLUMNS
 from stratalog.session import cut_lineage
 
@@ -59,8 +59,14 @@ def upsert_table(updates: DataFrame, path: str, key: Sequence[str], partition: s
 
 
 def write_units(units: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
-    """Upsert units; only the levels that ``units`` holds are rewritten."""
-    upsert_table(units, path, [*keys, "level", "period_start"], "level")
+    """Upsert units by level and time: a new day rewrites the days of its month only.
+
+    The folder is the level with the month of a day, or the year of a higher unit.
+    """
+    of = F.when(F.col("level") == "day", F.substring("period_start", 1, 7)).otherwise(
+        F.substring("period_start", 1, 4))
+    upsert_table(units.withColumn("part", F.concat_ws("-", "level", of)), path,
+                 [*keys, "part", "level", "period_start"], "part")
 
 
 def merged_metadata(entries: DataFrame) -> DataFrame:
@@ -84,12 +90,22 @@ def export_merged(entries: DataFrame, path: str, page_chars: int = paging.PAGE_C
 
 
 def export_split(df: DataFrame, path: str, name: str) -> None:
-    """One folder of JSON per value of ``name`` (a date, a period or an entity id)."""
+    """One folder of JSON per value of ``name``, for values the calendar bounds (date, period).
+
+    For ids, of which there is no bound, see ``export_bucketed``.
+    """
     body = F.to_json(F.struct(*df.columns)).alias("value")
     (df.select(F.col(name).alias(f"by_{name}"), body).hint("rebalance", f"by_{name}")
      .write.mode("overwrite").partitionBy(f"by_{name}").text(path))
 
 
+def export_bucketed(df: DataFrame, path: str, name: str) -> None:
+    """JSON lines in 256 folders by a hash of ``name`` (an entity id), sorted by it."""
+    (df.withColumn("bucket", F.substring(F.sha2(F.col(name), 256), 1, 2))
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", name)
+     .write.mode("overwrite").partitionBy("bucket").json(path))
+
+
 def append_usage(calls: DataFrame, path: str) -> None:
     """Append call-log rows to CSV; the ratio is blank unless both counts are positive."""
     from stratalog.operators import audit
@@ -132,13 +148,18 @@ def write_dossiers(notes: DataFrame, path: str) -> None:
      .partitionBy("safe_label").json(path))
 
 
-def read_dossier(spark: SparkSession, path: str, label: str) -> DataFrame:
-    rows = spark.read.json(path)
+DOSSIER = "label STRING, period_start STRING, note STRING, safe_label STRING"
+
+
+def read_dossier(spark: SparkSession, path: str, label: str, schema: str = DOSSIER) -> DataFrame:
+    """The notes of one label: its folder alone is read."""
+    rows = spark.read.schema(schema).json(path)
     return rows.filter(F.col("safe_label") == X.safe_label(F.lit(label))).drop("safe_label")
 
 
 def list_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path).select("safe_label").distinct()
+    """The labels that have a folder; files are listed, their rows only counted."""
+    return spark.read.schema("safe_label STRING").json(path).select("safe_label").distinct()
 
 
 def write_turn_cache(entries: DataFrame, path: str) -> None:
@@ -149,8 +170,22 @@ def write_turn_cache(entries: DataFrame, path: str) -> None:
                    F.lit("").alias("response")).write.mode("overwrite").json(path)
 
 
-def write_index(postings: DataFrame, path: str) -> None:
-    """Postings by first letter of the token: a query word prunes to one folder."""
-    (postings.withColumn("letter", F.substring("token", 1, 1)).hint("rebalance", "letter")
-     .sortWithinPartitions("letter", "token").write.mode("overwrite").partitionBy("letter")
-     .parquet(path))
+def write_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """The index of searchable rows: postings by first letter of the token, and the totals.
+
+    A query word prunes to one folder; the totals are one row per stream.
+    """
+    (search.build_index(corpus, keys).withColumn("letter", F.substring("token", 1, 1))
+     .hint("rebalance", "letter").sortWithinPartitions("letter", "token")
+     .write.mode("overwrite").partitionBy("letter").parquet(f"{path}/postings"))
+    (search.totals(search.document_lengths(corpus, keys), keys)
+     .write.mode("overwrite").parquet(f"{path}/totals"))
+
+
+def read_index(spark: SparkSession, path: str, keys: Sequence[str] = ()
+               ) -> tuple[DataFrame, DataFrame]:
+    """Postings and totals as ``search.search`` takes them."""
+    lead = "".join(f"{k} STRING, " for k in keys)
+    postings = spark.read.schema(lead + "source_type STRING, source_id STRING, date STRING, doc_len BIGINT, "
+                                 "token STRING, tf BIGINT, letter STRING").parquet(f"{path}/postings")
+    return postings, spark.read.schema(lead + "docs BIGINT, avg_len DOUBLE").parquet(f"{path}/totals")

@@ -11,6 +11,7 @@ from stratalog.functions import periods as P
 from stratalog.operators import ingest
 from stratalog.plans import hierarchy
 from stratalog.schema import ENTRY_COLUMNS, USAGE_COLUMNS
+from stratalog.session import cut_lineage
 from stratalog.sources import writers
 
 ENTRY_FILE = T.StructType([T.StructField(c, T.StringType())
@@ -18,29 +19,35 @@ ENTRY_FILE = T.StructType([T.StructField(c, T.StringType())
 
 
 def read_stream(spark: SparkSession, path: str, keys: Sequence[str] = (),
-                max_files: int | None = None) -> DataFrame:
-    """Entry rows from JSON-lines files as they arrive; known files are not read again."""
+                max_files: int | None = None, arrived: str | None = None) -> DataFrame:
+    """Entry rows from JSON-lines files as they arrive; known files are not read again.
+
+    ``arrived`` names a column for the time the row's file was written.
+    """
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *ENTRY_FILE.fields])
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return ingest.prepare(reader.json(path)).select(*keys, *ENTRY_COLUMNS)
+    rows = reader.json(path)
+    if arrived:
+        rows = rows.withColumn(arrived, F.col("_metadata.file_modification_time"))
+    return ingest.prepare(rows).select(*keys, *ENTRY_COLUMNS, *([arrived] if arrived else []))
 
 
 def ingest_stream(spark: SparkSession, path: str, keys: Sequence[str] = (),
-                  within: str | None = None) -> DataFrame:
+                  within: str | None = None, max_files: int | None = None) -> DataFrame:
     """The stream with each id once.
 
-    ``within`` bounds the state: ids are forgotten that long after the newest event time.
-    Without it all ids are remembered; for a long-lived store use ``merge_stream``, which
-    keeps no state and compares with the store instead.
+    ``within`` bounds the state: an id is forgotten that long after its file was written.
+    The clock is the arrival of files, never the entries' own dates, so an old entry that
+    comes late is not lost.  Without it all ids are remembered; for a long-lived store use
+    ``merge_stream``, which keeps no state and compares with the store instead.
     """
-    rows = read_stream(spark, path, keys)
     if within is None:
-        return rows.dropDuplicates([*keys, "id"])
-    at = F.try_to_timestamp(F.concat_ws(" ", "date", "time"))
-    return (rows.withColumn("event_ts", at).withWatermark("event_ts", within)
-            .dropDuplicatesWithinWatermark([*keys, "id"]))
+        return read_stream(spark, path, keys, max_files).dropDuplicates([*keys, "id"])
+    rows = read_stream(spark, path, keys, max_files, "arrived")
+    return (rows.withWatermark("arrived", within)
+            .dropDuplicatesWithinWatermark([*keys, "id"]).drop("arrived"))
 
 
 def merge_batch(batch: DataFrame, store: str, keys: Sequence[str] = (),
@@ -51,6 +58,7 @@ def merge_batch(batch: DataFrame, store: str, keys: Sequence[str] = (),
     are written first, so a crash in between loses none of them.
     """
     spark = batch.sparkSession
+    batch = cut_lineage(batch)  # read three times below, computed once
     existing = writers.read_store(spark, store, keys, touched_months(batch))
     fresh = ingest.new_entries(batch, existing, keys)
     if affected:

@@ -132,7 +132,8 @@ def test_pack_chunks_is_greedy(spark, overlap, segment):
 
 def test_chunk_budget():
     assert context.chunk_budget(32_768, 3000, 900) == 32_768 - 3000 - 900 - 1638
-    assert context.chunk_budget(1000, 3000, 900) == 500
+    with pytest.raises(ValueError):
+        context.chunk_budget(1000, 3000, 900)
 
 
 def test_budget_keeps_the_longest_fitting_suffix(entries, by_day):
@@ -153,13 +154,22 @@ def test_budget_keeps_the_longest_fitting_suffix(entries, by_day):
 
 def test_day_prompts_fill_the_template(entries, by_day):
     template = "D {date} N {n}\n{history}\n>>{entries}<<{date}"
-    got = {}
-    for r in prompts.day_prompts(entries, template, "sys", 3, 3600, 1024, page_chars=500
-                                 ).orderBy("page").collect():
-        got[r.date] = got.get(r.date, "") + r.prompt
+    got, most = {}, 0
+    for r in prompts.day_prompts(entries, template, "sys", 3, 3600, 1024).orderBy("page").collect():
+        got.setdefault(r.date, []).append(r)
+        most = max(most, r.page)
+    assert most > 0
     for d, rows in by_day.items():
         own = "\n\n".join(map(line, rows))
-        assert got[d].startswith(f"D {d} N 3\n") and got[d].endswith(f">>{own}<<{d}")
+        parts = got[d]
+        told = [r.prompt.split(">>", 1)[1].removesuffix(f"<<{d}") for r in parts]
+        if len(parts) > 1:
+            told = [t.removeprefix(f"(part {i + 1} of {len(parts)})\n") for i, t in enumerate(told)]
+            assert all(r.n_history == 0 for r in parts)
+        assert "\n\n".join(told) == own and [r.page for r in parts] == list(range(len(parts)))
+        for r in parts:
+            assert r.prompt.startswith(f"D {d} N 3\n") and r.prompt.endswith(f"<<{d}")
+            assert (len(r.prompt) + 4) / 3.2 < 3600 - 1024 - 2000 + 1
     isolated = prompts.day_prompts(entries, "{date}: {entries}", "sys", 3)
     assert {r.n_history for r in isolated.collect()} == {0}
     with pytest.raises(ValueError):
@@ -175,7 +185,7 @@ def test_level_prompts_history_fallback(spark):
     got = prompts.level_prompts(units, "week", "{date}|{history}|{entries}", "sys", 1,
                                 parents=late).first()
     assert got.prompt == (
-        "2024-01-09|([FALLBACK CONTEXT] The following are 'day' entries from before this period)"
+        "2024-01-09|(No earlier week is known; these are the 'day' summaries before it.)"
         "\n\n[2024-01-02 — 2024-01-02]\nSummary: s2\n\n---\n\n[2024-01-03 — 2024-01-03]\nSummary: s3"
         "|[2024-01-09 — 2024-01-09]\nSummary: s9\n\n---\n\n[2024-01-10 — 2024-01-10]\nSummary: s10")
     both = prompts.level_prompts(units, "week", "{history}{entries}", "sys", 1)
@@ -269,7 +279,7 @@ def test_chunked_synthesis_merges(spark, entries):
     ctx = context.context_window(entries, facts.select(F.col("valid_from").alias("center_date")), 0, 0)
     evidence = synthesis.entity_evidence(facts, days, ctx, 0, 0).cache()
     one = evidence.filter("seq = 0").first()
-    assert one.head.count("•") == 5 and "Day emotional tone: calm" in one.head
+    assert one.head.count("•") == 6 and "Day emotional tone: calm" in one.head
     full = one.head + synthesis.type_b_head(0, 0) + ctx.filter("center_date = '2024-02-02'").first().text
     assert one.block_chars == len(full) and one.tokens == int(len(full) / 3.2)
 
@@ -283,14 +293,14 @@ def test_chunked_synthesis_merges(spark, entries):
     assert got["user_1"].arc_summary == "<0>" and got["solo"].arc_summary == "<1>"
 
     def fail_merge(system, prompt):
-        if "PARTIAL" in prompt:
+        if "## part" in prompt:
             raise RuntimeError("down")
         return count(system, prompt)
     arcs = synthesis.synthesize_entities(
         evidence, ctx, fail_merge, "{entity}: {entity_timeline}", "{entity}{n_chunks}{partial_arcs}",
         budget=one.tokens * 10 + 20, overlap=3, n_before=0, n_after=0)
     text = {r.id: r.arc_summary for r in arcs.collect()}["user_1"]
-    assert text.startswith("=== PARTIAL ARC — chunk 1/") and "<10>" in text
+    assert text.startswith("## part 1 of ") and "<10>" in text
     solo = facts.filter("id = 'solo'").first()
     assert (solo.valid_from, solo.content, solo.emotional_valence) == (
         "2024-01-01", "(no summary)", "neutral")
