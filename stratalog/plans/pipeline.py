@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalog.operators import ingest
@@ -12,6 +13,7 @@ from stratalog.plans import hierarchy, models
 from stratalog.schema import DEFAULT_CATEGORIES, ENTRY_COLUMNS
 from stratalog.session import cut_lineage
 from stratalog.sources import readers, writers
+from stratalog.streaming.ingest import touched_months
 
 
 @dataclass
@@ -26,47 +28,86 @@ class IngestRun:
 def parse_folder(spark: SparkSession, path: str, label: models.ModelFn | None = None,
                  categories: Sequence[str] = DEFAULT_CATEGORIES,
                  keep: Iterable[str] | None = None, detect: models.ModelFn | None = None,
-                 kinds: Iterable[str] = ("chat", "activity", "line_dated")) -> DataFrame:
-    """Staged entries of all files directly under a folder, by file kind.
+                 files: dict[str, list[str]] | None = None, labels: str | None = None) -> DataFrame:
+    """Staged entries of files directly under a folder, by kind; all of them, or ``files``.
 
-    Activity turns are classified when ``label`` is given and filtered to ``keep``; date
-    lines of plain text are found by rule, or by ``detect``.
+    Activity turns are classified when ``label`` is given and filtered to ``keep``; with a
+    ``labels`` table only turns without a label there are asked about, and the answers are
+    added to it.  Date lines of plain text are found by rule, or by ``detect``.
     """
+    if files is None:
+        files = {kind: [f"{path}/{shape}"] for kind, shape in SHAPES.items()}
     staged = []
-    if "chat" in kinds:
-        staged.append(readers.read_chat_export(spark, f"{path}/*.[jJ][sS][oO][nN]").drop("title"))
-    if "activity" in kinds:
-        turns = readers.read_activity_html(spark, f"{path}/*.[hH][tT][mM]*")
-        if label:
+    if files.get("chat"):
+        staged.append(readers.read_chat_export(spark, files["chat"]).drop("title"))
+    if files.get("activity"):
+        turns = readers.read_activity_html(spark, files["activity"])
+        if label and labels:
+            turns = labelled_once(turns, label, categories, labels)
+        elif label:
             turns = models.classify(turns, label, categories)
         staged.append(ingest.turns_to_entries(turns, "gemini", categories=keep if label else None))
-    if "line_dated" in kinds:
-        staged.append(readers.read_line_dated_text(
-            spark, f"{path}/*.{{[tT][xX][tT],[mM][dD]}}", detect))
+    if files.get("line_dated"):
+        staged.append(readers.read_line_dated_text(spark, files["line_dated"], detect))
     return ingest.union_sources(*staged)
 
 
+# File name patterns of the kinds, where a whole folder is read.
+SHAPES = {"chat": "*.[jJ][sS][oO][nN]", "activity": "*.[hH][tT][mM]*",
+          "line_dated": "*.{[tT][xX][tT],[mM][dD]}"}
+# More changed files than this are read by pattern; the merge drops what is known either way.
+LISTED_FILES = 10_000
+
+
+def labelled_once(turns: DataFrame, label: models.ModelFn, categories: Sequence[str], path: str
+                  ) -> DataFrame:
+    """Turns with the category that the table at ``path`` has for them, or gets now."""
+    spark, on = turns.sparkSession, ("source_file", "msg_index")
+    schema = "source_file STRING, msg_index INT, category STRING"
+    try:
+        known = cut_lineage(spark.read.schema(schema).parquet(path))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    asked = models.classify(ingest.unclassified(turns, known, on), label, categories)
+    fresh = cut_lineage(asked.select("source_file", F.col("msg_index").cast("int").alias("msg_index"),
+                                     "category"))
+    fresh.write.mode("append").parquet(path)
+    return turns.join(ingest.resume_checkpoint(known, fresh, on=on), list(on))
+
+
 def run_ingest(spark: SparkSession, path: str, store: str, manifest: DataFrame | None = None,
                dry_run: bool = False, **parsing) -> IngestRun:
     """Parse what changed in a folder and append what is new to the store.
 
-    Only kinds with a new or changed file are parsed.  The staged rows are made durable
-    first, so a model is not asked twice and the counts belong to what is written.
+    Only new and changed files are parsed, and only the months their entries lie in are read
+    from the store.  The staged rows are made durable first, so a model is not asked twice
+    and the counts belong to what is written.  A dry run leaves the manifest as it was.
     """
     found = readers.route_sources(spark, path).select("path", "mtime", "kind")
-    changed = found if manifest is None else ingest.changed_files(found, manifest)
-    kinds = [r.kind for r in changed.select("kind").distinct().collect()]  # three at most
-    existing = writers.read_store(spark, store)
-    if kinds:
-        staged = cut_lineage(parse_folder(spark, path, kinds=kinds, **parsing))
+    changed = found if manifest is None else cut_lineage(ingest.changed_files(found, manifest))
+    counts = {r.kind: r["count"] for r in changed.groupBy("kind").count().collect()}  # three at most
+    files: dict[str, list[str]] = {}
+    for kind, n in counts.items():
+        if manifest is None or n > LISTED_FILES:
+            files[kind] = [f"{path}/{SHAPES[kind]}"]
+        else:
+            files[kind] = [r.path for r in changed.filter(F.col("kind") == kind).collect()]
+    if files:
+        staged = cut_lineage(parse_folder(spark, path, files=files, **parsing))
+        months = touched_months(ingest.prepare(staged))
     else:
-        staged = existing.drop("id").limit(0)
+        staged, months = writers.read_store(spark, store).drop("id").limit(0), []
+    existing = writers.read_store(spark, store, months=months)
     fresh = cut_lineage(ingest.new_entries(
         ingest.prepare(staged).select(*ENTRY_COLUMNS), existing))
     stats = cut_lineage(ingest.ingest_stats(staged, existing))
     if not dry_run:
         writers.write_raw(fresh, store)
-    return IngestRun(stats, fresh.select("date").distinct(), found)
+    before = found.limit(0) if manifest is None else manifest
+    done = before if dry_run else found
+    return IngestRun(stats, fresh.select("date").distinct(), done)
 
 
 def update_units(spark: SparkSession, store: str, units: DataFrame | None, dates: DataFrame,

@@ -32,7 +32,9 @@ def build_session(app: str = "stratalog", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", shuffle_partitions)
-    for name, value in {**RUNTIME, **conf}.items():
+    # Checkpoint files go when nothing refers to them any more; this is read at the start only.
+    clean = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for name, value in {**RUNTIME, **clean, **conf}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

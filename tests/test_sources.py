@@ -351,20 +351,26 @@ def test_whole_run(spark, tmp_path):
                          "<div>Prompted feelings<br>Nov 15, 2023, 1:00:00 PM UTC<p>hm</p></div>")
     put(raw, "old.md", "2023-11-20\nfirst")
 
+    calls = spark.sparkContext.accumulator(0)
+
     def label(system, user):
+        calls.add(1)
         return "coding related" if "code" in user else "therapy"
-    parsing = {"label": label, "keep": ["self_reflection_psychology_therapy_dating"]}
+    parsing = {"label": label, "keep": ["self_reflection_psychology_therapy_dating"],
+               "labels": str(tmp_path / "labels")}
     dry = pipeline.run_ingest(spark, str(raw), store, dry_run=True, **parsing)
     assert tuple(dry.stats.first()) == (3, 4, 0) and not (tmp_path / "store").exists()
+    asked = calls.value
+    assert asked > 0 and dry.manifest.count() == 0
     run = pipeline.run_ingest(spark, str(raw), store, **parsing)
-    assert tuple(run.stats.first()) == (3, 4, 0)
+    assert tuple(run.stats.first()) == (3, 4, 0) and calls.value == asked
     units = pipeline.update_units(spark, store, None, run.dates)
     assert units.filter("level = 'day'").count() == 3
     again = pipeline.run_ingest(spark, str(raw), store, run.manifest, **parsing)
     assert tuple(again.stats.first()) == (0, 0, 0) and again.dates.count() == 0
     put(raw, "late.txt", "2023-11-14\nlate\n2023-12-01\nlater")
     more = pipeline.run_ingest(spark, str(raw), store, run.manifest, **parsing)
-    assert tuple(more.stats.first()) == (1, 2, 1)
+    assert tuple(more.stats.first()) == (1, 2, 0)  # the files that stayed are not read again
     assert rows(more.dates, "date") == [("2023-11-14",), ("2023-12-01",)]
     units = pipeline.update_units(spark, store, units, more.dates)
     path = str(tmp_path / "units")
