@@ -69,8 +69,8 @@ def run_hierarchy(entries: DataFrame, units: DataFrame | None = None,
     Days in the range (plus ``history_n`` present days before it) that have no unit yet
     are added; units above new days are dropped; then each level is completed from the
     whole level below.  Finished units are kept.  ``describe(level, pending, store)`` may
-    add text columns to the pending units; every level is made durable before the next
-    reads it.
+    add text columns to the pending units; the new units of a level are made durable before
+    the next reads them.
     """
     for level in levels:
         check_level(level)
@@ -82,9 +82,9 @@ def run_hierarchy(entries: DataFrame, units: DataFrame | None = None,
                          [*keys, "period_start"], "left_semi").select(*days.columns)
 
     def settle(level: str, pending: DataFrame, store: DataFrame | None) -> DataFrame:
-        done = pending if describe is None else describe(level, pending, store)
-        both = done if store is None else store.unionByName(done, allowMissingColumns=True)
-        return cut_lineage(both)
+        # Only the new units are made durable; the store itself is not written again.
+        done = cut_lineage(pending if describe is None else describe(level, pending, store))
+        return done if store is None else store.unionByName(done, allowMissingColumns=True)
 
     store = units
     if "day" in levels:
