@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stratalog.llm.common import bounded_batches, free, others, whole_row
+from stratalog.llm.common import bounded_batches, free, others, whole_row, written
 from stratalog.llm.shingles import Minima, lower_words, shingle_set
 
 WORD = re.compile(r"[^\W_]+")
@@ -39,8 +39,8 @@ OTHER = -0.5       # score of a token without a telling feature
 FOLD = 4           # one sample document in four calibrates
 SIGNIFICANT = 0.05
 NO_EVIDENCE = -10.0  # extreme-value score of a text without any segment, and the least of all
-CACHE_WORDS = 1 << 16
-FLUSH_FEATURES = 1 << 18
+CACHE_WORDS = 1 << 17
+FLUSH_FEATURES = 1 << 17
 
 
 def features(word: str) -> list[str]:
@@ -144,9 +144,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataF
     sample = (labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .filter("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic"))
-            .withColumn("keys", likeness("text")).persist())
+    distinct = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+                .filter("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic")))
+    rows = written(distinct.withColumn("keys", likeness("text")), "sample")
     apart = rows.select(F.xxhash64("text").alias("id"), "toxic",
                         *[F.col("keys")[i].alias(f"k{i}") for i in range(4)])
     for i in range(4):
@@ -205,24 +205,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z:
     """Learn from labels (doc_id, toxic) outside the held-out rows; no labels, no model."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = training_rows(docs, labels, sample_rows).persist()
-    counts = feature_counts(rows).filter("all_t + all_c >= 3").persist()
-    try:
-        z, odds = weighed(counts, "t", "c")
-        all_z, all_odds = weighed(counts, "all_t", "all_c")
-        strong = (counts.select("feature", z.alias("z"), odds.alias("odds"),
-                                all_z.alias("all_z"), all_odds.alias("all_odds"))
-                  .withColumn("_z", F.greatest(F.abs("z"), F.abs("all_z")))
-                  .filter(F.col("_z") >= least_z).orderBy(F.desc("_z"), "feature")
-                  .limit(max_features).collect())
-        tried = Model({r.feature: (r.z, r.odds) for r in strong if abs(r.z) >= least_z})
-        model = Model({r.feature: (r.all_z, r.all_odds) for r in strong
-                       if abs(r.all_z) >= least_z})
-        _calibrate(tried, rows.filter("fold = 0"))
-        model.rate, model.scale, model.curve = tried.rate, tried.scale, tried.curve
-    finally:
-        rows.unpersist()
-        counts.unpersist()
+    rows = training_rows(docs, labels, sample_rows)
+    counts = written(feature_counts(rows).filter("all_t + all_c >= 3"), "features")
+    z, odds = weighed(counts, "t", "c")
+    all_z, all_odds = weighed(counts, "all_t", "all_c")
+    strong = (counts.select("feature", z.alias("z"), odds.alias("odds"),
+                            all_z.alias("all_z"), all_odds.alias("all_odds"))
+              .withColumn("_z", F.greatest(F.abs("z"), F.abs("all_z")))
+              .filter(F.col("_z") >= least_z).orderBy(F.desc("_z"), "feature")
+              .limit(max_features).collect())
+    tried = Model({r.feature: (r.z, r.odds) for r in strong if abs(r.z) >= least_z})
+    model = Model({r.feature: (r.all_z, r.all_odds) for r in strong if abs(r.all_z) >= least_z})
+    _calibrate(tried, rows.filter("fold = 0"))
+    model.rate, model.scale, model.curve = tried.rate, tried.scale, tried.curve
     return model
 
 
