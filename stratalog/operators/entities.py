@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stratalog.functions import text as X
 from stratalog.operators import paging
@@ -52,9 +52,12 @@ def entity_aliases(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def alias_map(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Alias to id; an alias of several entities goes to the rarest, then the latest seen."""
     keys = list(keys)
-    rank = discover_entities(mentions, keys).select(
-        *keys, "id", F.struct((-F.col("appearances")).alias("n"), "first_seen").alias("_rank"))
-    return (entity_aliases(mentions, keys).join(rank, [*keys, "id"])
+    # One pass over the mentions: the rank of an id is a window over its distinct spellings.
+    own = Window.partitionBy(*keys, "id")
+    rank = F.struct((-F.sum("_n").over(own)).alias("n"), F.min("_seen").over(own).alias("seen"))
+    both = F.array_distinct(F.array(F.lower("_raw"), F.lower("_norm")))
+    return (name_table(mentions, keys).withColumn("_rank", rank)
+            .select(*keys, "id", "_rank", F.explode(both).alias("alias"))
             .groupBy(*keys, "alias").agg(F.max_by("id", "_rank").alias("id")))
 
 

@@ -157,8 +157,8 @@ NOTES_FIXED = len("sys") + 1 + len("About :\n\nEnd.")
       ORDER BY period_start DESC, seq DESC) - 2 AS total FROM fact),
   k AS (SELECT id, count(*) AS n, string_agg(line, E'\\n\\n' ORDER BY period_start, seq) AS t FROM n
     WHERE trunc((total + length(id) + {NOTES_FIXED}) / CAST(3.2 AS DOUBLE)) <= 300 GROUP BY id)
-SELECT id, coalesce(n, 0) AS n_notes, 'About ' || id || E':\\n' || coalesce(t, '(none)') || E'\\nEnd.' AS prompt
-FROM (SELECT DISTINCT id FROM fact) LEFT JOIN k USING (id)""")
+SELECT id, coalesce(n, 0) AS n_notes, every - coalesce(n, 0) AS n_dropped, 'About ' || id || E':\\n' || coalesce(t, '(none)') || E'\\nEnd.' AS prompt
+FROM (SELECT id, count(*) AS every FROM fact GROUP BY id) LEFT JOIN k USING (id)""")
 def _(s, d):
     notes = facts(s, d).withColumnRenamed("content", "note")
     return synthesis.timeline_prompts(
