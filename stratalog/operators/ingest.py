@@ -269,20 +269,28 @@ def apply_date_overrides(entries: DataFrame, fixes: DataFrame, on: Sequence[str]
 
 
 def forward_fill_dates(lines: DataFrame, file: Sequence[str] = ("file",), line: str = "line_no",
-                       anchor: str = "anchor", text: str = "line") -> DataFrame:
+                       anchor: str = "anchor", text: str = "line", block: Column | None = None
+                       ) -> DataFrame:
     """Lines between two anchors form one entry dated by the upper anchor.
 
-    A line's number exists only because its file was read as one row, so the window over
-    a file is never larger than that row.  Text above the first anchor stays undated.
+    ``line`` orders the lines of a file and ``block`` cuts that order (65,536 line numbers
+    by default), so a file of any size is filled block by block: the last anchor of every
+    block is one small row, and a window over those rows carries it into the next blocks.
+    Text above the first anchor stays undated.
     """
     file = list(file)
-    upto = (Window.partitionBy(*file).orderBy(line)
+    block = F.floor(F.col(line) / 65_536) if block is None else block
+    mark = F.when(F.col(anchor).isNotNull(), F.struct(F.col(line).alias("at"),
+                                                      F.col(anchor).alias("date")))
+    rows = lines.select(*file, line, text, mark.alias("_m"), block.alias("_b"))
+    before = Window.partitionBy(*file).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*file, "_b").agg(F.max("_m").alias("_last")).select(
+        *file, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    upto = (Window.partitionBy(*file, "_b").orderBy(line)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = lines.select(
+    marked = rows.join(carried, [*file, "_b"]).select(
         *file, line, text,
-        F.last(F.when(F.col(anchor).isNotNull(), F.struct(F.col(line).alias("at"),
-                                                          F.col(anchor).alias("date"))),
-               ignorenulls=True).over(upto).alias("_a"))
+        F.coalesce(F.last("_m", ignorenulls=True).over(upto), "_carried").alias("_a"))
     body = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(line, text))), lambda r: r[text]), "\n")
     grouped = (marked.withColumns({"_at": F.col("_a.at"), "_date": F.col("_a.date")})

@@ -15,6 +15,7 @@ from stratalog.operators import ingest
 from stratalog.plans import models
 from stratalog.schema import (CHAT_FILE, DAY_FILE, ENTRY_DEFAULTS, LEVELS, MERGED_FILE,
                               PROFILE_BODY, SUMMARY_BODY, TURN_FILE)
+from stratalog.session import cut_lineage
 
 
 
@@ -190,11 +191,20 @@ def split_lines(docs: DataFrame, text: str) -> DataFrame:
 
 def read_line_dated_text(spark: SparkSession, path: str, fn: models.ModelFn | None = None
                          ) -> DataFrame:
-    """One long text with date lines between paragraphs, as entry rows."""
-    docs = spark.read.text(path, wholetext=True).select(file_name().alias("file"),
-                                                        F.col("value").alias("text"))
-    lines = models.detect_dates(split_lines(docs, "text"), fn)
-    return ingest.dated_entries(ingest.resolve_undated(ingest.forward_fill_dates(lines)))
+    """Long texts with date lines between paragraphs, as entry rows.
+
+    A file is read by lines and in as many parts as Spark splits it into.  A line's place is
+    the start of its part and its number there; the lines are made durable once, so a model
+    is asked about each line once.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("part"),
+                     F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        file_name().alias("file"), place.alias("line_no"), F.col("value").alias("line"))
+    dated = cut_lineage(models.detect_dates(lines, fn))
+    block = F.struct("line_no.part", F.floor(F.col("line_no.n") / 65_536).alias("n"))
+    filled = ingest.forward_fill_dates(dated, block=block)
+    return ingest.dated_entries(ingest.resolve_undated(filled))
 
 
 def route_sources(spark: SparkSession, path: str) -> DataFrame:

@@ -133,6 +133,36 @@ def test_line_dated_text(spark, tmp_path):
         ("1999-09-09", "at all")]
 
 
+def test_long_dated_text_in_many_parts(spark, tmp_path):
+    """A file in many splits, and blocks of a few lines, give what one pass over the lines gives."""
+    lines = ["above all dates"]
+    for i in range(400):
+        lines.append(f"2021-{i % 12 + 1:02d}-{i % 28 + 1:02d} head {i}" if i % 37 == 5 else f"line {i} " * (i % 5))
+    path = put(tmp_path, "long.txt", "\n".join(lines))
+    want, body, day = [], [], None
+    for ln in [*lines, "2099-01-01"]:
+        if ln.startswith("20"):
+            if day:
+                want.append((day, "\n".join(body).strip()))
+            day, body = ln[:10], []
+        body.append(ln)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = readers.read_line_dated_text(spark, path).cache()
+        dated = rows(got.filter(~F.contains("text", F.lit("above all"))), "date", "text")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert dated == sorted(want)
+    numbered = spark.createDataFrame([("f", i, ln) for i, ln in enumerate(lines)],
+                                     "file STRING, line_no INT, line STRING")
+    marked = models.detect_dates(numbered)
+    whole = rows(ingest.forward_fill_dates(marked), "first_line", "datetime_parsed", "user")
+    cut = ingest.forward_fill_dates(marked, block=F.floor(F.col("line_no") / 3))
+    assert rows(cut, "first_line", "datetime_parsed", "user") == whole and len(whole) == len(want) + 1
+
+
 def test_route_sources_and_manifest(spark, tmp_path):
     for name in ("a.JSON", "b.html", "c.txt", "d.md", "e.png", "sub/f.json"):
         put(tmp_path, name, "{}")
