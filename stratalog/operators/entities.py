@@ -177,27 +177,41 @@ def lookup_entity(requests: DataFrame, profiles: DataFrame, keys: Sequence[str]
                         .otherwise("not_found").alias("matched_by"))
 
 
-def dossier(units: DataFrame, label: str, aliases: Iterable[str], level: str) -> DataFrame:
-    """Notes about a label from the entity maps of all units at a level.
+def dossier(units: DataFrame, label: str, aliases: Iterable[str], level: str,
+            keys: Sequence[str] = ()) -> DataFrame:
+    """Notes about one label from the entity maps of all units at a level."""
+    found = dossiers(units, {label: list(aliases)}, level, keys)
+    return found.drop("label")
 
-    Only the first map key that contains a search term, or is contained in one, counts;
-    a note saying "not mentioned" is dropped after that choice.
+
+def dossiers(units: DataFrame, labels: dict[str, Sequence[str]], level: str,
+             keys: Sequence[str] = ()) -> DataFrame:
+    """Notes about many labels, each with its aliases, in one pass over the units.
+
+    Only the first map key that contains a search term of a label, or is contained in one,
+    counts; a note saying "not mentioned" is dropped after that choice.
     """
-    terms = [label.lower(), *[a.lower() for a in aliases]]
-
-    def hit(entry):
-        key = F.lower(entry["key"])
-        found = F.lit(False)
-        for t in terms:
-            found = found | F.contains(key, F.lit(t)) | F.contains(F.lit(t), key)
-        return found
-
-    first = F.try_element_at(F.filter(F.map_entries("entities"), hit), F.lit(1))
-    return (units.filter(F.col("level") == level).withColumn("_e", first)
-            .filter(F.col("_e").isNotNull()
-                    & ~F.contains(F.lower(F.col("_e.value")), F.lit("not mentioned")))
-            .select("period_start", "period_end", F.col("level").alias("unit"),
-                    F.col("_e.key").alias("key"), F.col("_e.value").alias("note")))
+    def first_of(label: str, aliases: Sequence[str]):
+        terms = [label.lower(), *[a.lower() for a in aliases]]
+
+        def hit(entry):
+            key = F.lower(entry["key"])
+            found = F.lit(False)
+            for t in terms:
+                found = found | F.contains(key, F.lit(t)) | F.contains(F.lit(t), key)
+            return found
+
+        entry = F.try_element_at(F.filter(F.map_entries("entities"), hit), F.lit(1))
+        return F.struct(F.lit(label).alias("label"), entry["key"].alias("key"),
+                        entry["value"].alias("note"))
+
+    hits = F.filter(F.array(*[first_of(k, v) for k, v in labels.items()]),
+                    lambda e: e["key"].isNotNull() & ~F.contains(F.lower(F.coalesce(
+                        e["note"], F.lit("not mentioned"))), F.lit("not mentioned")))
+    return (units.filter(F.col("level") == level)
+            .select(*keys, "period_start", "period_end", F.col("level").alias("unit"),
+                    F.explode(hits).alias("_e"))
+            .select(*keys, "period_start", "period_end", "unit", "_e.label", "_e.key", "_e.note"))
 
 
 def timeline_text(notes: DataFrame, group: Sequence[str], order: paging.Order,

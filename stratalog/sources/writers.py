@@ -69,24 +69,25 @@ def write_units(units: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
                  [*keys, "part", "level", "period_start"], "part")
 
 
-def merged_metadata(entries: DataFrame) -> DataFrame:
-    """Header of a merged export: days, entries, first and last date, format."""
-    return entries.agg(F.countDistinct("date").alias("total_days"),
+def merged_metadata(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Header of a merged export: days, entries, first and last date, format; one per stream."""
+    return entries.groupBy(*keys).agg(F.countDistinct("date").alias("total_days"),
                        F.count(F.lit(1)).alias("total_entries"),
                        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
                        F.lit("2.0").alias("format_version"))
 
 
-def export_merged(entries: DataFrame, path: str, page_chars: int = paging.PAGE_CHARS) -> None:
+def export_merged(entries: DataFrame, path: str, page_chars: int = paging.PAGE_CHARS,
+                  keys: Sequence[str] = ()) -> None:
     """Nested days as JSON lines ordered by date, and the header beside them."""
-    days = ingest.load_days(entries, page_chars=page_chars)
+    days = ingest.load_days(entries, keys=keys, page_chars=page_chars)
     body = F.transform("entries", lambda e: F.struct(
         e["time"].alias("time"), e["source"].alias("source"),
         F.coalesce(e["source_file"], F.lit("")).alias("source_file"), e["role"].alias("role"),
         e["text"].alias("text")))
-    (days.select("date", "page", body.alias("entries")).orderBy("date", "page")
+    (days.select(*keys, "date", "page", body.alias("entries")).orderBy(*keys, "date", "page")
      .write.mode("overwrite").json(f"{path}/entries"))
-    merged_metadata(entries).write.mode("overwrite").json(f"{path}/metadata")
+    merged_metadata(entries, keys).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def export_split(df: DataFrame, path: str, name: str) -> None:
@@ -142,7 +143,10 @@ def read_alias_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dossiers(notes: DataFrame, path: str) -> None:
-    """Dossier notes by label; the folder name is the label made safe."""
+    """Dossier notes by label; the folder name is the label made safe.
+
+    Stream columns are kept in the rows; readers name them in their schema.
+    """
     (notes.withColumn("safe_label", X.safe_label("label")).hint("rebalance", "safe_label")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("safe_label").json(path))
