@@ -5,12 +5,12 @@ number per bin, and how many bins are filled that way.  A histogram has at most
 lengths whatever the corpus, and so has the work.
 
 Best-fit decreasing gives the incumbent.  If it needs more bins than the lower bound, a
-depth-first search fills bins around the largest length left: it enumerates fillings of the
-rest that no other dominates (maximal, and no length left over could replace one item or two
-and still fit), the fullest first and no more once one leaves no room, applies each as often as the counts allow, and gives up a
-branch as soon as its waste exceeds what a better packing may waste.  The search stops at the
-lower bound or after ``nodes`` fillings; the incumbent is then the answer, so a limit never
-drops a document.
+depth-first search fills bins around the largest length left.  It enumerates fillings of the
+rest that no other dominates: maximal ones, where no length left over could replace one item
+or two and still fit.  The fullest come first, and no more once one leaves no room.  Each is
+applied as often as the counts allow, and a branch is given up as soon as its waste exceeds
+what a better packing may waste.  The search stops at the lower bound or after ``nodes``
+fillings; the incumbent is then the answer, so a limit never drops a document.
 """
 
 from __future__ import annotations

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
