@@ -8,7 +8,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalog.functions import periods as P, text as X
-from stratalog.operators import context as C, ingest, paging, periods
+from stratalog.operators import context as C, ingest, periods
 from stratalog.schema import CHILD_LEVEL, CHILDREN_PER_UNIT, check_level
 
 RULE = "\n\n---\n\n"
