@@ -23,9 +23,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, survives executors."""
+# Files of a thin table at most, per core of the cluster.
+FILES_PER_CORE = 4
+
+
+def written(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts the lineage, survives executors.
+
+    ``thin`` tables (ids, digests, edges; no texts) are written in a few files per core of
+    the cluster instead of one per shuffle partition, which spares the store many tiny files.
+    """
     path = new_path(df.sparkSession, name)
+    if thin:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

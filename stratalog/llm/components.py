@@ -44,9 +44,9 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Loops and repeated edges are ignored; no edges give no rows.
     """
     state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                    .filter("u <> v").distinct(), "edges")
+                    .filter("u <> v").distinct(), "edges", True)
     for _ in range(rounds):
         if settled(state):
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = written(small_star(large_star(state)), "edges")
+        state = written(small_star(large_star(state)), "edges", True)
     raise RuntimeError("the components did not settle")

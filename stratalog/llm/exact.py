@@ -75,7 +75,7 @@ def group(prints: DataFrame) -> DataFrame:
 
 def publish(groups: DataFrame, buckets: int | None = None) -> Snapshot:
     """Write the groups of a batch as a snapshot with its filters."""
-    digests = written(groups, "snapshot")
+    digests = written(groups, "snapshot", True)
     count = digests.count()
     buckets = buckets or max(spread(digests), math.ceil(count / KEYS_PER_FILTER))
 
@@ -86,7 +86,7 @@ def publish(groups: DataFrame, buckets: int | None = None) -> Snapshot:
 
     filters = (digests.select(_bucket(buckets), "digest").groupBy("bucket")
                .applyInArrow(build, _FILTER))
-    return Snapshot(digests, written(filters, "filters"), buckets)
+    return Snapshot(digests, written(filters, "filters", True), buckets)
 
 
 def known_to(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -117,7 +117,7 @@ def exact_groups(prints: DataFrame, batches: int) -> DataFrame:
         groups = group(prints.filter(F.col("batch") == batch))
         fresh = groups
         for snapshot in snapshots:
-            asked = written(known_to(fresh, snapshot), "asked")
+            asked = written(known_to(fresh, snapshot), "asked", True)
             names = groups.columns
             maybe = asked.filter("known").select(names)
             hits.append(maybe.join(snapshot.digests.select("digest"), "digest", "left_semi"))
@@ -163,7 +163,7 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bat
         rows.select("doc_id", points, digest(F.col("text")).alias("digest"),
                     F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")),
         "digests")
-    groups = written(exact_groups(prints, batches), "groups")
+    groups = written(exact_groups(prints, batches), "groups", True)
     several = groups.filter("n > 1").select("digest")
 
     # Byte checks: rows with a digest in common, compared by their whole normalised texts.
@@ -172,7 +172,7 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bat
                                    normal_text(F.col("text")).alias("normal"))
     classes = texts.groupBy("digest", F.col("normal")).agg(F.count(F.lit(1)).alias("n"))
     clashes = written(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
-                      .filter("texts > 1").select("digest"), "clashes")
+                      .filter("texts > 1").select("digest"), "clashes", True)
 
     best = ["n", F.col("points").alias("most"), (-F.col("neg")).alias("keep_id")]
     placed = _placed(prints.groupBy("doc_id", "points", "digest").agg(F.count(F.lit(1)).alias("times")),
@@ -207,10 +207,10 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bat
     Rows whose id is in no group with others pass the bitmap screen and never move; the few
     that may be dropped are settled by digest, and one of repeated rows stays.
     """
-    found = written(find_copies(docs, text, doc_id, batches), "copies")
+    found = written(find_copies(docs, text, doc_id, batches), "copies", True)
     loose = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"),
                                         F.min("kept").alias("all_kept"))
-    unsure = written(loose.filter("rows > 1 OR NOT all_kept").select("doc_id"), "unsure")
+    unsure = written(loose.filter("rows > 1 OR NOT all_kept").select("doc_id"), "unsure", True)
     maybe, key = Screen(unsure), F.col(doc_id).cast("long")
     asked = maybe.split(docs, key).select(
         whole_row(docs).alias("row"), key.alias("_id"),

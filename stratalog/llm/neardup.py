@@ -92,7 +92,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     """u, v: every member of a bucket with the bucket's smallest member; from node, bands."""
     rows = classes.select("node", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"))
-                     .filter("n > 1").select("key", "v"), "buckets")
+                     .filter("n > 1").select("key", "v"), "buckets", True)
     return (Screen(shared, "key").split(rows, F.col("key")).join(shared, "key").filter("node <> v")
             .select(F.col("node").alias("u"), "v").distinct())
 
@@ -227,7 +227,7 @@ def find_groups(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id
                       .agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "classes")
     families = connected(candidates(classes))
     families = written(families.unionAll(
-        families.select(F.col("component").alias("node"), "component").distinct()), "families")
+        families.select(F.col("component").alias("node"), "component").distinct()), "families", True)
 
     # The sets of the classes that have a candidate, read from their texts again.
     named = classes.select("node", "class").join(families, "node")
@@ -237,7 +237,7 @@ def find_groups(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id
                    .select("node", "n", "shingles", F.col("component").alias("family")), "sets")
     tasks = _tasks(sets.select("family", "node", "n"), plan)
     links = _verify(tasks.join(sets.select("node", "n", "shingles"), ["node", "n"]), plan)
-    groups = written(connected(links), "groups")
+    groups = written(connected(links), "groups", True)
 
     of_class = classes.select("class", F.col("node").alias("first")).join(
         groups.select(F.col("node").alias("first"), "component"), "first", "left").select(
@@ -268,9 +268,9 @@ def drop_near_copies(docs: DataFrame, plan: Plan = Plan(), text: str = "text",
 
     Rows whose id is settled as kept never move; of rows repeated with their id one stays.
     """
-    found = written(find_groups(docs, plan, text, doc_id), "near")
+    found = written(find_groups(docs, plan, text, doc_id), "near", True)
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
-    unsure = written(ids.filter("rows > 1 OR NOT kept"), "unsure")
+    unsure = written(ids.filter("rows > 1 OR NOT kept"), "unsure", True)
     maybe, key = Screen(unsure), F.col(doc_id).cast("long")
     asked = maybe.split(docs, key).select(whole_row(docs).alias("row"), key.alias("_id"),
                                            F.col(text).alias("_text"))

@@ -123,7 +123,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text
     before = Window.partitionBy("length").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
     bases = written(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))),
-                    "bases")
+                    "bases", True)
     histogram = {r["length"]: r["n"] for r in
                  bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(

@@ -293,10 +293,10 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                        F.col(text).alias("text"))
     prints = written(_read(rows).drop("text"), "prints")
     firsts = written(prints.filter(F.col("n_words") >= WINDOW).groupBy("digest")
-                     .agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "firsts")
+                     .agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "firsts", True)
     several = firsts.filter("first <> last").select("digest", "first")
     copies = written(prints.join(several, "digest").filter("doc > first")
-                     .select("doc", "digest"), "copies")
+                     .select("doc", "digest"), "copies", True)
 
     # Representatives: rows that cannot be copies, and of the rest those that are not.
     maybe, doc = Screen(copies, "doc"), F.col("doc")
@@ -318,7 +318,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nothing = F.lit(hashlib.sha256(b"").digest())
     gone = copies.distinct().select("doc", "digest", F.lit(None).cast("long").alias("n_removed"),
                                     nothing.alias("kept_digest"), F.lit("").alias("kept"))
-    known = written(cut.unionAll(gone), "cut").withColumn("_cut", F.lit(True))
+    known = written(cut.unionAll(gone), "cut", True).withColumn("_cut", F.lit(True))
     out = prints.join(known, ["doc", "digest"], "left")
     is_cut = F.coalesce("_cut", F.lit(False))
     return out.select(

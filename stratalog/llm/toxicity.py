@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = training_rows(docs, labels, sample_rows)
-    counts = written(feature_counts(rows).filter("all_t + all_c >= 3"), "features")
+    counts = written(feature_counts(rows).filter("all_t + all_c >= 3"), "features", True)
     z, odds = weighed(counts, "t", "c")
     all_z, all_odds = weighed(counts, "all_t", "all_c")
     strong = (counts.select("feature", z.alias("z"), odds.alias("odds"),

@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, captured: Column | None = None,
               .groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1 AND first IS NOT NULL").select("sha1", "first"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    told = rows.join(written(firsts, "firsts"), "sha1", "left").select(
+    told = rows.join(written(firsts, "firsts", True), "sha1", "left").select(
         "page_id", "url", "captured", "html", "sha1", refers.alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
