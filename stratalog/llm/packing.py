@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from tokenizers import Tokenizer
 
 from stratalog.llm import bins
 from stratalog.llm.bpe import BYTE_LEVEL, byte_letters
@@ -36,12 +37,21 @@ def encoder(content: bytes) -> Callable[[str], np.ndarray]:
     """Text -> ids as the tokenizers library gives them for this file, special strings included.
 
     Where ids follow the order of merges, a byte-level vocabulary is a table of ranks for
-    tiktoken, which is several times faster; other files go to the tokenizers library.
+    tiktoken, which is several times faster; other files go to the tokenizers library, and so
+    does a text that tiktoken's split refuses (a run of about a million white-space characters).
     """
     spec = json.loads(content)
     model, split = spec["model"], spec["pre_tokenizer"] or {}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+
+    @lru_cache(maxsize=1)
+    def library() -> Tokenizer:
+        return Tokenizer.from_buffer(content)
+
+    def by_library(text: str) -> np.ndarray:
+        return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+
     plain = (model["type"] == "BPE" and split.get("type") == "ByteLevel"
              and not split.get("add_prefix_space") and split.get("use_regex", True)
              and not spec["normalizer"] and not model.get("ignore_merges")
@@ -55,10 +65,15 @@ def encoder(content: bytes) -> Callable[[str], np.ndarray]:
         special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         table = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks,
                                   special_tokens=special)
-        return lambda text: table.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
-    library = Tokenizer.from_buffer(content)
-    return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        def by_ranks(text: str) -> np.ndarray:
+            try:
+                return table.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the split's stack is full
+                return by_library(text)
+
+        return by_ranks
+    return by_library
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

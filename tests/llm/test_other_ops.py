@@ -154,6 +154,16 @@ def test_the_library_is_used_for_other_vocabularies():
         "Hello there", add_special_tokens=False).ids
 
 
+def test_endless_white_space_is_packed(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = [" " * 2_000_000, "a" + "\n \t" * 700_000 + "b<|endoftext|>", "short"]
+    packed = packing.pack(frame(spark, list(enumerate(texts))), PATH).collect()
+    for d, text in enumerate(texts):
+        pieces = sorted((p for p in packed if p.doc_id == d), key=lambda p: p.piece)
+        assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in pieces]).tolist() == [
+            *library.encode(text, add_special_tokens=False).ids, 0]
+
+
 RULES = reputation.rules("allow com/", "block example.com/en/", "allow www.example.com/en/",
                          "block net/es/", "block net/fr/")
 
