@@ -168,10 +168,11 @@ def _grandchildren(level: str, store: DataFrame, entries: DataFrame, template: s
 
 
 def merge_pages(pages: str, fields: T.StructType) -> list[Column]:
-    """One column per field from ordered (page, fields) structs: nothing of any page is lost.
+    """One column per field from ordered (page, fields) structs.
 
-    Lists are strung together without repeats, of maps the first page's value of a key counts,
-    texts are joined by line and other values come from the first page that has one.
+    Lists are strung together without repeats; texts, and the different values that a key of a
+    map has on the pages, are joined by line: of these nothing is lost.  A field of one word or
+    number (keywords, tone, scores) comes from the first page that has it.
     """
     one_line = (*R.KEYWORD_FIELDS, "emotional_tone")
 
@@ -181,9 +182,10 @@ def merge_pages(pages: str, fields: T.StructType) -> list[Column]:
         if isinstance(field.dataType, T.ArrayType):
             return F.array_distinct(F.flatten(values))
         if isinstance(field.dataType, T.MapType):
-            empty = F.create_map().cast(field.dataType)
-            return F.aggregate(values, empty, lambda acc, m: F.map_concat(acc, F.map_filter(
-                m, lambda k, _: ~F.map_contains_key(acc, k))))
+            named = F.array_distinct(F.flatten(F.transform(values, F.map_keys)))
+            return F.map_from_arrays(named, F.transform(named, lambda k: F.array_join(
+                F.array_distinct(F.filter(F.transform(values, lambda m: F.try_element_at(m, k)),
+                                          lambda v: v != "")), "\n")))
         if isinstance(field.dataType, T.StringType) and field.name not in one_line:
             told = F.filter(values, lambda v: v != "")
             return F.when(F.size(values) > 0, F.array_join(told, "\n"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.functions import periods as P
+from stratalog.functions import periods as P, text as X
 from stratalog.plans import hierarchy, models, prompts
 from stratalog.registry import base as B
 from stratalog.registry.base import ORACLES, query
-from stratalog.registry.context_q import CTX, DAYS, RULE, SYSTEM
+from stratalog.registry.context_q import CTX, DAYS, LINE, RULE, SYSTEM
 from stratalog.session import shared_folder
 from stratalog.sources import readers, writers
 
@@ -161,6 +162,45 @@ def _(s, d):
         F.array_sort(F.collect_list(F.struct("page", "own"))), lambda p: p["own"]), "\n\n").alias("text"))
 
 
+ENTRY_HEAD = r"(?m)^\[([0-9:]+) - (user|assistant)\]: "
+FIELDS_TEMPLATE, FIELDS_WINDOW = "{date}\n>>{entries}<<", 3600
+# Characters a day may have in one prompt; the pages of a longer one start at half of that.
+FIELDS_ROOM = (int((FIELDS_WINDOW - 1024 - prompts.DAY_RESERVE) * X.CHARS_PER_TOKEN) - len(SYSTEM) - 1
+               - len("\n>><<") - 10 - len("(none)") - len(prompts.PART_NOTE))
+
+
+def list_entries(system: str, user: str) -> str:
+    """A stand-in model: one event per entry of the prompt, and per role a note on its entries there."""
+    heads = re.findall(ENTRY_HEAD, user.split(">>", 1)[1])
+    times = {role: [t for t, r in heads if r == role] for _, role in heads}
+    return ("KEY_EVENTS:\n" + "".join(f"- {t} {role}\n" for t, role in heads) + "ENTITIES:\n"
+            + "".join(f"- [{role}]: {len(t)} from {t[0]} to {t[-1]}\n" for role, t in times.items()))
+
+
+@query("paged_day_fields", f"""WITH l AS (SELECT date, time, id, {LINE} AS line,
+    CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS who FROM raw_entry),
+  t AS (SELECT *, row_number() OVER w AS k, sum(length(line) + 2) OVER w - length(line) - 2 AS start,
+      sum(length(line) + 2) OVER (PARTITION BY date) - 2 AS whole
+    FROM l WINDOW w AS (PARTITION BY date ORDER BY time, id ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT *, CASE WHEN whole <= {FIELDS_ROOM} THEN 0 ELSE start // {FIELDS_ROOM // 2} END AS page FROM t),
+  e AS (SELECT date, string_agg(event, '|' ORDER BY k) AS events FROM (
+      SELECT date, time || ' ' || who AS event, min(k) AS k FROM p GROUP BY ALL) GROUP BY date),
+  n AS (SELECT date, who, string_agg(note, E'\n' ORDER BY page) AS note FROM (
+      SELECT date, who, note, min(page) AS page FROM (
+        SELECT date, who, page, count(*) || ' from ' || min(time) || ' to ' || max(time) AS note
+        FROM p GROUP BY date, who, page) GROUP BY ALL) GROUP BY date, who)
+SELECT e.date, events, u.note AS of_user, a.note AS of_assistant FROM e
+LEFT JOIN n u ON u.date = e.date AND u.who = 'user' LEFT JOIN n a ON a.date = e.date AND a.who = 'assistant'""")
+def _(s, d):
+    """Days described page by page in a small window: lists and maps hold what every page told."""
+    rows = B.raw_entry(s, d)
+    describe = hierarchy.describe_with(list_entries, rows, {"day_isolated": FIELDS_TEMPLATE}, SYSTEM, 0,
+                                       FIELDS_WINDOW)
+    notes = [F.try_element_at("entities", F.lit(who)).alias(f"of_{who}") for who in ("user", "assistant")]
+    return hierarchy.run_hierarchy(rows, levels=("day",), describe=describe).select(
+        F.col("period_start").alias("date"), F.array_join("key_events", "|").alias("events"), *notes)
+
+
 ORACLES["describe_run"] = f"SELECT level, period_start, true AS told FROM ({ORACLES['hierarchy']})"
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import text as X
+from stratalog.functions import replies as R, text as X
 from stratalog.operators import context, entities, ingest, paging, periods
 from stratalog.plans import hierarchy, models, prompts, synthesis
 
@@ -238,6 +238,20 @@ def test_run_with_a_model(entries):
     assert got.filter("summary IS NULL OR energy_level IS NULL OR emotional_tone <> 'calm'").count() == 0
 
 
+def test_pages_of_a_day_keep_all_notes(spark):
+    replies = ["ENTITIES:\n- [Ann]: calls\n- [Bob]: waits\nKEY_EVENTS:\n- a\n- b\nSUMMARY: one",
+               "SUMMARY: nothing else", None,
+               "ENTITIES:\n- [Bob]: waits\n- [Ann]: leaves\n- [Cy]:\nKEY_EVENTS:\n- b\n- c\nSUMMARY: two",
+               "ENTITIES:\n- [Ann]: calls\n- [Cy]: comes"]
+    pages = R.parse_replies(spark.createDataFrame(list(enumerate(replies)), "page INT, reply STRING"), "reply", "_s")
+    held = pages.coalesce(1).sortWithinPartitions("page").agg(F.collect_list(F.struct("page", "_s")).alias("p"))
+    merged = hierarchy.merge_pages("p", pages.schema["_s"].dataType)
+    got = held.select(*merged).first()
+    assert got.entities == {"Ann": "calls\nleaves", "Bob": "waits", "Cy": "comes"}
+    assert got.key_events == ["a", "b", "c"] and got.summary == "one\nnothing else\ntwo"
+    assert held.select(F.filter("p", lambda p: p["page"] == 2).alias("p")).select(*merged).first().entities == {}
+
+
 def test_target_days(entries):
     def days(start, end, n):
         return [r.date for r in prompts.target_days(entries, start, end, n).orderBy("date").collect()]
