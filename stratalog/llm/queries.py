@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontaminate, exact, neardup, packing, pii, reputation, substrings, toxicity, warc
+from stratalog.llm import (bpe, decontaminate, exact, neardup, packing, periodic, pii, reputation, spelling,
+                           substrings, tokenfiles, toxicity, warc)
 from stratalog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,9 +17,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 URL_RULES = reputation.rules("allow com/", "block example.com/en/", "allow www.example.com/en/",
@@ -212,6 +215,93 @@ FROM kept
 """
 
 
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a run planted into one document in ten, as op 11's contract says."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def _planted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for ids, texts in batches:
+        yield pa.array([b" ".join(planted_run(i, periodic.words(t))).decode()
+                        for i, t in zip(ids.to_pylist(), texts.to_pylist())], pa.string())
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    text = F.arrow_udf(_planted, "string")("doc_id", "text")
+    found = periodic.find_runs(docs.select("doc_id", text.alias("text")))
+    # The first of the greatest exponents in order of start and period; fractions by cross products.
+    best = F.aggregate("runs", F.col("runs")[0], lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return (found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def misspelt(doc_id: int | None, word: str) -> str:
+    """The word, or one letter less for one word in 199, as op 12's contract says."""
+    h = 1 if doc_id is None else zlib.crc32(word.encode(), zlib.crc32(f"{doc_id}:".encode()))
+    k = h % len(word)
+    return word if h % 199 else word[:k] + word[k + 1:]
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.find_variants(table(spark, sf, "documents").select("doc_id", "text"),
+                                   change=misspelt)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS raw
+    FROM documents),
+low AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+    count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(doc_id || ':' || w)) AS x FROM low),
+summed AS (SELECT w, n, xor(list_reduce(
+    list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT),
+    lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+        lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)),
+    4294967295::BIGINT), 4294967295) AS h FROM bytes),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+    ELSE w END AS word, sum(n)::BIGINT AS n FROM summed GROUP BY 1),
+v AS (SELECT * FROM words WHERE length(word) >= 6 AND n >= 5),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+gaps AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM cut),
+pairs AS (
+    SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y USING (i, a, b)
+        WHERE x.word <> y.word
+    UNION SELECT g.word, g.n, v.word, v.n FROM gaps g JOIN v ON v.word = g.a || g.b
+    UNION SELECT v.word, v.n, g.word, g.n FROM gaps g JOIN v ON v.word = g.a || g.b),
+best AS (SELECT word, count(*) AS n_near,
+    first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS tail FROM forms WHERE form IS NOT NULL
+    UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.tail WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.tail FROM chain c JOIN forms f ON f.word = c.tail WHERE f.form IS NULL)
+SELECT word, form, coalesce(tail, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
+
+
+@query
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json")).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
