@@ -5,23 +5,27 @@ number per bin, and how many bins are filled that way.  A histogram has at most
 lengths whatever the corpus, and so has the work.
 
 Best-fit decreasing gives the incumbent.  If it needs more bins than the lower bound, a
-depth-first search fills bins around the largest length left.  It enumerates fillings of the
-rest that no other dominates: maximal ones, where no length left over could replace one item
-or two and still fit.  The fullest come first, and no more once one leaves no room.  Each is
-applied as often as the counts allow, and a branch is given up as soon as its waste exceeds
-what a better packing may waste.  The search stops at the lower bound or after ``nodes``
-fillings; the incumbent is then the answer, so a limit never drops a document.
+depth-first search fills bins around the largest length left.  It enumerates the fillings of
+the rest that no other dominates, in the order of what they waste: maximal ones, where no length
+left over could stand beside the items, in place of one of them, or in place of two that are
+together no longer.  Sums that the lengths can reach are known beforehand as bits, so the
+enumeration never walks into a dead end; it is lazy, and goes on where it stopped when a branch
+has failed.  A filling is used as often as the counts allow, then less often.  A branch is given
+up when its waste, or the lower bound of what is left, rules out a better packing, or when
+the same lengths were left before in as few bins.  The search stops at the lower bound or
+after ``nodes`` branches, its only limit; the incumbent is then the answer, so a limit never
+drops a document.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import random
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-FILLINGS = 12  # branches of one node, the fullest first
-STEPS = 400    # partial fillings looked at for one node
+FEW_LENGTHS = 40  # with no more lengths left, a branch is also held against their lower bound
 
 
 @dataclass(frozen=True)
@@ -72,42 +76,49 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> list[Pattern]:
     return [Pattern(f, n) for fillings in open_.values() for f, n in fillings.items()]
 
 
-def fillings(counts: Mapping[int, int], room: int, waste: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room`` that leave at most ``waste``, the fullest first."""
+def fillings(counts: Mapping[int, int], room: int, waste: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated fillings of ``room`` that leave at most ``waste``, the fullest first, lazily."""
     lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
     rising = lengths[::-1]
-    out: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    steps = 0
-
-    def extend(at: int, room: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[None]:
-        nonlocal steps
-        steps += 1
-        fits = max(at, len(lengths) - bisect_right(rising, room))
-        if fits >= len(lengths):
-            if room <= waste and not dominated(chosen, room):
-                out.append((room, chosen))
-            yield
+    mask = (1 << room + 1) - 1
+    reach = [1] * (len(lengths) + 1)  # bit s: the lengths from here on have the sum s
+    for i in range(len(lengths) - 1, -1, -1):
+        n, bits = lengths[i], reach[i + 1]
+        left, part = min(counts[n], room // n), 1
+        while left:
+            part = min(part, left)
+            bits |= bits << n * part & mask
+            left, part = left - part, part * 2
+        reach[i] = bits
+
+    def exact(at: int, target: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple]:
+        if not target:
+            yield chosen
             return
-        for i in range(fits, len(lengths)):
+        for i in range(at, len(lengths)):
             n = lengths[i]
-            for k in range(min(counts[n], room // n), 0, -1):
-                yield from extend(i + 1, room - n * k, (*chosen, (n, k)))
+            for k in range(min(counts[n], target // n), 0, -1):
+                if reach[i + 1] >> target - n * k & 1:
+                    yield from exact(i + 1, target - n * k, (*chosen, (n, k)))
+            if not reach[i + 1] >> target & 1:
+                return
 
     def dominated(chosen: tuple[tuple[int, int], ...], rest: int) -> bool:
-        """Whether a length left over fits beside the items, or in place of one or two of them."""
         used = dict(chosen)
         items = [n for n, k in chosen for _ in range(min(k, 2))]
-        for s in {0, *items, *(a + b for i, a in enumerate(items) for b in items[i + 1:])}:
-            for i in range(bisect_right(rising, s), bisect_right(rising, s + rest)):
-                if used.get(rising[i], 0) < counts[rising[i]]:
-                    return True
-        return False
 
-    for _ in extend(0, room, ()):
-        if len(out) >= FILLINGS or steps > STEPS or out and not out[-1][0]:
-            break
-    out.sort(key=lambda x: (x[0], len(x[1])))
-    return [chosen for _, chosen in out]
+        def spare(low: int, high: int) -> bool:
+            return any(used.get(n, 0) < counts[n] for n in rising[low:high])
+
+        return (any(spare(bisect_right(rising, s), bisect_right(rising, s + rest)) for s in {0, *items})
+                or any(spare(bisect_left(rising, s), bisect_right(rising, s + rest))
+                       for s in {a + b for i, a in enumerate(items) for b in items[i + 1:]}))
+
+    for rest in range(min(waste, room) + 1):
+        if reach[0] >> room - rest & 1:
+            for chosen in exact(0, room - rest, ()):
+                if not dominated(chosen, rest):
+                    yield chosen
 
 
 def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> list[Pattern]:
@@ -118,52 +129,64 @@ def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> li
     best = best_fit(counts, capacity)
     bins, least = sum(p.times for p in best), lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
-    if bins <= least:
-        return best
-
-    left, done, visited = dict(counts), [], 0
-    # A stack of (fillings still to try at this depth, largest length there, waste so far).
-    allowed = (bins - 1) * capacity - total
-
-    def choices(waste: int) -> tuple[Iterator, int, int]:
+    left, done, used, visited = dict(counts), [], 0, 0
+    # What is left, as one number: a sum of random numbers of 128 bits, one per length.
+    rng = random.Random(1)
+    mark = {n: rng.getrandbits(128) for n in sorted(counts)}
+    state, seen = sum(mark[n] * c for n, c in counts.items()), {}
+
+    def branches(tried: tuple | None) -> Iterator[tuple[Counter, int]]:
+        """A filling with a number of uses each; the filling used just before is not tried again."""
         largest = max(left)
-        rest = {**left, largest: left[largest] - 1}
-        found = fillings(rest, capacity - largest, allowed - waste)
-        return iter(found or ([()] if capacity - largest <= allowed - waste else [])), largest, waste
+        now = {**left, largest: left[largest] - 1}
+        waste = (bins - 1) * capacity - total - (used * capacity - total + sum(
+            n * c for n, c in left.items()))
+        for chosen in fillings(now, capacity - largest, waste):
+            items = Counter({largest: 1})
+            items.update(dict(chosen))
+            pattern = tuple(sorted(items.items(), reverse=True))
+            if pattern != tried:
+                for times in range(min(left[n] // k for n, k in pattern), 0, -1):
+                    yield pattern, times
+
+    def apply(pattern: tuple, times: int) -> None:
+        nonlocal used, state
+        used += times
+        for n, k in pattern:
+            left[n] = left.get(n, 0) - k * times
+            state -= mark[n] * k * times
+            if not left[n]:
+                del left[n]
 
-    def undo() -> None:
-        pattern = done.pop()
-        for n, k in pattern.items:
-            left[n] = left.get(n, 0) + k * pattern.times
+    def hopeless() -> bool:
+        rest = sum(n * c for n, c in left.items())
+        need = -(-rest // capacity)
+        if len(left) <= FEW_LENGTHS:
+            need = max(need, lower_bound(left, capacity))
+        if used + need >= bins or seen.get(state, bins) <= used:
+            return True
+        seen[state] = used
+        return False
 
-    stack = [choices(0)]
+    stack = [branches(None)] if bins > least else []
     while stack and visited < nodes:
-        options, largest, waste = stack[-1]
         if len(done) == len(stack):
-            undo()
-        filling = next(options, None)
-        if filling is None:
+            pattern = done.pop()
+            apply(pattern.items, -pattern.times)
+        found = next(stack[-1], None)
+        if found is None:
             stack.pop()
             continue
         visited += 1
-        items = Counter({largest: 1})
-        items.update(dict(filling))
-        times = min(left[n] // k for n, k in items.items())
-        room = capacity - sum(n * k for n, k in items.items())
-        if room:  # a wasteful filling may be repeated only while the waste allows it
-            times = min(times, (allowed - waste) // room)
-        if times < 1:
-            continue
-        done.append(Pattern(tuple(sorted(items.items(), reverse=True)), times))
-        for n, k in items.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
+        pattern, times = found
+        apply(pattern, times)
+        done.append(Pattern(pattern, times))
         if left:
-            stack.append(choices(waste + room * times))
+            if not hopeless():
+                stack.append(branches(pattern))
             continue
-        best, bins = list(done), sum(p.times for p in done)
-        if bins <= least:
-            return best
-        allowed = (bins - 1) * capacity - total
+        if used < bins:
+            best, bins = list(done), used
+            if bins <= least:
+                return best
     return best

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -98,6 +99,45 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert bins.lower_bound(counts, 100) <= found
 
 
+def fewest_of(counts, capacity):
+    """The fewest bins of a histogram, by trying every maximal filling around the largest length."""
+    lengths = sorted(counts, reverse=True)
+
+    @lru_cache(None)
+    def go(left):
+        if not any(left):
+            return 0
+        at = next(k for k, c in enumerate(left) if c)
+        best = []
+
+        def fill(k, room, now):
+            for j in range(k, len(lengths)):
+                if now[j] and lengths[j] <= room:
+                    fill(j, room - lengths[j], now[:j] + (now[j] - 1,) + now[j + 1:])
+            if not any(c and lengths[j] <= room for j, c in enumerate(now)):
+                best.append(1 + go(now))
+
+        fill(0, capacity - lengths[at], left[:at] + (left[at] - 1,) + left[at + 1:])
+        return min(best)
+
+    return go(tuple(counts[n] for n in lengths))
+
+
+def test_bin_completion_is_optimal_on_repeated_lengths():
+    """Perfect fillings do not rule each other out, and a filling may be used less often than it could."""
+    known = {15: 3, 13: 1, 12: 5, 11: 5, 9: 3}
+    assert checked(known, 50, bins.complete(known, 50)) == 4
+    rng = random.Random(24)
+    beyond = 0
+    for _ in range(400):
+        capacity = rng.choice([20, 30, 50])
+        counts = {rng.randrange(3, capacity * 2 // 3): rng.randrange(1, 5) for _ in range(rng.randrange(2, 6))}
+        want = fewest_of(counts, capacity)
+        assert checked(counts, capacity, bins.complete(counts, capacity)) == want
+        beyond += checked(counts, capacity, bins.best_fit(counts, capacity)) > want
+    assert beyond > 3
+
+
 def test_bin_completion_on_large_histograms():
     rng = random.Random(22)
     counts = Counter(rng.randrange(300, 420) for _ in range(20_000))
