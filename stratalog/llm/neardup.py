@@ -6,19 +6,23 @@
    share a band have it in a bucket; a bucket is an edge from every member to its smallest.
    Components of those edges (large-star, small-star) are families: all candidates of a class
    are in its family.
-3. Families are verified on the full sets.  A family is split by size class and then into
-   blocks of bounded rows and bytes; only pairs of blocks whose sizes can reach the
-   similarity meet.  A task counts all intersections of a pair of blocks with bit rows, in
-   memory, and returns for each member the smallest it reaches: never more rows than members.
+3. Families are verified.  A family is split by size class and then into blocks of bounded rows
+   and bytes; only pairs of blocks whose sizes can reach the similarity meet.  In a pair of
+   blocks, members that are not yet joined compare their signatures (all minima); only a pair
+   whose signatures agree often enough is counted on the full sets, as bit rows, which decides.
+   The task returns for each member the smallest it reaches: never more rows than members.
 4. The links' components, again by stars, are the groups.
 
-Bands of 6 in 45 miss a pair at similarity 0.8 with probability 1e-6, less above.  Sets are
-moved only for classes with a candidate, once each in families of one block.
+Bands of 6 in 45 miss a pair at similarity 0.8 with probability 1e-6, less above; signatures
+of 270 minima of such a pair agree in less than the estimate asked for (0.25 below the similarity)
+with probability below 1e-20.  Sets and signatures are moved only for classes with a candidate,
+once each in families of one block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +50,12 @@ class Plan:
     seed: int = 7
     block_members: int = 1024
     block_shingles: int = 1 << 20
+    slack: int = 25  # per cent that an estimate may lie below the similarity
+
+    @property
+    def agreeing(self) -> int:
+        """Minima that must agree before a pair's sets are compared."""
+        return self.bands * self.rows * (self.percent - self.slack) // 100
 
 
 def _prints(plan: Plan):
@@ -75,16 +85,18 @@ def _keys(minima: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def _sets(plan: Plan):
-    @F.arrow_udf("n long, class binary, shingles binary")
+    @F.arrow_udf("n long, class binary, shingles binary, signature binary")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        minima = Minima(plan.bands * plan.rows, plan.seed)
         for batch in batches:
             out = [shingle_set(lower_words(t), plan.words) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays(
                 [pa.array([len(s) for s in out], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in out],
                           pa.binary()),
-                 pa.array([s.tobytes() for s in out], pa.binary())],
-                names=["n", "class", "shingles"])
+                 pa.array([s.tobytes() for s in out], pa.binary()),
+                 pa.array([minima(s).tobytes() for s in out], pa.binary())],
+                names=["n", "class", "shingles", "signature"])
     return sets
 
 
@@ -147,9 +159,12 @@ def _tasks(members: DataFrame, plan: Plan) -> DataFrame:
         .select("node", "n", "side", F.xxhash64("family", "task").alias("task")))
 
 
-def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int
-             ) -> list[tuple[int, int]]:
-    """The links of a pair of blocks, as edges from each member to the smallest it reaches."""
+def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray,
+             plan: Plan, tally: Counter | None = None) -> list[tuple[int, int]]:
+    """The links of a pair of blocks, as edges from each member to the smallest it reaches.
+
+    ``tally`` counts the pairs whose signatures, and whose sets, were compared.
+    """
     m = len(nodes)
     sizes = np.array([len(s) for s in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -162,48 +177,49 @@ def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perce
     row, column = row[column >= 0], column[column >= 0]
     np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
 
-    top = list(range(m))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
+    top = np.arange(m)  # smallest member each one reaches
     for i in range(m - 1):
-        common = np.bitwise_count(bits[i] & bits[i + 1:]).sum(axis=1, dtype=np.int64)
-        near = 100 * common >= percent * (sizes[i] + sizes[i + 1:] - common)
+        loose = top[i + 1:] != top[i]
         if sides[i] != 2:
-            near &= sides[i + 1:] != sides[i]
-        for j in np.flatnonzero(near) + i + 1:
-            a, b = find(i), find(int(j))
-            top[max(a, b)] = min(a, b)
-    return [(int(nodes[i]), int(nodes[a])) for i in range(m) if (a := find(i)) != i]
+            loose &= sides[i + 1:] != sides[i]
+        others = np.flatnonzero(loose) + i + 1
+        alike = others[(signatures[others] == signatures[i]).sum(axis=1) >= plan.agreeing]
+        if tally is not None:
+            tally.update(signatures=len(others), sets=len(alike))
+        if not len(alike):
+            continue
+        common = np.bitwise_count(bits[i] & bits[alike]).sum(axis=1, dtype=np.int64)
+        near = alike[100 * common >= plan.percent * (sizes[i] + sizes[alike] - common)]
+        if len(near):
+            joined = np.unique(top[np.append(near, i)])
+            top[np.isin(top, joined)] = joined[0]
+    return [(int(nodes[i]), int(nodes[top[i]])) for i in range(m) if top[i] != i]
 
 
 def _verify(rows: DataFrame, plan: Plan) -> DataFrame:
-    """u, v: confirmed links of rows task, node, side, shingles, one task after the other."""
+    """u, v: confirmed links of rows task, node, side, shingles, signature, one task after the other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def done() -> pa.RecordBatch:
             links = []
             if len(held) > 1:
-                nodes, sides, sets = zip(*sorted(held, key=lambda x: x[0]))
+                nodes, sides, sets, minima = zip(*sorted(held, key=lambda x: x[0]))
                 links = links_of(np.array(nodes), np.array(sides),
-                                 [np.frombuffer(s, np.uint64) for s in sets], plan.percent)
+                                 [np.frombuffer(s, np.uint64) for s in sets],
+                                 np.stack([np.frombuffer(x, np.uint32) for x in minima]), plan)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64())
                                                for k in range(2)], names=["u", "v"])
 
         for batch in batches:
-            for t, node, side, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for t, *member in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if t != task:
                     yield done()
                     task, held = t, []
-                held.append((node, side, data))
+                held.append(member)
         yield done()
 
-    dealt = (rows.select("task", "node", "side", "shingles")
+    dealt = (rows.select("task", "node", "side", "shingles", "signature")
              .repartition(spread(rows), "task").sortWithinPartitions("task"))
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -234,9 +250,10 @@ def find_groups(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id
     texts = pick(rows, families, "node").select("node", _sets(plan)("text").alias("_s")).select(
         "node", "_s.*")
     sets = written(texts.join(named, ["node", "class"]).dropDuplicates(["node", "class"])
-                   .select("node", "n", "shingles", F.col("component").alias("family")), "sets")
+                   .select("node", "n", "shingles", "signature", F.col("component").alias("family")),
+                   "sets")
     tasks = _tasks(sets.select("family", "node", "n"), plan)
-    links = _verify(tasks.join(sets.select("node", "n", "shingles"), ["node", "n"]), plan)
+    links = _verify(tasks.join(sets.drop("family"), ["node", "n"]), plan)
     groups = written(connected(links), "groups", True)
 
     of_class = classes.select("class", F.col("node").alias("first")).join(

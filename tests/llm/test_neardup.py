@@ -116,3 +116,43 @@ def test_band_recall():
         a, b = np.sort(x[:900]), np.sort(x[100:])  # 800 of 1000 in common
         missed += not set(neardup._keys(minima(a), plan)) & set(neardup._keys(minima(b), plan))
     assert missed == 0
+
+
+def test_signatures_go_before_sets():
+    """A family of weakly alike texts costs signatures, a family of near copies next to nothing."""
+    from collections import Counter
+
+    from stratalog.llm.shingles import Minima
+    rng, plan = np.random.default_rng(8), neardup.Plan()
+    minima = Minima(plan.bands * plan.rows, plan.seed)
+
+    def run(sets):
+        tally = Counter()
+        signatures = np.stack([minima(s) for s in sets])
+        links = neardup.links_of(np.arange(len(sets)), np.full(len(sets), 2), sets, signatures, plan, tally)
+        return links, tally
+
+    core = rng.integers(0, 2**63, 300).astype(np.uint64)
+    weak = [np.sort(np.append(core[:160], rng.integers(0, 2**63, 140).astype(np.uint64))) for _ in range(200)]
+    links, tally = run(weak)  # similarity 0.36
+    assert not links and tally["signatures"] == 200 * 199 // 2 and tally["sets"] < 20
+    close = [np.sort(np.append(core[:295], rng.integers(0, 2**63, 5).astype(np.uint64))) for _ in range(200)]
+    links, tally = run(close)
+    assert {b for _, b in links} == {0} and len(links) == 199 and tally["sets"] == 199
+
+
+def test_weakly_alike_families_equal_brute_force(spark):
+    """Many texts that share half their words, a few of them near copies of others."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(500):
+        if i % 50 == 7:
+            text = rows[-1][1].split()
+            text[rng.randrange(60)] = f"n{i}"
+        else:
+            text = [w if rng.random() < 0.72 else f"r{rng.randrange(10**6)}" for w in base]
+        rows.append((i, " ".join(text)))
+    found = neardup.find_groups(frame(spark, rows), neardup.Plan(words=2, block_members=64))
+    want = brute(rows, 2)
+    assert got(found) == want and sum(not kept for *_, kept in want) >= 10
