@@ -1,21 +1,23 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's windows.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  Each window of
-ten consecutive words of a question or answer is one pattern, written with a blank around
-each word, and the automaton walks once over a document's words written the same way.  The
+ten consecutive words of a question or answer is one pattern.  Its symbols are word numbers, so
+a pattern has ten nodes whatever the words' lengths, and a document is walked once as the
+numbers of its words; a word of no window is a symbol of its own that no pattern has.  The
 normalisation keeps the place of every byte, so the words of a hit map back to offsets of the
 original text.
 
-The windows of one automaton are bounded by ``windows_per_automaton``; beyond that the
-windows are dealt to several broadcasts, and a task holds the texts of its own partition
-and walks one automaton after the other over them.  Either way every window counts.
+An automaton is bounded by ``symbols_per_automaton`` (about 50 bytes each in a worker).  Beyond
+that the windows are dealt to several, and a task walks one after the other over a bounded
+group of its texts: it holds one automaton and one group, and every window counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -59,10 +61,17 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int = WINDOW) ->
 class Automaton:
     """Walks over the words of texts and reports the items and words that were hit."""
 
-    def __init__(self, windows: Iterable[tuple[str, list[str]]]):
-        self.walk = ahocorasick.Automaton()
-        for window, items in windows:
-            self.walk.add_word(f" {window} ", (window.count(" ") + 1, items))
+    def __init__(self, windows: Iterable[tuple[str, Sequence[str]]]):
+        self.walk = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.items = array("l"), []
+        names: dict[str, str] = {}
+        for k, (window, items) in enumerate(windows):
+            symbols = tuple([self.number.setdefault(w, len(self.number) + 1)
+                             for w in window.encode().split()])
+            self.walk.add_word(symbols, k)
+            self.sizes.append(len(symbols))
+            self.items.append(tuple([names.setdefault(i, i) for i in items]))
         if len(self.walk):
             self.walk.make_automaton()
 
@@ -72,13 +81,9 @@ class Automaton:
         items: set[str] = set()
         if not found or not len(self.walk):
             return hit, items
-        ends = None
-        for end, (n, names) in self.walk.iter(f" {b' '.join(found).decode()} "):
-            if ends is None:  # a word's closing blank -> its index
-                ends = {e: i for i, e in enumerate(accumulate(len(w.decode()) + 1 for w in found))}
-            last = ends[end]
-            hit.update(range(last - n + 1, last + 1))
-            items.update(names)
+        for last, k in self.walk.iter(tuple(map(self.number.get, found, repeat(0)))):
+            hit.update(range(last - self.sizes[k] + 1, last + 1))
+            items.update(self.items[k])
         return hit, items
 
 
@@ -109,7 +114,7 @@ def _spans(text: str, hit: set[int]) -> list[dict]:
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id",
                  item_text: str = "text", text: str = "text", size: int = WINDOW,
-                 windows_per_automaton: int = 1_000_000) -> DataFrame:
+                 symbols_per_automaton: int = 5_000_000, group_bytes: int = 32 << 20) -> DataFrame:
     """The rows with n_words, n_hit, items (ids as sorted strings) and spans.
 
     Null texts and texts without words have no words and no hits.  Repeated rows are all
@@ -118,12 +123,13 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards, part = [], []
+    shards, part, symbols = [], [], 0
     for row in windows_of(benchmark, item_id, item_text, size).toLocalIterator():
         part.append((row["window"], tuple(row["items"])))
-        if len(part) == windows_per_automaton:
+        symbols += row["window"].count(" ") + 1
+        if symbols >= symbols_per_automaton:
             shards.append(spark.sparkContext.broadcast(tuple(part)))
-            part = []
+            part, symbols = [], 0
     if part or not shards:
         shards.append(spark.sparkContext.broadcast(tuple(part)))
 
@@ -138,17 +144,21 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
                     out.append(_row(t, len(found), *automaton.hits(found)))
                 yield pa.array(out, _TYPE)
             return
-        held = [batch.to_pylist() for batch in batches]
-        hit = [[(set(), set()) for _ in batch] for batch in held]
-        for shard in shards:
-            automaton = Automaton(shard.value)
-            for texts, sofar in zip(held, hit):
-                for t, (places, items) in zip(texts, sofar):
-                    more, names = automaton.hits(words(t or ""))
-                    places |= more
-                    items |= names
-        for texts, sofar in zip(held, hit):
-            yield pa.array([_row(t, len(words(t or "")), *h) for t, h in zip(texts, sofar)], _TYPE)
+        order, built = list(range(len(shards))), (None, None)
+        for group in grouped(batches, group_bytes):
+            hit = [[(set(), set()) for _ in texts] for texts in group]
+            for k in order:
+                if built[0] != k:
+                    built = (None, None)  # one automaton at a time
+                    built = (k, Automaton(shards[k].value))
+                for texts, sofar in zip(group, hit):
+                    for t, (places, items) in zip(texts, sofar):
+                        more, names = built[1].hits(words(t or ""))
+                        places |= more
+                        items |= names
+            order.reverse()  # the next group begins with the automaton that is there
+            for texts, sofar in zip(group, hit):
+                yield pa.array([_row(t, len(words(t or "")), *h) for t, h in zip(texts, sofar)], _TYPE)
 
     new = ("n_words", "n_hit", "items", "spans")
     kept = others(docs, new)
@@ -157,8 +167,25 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
             .select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in new]))
 
 
+def grouped(batches: Iterable[pa.Array], size: int) -> Iterator[list[list[str | None]]]:
+    """The texts of the batches, as many batches together as reach ``size`` bytes."""
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch.to_pylist())
+        held += batch.nbytes
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def drop_overlapping(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that no benchmark window hits, with their columns."""
+    """The rows of ``docs`` that no benchmark window hits, with their columns.
+
+    Null, empty and blank texts have no words and stay; repeated rows stay or go together, an
+    empty table gives an empty one.
+    """
     held = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
     found = find_overlap(held, benchmark, text="_text", **options)
     return found.filter("n_hit = 0").select("_row.*")

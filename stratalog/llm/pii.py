@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +113,11 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         found += [(2, *m.span()) for m in LOOSE_CARD.finditer(text)]
         found += [(3, *m.span()) for m in NATIONAL.finditer(text)]
     if base and found:
-        found = [f for f in found if not any(f[1] < b and a < f[2] for _, a, b in base)]
+        # Of the base spans that begin before a candidate's end, the one that ends last decides.
+        begins = sorted((a, b) for _, a, b in base)
+        last = list(accumulate((b for _, b in begins), max))
+        starts = [a for a, _ in begins]
+        found = [f for f in found if not (k := bisect_left(starts, f[2])) or last[k - 1] <= f[1]]
     return found
 
 

@@ -70,7 +70,7 @@ def test_overlap_equals_brute_force(spark, windows):
         (100, "repeated id")]
     bench = spark.createDataFrame(items, ITEMS)
     found = decontaminate.find_overlap(clashing(frame(spark, rows)), bench,
-                                       windows_per_automaton=windows)
+                                       symbols_per_automaton=windows, group_bytes=200)
     got = found.select("doc_id", "n_words", "n_hit", "items").collect()
     assert sorted((r[0], r[1], r[2], list(r[3])) for r in got) == overlap(rows, items)
     for r in found.filter("doc_id = 101").collect():
@@ -181,3 +181,26 @@ def test_reliabilities_find_the_noisy_labeler():
     assert abs(rate - 0.6) < 0.05
     right = given[1, :, 2]
     assert right[0] > right[1] > right[2] > right[3] and abs(right[3] - 0.5) < 0.1
+
+
+def test_many_spans_in_one_text():
+    import time
+    text = " ".join(f"user{i}@example.com +1 202 555 {i % 10000:04d}" for i in range(50_000))
+    begun = time.process_time()
+    base = pii.base_spans(text)
+    assert len(base) == 100_000
+    assert time.process_time() - begun < 5
+    begun = time.process_time()
+    loose = pii.loose_spans(text, base)
+    assert time.process_time() - begun < 5
+    assert not any(a < e and s < b for _, s, e in loose[:200] for _, a, b in base)
+
+
+def test_patterns_are_word_numbers():
+    """Ten nodes a window, whatever its words; windows that are part of others count too."""
+    windows = [(" ".join(f"w{(i * 7 + k) % 5000}xxxxxxxxxx" for k in range(10)), [str(i)]) for i in range(2000)]
+    automaton = decontaminate.Automaton(windows)
+    assert automaton.walk.get_stats()["nodes_count"] <= 10 * 2000 + 1
+    short = decontaminate.Automaton([("a b c", ["long"]), ("b", ["short"]), ("c d", ["end"])])
+    assert short.hits([b"x", b"a", b"b", b"c", b"d", b"b"]) == ({1, 2, 3, 4, 5}, {"long", "short", "end"})
+    assert short.hits([b"x"]) == (set(), set()) and short.hits([]) == (set(), set())
