@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -222,44 +223,66 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z:
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Set lambda, K and the curve from sample documents the weights have not seen."""
+    """Set lambda, K and the curve from sample documents the weights have not seen.
+
+    To the driver go the histogram of the scores of clean tokens, which has no more values than
+    the model has weights, and then two numbers per document.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, up = shared.value, Counter()
         for batch in batches:
-            out = [(*_scores(shared.value, t), y) for t, y in
-                   zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist(
-                [{"n": n, "s": s, "up": up, "toxic": y} for n, s, up, y in out],
-                pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())),
-                           ("up", pa.list_(pa.float64())), ("toxic", pa.int64())]))
-
-    docs = rows.select("text", "toxic").mapInArrow(
-        scanned, "n long, s array<double>, up array<double>, toxic long").collect()
-    clean = [d for d in docs if not d.toxic]
-    up = np.array([x for d in clean for x in d.up])
-    tokens = sum(d.n for d in clean) + 1
-    model.rate = _lambda(up, tokens - len(up))
+            out = []
+            for text, toxic in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                n, found = held.scan(text)
+                out.append({"n": n, "s": [s for _, _, s in found], "toxic": toxic})
+                if found and not toxic:
+                    up.update(s for w in WORD.findall(text) if (s := held.score_of(w)) > 0)
+            yield pa.RecordBatch.from_pylist(out, _SCANNED)
+        yield pa.RecordBatch.from_pylist([{"up": s, "times": k} for s, k in up.items()], _SCANNED)
+
+    docs = written(rows.select("text", "toxic").mapInArrow(
+        scanned, "n long, s array<double>, toxic long, up double, times long"), "scanned", True)
+    seen = docs.filter("up IS NOT NULL").groupBy("up").agg(F.sum("times").alias("times")).collect()
+    clean = docs.filter("toxic = 0")
+    tokens = (clean.agg(F.sum("n")).first()[0] or 0) + 1
+    model.rate = _lambda(np.array([r.up for r in seen]), np.array([r.times for r in seen]), tokens)
     # E(best) over clean documents: mean of K n exp(-lambda S) is 1 where S is the best score.
-    fits = [d.n * math.exp(-model.rate * max(d.s, default=0.0)) for d in clean if d.n]
-    model.scale = 1 / max(float(np.mean(fits)), 1e-9) if fits else 1.0
-    x = np.array([model.evidence(d.n, [(0, 0, s) for s in d.s]) for d in docs]).reshape(-1, 2)
-    y = np.array([float(d.toxic) for d in docs])
-    model.curve = _logistic(x, y)
+    best = F.coalesce(F.array_max("s"), F.lit(0.0))
+    fits = clean.filter("n > 0").agg(F.avg(F.col("n") * F.exp(best * -model.rate))).first()[0]
+    model.scale = 1.0 if fits is None else 1 / max(fits, 1e-9)
+    fixed = rows.sparkSession.sparkContext.broadcast(model)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [fixed.value.evidence(n, [(0, 0, v) for v in s]) for n, s in
+                 zip(*(batch.column(i).to_pylist() for i in range(2)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()),
+                 batch.column(2)], names=["a", "b", "toxic"])
 
+    points = docs.filter("toxic IS NOT NULL").select("n", "s", "toxic").mapInArrow(
+        told, "a double, b double, toxic long").collect()
+    x = np.array([(r.a, r.b) for r in points]).reshape(-1, 2)
+    model.curve = _logistic(x, np.array([float(r.toxic) for r in points]))
 
-def _scores(model: Model, text: str) -> tuple[int, list[float], list[float]]:
-    n, found = model.scan(text)
-    up = [s for w in WORD.findall(text) if (s := model.score_of(w)) > 0] if found else []
-    return n, [s for _, _, s in found], up
+
+_SCANNED = pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())), ("toxic", pa.int64()),
+                      ("up", pa.float64()), ("times", pa.int64())])
 
 
-def _lambda(up: np.ndarray, others: int) -> float:
-    """The positive root of: mean of exp(lambda score) over clean tokens is 1."""
-    values = np.append(up, 4.0)  # one telling token more, so that a root exists
+def _lambda(up: np.ndarray, times: np.ndarray, tokens: int) -> float:
+    """The positive root of: mean of exp(lambda score) over clean tokens is 1.
+
+    ``up`` has the positive scores and ``times`` how many of the tokens have each.
+    """
+    values, weights = np.append(up, 4.0), np.append(times, 1)  # one telling token more, so that a root exists
+    others = tokens - int(times.sum())
+
     def over(x: float) -> float:
-        return (float(np.exp(np.minimum(x * values, 600)).sum()) + others * math.exp(x * OTHER)
-                - others - len(values))
+        return (float((np.exp(np.minimum(x * values, 600)) * weights).sum()) + others * math.exp(x * OTHER)
+                - others - int(weights.sum()))
     low, high = 1e-6, 20.0
     for _ in range(80):
         middle = (low + high) / 2
@@ -314,7 +337,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text"
                ) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with their columns."""
+    """The rows of ``docs`` that score below the threshold, with their columns.
+
+    Null and empty texts have no passage and stay where a text without evidence does; repeated
+    rows stay or go together, an empty table gives an empty one.
+    """
     held = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
     return score(held, model, threshold, "_text").filter("predicted = 0").select("_row.*")
 
