@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stratalog.llm.common import LOWER, UPPER, bounded_batches, written
+from stratalog.llm.common import LOWER, UPPER, bounded_batches, spread, written
 from stratalog.llm.fuse import mix
 
 LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
@@ -249,8 +249,11 @@ def positives(vocabulary: DataFrame, page: Page) -> DataFrame:
     held = vocabulary.sparkSession.sparkContext.broadcast(page)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, ns = (batch.column(i).to_pylist() for i in range(2))
+        words: list[str] = []
+        ns: list[int] = []
+        letters = 0
+
+        def passed() -> Iterator[pa.RecordBatch]:
             for members in _by_length(words):
                 out = []
                 codes = letters_of([words[i] for i in members])
@@ -263,7 +266,18 @@ def positives(vocabulary: DataFrame, page: Page) -> DataFrame:
                      for k, t in enumerate((pa.string(), pa.int64(), pa.string()))],
                     names=["word", "n", "edit"])
 
-    return vocabulary.select("word", "n").mapInArrow(probed, "word string, n long, edit string")
+        for batch in batches:
+            more = batch.column(0).to_pylist()
+            words += more
+            ns += batch.column(1).to_pylist()
+            letters += sum(map(len, more))
+            if letters >= CELLS:  # many words of each length at once
+                yield from passed()
+                words, ns, letters = [], [], 0
+        yield from passed()
+
+    dealt = vocabulary.select("word", "n").repartition(spread(vocabulary), "word")
+    return dealt.mapInArrow(probed, "word string, n long, edit string")
 
 
 def near_words(vocabulary: DataFrame, plan: Plan = Plan()) -> DataFrame:
