@@ -269,14 +269,17 @@ def apply_date_overrides(entries: DataFrame, fixes: DataFrame, on: Sequence[str]
 
 
 def forward_fill_dates(lines: DataFrame, file: Sequence[str] = ("file",), line: str = "line_no",
-                       anchor: str = "anchor", text: str = "line", block: Column | None = None
-                       ) -> DataFrame:
+                       anchor: str = "anchor", text: str = "line", block: Column | None = None,
+                       page_chars: int = paging.PAGE_CHARS) -> DataFrame:
     """Lines between two anchors form one entry dated by the upper anchor.
 
     ``line`` orders the lines of a file and ``block`` cuts that order (65,536 line numbers
     by default), so a file of any size is filled block by block: the last anchor of every
     block is one small row, and a window over those rows carries it into the next blocks.
-    Text above the first anchor stays undated.
+    Text above the first anchor stays undated.  Entries that end in the block they began in are
+    final there; only what touches a block's border is put together afterwards, by lengths first,
+    in pages of at most ``page_chars`` and one block, so no entry is collected whole: a huge one
+    is several rows with the same ``first_line``, numbered by ``page``.
     """
     file = list(file)
     block = F.floor(F.col(line) / 65_536) if block is None else block
@@ -285,44 +288,79 @@ def forward_fill_dates(lines: DataFrame, file: Sequence[str] = ("file",), line:
     rows = lines.select(*file, line, text, mark.alias("_m"), block.alias("_b"))
     before = Window.partitionBy(*file).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*file, "_b").agg(F.max("_m").alias("_last")).select(
-        *file, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        *file, "_b", "_last", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     upto = (Window.partitionBy(*file, "_b").orderBy(line)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = rows.join(carried, [*file, "_b"]).select(
-        *file, line, text,
-        F.coalesce(F.last("_m", ignorenulls=True).over(upto), "_carried").alias("_a"))
+    marked = rows.join(carried, [*file, "_b"]).withColumn(
+        "_own", F.last("_m", ignorenulls=True).over(upto)).select(
+        *file, "_b", line, text, F.coalesce("_own", "_carried").alias("_a"),
+        (F.col("_own").isNull() | (F.col("_own.at") == F.col("_last.at"))).alias("_border"))
     body = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(line, text))), lambda r: r[text]), "\n")
-    grouped = (marked.withColumns({"_at": F.col("_a.at"), "_date": F.col("_a.date")})
-               .groupBy(*file, "_at", "_date")
-               .agg(X.strip(body).alias("user"), F.min_by(text, line).alias("_first"),
-                    F.min(line).alias("first_line")))
+    pieces = (marked.withColumns({"_at": F.col("_a.at"), "_date": F.col("_a.date")})
+              .groupBy(*file, "_b", "_border", "_at", "_date")
+              .agg(body.alias("_text"), F.min_by(text, line).alias("_head"),
+                   F.min(line).alias("first_line")))
+    inner = pieces.filter("NOT _border").select(
+        *file, "_at", "_date", X.strip("_text").alias("user"), "_head", "first_line",
+        F.lit(0).cast("long").alias("page"))
+    # At most two pieces a block touch its borders.
+    border = pieces.filter("_border")
+    same = Window.partitionBy(*file, "_at").orderBy("_b")
+    placed = border.select(*file, "_at", "_b", "first_line", "_head",
+                           F.length("_text").alias("_chars")).select(
+        *file, "_at", "_b",
+        F.floor(F.coalesce(F.sum(F.col("_chars") + 1).over(
+            same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.lit(page_chars)).alias("page"),
+        F.first("first_line").over(same).alias("_first_line"), F.first("_head").over(same).alias("_first"))
+    on = [F.col(f"_x.{c}").eqNullSafe(F.col(f"_y.{c}")) for c in (*file, "_at", "_b")]
+    joined = border.alias("_x").join(placed.alias("_y"), on).select(
+        *[F.col(f"_x.{c}") for c in (*file, "_b", "_at", "_date", "_text")], "_y.page", "_first_line", "_first")
+    pages = joined.groupBy(*file, "_at", "_date", "page", "_first_line", "_first").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_text"))),
+                                 lambda r: r["_text"]), "\n").alias("_text"))
+    # White space goes at the ends of an entry, not between its pages.
+    last = F.max("page").over(Window.partitionBy(*file, "_at"))
+    blank = F.lit(" \t\n\r\x0b\x0c")
+    left = F.when(F.col("page") == 0, F.ltrim("_text", blank)).otherwise(F.col("_text"))
+    outer = pages.withColumn("_text", left).withColumn("_text", F.when(
+        F.col("page") == last, F.rtrim("_text", blank)).otherwise(F.col("_text"))).select(
+        *file, "_at", "_date", F.when((last == 0), X.strip("_text")).otherwise(F.col("_text")).alias("user"),
+        F.col("_first").alias("_head"), F.col("_first_line").alias("first_line"), "page")
     dated = F.col("_at").isNotNull()
-    return (grouped.filter(dated | (F.col("user") != ""))
+    return (inner.unionByName(outer).filter(dated | (F.col("user") != ""))
             .select(*file, "first_line",
                     F.when(dated, F.concat("_date", F.lit("T00:00:00"))).alias("datetime_parsed"),
-                    F.when(dated, X.strip("_first"))
-                    .otherwise(F.lit("before any date")).alias("datetime_raw"), "user"))
+                    F.when(dated, X.strip("_head"))
+                    .otherwise(F.lit("before any date")).alias("datetime_raw"), "user", "page"))
 
 
 def resolve_undated(entries: DataFrame, file: Sequence[str] = ("file",)) -> DataFrame:
     """Undated text goes to the day before the file's earliest date, with a note.
 
-    Without any dated text it goes to 1970-01-01 and gets no note.
+    Without any dated text it goes to 1970-01-01 and gets no note.  Of text in several pages the
+    last one has the note.
     """
     file = list(file)
+    if "page" in entries.columns:
+        final = (F.col("page") == F.max("page").over(Window.partitionBy(*file))) | (
+            F.col("datetime_parsed").isNotNull())
+        loose = entries.filter("datetime_parsed IS NULL").withColumn("_final", final)
+        entries = entries.filter("datetime_parsed IS NOT NULL").withColumn("_final", F.lit(True)).unionByName(loose)
+    else:
+        entries = entries.withColumn("_final", F.lit(True))
     earliest = (entries.groupBy(*file)
                 .agg(F.min(F.substring("datetime_parsed", 1, 10)).alias("_first")))
     undated = F.col("datetime_parsed").isNull()
     before = P.date_text(F.date_sub(P.as_date("_first"), 1))
     note = F.concat(F.lit("\n\n[without a date; filed before "), F.col("_first"), F.lit("]"))
     return (entries.join(earliest, file)
-            .withColumn("user", F.when(undated & F.col("_first").isNotNull(),
+            .withColumn("user", F.when(undated & F.col("_first").isNotNull() & F.col("_final"),
                                        F.concat("user", note)).otherwise(F.col("user")))
             .withColumn("datetime_parsed", F.coalesce(
                 "datetime_parsed", F.concat(F.coalesce(before, F.lit("1970-01-01")),
                                             F.lit("T00:00:00"))))
-            .drop("_first"))
+            .drop("_first", "_final"))
 
 
 def dated_entries(entries: DataFrame, file: str = "file", source: str = "old_diary") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalog.functions import periods as P, replies as R, text as X
 from stratalog.operators import ingest, periods
-from stratalog.plans import models, prompts
+from stratalog.plans import models, prompts, waves
 from stratalog.schema import CHILD_LEVEL, LEVELS, check_level
-from stratalog.session import cut_lineage
+from stratalog.session import cut_lineage, stored
 
 UNIT = ("level", "period_start", "period_end", "source_units", "source_entry_count")
 
@@ -83,7 +83,7 @@ def run_hierarchy(entries: DataFrame, units: DataFrame | None = None,
 
     def settle(level: str, pending: DataFrame, store: DataFrame | None) -> DataFrame:
         # Only the new units are made durable; the store itself is not written again.
-        done = cut_lineage(pending if describe is None else describe(level, pending, store))
+        done = stored(pending if describe is None else describe(level, pending, store), "units")
         return done if store is None else store.unionByName(done, allowMissingColumns=True)
 
     store = units
@@ -106,15 +106,19 @@ def run_hierarchy(entries: DataFrame, units: DataFrame | None = None,
 def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, str],
                   system: str, n: int = 3, context_window: int = 262_144,
                   output_budget: int = 1024, concurrency: int | None = None,
-                  keys: Sequence[str] = ()) -> Callable[[str, DataFrame, DataFrame], DataFrame]:
+                  keys: Sequence[str] = (), journal: str | None = None
+                  ) -> Callable[[str, DataFrame, DataFrame], DataFrame]:
     """A ``describe`` for ``run_hierarchy``: build prompts, call the model, parse sections.
 
-    Templates are looked up as ``<level>_historical``, then ``<level>_isolated``.  A day
-    whose own text needs several prompt pages gets one call per page, and the fields of all
+    Templates are looked up as ``<level>_historical``, then ``<level>_isolated``.  A unit
+    whose text needs several prompt pages gets one call per page, and the fields of all
     pages are merged (``merge_pages``).  Above days the summaries two levels down are offered
-    as {grandchild_items}, for weeks the days' own entries.
+    as {grandchild_items}, for weeks the days' own entries, and a unit's {history} tells of the
+    earlier units that this run describes as well: they are asked in ``waves``.  With a
+    ``journal`` answers outlive the run (``models.ask_once``).
     """
     keys = list(keys)
+    on = [*keys, "period_start"]
 
     def template(level: str) -> str:
         found = templates.get(f"{level}_historical") or templates.get(f"{level}_isolated")
@@ -122,35 +126,64 @@ def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, s
             raise KeyError(f"no template for level {level}")
         return found
 
+    built: dict[str, list] = {}  # columns that every wave needs alike, made once
+
+    def fields_of(asked: DataFrame) -> DataFrame:
+        """One row per unit with the fields of its replies; from keys, period_start, page, prompt."""
+        replied = models.apply_model(asked.select(*on, "page", "prompt"), fn, system, "prompt",
+                                     concurrency, journal=journal).drop("prompt")
+        if not built:
+            built["stages"] = [{"_clean": X.strip_thinking("reply")}, *R.parse_stages("_clean", "_s")]
+            built["totals"] = [
+                F.collect_list(F.struct("page", "_s")).alias("_pages"),
+                F.min_by(X.thinking_trace("reply"), "page").alias("thinking_trace"),
+                F.sum("tokens_in").alias("token_count_input"),
+                F.sum("tokens_out").alias("token_count_output"),
+                F.sum("seconds").alias("processing_time_seconds")]
+            # Maps have no order of their own.
+            built["in_order"] = [F.array_sort(
+                "_pages", lambda a, b: a["page"].cast("int") - b["page"].cast("int")).alias("_pages")]
+        parsed = R.parse_replies(replied, stages=built["stages"])
+        if "merged" not in built:
+            fields = merge_pages("_pages", parsed.schema["_s"].dataType)
+            names = [f.name for f in parsed.schema["_s"].dataType.fields]
+            built["merged"] = [X.present(c).alias(n) if n == "summary" else c
+                               for n, c in zip(names, fields)]
+        rest = ["thinking_trace", "token_count_input", "token_count_output", "processing_time_seconds"]
+        return (parsed.groupBy(*on).agg(*built["totals"]).select(*on, *rest, *built["in_order"])
+                .select(*on, *built["merged"], *rest))
+
     def describe(level: str, pending: DataFrame, store: DataFrame) -> DataFrame:
-        on = [*keys, "period_start"]
+        own = template(level)
         if level == "day":
             asked = prompts.day_prompts(
-                entries, template(level), system, n, context_window, output_budget,
+                entries, own, system, n, context_window, output_budget,
                 pending.select(*keys, F.col("period_start").alias("date")), keys
             ).withColumnRenamed("date", "period_start")
+            # Replies are stored before anything reads them, so no call is repeated later on.
+            return pending.join(stored(fields_of(asked), "described"), on, "left")
+        # Units, and with them the plans of the levels below, are read from written tables.
+        pending = stored(pending, "pending")
+        back = n if "{history}" in own else 0
+        below = store.filter(F.col("level").isin(level, CHILD_LEVEL[level]))
+        parts = prompts.level_parts(
+            store, level, own, system, n, context_window, output_budget,
+            _grandchildren(level, store, entries, own, keys), pending, keys)
+        ahead = waves.frontier(pending, below, level, back, keys)
+        if back:
+            known = prompts.earlier_units(pending, below.filter(F.col("level") != level), level, n,
+                                          keys).select(*on, "below")
+            parts = parts.join(known, on)
         else:
-            asked = prompts.level_prompts(
-                store, level, template(level), system, n, context_window, output_budget,
-                _grandchildren(level, store, entries, template(level), keys), pending, keys
-            ).withColumn("page", F.lit(0))
-        # The reply is stored before it is parsed, so no call is repeated by a retry later on.
-        replied = cut_lineage(models.apply_model(
-            asked.select(*on, "page", "prompt"), fn, system, "prompt", concurrency).drop("prompt"))
-        parsed = R.parse_replies(replied.withColumn("_clean", X.strip_thinking("reply")),
-                                 "_clean", "_s")
-        per_unit = parsed.groupBy(*on).agg(
-            F.collect_list(F.struct("page", "_s")).alias("_pages"),
-            F.min_by(X.thinking_trace("reply"), "page").alias("thinking_trace"),
-            F.sum("tokens_in").alias("token_count_input"),
-            F.sum("tokens_out").alias("token_count_output"),
-            F.sum("seconds").alias("processing_time_seconds"))
-        in_order = F.array_sort("_pages", lambda a, b: a["page"].cast("int") - b["page"].cast("int"))
-        per_unit = per_unit.withColumn("_pages", in_order)  # maps have no order of their own
-        merged = merge_pages("_pages", parsed.schema["_s"].dataType)
-        fields = per_unit.select(*on, *merged, "thinking_trace", "token_count_input",
-                                 "token_count_output", "processing_time_seconds")
-        return pending.join(fields, on, "left").withColumn("summary", X.present("summary"))
+            parts = parts.withColumn("below", prompts._no_texts())
+        rows = parts.join(ahead, on).join(pending.select(*on, "period_end"), on)
+
+        def ask(now: DataFrame) -> DataFrame:
+            asked = prompts.finish_prompts(now, level, own, system, n, context_window, output_budget, keys)
+            told = now.select(*on, "run", "told", "period_end").join(fields_of(asked), on)
+            return told.withColumn("context", X.summary_context(told.columns)).drop("period_end")
+
+        return pending.join(waves.in_waves(rows, back, ask, keys), on, "left")
 
     return describe
 

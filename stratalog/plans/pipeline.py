@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalog.operators import ingest
@@ -28,12 +27,13 @@ class IngestRun:
 def parse_folder(spark: SparkSession, path: str, label: models.ModelFn | None = None,
                  categories: Sequence[str] = DEFAULT_CATEGORIES,
                  keep: Iterable[str] | None = None, detect: models.ModelFn | None = None,
-                 files: dict[str, list[str]] | None = None, labels: str | None = None) -> DataFrame:
+                 files: dict[str, list[str]] | None = None, journal: str | None = None) -> DataFrame:
     """Staged entries of files directly under a folder, by kind; all of them, or ``files``.
 
-    Activity turns are classified when ``label`` is given and filtered to ``keep``; with a
-    ``labels`` table only turns without a label there are asked about, and the answers are
-    added to it.  Date lines of plain text are found by rule, or by ``detect``.
+    Activity turns are classified when ``label`` is given and filtered to ``keep``.  Date lines
+    of plain text are found by rule, or by ``detect``.  With a ``journal`` a turn or line is
+    asked about once, whatever file or place it turns up in later, and the answers a run got
+    before it died are there for the next.
     """
     if files is None:
         files = {kind: [f"{path}/{shape}"] for kind, shape in SHAPES.items()}
@@ -42,13 +42,11 @@ def parse_folder(spark: SparkSession, path: str, label: models.ModelFn | None =
         staged.append(readers.read_chat_export(spark, files["chat"]).drop("title"))
     if files.get("activity"):
         turns = readers.read_activity_html(spark, files["activity"])
-        if label and labels:
-            turns = labelled_once(turns, label, categories, labels)
-        elif label:
-            turns = models.classify(turns, label, categories)
+        if label:
+            turns = models.classify(turns, label, categories, journal=journal)
         staged.append(ingest.turns_to_entries(turns, "gemini", categories=keep if label else None))
     if files.get("line_dated"):
-        staged.append(readers.read_line_dated_text(spark, files["line_dated"], detect))
+        staged.append(readers.read_line_dated_text(spark, files["line_dated"], detect, journal=journal))
     return ingest.union_sources(*staged)
 
 
@@ -59,24 +57,6 @@ SHAPES = {"chat": "*.[jJ][sS][oO][nN]", "activity": "*.[hH][tT][mM]*",
 LISTED_FILES = 10_000
 
 
-def labelled_once(turns: DataFrame, label: models.ModelFn, categories: Sequence[str], path: str
-                  ) -> DataFrame:
-    """Turns with the category that the table at ``path`` has for them, or gets now."""
-    spark, on = turns.sparkSession, ("source_file", "msg_index")
-    schema = "source_file STRING, msg_index INT, category STRING"
-    try:
-        known = cut_lineage(spark.read.schema(schema).parquet(path))
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = spark.createDataFrame([], schema)
-    asked = models.classify(ingest.unclassified(turns, known, on), label, categories)
-    fresh = cut_lineage(asked.select("source_file", F.col("msg_index").cast("int").alias("msg_index"),
-                                     "category"))
-    fresh.write.mode("append").parquet(path)
-    return turns.join(ingest.resume_checkpoint(known, fresh, on=on), list(on))
-
-
 def run_ingest(spark: SparkSession, path: str, store: str, manifest: DataFrame | None = None,
                dry_run: bool = False, **parsing) -> IngestRun:
     """Parse what changed in a folder and append what is new to the store.

@@ -145,50 +145,109 @@ def _join_ordered(df: DataFrame, group: Sequence[str], order: str, text: str, se
         lambda r: r["_t"]), separator).alias(out))
 
 
-def level_history(parents: DataFrame, units: DataFrame, level: str, n: int,
-                  keys: Sequence[str] = (), below_note: str = BELOW_NOTE) -> DataFrame:
-    """History text per parent: earlier units of its level, else child units before it.
+def earlier_units(parents: DataFrame, units: DataFrame, level: str, n: int,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """What each parent may be told of before it: keys, period_start, told, below.
 
-    Earlier units are the stored ones that precede the parent, whether or not they are asked
-    for as well: one window over both, whose rows the calendar bounds per stream.
+    ``told`` has the contexts of its ``n`` earlier units of the level, oldest first, which are
+    the stored ones whether or not they are asked for as well; ``below`` those of the child
+    units before it, for a parent without any.  Only period names are put in order, in one
+    window per stream whose rows the calendar bounds; contexts join afterwards.
     """
     keys = list(keys)
     told = contexts(units, keys)
     group = [*keys, "period_start"]
     child = CHILD_LEVEL[level]
-    stored = told.filter(F.col("level") == level).select(*group, "context")
-    both = parents.select(*group, F.lit(1).alias("_asked")).join(stored, group, "full")
+    have = told.filter(F.col("level") == level)
+    names = have.select(*group, F.lit(1).alias("_held"))
+    both = parents.select(*group, F.lit(1).alias("_asked")).join(names, group, "full")
     before = Window.partitionBy(*keys).orderBy("period_start")
-    # Ordinals count the units that have text; a parent looks n of them back.
-    ranked = both.withColumn("_n", F.count("context").over(
+    # Ordinals count the units that are there; a parent looks n of them back.
+    ranked = both.withColumn("_n", F.count("_held").over(
         before.rowsBetween(Window.unboundedPreceding, -1)))
     wanted = ranked.filter("_asked = 1 AND _n > 0").select(*group, F.explode(F.sequence(
         F.greatest(F.col("_n") - n, F.lit(0)), F.col("_n") - 1)).alias("_n"))
-    have = ranked.filter(F.col("context").isNotNull()).select(
-        *keys, "_n", F.col("period_start").alias("_prior"), "context")
-    earlier = _join_ordered(wanted.join(have, [*keys, "_n"]), group, "_prior", "context", RULE,
-                            "_earlier")
-    below = told.filter(F.col("level") == child).select(
+    prior = ranked.filter("_held = 1").select(*keys, "_n", F.col("period_start").alias("_prior"))
+    pairs = wanted.join(prior, [*keys, "_n"]).join(
+        have.select(*keys, F.col("period_start").alias("_prior"), "context"), [*keys, "_prior"])
+    kids = told.filter(F.col("level") == child).select(
         *keys, F.col("period_start").alias("child"), "context")
-    fallback = _join_ordered(
-        C.prior_children(parents, units, level, n * CHILDREN_PER_UNIT[level], keys)
-        .join(below, [*keys, "child"]), group, "child", "context", RULE, "_below")
-    note = F.lit(below_note.format(level=level, child=child))
-    return (parents.select(*group).join(earlier, group, "left").join(fallback, group, "left")
-            .select(*group, F.coalesce("_earlier", F.concat(note, "_below"), F.lit(NO_HISTORY))
-                    .alias("history")))
+    fallback = C.prior_children(parents, units, level, n * CHILDREN_PER_UNIT[level], keys).join(
+        kids, [*keys, "child"])
+    return (parents.select(*group)
+            .join(_listed(pairs, group, "_prior", "context", "told"), group, "left")
+            .join(_listed(fallback, group, "child", "context", "below"), group, "left")
+            .select(*group, *[F.coalesce(c, _no_texts()).alias(c) for c in ("told", "below")]))
 
 
-def level_prompts(units: DataFrame, level: str, template: str, system: str, n: int = 3,
-                  context_window: int = 262_144, output_budget: int = 1024,
-                  grandchildren: DataFrame | None = None, parents: DataFrame | None = None,
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """One prompt per unit of ``level``: keys, level, period_start, n_children,
-    n_grandchildren, n_dropped, prompt_chars, prompt.
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _listed(df: DataFrame, group: Sequence[str], order: str, text: str, out: str) -> DataFrame:
+    """The texts of a small ordered group as an array."""
+    return df.groupBy(*group).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(text).alias("_t")))),
+        lambda r: r["_t"]).alias(out))
+
+
+def _history(told: Column, below: Column, level: str, below_note: str) -> Column:
+    """Earlier units, else the note and the child units, else that there is nothing."""
+    note = F.lit(below_note.format(level=level, child=CHILD_LEVEL[level]))
+    return (F.when(F.size(told) > 0, F.array_join(told, RULE))
+            .when(F.size(below) > 0, F.concat(note, F.array_join(below, RULE)))
+            .otherwise(F.lit(NO_HISTORY)))
+
+
+def level_history(parents: DataFrame, units: DataFrame, level: str, n: int,
+                  keys: Sequence[str] = (), below_note: str = BELOW_NOTE) -> DataFrame:
+    """History text per parent: earlier units of its level, else child units before it."""
+    return earlier_units(parents, units, level, n, keys).select(
+        *keys, "period_start",
+        _history(F.col("told"), F.col("below"), level, below_note).alias("history"))
+
+
+def _newest_that_fit(lengths: Column, overhead: Column, limit: int) -> Column:
+    """How many of the newest texts, oldest first in ``lengths``, fit beside the overhead."""
+    def add(acc: Column, n: Column) -> Column:
+        fits = acc["open"] & (X.tokens(acc["total"] + n + overhead) <= F.lit(limit))
+        return F.struct((acc["total"] + n + F.lit(len(RULE))).alias("total"),
+                        (acc["kept"] + fits.cast("int")).alias("kept"), fits.alias("open"))
+
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("kept"),
+                     F.lit(True).alias("open"))
+    return F.aggregate(F.reverse(lengths), start, add)["kept"]
+
+
+def _last(texts: Column, n: Column) -> Column:
+    """The last ``n`` texts of an array."""
+    return F.slice(texts, F.size(texts) - n + 1, n)
+
+
+def _lengths(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.length(t).cast("long"))
+
+
+def _limit(context_window: int, output_budget: int) -> int:
+    return context_window - (output_budget + LEVEL_RESERVE)
+
 
-    ``units`` holds the child level and earlier units of this one.  ``grandchildren`` has
-    keys, item and text; oldest items are dropped until the prompt fits, so what is
-    collected per prompt is bounded by the context window, and ``n_dropped`` counts them.
+def _fixed_chars(template: str, system: str, n: int) -> Column:
+    """Characters of a prompt besides entries, history and details; from period_start."""
+    fixed = len(system) + 1 + _literal_chars(template) + len(str(n)) * template.count("{n}")
+    return F.length("period_start") * template.count("{date}") + F.lit(fixed)
+
+
+def level_parts(units: DataFrame, level: str, template: str, system: str, n: int = 3,
+                context_window: int = 262_144, output_budget: int = 1024,
+                grandchildren: DataFrame | None = None, parents: DataFrame | None = None,
+                keys: Sequence[str] = ()) -> DataFrame:
+    """What goes into the prompt of each unit of ``level`` but its earlier units: keys,
+    period_start, kids, below, items, n_offered.
+
+    ``kids`` are the children's contexts in order.  ``items`` are the newest grandchildren that
+    would fit a prompt without history, so their text is bounded by the window; ``n_offered``
+    counts all of them.  Lengths decide, and only the text that is kept moves.
     """
     keys = list(keys)
     child = CHILD_LEVEL[check_level(level)]
@@ -198,50 +257,116 @@ def level_prompts(units: DataFrame, level: str, template: str, system: str, n: i
         parents = periods.rollup_level(kids, level, keys)
     told = contexts(kids, keys).select(*keys, F.col("period_start").alias("child"), "context")
     listed = parents.select(*group, F.explode("source_units").alias("child"))
-    body = _join_ordered(listed.join(told, [*keys, "child"]), group, "child", "context", RULE,
-                         "_entries")
-    base = parents.select(*group, F.size("source_units").cast("long").alias("n_children")
-                          ).join(body, group)
-    if "{history}" in template:
-        base = base.join(level_history(parents, units, level, n, keys), group)
-    else:
-        base = base.withColumn("history", F.lit(""))
+    base = _listed(listed.join(told, [*keys, "child"]), group, "child", "context", "kids")
+    if grandchildren is None or "{grandchild_items}" not in template:
+        return base.withColumns({"items": _no_texts(), "n_offered": F.lit(0).cast("long")})
+    of_kid = kids.select(*keys, F.col("period_start").alias("child"),
+                         F.explode("source_units").alias("item"))
+    block = F.concat(F.lit("["), F.col("item"), F.lit("]\n"), F.col("text"))
+    told_of = grandchildren.filter(F.col("text") != "")
+    sizes = told_of.groupBy(*keys, "item").agg(
+        (F.sum(F.length(block) + len(RULE)) - len(RULE)).alias("_chars"))
+    overhead = (F.length(F.array_join("kids", RULE)) + F.lit(len(NO_HISTORY)) * template.count("{history}")
+                + _fixed_chars(template, system, n))
+    offered = (listed.join(of_kid, [*keys, "child"]).join(sizes, [*keys, "item"])
+               .join(base.select(*group, overhead.alias("_over")), group)
+               .withColumn("_at", F.struct("child", "item")))
+    kept = C.budget_history(offered, group, "_at", "_chars", F.col("_over"),
+                            _limit(context_window, output_budget), separator=len(RULE))
+    blocks = _join_ordered(told_of.select(*keys, "item", block.alias("_block"), F.col("text").alias("_t")),
+                           [*keys, "item"], "_t", "_block", RULE, "_block")
+    items = _listed(kept.join(blocks, [*keys, "item"]), group, "_at", "_block", "items")
+    count = offered.groupBy(*group).agg(F.count(F.lit(1)).alias("n_offered"))
+    return (base.join(items, group, "left").join(count, group, "left")
+            .withColumns({"items": F.coalesce("items", _no_texts()),
+                          "n_offered": F.coalesce("n_offered", F.lit(0).cast("long"))}))
 
-    limit = context_window - (output_budget + LEVEL_RESERVE)
-    fixed = (len(system) + 1 + _literal_chars(template)
-             + len(str(n)) * template.count("{n}"))
-    dates = F.length("period_start") * template.count("{date}")
-    overhead = (F.length("_entries") + F.length("history") * template.count("{history}")
-                + dates + F.lit(fixed))
-    if grandchildren is not None and "{grandchild_items}" in template:
-        of_kid = kids.select(*keys, F.col("period_start").alias("child"),
-                             F.explode("source_units").alias("item"))
-        block = F.concat(F.lit("["), F.col("item"), F.lit("]\n"), F.col("text"))
-        # Lengths decide; the text of kept items is joined afterwards.
-        sizes = grandchildren.filter(F.col("text") != "").groupBy(*keys, "item").agg(
-            F.sum(F.length(block)).alias("_chars"))
-        offered = (listed.join(of_kid, [*keys, "child"]).join(sizes, [*keys, "item"])
-                   .join(base.select(*group, overhead.alias("_over")), group)
-                   .withColumn("_at", F.struct("child", "item")))
-        kept = C.budget_history(offered, group, "_at", "_chars", F.col("_over"), limit,
-                                separator=len(RULE))
-        items = _join_ordered(
-            kept.join(grandchildren.select(*keys, "item", block.alias("_block")), [*keys, "item"]),
-            group, "_at", "_block", RULE, "_items")
-        n_items = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        n_offered = offered.groupBy(*group).agg(F.count(F.lit(1)).alias("_offered"))
-        base = base.join(items, group, "left").join(n_items, group, "left").join(
-            n_offered, group, "left")
+
+def finish_prompts(parts: DataFrame, level: str, template: str, system: str, n: int = 3,
+                   context_window: int = 262_144, output_budget: int = 1024,
+                   keys: Sequence[str] = (), below_note: str = BELOW_NOTE,
+                   part_note: str = PART_NOTE) -> DataFrame:
+    """The prompts of rows with the columns of ``level_parts``, told and below.
+
+    A prompt that is too long first loses grandchildren, then earlier units, the oldest first;
+    ``n_dropped`` counts both.  A unit whose children alone do not fit comes as several pages of
+    half a window, each a full prompt without history that says which part it is; only a single
+    child longer than that can exceed the window, and stays whole.
+    """
+    keys = list(keys)
+    limit = _limit(context_window, output_budget)
+    with_history = template.count("{history}")
+    rows = parts
+    if with_history:
+        rows = rows.withColumn("_past", F.when(F.size("told") > 0, F.col("told")).otherwise(F.col("below")))
+        whole = _history(F.col("told"), F.col("below"), level, below_note)
+        note = F.when(F.size("told") == 0, len(below_note.format(level=level, child=CHILD_LEVEL[level]))
+                      ).otherwise(0)
     else:
-        base = base.withColumns({"_items": F.lit(None).cast("string"),
-                                 "_n": F.lit(None).cast("long"),
-                                 "_offered": F.lit(None).cast("long")})
+        rows, whole, note = rows.withColumn("_past", _no_texts()), F.lit(""), F.lit(0)
+    # Each size is a projection of its own, so that no later one computes it again.
+    rows = rows.withColumns({
+        "_bare": F.length(F.array_join("kids", RULE)) + _fixed_chars(template, system, n),
+        "_whole": F.length(whole) * with_history, "_empty": F.lit(len(NO_HISTORY) * with_history)})
+    rows = rows.withColumn("_items", _newest_that_fit(
+        _lengths(F.col("items")), F.col("_bare") + F.col("_whole"), limit))
+    rows = rows.withColumn("_kept", F.when(
+        X.tokens(F.col("_bare") + F.col("_whole")) <= limit, F.size("_past")).otherwise(
+        _newest_that_fit(_lengths(F.col("_past")), F.col("_bare") + note, limit)))
+    rows = rows.withColumn("_large", X.tokens(F.col("_bare") + F.col("_empty")) > limit)
+    # Pages: children by the place where they start in the whole text.
+    room = F.greatest(F.lit(int(limit * X.CHARS_PER_TOKEN) - len(part_note)) - F.col("_bare")
+                      + F.length(F.array_join("kids", RULE)) - F.col("_empty"), F.lit(2))
+    starts = F.transform("kids", lambda k, i: F.length(F.array_join(
+        F.slice("kids", F.lit(1), i), RULE)) + F.when(i > 0, len(RULE)).otherwise(0))
+    pages = F.transform(starts, lambda at: F.floor(at / F.floor(room / 2)))
+    cut = F.transform(F.array_distinct("_pages"), lambda p: F.array_join(
+        F.filter("kids", lambda k, i: F.element_at("_pages", i + 1) == p), RULE))
+    rows = rows.withColumn("_pages", F.when(F.col("_large"), pages))
+    rows = rows.withColumn("_texts", F.when(F.col("_large"), cut).otherwise(
+        F.array(F.array_join("kids", RULE)))).withColumn("_parts", F.size("_texts"))
+    rows = rows.select("*", F.posexplode("_texts").alias("page", "_entries"))
+    several = F.col("_parts") > 1
+    mark = F.when(several, _pieces(part_note, {
+        "part": (F.col("page") + 1).cast("string"), "parts": F.col("_parts").cast("string")})
+        ).otherwise(F.lit(""))
+    past = _last(F.col("_past"), F.when(F.col("_large"), 0).otherwise(F.col("_kept")))
+    told = F.size("told") > 0
+    history = _history(F.when(told, past).otherwise(_no_texts()),
+                       F.when(told, _no_texts()).otherwise(past), level, below_note)
+    n_items = F.when(F.col("_large"), 0).otherwise(F.col("_items"))
+    items = _last(F.col("items"), n_items)
     prompt = _pieces(template, {
-        "date": F.col("period_start"), "entries": F.col("_entries"), "history": F.col("history"),
-        "n": F.lit(str(n)), "grandchild_items": F.coalesce("_items", F.lit("(none)"))})
-    return base.select(*keys, F.lit(level).alias("level"), "period_start", "n_children",
-                       F.coalesce("_n", F.lit(0).cast("long")).alias("n_grandchildren"),
-                       (F.coalesce("_offered", F.lit(0)) - F.coalesce("_n", F.lit(0)))
-                       .cast("long").alias("n_dropped"),
-                       F.length(prompt).cast("long").alias("prompt_chars"),
-                       prompt.alias("prompt"))
+        "date": F.col("period_start"), "entries": F.concat(mark, "_entries"), "history": history,
+        "n": F.lit(str(n)), "grandchild_items": F.when(F.size(items) > 0, F.array_join(items, RULE))
+        .otherwise(F.lit("(none)"))})
+    return rows.select(
+        *keys, F.lit(level).alias("level"), "period_start", F.col("page").cast("long").alias("page"),
+        F.size("kids").cast("long").alias("n_children"), n_items.cast("long").alias("n_grandchildren"),
+        F.size(past).cast("long").alias("n_history"),
+        (F.col("n_offered") - n_items + F.size("_past") - F.size(past)).cast("long").alias("n_dropped"),
+        prompt.alias("prompt")).withColumn("prompt_chars", F.length("prompt").cast("long"))
+
+
+def level_prompts(units: DataFrame, level: str, template: str, system: str, n: int = 3,
+                  context_window: int = 262_144, output_budget: int = 1024,
+                  grandchildren: DataFrame | None = None, parents: DataFrame | None = None,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """The prompts per unit of ``level``: keys, level, period_start, page, n_children,
+    n_grandchildren, n_history, n_dropped, prompt, prompt_chars.
+
+    ``units`` holds the child level and the earlier units of this one, all of them stored; in a
+    run where earlier units are only now described see ``waves``.  ``grandchildren`` has
+    keys, item and text.  What does not fit the window is said in ``finish_prompts``.
+    """
+    keys = list(keys)
+    if parents is None:
+        parents = periods.rollup_level(periods.filter_level(units, CHILD_LEVEL[check_level(level)]),
+                                       level, keys)
+    parts = level_parts(units, level, template, system, n, context_window, output_budget,
+                        grandchildren, parents, keys)
+    if "{history}" in template:
+        parts = parts.join(earlier_units(parents, units, level, n, keys), [*keys, "period_start"])
+    else:
+        parts = parts.withColumns({"told": _no_texts(), "below": _no_texts()})
+    return finish_prompts(parts, level, template, system, n, context_window, output_budget, keys)

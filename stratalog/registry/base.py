@@ -264,11 +264,18 @@ FROM (SELECT file, grp, max(filled) AS anchor, min(line_no) AS first_line,
                         OVER (PARTITION BY file ORDER BY line_no) AS filled
             FROM dated_line) GROUP BY file, grp)
 WHERE grp IS NOT NULL OR "user" <> ''""",
+    "shelf_line": """
+SELECT CAST(CAST(file AS BIGINT) % 8 AS VARCHAR) AS file, line,
+       row_number() OVER (PARTITION BY CAST(file AS BIGINT) % 8 ORDER BY CAST(file AS BIGINT), line_no) AS line_no
+FROM line""",
     "call_log": """
 SELECT doc_id, source AS model, n_chars AS char_count, n_chars // 3 AS actual_input_tokens
 FROM documents""",
 }
 
+VIEW_SQL["shelf_dated"] = VIEW_SQL["dated_line"].replace("FROM line", "FROM shelf_line")
+VIEW_SQL["shelf_block"] = VIEW_SQL["dated_block"].replace("FROM dated_line", "FROM shelf_dated")
+
 
 def with_views(body: str) -> str:
     """Put the views a statement names, and those they name, in front of it."""

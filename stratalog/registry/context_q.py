@@ -118,7 +118,7 @@ def _month_prompts(s, d):
     items = prompts.contexts(days).select(F.col("period_start").alias("item"),
                                           F.col("context").alias("text"))
     return prompts.level_prompts(units, "month", LEVEL_TEMPLATE, SYSTEM, 2,
-                                 LEVEL_LIMIT + OUTPUT + 5000, OUTPUT, items)
+                                 LEVEL_LIMIT + OUTPUT + 5000, OUTPUT, items).drop("page", "n_history")
 
 
 query("attach_children", """SELECT p.level, p.period_start, c.period_start AS child, c.level AS child_level,

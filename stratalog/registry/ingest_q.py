@@ -249,7 +249,7 @@ def _blocks(s, d):
 
 
 query("forward_fill_dates", """SELECT file, CAST(first_line AS INTEGER) AS first_line, datetime_parsed,
-  datetime_raw, "user" FROM dated_block""")(_blocks)
+  datetime_raw, "user" FROM dated_block""")(lambda s, d: _blocks(s, d).drop("page"))
 
 RESOLVED = """SELECT file, coalesce(datetime_parsed, coalesce(strftime(CAST(f AS DATE) - 1, '%Y-%m-%d'),
     '1970-01-01') || 'T00:00:00') AS datetime_parsed,
@@ -261,9 +261,20 @@ query("resolve_undated", RESOLVED)(
     lambda s, d: I.resolve_undated(_blocks(s, d)).select("file", "datetime_parsed", "user"))
 
 query("line_dated_entries", f"""SELECT substr(datetime_parsed, 1, 10) AS date, '00:00:00' AS time,
-  'old_diary' AS source, file AS source_file, 'user' AS role, trim("user", E' \\n\\t\\r') AS text
-FROM ({RESOLVED})""")(
-    lambda s, d: I.dated_entries(I.resolve_undated(_blocks(s, d))))
+  'old_diary' AS source, 'user' AS role, trim("user", E' \\n\\t\\r') AS text
+FROM ({RESOLVED.replace("dated_block", "shelf_block")})""")(
+    lambda s, d: _read_lines(s, d))
+
+
+def _read_lines(s, d):
+    """The documents in eight text files, read back by lines; a date holds until the next one."""
+    from stratalog.registry.source_q import _folder
+    path = _folder(s)
+    shelf = F.pmod(F.col("file").cast("long"), F.lit(8)).alias("shelf")
+    (B.dated_document(s, d).select(shelf, F.col("file").cast("long").alias("n"), "text")
+     .repartition(8, "shelf").sortWithinPartitions("shelf", "n").drop("n").write.partitionBy("shelf").text(path))
+    return readers.read_line_dated_text(s, path).drop("source_file")
+
 
 query("detect_dates", "SELECT file, CAST(line_no AS INTEGER) AS line_no, anchor FROM dated_line")(
     lambda s, d: _detected(s, d))

@@ -43,9 +43,18 @@ def _merged(s, d):
     return readers.read_merged_json(s, path, lines=True)
 
 
+def _one_document(df: DataFrame, path: str, lead: str, tail: str) -> str:
+    """Rows of one JSON column as the elements of a single document in a single file."""
+    rows = df.select(F.lit(1).alias("o"), F.concat(F.col("value"), F.lit(",")).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, lead), (2, "null" + tail)], "o INT, value STRING")
+    ends.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return path
+
+
 query("merged_documents", f"SELECT {ENTRY} FROM raw_entry WHERE {NOT_BLANK}")(
-    lambda s, d: readers.read_merged_json(s, _one_per_file(_days(s, d).select(
-        F.array(F.struct("date", "entries")).alias("entries")), _folder(s))))
+    lambda s, d: readers.read_merged_json(s, _one_document(
+        _days(s, d).select(F.to_json(F.struct("date", "entries")).alias("value")), _folder(s),
+        '{"version": "1 {", "entries": [', "]}")))
 
 query("split_documents", f"SELECT {ENTRY} FROM raw_entry WHERE {NOT_BLANK}")(
     lambda s, d: readers.read_split_json(s, _one_per_file(_days(s, d), _folder(s))))
@@ -76,7 +85,8 @@ query("chat_documents", """SELECT title, strftime(t, '%Y-%m-%d') AS date, strfti
 FROM (SELECT 'conversation ' || conv_id AS title, role, trim(text, E' \\n\\t\\r') AS text,
         epoch_ms((1700000000 + conv_id * 86400 + turn * 60) * 1000) AS t FROM conversations
       WHERE role IN ('user', 'assistant')) WHERE text <> ''""")(
-    lambda s, d: readers.read_chat_export(s, _one_per_file(_chats(s, d), _folder(s))).select(
+    lambda s, d: readers.read_chat_export(s, _one_document(
+        _chats(s, d).select(F.to_json(F.struct("title", "chat")).alias("value")), _folder(s), "[", "]")).select(
         "title", "date", "time", "role", "text"))
 
 query("route_sources", """SELECT 'chat' AS kind, count(DISTINCT conv_id) AS files FROM conversations""")(

@@ -100,3 +100,36 @@ def _(s, d):
         .alias("html"))
     return readers.activity_turns(pages).select("file", "msg_index", "datetime_parsed", "user",
                                                 "response")
+
+
+@query("activity_paragraphs", rf"""WITH m AS (SELECT file, msg_index, datetime_parsed,
+    trim(regexp_replace("user", {FOLD})) AS q, trim(regexp_replace(coalesce(response, ''), {FOLD})) AS r FROM message)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY msg_index) - 1 AS INTEGER) AS msg_index,
+  datetime_parsed, q || '.' AS "user",
+  CASE msg_index % 3 WHEN 0 THEN trim(r || ' Head item item inner inner & more')
+    WHEN 1 THEN trim(r || ' outside') ELSE trim('aside ' || r) END AS response
+FROM m""")
+def _(s, d):
+    """Turns of chats with a gem: the response is in paragraphs, headings and lists, or only in flat text."""
+    shown = F.date_format(F.to_timestamp("datetime_parsed"), "MMM d, yyyy, h:mm:ss a")
+
+    def escape(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"),
+                                   F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    told = escape(F.coalesce("response", F.lit("")))
+    kind = F.col("msg_index") % 3
+    body = (F.when(kind == 0, F.concat(
+        F.lit(" UTC<div title='Prompted'>not told<p>"), told, F.lit(
+            "</p>nor this<br><h3>Head</h3><ul><li>item</li><li><b>item</b> <p>inner</p></li></ul>"
+            "<p>&amp; <i>more</i></p></div>")))
+        .when(kind == 1, F.concat(F.lit(" UTC<div>"), told, F.lit(" <b>outside</b></div>")))
+        .otherwise(F.concat(F.lit(" UTC<div>aside </div><span>"), told, F.lit("</span><p>"))))
+    cell = F.concat(
+        F.lit('<div class="outer-cell"><div class="content-cell">Prompted&nbsp;'), escape(F.col("user")),
+        F.lit(". My Gem was used in this chat. Manage your Gems.<br>"), shown, body,
+        F.lit("<div>This activity was saved to your Google Account</div><p>settings</p></div></div>"))
+    pages = B.message(s, d).groupBy("file").agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("msg_index", cell.alias("cell")))), lambda r: r["cell"]), "\n")
+        .alias("html"))
+    return readers.activity_turns(pages).select("file", "msg_index", "datetime_parsed", "user", "response")

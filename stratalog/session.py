@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: unlike a checkpoint it keeps
+    sizes, columns can be pruned, and with ``by`` one value's folder can be read alone."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,22 +1,25 @@
 """Readers: each gives entry rows or turns from one kind of file.
 
-A folder is read by many tasks; one JSON document or HTML page is one row, as those
-formats cannot be split.
+A folder is read by many tasks, and so is one large JSON document (``documents``): its days,
+conversations or turns are rows.  An HTML page is one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stratalog.functions import periods as P, text as X
 from stratalog.operators import ingest
 from stratalog.plans import models
-from stratalog.schema import (CHAT_FILE, DAY_FILE, ENTRY_DEFAULTS, LEVELS, MERGED_FILE,
-                              PROFILE_BODY, SUMMARY_BODY, TURN_FILE)
+from stratalog.schema import (CHAT_FILE, DAY_FILE, ENTRY_DEFAULTS, LEVELS, PROFILE_BODY,
+                              SUMMARY_BODY, TURN_FILE)
 from stratalog.session import cut_lineage
-
+from stratalog.sources import documents
 
 
 def file_name() -> Column:
@@ -43,15 +46,15 @@ def _entries(days: DataFrame, source_file: Column, roles: Iterable[str] | None)
 
 def read_merged_json(spark: SparkSession, path: str, roles: Iterable[str] | None = None,
                      lines: bool = False) -> DataFrame:
-    """``{entries: [{date, entries: [...]}]}`` documents.
+    """``{entries: [{date, entries: [...]}]}`` documents, a day of a document at a time.
 
     With ``lines`` the folder that ``export_merged`` writes: one day, or page of a day, per line.
     """
     if lines:
         days = spark.read.schema(DAY_FILE).json(f"{path}/entries")
         return _entries(days, F.lit(""), roles)
-    doc = spark.read.schema(MERGED_FILE).json(path, multiLine=True)
-    return _entries(doc.select(F.explode("entries").alias("_d")).select("_d.*"), F.lit(""), roles)
+    days = documents.parsed_records(documents.json_records(spark, path, 2), DAY_FILE)
+    return _entries(days, F.lit(""), roles)
 
 
 def read_split_json(spark: SparkSession, path: str, roles: Iterable[str] | None = None
@@ -88,8 +91,8 @@ def read_dated_csv(spark: SparkSession, path: str, date_col: str = "date",
 
 
 def _messages(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(CHAT_FILE).json(path, multiLine=True)
-    return docs.select(file_name().alias("source_file"),
+    docs = documents.parsed_records(documents.json_records(spark, path), CHAT_FILE)
+    return docs.select(F.col("file_name").alias("source_file"),
                        F.coalesce("title", F.lit("(no title)")).alias("title"),
                        F.posexplode("chat.messages").alias("msg_index", "_m")).select(
         "source_file", "title", "msg_index", F.col("_m.role").alias("role"),
@@ -128,13 +131,29 @@ ACTIVITY_TIME = (r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}
                  r"\s+\d{1,2}:\d{2}:\d{2}\s+(?:AM|PM)(?:\s+[A-Z]{2,5})?")
 
 
+PARAGRAPHS = ("p", "h3", "li")
+
+
 def activity_turns(pages: DataFrame, html: str = "html") -> DataFrame:
     """Turns of activity pages: the page's other columns, msg_index, datetime_raw,
-    datetime_parsed, user, response."""
+    datetime_parsed, user, response.
+
+    A page is cut into cells before anything else looks at it.  In a chat with a gem the response
+    is the text of the cell's paragraphs, headings and list items after its time stamp, where it
+    has any; else, and in plain chats, the flat text after the time stamp.
+    """
     rest = [c for c in pages.columns if c != html]
-    chunks = F.slice(F.split(X.html_to_text(html), ACTIVITY_START), 2, 2_147_483_647)
-    rows = (pages.select(*rest, F.posexplode(chunks).alias("msg_index", "_c"))
-            .withColumn("_c", X.strip(F.substring_index("_c", ACTIVITY_FOOTER, 1))))
+    # The mark counts in text only: pieces begin with a tag, whose end is their first bracket.
+    cut = "\u0001"
+    tags = F.split(F.translate(F.col(html), cut, ""), "<")
+    marked = F.transform(tags, lambda t, i: F.when((i > 0) & F.contains(t, F.lit(">")), F.concat(
+        F.substring_index(t, ">", 1), F.lit(">"), F.replace(
+            F.substr(t, F.length(F.substring_index(t, ">", 1)) + 2),
+            F.lit(ACTIVITY_START), F.lit(cut)))).otherwise(
+        F.replace(t, F.lit(ACTIVITY_START), F.lit(cut))))
+    cells = F.filter(F.split(F.array_join(marked, "<"), cut), lambda _, i: i > 0)
+    rows = (pages.select(*rest, F.posexplode(cells).alias("msg_index", "_cell"))
+            .withColumn("_c", X.strip(F.substring_index(X.html_to_text("_cell"), ACTIVITY_FOOTER, 1))))
     gem, c = F.col("_c").rlike(ACTIVITY_GEM), F.col("_c")
     plain = rf"(?s)^(.*?)({ACTIVITY_TIME})(.*)$"
     asked = F.regexp_extract(c, rf"(?s)^(.*?){ACTIVITY_GEM}", 1)
@@ -148,12 +167,62 @@ def activity_turns(pages: DataFrame, html: str = "html") -> DataFrame:
                  ).otherwise(X.strip(F.regexp_extract(c, plain, 2)))
     user = F.when(gem, F.when(named, F.substring(asked, F.lit(1), dot)).otherwise(asked)
                   ).otherwise(F.regexp_extract(c, plain, 1))
-    response = F.when(gem & answered.rlike(lead), F.regexp_extract(answered, lead, 2)
-                      ).when(gem, answered).otherwise(F.regexp_extract(c, plain, 3))
-    return (rows.filter(gem | c.rlike(ACTIVITY_TIME))
-            .select(*rest, "msg_index", raw.alias("datetime_raw"),
-                    X.iso_datetime(X.parse_datetime(raw)).alias("datetime_parsed"),
-                    X.clean_text(user).alias("user"), X.clean_text(response).alias("response")))
+    flat = F.when(gem & answered.rlike(lead), F.regexp_extract(answered, lead, 2)
+                  ).when(gem, answered).otherwise(F.regexp_extract(c, plain, 3))
+    turns = (rows.filter(gem | c.rlike(ACTIVITY_TIME))
+             .select(*rest, "msg_index", raw.alias("datetime_raw"), user.alias("user"),
+                     flat.alias("_flat"), F.when(gem, F.col("_cell")).alias("_cell")))
+    # What follows the date in the cell as it was written; without a date the whole cell.
+    date = F.left("datetime_raw", F.lit(10))
+    at = F.call_function("locate", date, F.col("_cell"))
+    after = F.when(at > 0, F.substr("_cell", at + F.length(date)))
+    told = F.arrow_udf(_paragraphs, "string")(after)
+    return turns.select(
+        *rest, "msg_index", "datetime_raw",
+        X.iso_datetime(X.parse_datetime("datetime_raw")).alias("datetime_parsed"),
+        X.clean_text("user").alias("user"),
+        X.clean_text(F.coalesce(X.present(told), "_flat")).alias("response"))
+
+
+def _paragraphs(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in cells:
+        yield pa.array([None if c is None else paragraph_text(c) for c in batch.to_pylist()], pa.string())
+
+
+# Elements that have no end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|[^<]+|<", re.S)
+
+
+def paragraph_text(cell: str) -> str:
+    """The texts of paragraphs, third headings and list items, in the order in which they open.
+
+    One pass over tags and texts with a stack of open elements: a text belongs to every such
+    element that is open, an end tag closes its element and all that opened within it.  What
+    holds the footer, and what is still open where it begins, is left out.
+    """
+    body, footer, _ = cell.partition(ACTIVITY_FOOTER)
+    found: list[list[str]] = []
+    open_: list[tuple[str, list[str] | None]] = []
+    for m in TAG.finditer(body):
+        name = (m[2] or "").lower()
+        if not name:
+            text = " ".join(unescape(m[0]).split()) if m[0][:4] != "<!--" else ""
+            if text:
+                for _, texts in open_:
+                    if texts is not None:
+                        texts.append(text)
+        elif not m[1]:
+            if name not in VOID and not m[0].endswith("/>"):
+                texts: list[str] | None = [] if name in PARAGRAPHS else None
+                if texts is not None:
+                    found.append(texts)
+                open_.append((name, texts))
+        elif any(name == n for n, _ in open_):
+            while open_.pop()[0] != name:
+                pass
+    cut_off = {id(texts) for _, texts in open_} if footer else set()
+    return " ".join(" ".join(texts) for texts in found if texts and id(texts) not in cut_off)
 
 
 def read_activity_html(spark: SparkSession, path: str) -> DataFrame:
@@ -167,13 +236,16 @@ def read_preparsed_json(spark: SparkSession, path: str, check: bool = True, line
     """Turns saved earlier; items without date or text are skipped.
 
     A file is one JSON array, or with ``lines`` one turn per line, as the turn cache is
-    written; lines can be split over tasks.  With ``check`` a path without any valid item
+    written; both are split over tasks.  With ``check`` a path without any valid item
     is an error.
     """
-    docs = spark.read.schema(TURN_FILE).json(path, multiLine=not lines)
+    if lines:
+        docs = spark.read.schema(TURN_FILE).json(path).withColumn("file_name", file_name())
+    else:
+        docs = documents.parsed_records(documents.json_records(spark, path), TURN_FILE)
     parsed = F.coalesce(X.present("datetime_parsed"), X.present("datetime_raw_parsed"))
     user = F.coalesce(X.present("user"), X.present("text"))
-    rows = docs.select(file_name().alias("source_file"), parsed.alias("datetime_parsed"),
+    rows = docs.select(F.col("file_name").alias("source_file"), parsed.alias("datetime_parsed"),
                        F.coalesce("datetime_raw", parsed).alias("datetime_raw"),
                        X.strip(user).alias("user"),
                        F.coalesce("response", F.lit("")).alias("response")
@@ -189,22 +261,25 @@ def split_lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*rest, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def read_line_dated_text(spark: SparkSession, path: str, fn: models.ModelFn | None = None
-                         ) -> DataFrame:
+def read_line_dated_text(spark: SparkSession, path: str | list[str], fn: models.ModelFn | None = None,
+                         journal: str | None = None) -> DataFrame:
     """Long texts with date lines between paragraphs, as entry rows.
 
-    A file is read by lines and in as many parts as Spark splits it into.  A line's place is
-    the start of its part and its number there; the lines are made durable once, so a model
-    is asked about each line once.
+    A file is known by its whole path, is read by lines and in as many parts as Spark splits it
+    into.  A line's place is the start of its part and its number there; the lines are made
+    durable once, so a model is asked about each line once, and with a ``journal`` in no later
+    run again.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("part"),
                      F.monotonically_increasing_id().alias("n"))
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        file_name().alias("file"), place.alias("line_no"), F.col("value").alias("line"))
-    dated = cut_lineage(models.detect_dates(lines, fn))
+        F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.col("value").alias("line"))
+    dated = cut_lineage(models.detect_dates(lines, fn, journal=journal))
     block = F.struct("line_no.part", F.floor(F.col("line_no.n") / 65_536).alias("n"))
     filled = ingest.forward_fill_dates(dated, block=block)
-    return ingest.dated_entries(ingest.resolve_undated(filled))
+    entries = ingest.dated_entries(ingest.resolve_undated(filled))
+    name = F.replace(F.substring_index("source_file", "/", -1), F.lit("+"), F.lit("%2B"))
+    return entries.withColumn("source_file", F.url_decode(name))
 
 
 def route_sources(spark: SparkSession, path: str) -> DataFrame:

@@ -387,7 +387,7 @@ def test_whole_run(spark, tmp_path):
         calls.add(1)
         return "coding related" if "code" in user else "therapy"
     parsing = {"label": label, "keep": ["self_reflection_psychology_therapy_dating"],
-               "labels": str(tmp_path / "labels")}
+               "journal": str(tmp_path / "journal")}
     dry = pipeline.run_ingest(spark, str(raw), store, dry_run=True, **parsing)
     assert tuple(dry.stats.first()) == (3, 4, 0) and not (tmp_path / "store").exists()
     asked = calls.value
