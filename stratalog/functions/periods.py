@@ -38,3 +38,8 @@ def month_key(c: str | Column) -> Column:
 
 def year_key(c: str | Column) -> Column:
     return F.substring(col(c), 1, 4)
+
+
+def store_month(date: str = "date") -> Column:
+    """The month partition of an entry; what is no date goes to one partition, ``other``."""
+    return F.when(F.col(date).rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])"), month_key(date)).otherwise(F.lit("other"))

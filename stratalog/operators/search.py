@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalog.functions import text as X
@@ -50,25 +53,48 @@ def document_lengths(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return corpus.select(*keys, *DOC, F.size(tokens()).cast("long").alias("doc_len"))
 
 
+COUNTED = "doc_len long, tokens array<struct<token: string, tf: long>>"
+
+
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    find = regex.compile(TOKEN).findall
+    for batch in batches:
+        lengths, ends, names, counts = [], [0], [], []
+        for text in batch.to_pylist():
+            found = find(text or "")
+            n = Counter(found)
+            lengths.append(len(found))
+            names += n.keys()
+            counts += n.values()
+            ends.append(len(names))
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())],
+                                           names=["token", "tf"])
+        yield pa.StructArray.from_arrays(
+            [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+            names=["doc_len", "tokens"])
+
+
+def count_tokens(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, source_type, source_id, date, doc_len, tokens: each text's tokens with their numbers.
+
+    A text sits in one row and is counted there, in Arrow batches, after it was folded.
+    """
+    bare = F.arrow_udf(_counted, COUNTED)(X.fold("content"))
+    return corpus.select(*keys, *DOC, bare.alias("_c")).select(*keys, *DOC, "_c.doc_len", "_c.tokens")
+
+
+def postings(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``count_tokens`` by token."""
+    return counted.select(*keys, *DOC, "doc_len", F.explode("tokens").alias("_p")).select(
+        *keys, *DOC, "doc_len", "_p.token", "_p.tf")
+
+
 def build_index(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Postings: source_type, source_id, date, doc_len, token, tf.
 
-    A text sits in one row, so its tokens are counted inside the row: runs of the sorted
-    tokens.  Neither texts nor postings are shuffled.
+    Neither texts nor postings are shuffled.
     """
-    doc = [*keys, *DOC]
-    cut = corpus.select(*doc, F.array_sort(tokens()).alias("_t"))
-    # A run starts where a token differs from the one before it, and ends at the next start.
-    n = F.size("_t")
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (
-        F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
-    sized = cut.filter(n > 0).select(*doc, n.cast("long").alias("doc_len"), "_t",
-                                     starts.alias("_s"))
-    runs = F.transform("_s", lambda i, k: F.struct(
-        F.element_at("_t", i).alias("token"),
-        (F.coalesce(F.get("_s", k + 1), F.size("_t") + 1) - i).cast("long").alias("tf")))
-    return (sized.select(*doc, "doc_len", F.explode(runs).alias("_p"))
-            .select(*doc, "doc_len", "_p.token", "_p.tf"))
+    return postings(count_tokens(corpus, keys), keys)
 
 
 def query_terms(query: str) -> list[str]:

@@ -117,6 +117,13 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return search.index_corpus(d, unit(spark, sf))
 
 
+def grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with more text in two of ten rows."""
+    return corpus(spark, sf).withColumn("content", F.when(
+        F.right("source_id", F.lit(1)).isin("3", "4"), F.concat("content", F.lit(" Ther quean, more")))
+        .otherwise(F.col("content")))
+
+
 def dated_document(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose every seventh line (from the fourth) opens with a date."""
     lines = F.transform(F.split("text", "\n"), lambda ln, i: F.when(
@@ -273,6 +280,10 @@ SELECT doc_id, source AS model, n_chars AS char_count, n_chars // 3 AS actual_in
 FROM documents""",
 }
 
+VIEW_SQL["grown"] = """
+SELECT source_type, source_id, date, CASE WHEN right(source_id, 1) IN ('3', '4')
+       THEN content || ' Ther quean, more' ELSE content END AS content FROM corpus"""
+VIEW_SQL["grown_posting"] = VIEW_SQL["posting"].replace("FROM corpus", "FROM grown")
 VIEW_SQL["shelf_dated"] = VIEW_SQL["dated_line"].replace("FROM line", "FROM shelf_line")
 VIEW_SQL["shelf_block"] = VIEW_SQL["dated_block"].replace("FROM dated_line", "FROM shelf_dated")
 

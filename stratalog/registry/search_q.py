@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalog.operators import search as S
 from stratalog.registry import base as B
 from stratalog.registry.base import query
-from stratalog.session import shared_folder
+from stratalog.session import shared_folder, stored
 from stratalog.sources import writers
 
 query("index_corpus", "SELECT source_type, source_id, date, length(content) AS chars FROM corpus")(
@@ -66,8 +66,23 @@ FROM (SELECT *, length(m[1]) + 1 AS p, length(m[2]) AS l FROM (SELECT source_id,
 
 
 def _search(s, d, text, **kw):
-    rows = B.corpus(s, d)
-    return S.search(text, S.build_index(rows), S.document_lengths(rows), **kw)
+    counted = stored(S.count_tokens(B.corpus(s, d)), "counted")
+    return S.search(text, S.postings(counted), counted, **kw)
+
+
+@query("search_after_merge", RANKED.format(words=WORDS).replace("FROM posting", "FROM grown_posting")
+       .replace("FROM corpus", "FROM grown") + """
+SELECT source_type, source_id, date, round(rank, 6) AS rank FROM r""")
+def _(s, d):
+    """Half of the corpus, then the rest, then longer texts in the place of some, then merged segments."""
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    rows, last = B.corpus(s, d), F.right("source_id", F.lit(1))
+    half = last.isin("0", "2", "4", "6", "8")
+    writers.append_index(rows.filter(half), path)
+    writers.append_index(rows.filter(~half), path)
+    writers.append_index(B.grown(s, d).filter(last.isin("3", "4")), path)
+    writers.merge_index(s, path, factor=2)
+    return S.search(QUERY, *writers.read_index(s, path)).withColumn("rank", F.round("rank", 6))
 
 
 def _stored(s, d, keys=()):

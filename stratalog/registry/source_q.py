@@ -148,7 +148,7 @@ def _(s, d):
     writers.write_profiles(rows, path)
     writers.write_profiles(rows.filter(F.col("id").cast("long") % 2 == 0).withColumn(
         "display_name", F.lit("renamed")), path)
-    return s.read.parquet(path).select("id", "display_name")
+    return writers.read_table(s, path).select("id", "display_name")
 
 
 @query("bucketed_export", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS display_name FROM supplier")

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from stratalog.functions import periods as P, text as X
 from stratalog.operators import entities, ingest, paging, search
 from stratalog.schema import ENTRY_COLUMNS, USAGE_COLUMNS
-from stratalog.session import cut_lineage
+from stratalog.session import cut_lineage, stored
+from stratalog.sources import commits
 
 
 def write_raw(entries: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """Append entries to the store, partitioned by month."""
     cols = [*keys, *ENTRY_COLUMNS]
-    (entries.select(*cols, P.month_key("date").alias("month")).hint("rebalance", "month")
+    (entries.select(*cols, P.store_month().alias("month")).hint("rebalance", "month")
      .write.mode("append").partitionBy("month").parquet(path))
 
 
@@ -40,28 +42,45 @@ def read_store(spark: SparkSession, path: str, keys: Sequence[str] = (),
 
 
 def upsert_table(updates: DataFrame, path: str, key: Sequence[str], partition: str) -> None:
-    """Replace rows by key in a Parquet table, rewriting only the partitions touched.
+    """Replace rows by key in a table of ``commits``, rewriting only the partitions touched.
 
-    The partition must be part of the key.  The merged partitions are made durable before
-    they replace the old files, so a lost executor cannot lose them.
+    The partition must be part of the key.  The merged partitions are written beside the old ones
+    and take their place in one commit, so a reader sees all of an upsert or nothing, and a writer
+    that dies leaves the old state.  When another writer has changed a partition in between, the
+    updates are merged into its state.
     """
     spark = updates.sparkSession
-    try:
-        old = spark.read.parquet(path)
-        touched = old.join(updates.select(partition).distinct(), partition, "left_semi")
-        merged = ingest.upsert(touched.select(*updates.columns), updates, key)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = updates
-    (cut_lineage(merged).write.mode("overwrite").partitionBy(partition)
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
+    updates = cut_lineage(updates)
+    touched = sorted(str(r[0]) for r in updates.select(partition).distinct().collect())
+
+    def merged(base: commits.Snapshot) -> dict[str, str]:
+        old = commits.read_parts(spark, path, at=base, parts=touched)
+        rows = updates if old is None else ingest.upsert(old.select(*updates.columns), updates, key)
+        return commits.write_parts(rows, path, partition)
+
+    base, done = commits.snapshot(spark, path), {}
+
+    def change(now: commits.Snapshot) -> dict[str, str]:
+        seen = {p: now.folders.get(p) for p in touched}
+        if done.get("seen") != seen:
+            done.update(seen=seen, folders=merged(now))
+        return done["folders"]
+
+    commits.commit(spark, path, base, change)
+
+
+def read_table(spark: SparkSession, path: str, parts: Sequence[str] | None = None) -> DataFrame:
+    """The newest state of a table that ``upsert_table`` writes, or some of its partitions."""
+    rows = commits.read_parts(spark, path, parts=parts)
+    if rows is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return rows
 
 
 def write_units(units: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """Upsert units by level and time: a new day rewrites the days of its month only.
 
-    The folder is the level with the month of a day, or the year of a higher unit.
+    The partition is the level with the month of a day, or the year of a higher unit.
     """
     of = F.when(F.col("level") == "day", F.substring("period_start", 1, 7)).otherwise(
         F.substring("period_start", 1, 4))
@@ -69,6 +88,10 @@ def write_units(units: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
                  [*keys, "part", "level", "period_start"], "part")
 
 
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path).drop("part")
+
+
 def merged_metadata(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Header of a merged export: days, entries, first and last date, format; one per stream."""
     return entries.groupBy(*keys).agg(F.countDistinct("date").alias("total_days"),
@@ -121,7 +144,7 @@ def write_documents(units: DataFrame, path: str, fmt: str = "md") -> None:
 
 
 def write_profiles(profiles: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
-    """Upsert profiles as id, display_name, aliases_json, data_json."""
+    """Upsert profiles as id, display_name, aliases_json, data_json; ``read_table`` reads them."""
     rows = profiles.select(
         *keys, "id", "display_name", F.to_json("aliases").alias("aliases_json"),
         F.to_json(F.struct(*profiles.columns)).alias("data_json"),
@@ -142,12 +165,17 @@ def read_alias_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("alias STRING, id STRING").json(f"{path}/alias_map")
 
 
+def _dossier_folder(label: F.Column) -> F.Column:
+    """The label made safe for a folder name, and a hash that keeps alike names apart."""
+    return F.concat_ws("-", X.safe_label(label), F.substring(F.sha2(label, 256), 1, 16))
+
+
 def write_dossiers(notes: DataFrame, path: str) -> None:
-    """Dossier notes by label; the folder name is the label made safe.
+    """Dossier notes by label, a folder each; labels that are alike when made safe stay apart.
 
     Stream columns are kept in the rows; readers name them in their schema.
     """
-    (notes.withColumn("safe_label", X.safe_label("label")).hint("rebalance", "safe_label")
+    (notes.withColumn("safe_label", _dossier_folder(F.col("label"))).hint("rebalance", "safe_label")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("safe_label").json(path))
 
@@ -158,12 +186,13 @@ DOSSIER = "label STRING, period_start STRING, note STRING, safe_label STRING"
 def read_dossier(spark: SparkSession, path: str, label: str, schema: str = DOSSIER) -> DataFrame:
     """The notes of one label: its folder alone is read."""
     rows = spark.read.schema(schema).json(path)
-    return rows.filter(F.col("safe_label") == X.safe_label(F.lit(label))).drop("safe_label")
+    return rows.filter((F.col("safe_label") == _dossier_folder(F.lit(label)))
+                       & (F.col("label") == label)).drop("safe_label")
 
 
 def list_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """The labels that have a folder; files are listed, their rows only counted."""
-    return spark.read.schema("safe_label STRING").json(path).select("safe_label").distinct()
+    """The labels that have a dossier."""
+    return spark.read.schema("label STRING").json(path).select("label").distinct()
 
 
 def write_turn_cache(entries: DataFrame, path: str) -> None:
@@ -174,22 +203,137 @@ def write_turn_cache(entries: DataFrame, path: str) -> None:
                    F.lit("").alias("response")).write.mode("overwrite").json(path)
 
 
+POSTING = "source_type STRING, source_id STRING, date STRING, doc_len BIGINT, token STRING, tf BIGINT"
+DOCUMENT = "source_type STRING, source_id STRING, date STRING, doc_len BIGINT"
+
+
 def write_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
-    """The index of searchable rows: postings by first letter of the token, and the totals.
+    """The index of searchable rows as one segment; more follow with ``append_index``."""
+    append_index(corpus, path, keys)
+
 
-    A query word prunes to one folder; the totals are one row per stream.
+def append_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """Add searchable rows to an index; rows that are there already are replaced.
+
+    The batch becomes an immutable segment: its postings by first letter of the token, its
+    documents, and as tombstones the older segments' documents it replaces.  Earlier segments are
+    neither read, but for the ids of their documents, nor written, and one commit makes it seen.
+    """
+    spark, doc = corpus.sparkSession, [*keys, "source_type", "source_id"]
+    counted = stored(search.count_tokens(corpus, keys), "counted")
+
+    def change(now: commits.Snapshot) -> dict[str, str]:
+        name = f"segment-{now.n + 1:09d}"
+        folder = commits.new_folder(path)
+        (search.postings(counted, keys).withColumn("letter", F.substring("token", 1, 1))
+         .hint("rebalance", "letter").sortWithinPartitions("letter", "token")
+         .write.partitionBy("letter").parquet(f"{folder}/postings"))
+        counted.select(*doc, "date", "doc_len").write.parquet(f"{folder}/documents")
+        older = [f for p, f in now.folders.items() if p < name]
+        dead = spark.createDataFrame([], _columns(keys) + "source_type STRING, source_id STRING, "
+                                     "date STRING, doc_len BIGINT, segment STRING")
+        if older:
+            gone = _documents(spark, older, keys).join(counted.select(*doc).distinct(), doc, "left_semi")
+            dead = gone.join(_tombstones(spark, older, keys), [*doc, "segment"], "left_anti").select(*dead.columns)
+        dead.write.parquet(f"{folder}/tombstones")
+        return {name: folder}
+
+    commits.commit(spark, path, commits.snapshot(spark, path), change)
+
+
+def merge_index(spark: SparkSession, path: str, keys: Sequence[str] = (), factor: int = 4) -> int:
+    """Merge segments of like size into one, without their tombstones; how many were merged.
+
+    Sizes are told apart by powers of ``factor`` in documents; the lowest size with ``factor``
+    segments is merged.  Texts are not read again.
     """
-    (search.build_index(corpus, keys).withColumn("letter", F.substring("token", 1, 1))
-     .hint("rebalance", "letter").sortWithinPartitions("letter", "token")
-     .write.mode("overwrite").partitionBy("letter").parquet(f"{path}/postings"))
-    (search.totals(search.document_lengths(corpus, keys), keys)
-     .write.mode("overwrite").parquet(f"{path}/totals"))
+    at = commits.snapshot(spark, path)
+    if not at.folders:
+        return 0
+    counts = {r.segment: r["count"] for r in _documents(spark, list(at.folders.values()), keys)
+              .groupBy("segment").count().collect()}  # one row per segment
+    tiers: dict[int, list[str]] = {}
+    for part, folder in sorted(at.folders.items()):
+        tier = int(math.log(max(counts.get(_segment(folder), 0), 1), factor) + 1e-9)
+        tiers.setdefault(tier, []).append(part)
+    chosen = next((parts for _, parts in sorted(tiers.items()) if len(parts) >= factor), [])
+    if not chosen:
+        return 0
+    doc, folders = [*keys, "source_type", "source_id"], [at.folders[p] for p in chosen]
+    dead = stored(_tombstones(spark, list(at.folders.values()), keys), "tombstones")
+    folder = commits.new_folder(path)
+    live = read_postings(spark, folders, keys).join(dead, [*doc, "segment"], "left_anti").drop("segment")
+    (live.hint("rebalance", "letter").sortWithinPartitions("letter", "token")
+     .write.partitionBy("letter").parquet(f"{folder}/postings"))
+    _documents(spark, folders, keys).join(dead, [*doc, "segment"], "left_anti").drop("segment").write.parquet(
+        f"{folder}/documents")
+    # What the merged segments say of segments that stay must still be said.
+    kept = [_segment(f) for p, f in at.folders.items() if p not in chosen]
+    _tombstone_rows(spark, folders, keys).filter(F.col("segment").isin(kept)).write.parquet(f"{folder}/tombstones")
+
+    def change(now: commits.Snapshot) -> dict[str, str | None]:
+        if any(now.folders.get(p) != at.folders[p] for p in chosen):
+            raise RuntimeError("another writer has merged these segments")
+        fresh = _tombstone_rows(spark, [f for p, f in now.folders.items() if p not in at.folders], keys
+                                ) if set(now.folders) - set(at.folders) else None
+        if fresh is not None and not fresh.filter(F.col("segment").isin([_segment(f) for f in folders])).isEmpty():
+            raise RuntimeError("a newer segment replaces rows of these; merge again")
+        return {**dict.fromkeys(chosen), chosen[0]: folder}
+
+    commits.commit(spark, path, at, change)
+    return len(chosen)
+
+
+def _columns(keys: Sequence[str]) -> str:
+    return "".join(f"{k} STRING, " for k in keys)
+
+
+def _segment(folder: str) -> str:
+    return folder.rstrip("/").rsplit("/", 1)[1]
+
+
+def _of_segments(spark: SparkSession, folders: Sequence[str], kind: str, schema: str) -> DataFrame:
+    """Rows of one kind from some segments, with the ``segment`` they come from."""
+    parts = [spark.read.schema(schema).parquet(f"{f}/{kind}").withColumn("segment", F.lit(_segment(f)))
+             for f in folders]
+    return ingest.union_sources(*parts)
+
+
+def _documents(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return _of_segments(spark, folders, "documents", _columns(keys) + DOCUMENT)
+
+
+def _tombstone_rows(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    schema = _columns(keys) + DOCUMENT + ", segment STRING"
+    return ingest.union_sources(*[spark.read.schema(schema).parquet(f"{f}/tombstones") for f in folders])
+
+
+def _tombstones(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """keys, source_type, source_id, segment of the documents that a newer segment replaces."""
+    return _tombstone_rows(spark, folders, keys).select(*keys, "source_type", "source_id", "segment").distinct()
+
+
+def read_postings(spark: SparkSession, folders: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return _of_segments(spark, folders, "postings", _columns(keys) + POSTING + ", letter STRING")
 
 
 def read_index(spark: SparkSession, path: str, keys: Sequence[str] = ()
                ) -> tuple[DataFrame, DataFrame]:
-    """Postings and totals as ``search.search`` takes them."""
-    lead = "".join(f"{k} STRING, " for k in keys)
-    postings = spark.read.schema(lead + "source_type STRING, source_id STRING, date STRING, doc_len BIGINT, "
-                                 "token STRING, tf BIGINT, letter STRING").parquet(f"{path}/postings")
-    return postings, spark.read.schema(lead + "docs BIGINT, avg_len DOUBLE").parquet(f"{path}/totals")
+    """Postings and totals as ``search.search`` takes them, of the newest state of an index.
+
+    A replaced document counts in no total, and its postings vanish behind the search's own
+    filters, so only those that match a query meet the tombstones.
+    """
+    folders = list(commits.snapshot(spark, path).folders.values())
+    if not folders:
+        raise FileNotFoundError(f"no index at {path}")
+    found = read_postings(spark, folders, keys)
+    lengths = _documents(spark, folders, keys).select(*keys, F.lit(1).alias("d"), "doc_len")
+    if len(folders) > 1:
+        doc = [*keys, "source_type", "source_id", "segment"]
+        found = found.join(_tombstones(spark, folders, keys), doc, "left_anti")
+        live = {_segment(f) for f in folders}
+        gone = _tombstone_rows(spark, folders, keys).filter(F.col("segment").isin(live))
+        lengths = lengths.unionByName(gone.select(*keys, F.lit(-1).alias("d"), (-F.col("doc_len")).alias("doc_len")))
+    totals = lengths.groupBy(*keys).agg(F.sum("d").alias("docs"), (F.sum("doc_len") / F.sum("d")).alias("avg_len"))
+    return found.drop("segment"), totals

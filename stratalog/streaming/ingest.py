@@ -76,12 +76,13 @@ def merge_batch(batch: DataFrame, store: str, keys: Sequence[str] = (),
 
 def touched_months(batch: DataFrame) -> list[str]:
     """Month partitions the batch's weeks lie in; an id contains its date, so duplicates
-    can only be there.  The list is as long as the calendar at most.
+    can only be there.  The list is as long as the calendar at most: whatever is no date has one
+    partition.
     """
     day = P.as_date("date")
     near = F.array(F.date_sub(day, 6), day, F.date_add(day, 6))
     months = (batch.select(F.explode(F.array_append(
-        F.transform(near, lambda d: F.date_format(d, "yyyy-MM")), P.month_key("date")))
+        F.transform(near, lambda d: F.date_format(d, "yyyy-MM")), P.store_month()))
         .alias("month")).distinct())
     return sorted(r.month for r in months.collect() if r.month is not None)
 

@@ -232,12 +232,16 @@ def test_profile_upsert_and_index_files(spark, tmp_path):
     schema = "id STRING, display_name STRING, aliases ARRAY<STRING>"
     writers.write_profiles(spark.createDataFrame([("a", "A", ["x"]), ("b", "B", [])], schema), path)
     writers.write_profiles(spark.createDataFrame([("b", "Bee", ["y"]), ("c", "C", [])], schema), path)
-    assert rows(spark.read.parquet(path), "id", "display_name", "aliases_json") == [
+    assert rows(writers.read_table(spark, path), "id", "display_name", "aliases_json") == [
         ("a", "A", '["x"]'), ("b", "Bee", '["y"]'), ("c", "C", "[]")]
-    notes = spark.createDataFrame([("Ann Ö./x", "2024-01-01", "n")], "label STRING, period_start STRING, note STRING")
-    writers.write_dossiers(notes, str(tmp_path / "d"))
-    assert rows(writers.list_dossiers(spark, str(tmp_path / "d")), "safe_label") == [("Ann_Ö__x",)]
-    assert writers.read_dossier(spark, str(tmp_path / "d"), "Ann Ö./x").count() == 1
+    for label in ("Ann Ö./x", "Ann B", "Ann/B"):  # the last two are alike when made safe
+        notes = spark.createDataFrame([(label, "2024-01-01", f"of {label}")],
+                                      "label STRING, period_start STRING, note STRING")
+        writers.write_dossiers(notes, str(tmp_path / "d"))
+    assert rows(writers.list_dossiers(spark, str(tmp_path / "d")), "label") == [
+        ("Ann B",), ("Ann Ö./x",), ("Ann/B",)]
+    for label in ("Ann Ö./x", "Ann B", "Ann/B"):
+        assert rows(writers.read_dossier(spark, str(tmp_path / "d"), label), "note") == [(f"of {label}",)]
     m = spark.createDataFrame([("Vera", "zoe_k", None, None, "2024-01-01", "2024-01-01", 1),
                                ("vera", None, None, None, "2024-01-02", "2024-01-02", 2)],
                               "name_as_written STRING, normalized_name STRING, valence STRING, interaction_summary "
@@ -406,7 +410,7 @@ def test_whole_run(spark, tmp_path):
     path = str(tmp_path / "units")
     writers.write_units(units, path)
     writers.write_units(units.filter("level = 'week'").withColumn("period_end", F.lit("x")), path)
-    saved = spark.read.parquet(path)
+    saved = writers.read_units(spark, path)
     assert saved.count() == units.count() and saved.filter("period_end = 'x'").count() == units.filter(
         "level = 'week'").count()
     full = hierarchy.structural_units(writers.read_store(spark, store))
