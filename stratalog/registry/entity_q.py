@@ -198,18 +198,36 @@ FROM (SELECT *, length(head) + CASE WHEN context_chars > 0 THEN context_chars
             LEFT JOIN ({CONTEXT}) c ON c.center_date = f.valid_from))""")
 
 
-def _count_words(system: str, user: str) -> str:
-    """Stand-in synthesis: the number of evidence blocks the prompt shows."""
+def _arcs(system: str, user: str) -> str:
+    """Stand-in synthesis: how many evidence blocks a prompt shows, how many partial arcs a merge joins."""
+    if user.startswith("Merge"):
+        return f"{user.count('## part ')} arcs, the last of {user.rstrip().rsplit(chr(10), 1)[-1]}"
     return f"{user.count('TYPE A')} mentions"
 
 
-@query("synthesize_entities", """SELECT id, CAST(1 AS BIGINT) AS arc_chunks_used, count(*) || ' mentions' AS arc_summary
-FROM fact GROUP BY id""")
+BUDGET, OVERLAP = 20_000, 3
+# The packing walk over the evidence: which blocks each chunk holds.
+B.ORACLES["synthesize_entities"] = f"""WITH RECURSIVE b AS (SELECT id, row_number() OVER o - 1 AS i, tokens AS t,
+    coalesce(sum(tokens) OVER (o ROWS BETWEEN {OVERLAP} PRECEDING AND 1 PRECEDING), 0) AS last
+  FROM ({B.ORACLES["entity_evidence"]}) WINDOW o AS (PARTITION BY id ORDER BY period_start, seq)),
+walk AS (SELECT id, i, 0 AS chunk, CAST(t AS BIGINT) AS cur, CAST(0 AS BIGINT) AS s FROM b WHERE i = 0
+  UNION ALL SELECT b.id, b.i, CASE WHEN cur + t > {BUDGET} THEN chunk + 1 ELSE chunk END,
+    CAST(CASE WHEN cur + t > {BUDGET} THEN last + t ELSE cur + t END AS BIGINT),
+    CASE WHEN cur + t > {BUDGET} THEN greatest(b.i - {OVERLAP}, 0) ELSE s END
+  FROM walk JOIN b ON b.id = walk.id AND b.i = walk.i + 1),
+sized AS (SELECT id, chunk, max(i) - min(s) + 1 AS n FROM walk GROUP BY id, chunk),
+arcs AS (SELECT id, max(chunk) + 1 AS k, arg_max(n, chunk) AS n FROM sized GROUP BY id)
+SELECT id, CAST(k AS BIGINT) AS arc_chunks_used,
+  CASE WHEN k = 1 THEN n || ' mentions' ELSE k || ' arcs, the last of ' || n || ' mentions' END AS arc_summary
+FROM arcs"""
+
+
+@query("synthesize_entities")
 def _(s, d):
-    # Budgets wide enough for one chunk each; chunked synthesis is checked by the tests.
+    """Frequent entities need several chunks: partial arcs, and a call that merges them."""
     return synthesis.synthesize_entities(
-        evidence(s, d), _contexts(s, d), _count_words, "About {entity}:\n{entity_timeline}",
-        "Merge {n_chunks} arcs of {entity}:\n{partial_arcs}", budget=10_000_000)
+        evidence(s, d), _contexts(s, d), _arcs, "About {entity}:\n{entity_timeline}",
+        "Merge {n_chunks} arcs of {entity}:\n{partial_arcs}", budget=BUDGET, overlap=OVERLAP)
 
 
 def _contexts(s, d):

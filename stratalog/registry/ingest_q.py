@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as X
@@ -286,6 +288,19 @@ def _detected(s, d):
         "file", "line_no", "anchor")
 
 
+def _dates(system: str, line: str) -> str:
+    """A stand-in model that answers with the date a line begins with, or in words."""
+    return line[:10] if re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\b", line) else "no date here"
+
+
+@query("detect_dates_model", "SELECT file, CAST(line_no AS INTEGER) AS line_no, anchor FROM dated_line")
+def _(s, d):
+    from stratalog.plans import models
+    from stratalog.registry.source_q import _folder
+    lines = readers.split_lines(B.dated_document(s, d), "text")
+    return models.detect_dates(lines, _dates, journal=_folder(s)).select("file", "line_no", "anchor")
+
+
 @query("apply_date_overrides", """SELECT file, msg_index, CASE label WHEN 'therapy' THEN NULL
   WHEN 'personal' THEN '2022-02-02T00:00:00' ELSE datetime_parsed END AS datetime_parsed FROM message""")
 def _(s, d):

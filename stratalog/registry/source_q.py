@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalog.functions import periods as P, text as X
-from stratalog.plans import hierarchy, models, prompts
+from stratalog.plans import hierarchy, models, pipeline, prompts
 from stratalog.registry import base as B
 from stratalog.registry.base import ORACLES, query
 from stratalog.registry.context_q import CTX, DAYS, LINE, RULE, SYSTEM
@@ -159,6 +159,58 @@ def _(s, d):
     return s.read.schema("id STRING, display_name STRING").json(path).select("id", "display_name")
 
 
+@query("split_export", "SELECT date, time, source, source_file, role, text FROM raw_entry")
+def _(s, d):
+    """Entries as one folder of JSON per date, read back."""
+    path = _folder(s)
+    writers.export_split(B.raw_entry(s, d).drop("id"), path, "date")
+    body = "date STRING, time STRING, source STRING, source_file STRING, role STRING, text STRING"
+    return s.read.text(path).select(F.from_json("value", body).alias("e")).select("e.*")
+
+
+@query("usage_file", """SELECT model, CAST(char_count AS BIGINT) AS char_count, CASE WHEN char_count > 0 AND actual_input_tokens > 0
+  THEN round(char_count / CAST(actual_input_tokens AS DOUBLE), 4) END AS empirical_ratio FROM call_log""")
+def _(s, d):
+    """The call log appended to CSV files in two runs and read back."""
+    path = _folder(s)
+    calls = B.call_log(s, d).select(
+        F.lit("t").alias("timestamp"), "model", F.lit(0).alias("estimated_input_tokens"),
+        F.col("actual_input_tokens").cast("int").alias("actual_input_tokens"),
+        F.lit(0).alias("actual_output_tokens"), F.col("char_count").cast("int").alias("char_count"), "doc_id")
+    for odd in (0, 1):
+        writers.append_usage(calls.filter(F.col("doc_id") % 2 == odd).drop("doc_id"), path)
+    return s.read.csv(path, header=True).select(
+        "model", F.col("char_count").cast("long").alias("char_count"),
+        F.col("empirical_ratio").cast("double").alias("empirical_ratio"))
+
+
+@query("incremental_run", None)
+def _(s, d):
+    """Two exports ingested one after the other: the units equal those of one run over everything."""
+    root, store = _folder(s), _folder(s)
+    day = F.date_add(F.lit("2023-12-25").cast("date"), (F.col("conv_id") * 3 % 730).cast("int"))
+    message = F.struct("role", F.col("text").alias("content"), (F.unix_date(day).cast("long") * 86_400 + 8 * 3600
+                       + F.col("turn") * 300).cast("string").alias("timestamp"))
+    chats = B.table(s, d, "conversations").groupBy("conv_id").agg(
+        F.collect_list(message).alias("messages")).select(
+            "conv_id", F.concat(F.lit("conversation "), "conv_id").alias("title"), F.struct("messages").alias("chat"))
+    units = manifest = None
+    for part in (0, 1):
+        chats.filter(F.col("conv_id") % 2 == part).drop("conv_id").coalesce(1).write.mode("append").json(root)
+        run = pipeline.run_ingest(s, root, store, manifest)
+        units, manifest = pipeline.update_units(s, store, units, run.dates), run.manifest
+    return units.select("level", "period_start", "period_end", "source_units", "source_entry_count").withColumn(
+        "source_units", F.array_join("source_units", ","))
+
+
+# Messages of users and assistants with text; of equal ones at one time there is one entry.
+ORACLES["incremental_run"] = re.sub(
+    r"raw_entry AS \(.*?FROM conversations\)\n\)", lambda m: m[0].replace("raw_entry AS (", "every_entry AS (")
+    + """, raw_entry AS (SELECT DISTINCT date, time, 'owui' AS source, role, trim(text, E' \\n\\t\\r') AS text
+  FROM every_entry WHERE role IN ('user', 'assistant') AND trim(text, E' \\n\\t\\r') <> '')""",
+    ORACLES["hierarchy"], flags=re.S)
+
+
 # --- runs with a model ---------------------------------------------------------------------
 
 
