@@ -230,19 +230,36 @@ def merge_pages(pages: str, fields: T.StructType) -> list[Column]:
 # --- staleness ---------------------------------------------------------------
 
 
-def fingerprints(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A hash per unit over its inputs, for all levels: keys, level, period_start, fingerprint.
+def day_hashes(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, date, n, total: the number and the sum of a day's entry ids.
 
-    A day hashes the number and the sum of its entry ids, which combines on the map side
-    and does not depend on order; a higher unit hashes its children's hashes in order.
+    Both add up, so they combine on the map side, do not depend on order, and those of a batch
+    merge with the stored ones (``merge_day_hashes``).
     """
-    keys = list(keys)
     number = F.conv("id", 16, 10).cast("decimal(20,0)")
-    days = entries.groupBy(*keys, "date").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(number).alias("_sum"))
+    return entries.groupBy(*keys, "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(number).alias("total"))
+
+
+def merge_day_hashes(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The day hashes of the stored entries and of a batch that is new to them."""
+    if stored is None:
+        return batch
+    return stored.unionByName(batch).groupBy(*keys, "date").agg(
+        F.sum("n").alias("n"), F.sum("total").cast("decimal(30,0)").alias("total"))
+
+
+def fingerprints(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A hash per unit over its inputs, for all levels: keys, level, period_start, fingerprint."""
+    return fingerprints_of(day_hashes(entries, keys), keys)
+
+
+def fingerprints_of(days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The fingerprints of all levels from day hashes alone; a unit hashes its children's in order."""
+    keys = list(keys)
     level_units = days.select(
         *keys, F.lit("day").alias("level"), F.col("date").alias("period_start"),
-        F.sha2(F.concat_ws(":", F.col("_n").cast("string"), F.col("_sum").cast("string")), 256)
+        F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256)
         .alias("fingerprint"))
     out = [level_units]
     for level in LEVELS[1:]:

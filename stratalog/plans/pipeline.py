@@ -7,21 +7,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalog.functions import periods as P
 from stratalog.operators import ingest
 from stratalog.plans import hierarchy, models
 from stratalog.schema import DEFAULT_CATEGORIES, ENTRY_COLUMNS
-from stratalog.session import cut_lineage
+from stratalog.session import cut_lineage, stored
 from stratalog.sources import readers, writers
 from stratalog.streaming.ingest import touched_months
 
 
 @dataclass
 class IngestRun:
-    """Result of one run: counts in one row, dates that received entries, the new manifest."""
+    """Result of one run: counts in one row, dates that received entries, the new manifest, and
+    the day hashes of the entries that were new."""
 
     stats: DataFrame
     dates: DataFrame
     manifest: DataFrame
+    hashes: DataFrame
 
 
 def parse_folder(spark: SparkSession, path: str, label: models.ModelFn | None = None,
@@ -87,7 +90,7 @@ def run_ingest(spark: SparkSession, path: str, store: str, manifest: DataFrame |
         writers.write_raw(fresh, store)
     before = found.limit(0) if manifest is None else manifest
     done = before if dry_run else found
-    return IngestRun(stats, fresh.select("date").distinct(), done)
+    return IngestRun(stats, fresh.select("date").distinct(), done, hierarchy.day_hashes(fresh))
 
 
 def update_units(spark: SparkSession, store: str, units: DataFrame | None, dates: DataFrame,
@@ -102,3 +105,27 @@ def update_units(spark: SparkSession, store: str, units: DataFrame | None, dates
         touched = dates.select(F.lit("day").alias("level"), F.col("date").alias("period_start"))
         units = cut_lineage(ingest.invalidate_units(units, touched))
     return hierarchy.run_hierarchy(entries, units, history_n=history_n, describe=describe)
+
+
+def update_stale(spark: SparkSession, store: str, units: DataFrame | None, batch: DataFrame,
+                 before: DataFrame | None = None,
+                 describe: Callable[[str, DataFrame, DataFrame], DataFrame] | None = None
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Redo just the units whose fingerprints a batch has changed; the units, and the day hashes now.
+
+    ``batch`` has the day hashes of a run's new entries, ``before`` those stored so far.
+    Fingerprints of all levels follow from day hashes, one small row a day, so the entries are read
+    for the months of stale days alone; other days stand in the units that are there.
+    """
+    now = stored(hierarchy.merge_day_hashes(before, batch), "day_hashes")
+    if units is None or before is None:
+        return hierarchy.run_hierarchy(writers.read_store(spark, store), None, describe=describe), now
+    stale = stored(hierarchy.stale_units(hierarchy.fingerprints_of(now),
+                                         hierarchy.fingerprints_of(before)), "stale")
+    days = stale.filter("level = 'day'").select(F.col("period_start").alias("date"))
+    months = sorted(r[0] for r in days.select(P.store_month()).distinct().collect())
+    if not months:
+        return units, now
+    entries = writers.read_store(spark, store, months=months).join(days, "date", "left_semi")
+    kept = stored(ingest.invalidate_units(units, stale), "kept")
+    return hierarchy.run_hierarchy(entries, kept, cascade=False, describe=describe), now

@@ -250,3 +250,33 @@ query("summary_context", """SELECT period_start, '[' || period_start || ' — '
   AS context FROM day_unit""")(
     lambda s, d: B.day_unit(s, d).select("period_start", X.summary_context(
         B.day_unit(s, d).columns).alias("context")))
+
+
+B.ORACLES["stale_after_merge"] = B.ORACLES["stale_units"]
+
+
+@query("stale_after_merge")
+def _(s, d):
+    """Stored hashes of some entries, merged with those of a batch: no entry is read twice."""
+    from stratalog.session import stored
+    rows = B.raw_entry(s, d)
+    then = stored(H.day_hashes(rows.filter("role <> 'system'")), "day_hashes")
+    now = H.merge_day_hashes(then, H.day_hashes(rows.filter("role = 'system'")))
+    return H.stale_units(H.fingerprints_of(now), H.fingerprints_of(then))
+
+
+B.ORACLES["update_stale"] = B.ORACLES["hierarchy"]
+
+
+@query("update_stale")
+def _(s, d):
+    """Units of a store that grows in two batches, of which only stale ones are done again."""
+    from stratalog.plans import pipeline
+    from stratalog.registry.source_q import _folder
+    from stratalog.sources import writers
+    rows, store, units, hashes = B.raw_entry(s, d), _folder(s), None, None
+    for part in ("role <> 'system'", "role = 'system'"):
+        batch = rows.filter(part)
+        writers.write_raw(batch, store)
+        units, hashes = pipeline.update_stale(s, store, units, H.day_hashes(batch), hashes)
+    return _flat(units.select(*H.UNIT))
