@@ -8,6 +8,7 @@ Knowledge stays a flat table, one row per fact: an entity may own a third of all
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -214,6 +215,56 @@ def dossiers(units: DataFrame, labels: dict[str, Sequence[str]], level: str,
             .select(*keys, "period_start", "period_end", "unit", "_e.label", "_e.key", "_e.note"))
 
 
+GRAM = 3
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: all pairs of the strings of two one-column tables where one is part of the other.
+
+    A string that is part of another shares all its grams of three letters (of as many as it has,
+    if fewer) with it, so each inner string is looked up by the one of its grams that fewest outer
+    strings have, and the hits are checked in full.  Blank strings are part of nothing.
+    """
+    def grams(size: int):
+        places = F.sequence(F.lit(1), F.length("s") - size + 1)
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("s", i, F.lit(size)))))
+
+    a, b = (df.select(F.col(df.columns[0]).alias("s")).filter(F.col("s") != "").distinct() for df in (inner, outer))
+    found = []
+    for size in range(1, GRAM + 1):
+        fits = F.length("s") == size if size < GRAM else F.length("s") >= size
+        held = b.filter(F.length("s") >= size).select(F.col("s").alias("outer"), grams(size).alias("g"))
+        often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        asked = a.filter(fits).select(F.col("s").alias("inner"), grams(size).alias("g"))
+        # A gram that no outer string has rules its string out.
+        rare = asked.join(often, "g", "left").groupBy("inner").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0")
+        found.append(rare.select("inner", "m.g").join(held, "g").filter(
+            F.contains("outer", F.col("inner"))).select("inner", "outer"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def label_notes(units: DataFrame, terms: DataFrame, level: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``dossiers`` for a table of labels and their search terms (label, term), of any size.
+
+    Names and terms that are part of one another are joined by their grams, so no unit is held
+    against every label.  Of a unit's map the first key with a hit counts for each label.
+    """
+    keys = list(keys)
+    on = [*keys, "period_start", "period_end", "unit"]
+    entries = units.filter(F.col("level") == level).select(
+        *keys, "period_start", "period_end", F.col("level").alias("unit"),
+        F.posexplode("entities").alias("_at", "key", "note")).withColumn("_name", F.lower("key"))
+    asked = terms.select("label", F.lower("term").alias("_term")).distinct()
+    names, words = entries.select("_name").distinct(), asked.select("_term").distinct()
+    pairs = contained(words, names).select(F.col("inner").alias("_term"), F.col("outer").alias("_name")).unionByName(
+        contained(names, words).select(F.col("inner").alias("_name"), F.col("outer").alias("_term"))).distinct()
+    hits = pairs.join(asked, "_term").select("_name", "label").distinct().join(entries, "_name")
+    first = hits.groupBy(*on, "label").agg(F.min(F.struct("_at", "key", "note")).alias("_e"))
+    told = ~F.contains(F.lower(F.coalesce("_e.note", F.lit("not mentioned"))), F.lit("not mentioned"))
+    return first.filter(told).select(*on, "label", "_e.key", "_e.note")
+
+
 def timeline_text(notes: DataFrame, group: Sequence[str], order: paging.Order,
                   labels: DataFrame | None = None, page_chars: int = paging.PAGE_CHARS
                   ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.functions import text as X
+from stratalog.functions import periods as P, text as X
 from stratalog.operators import entities as O, ingest, paging
 from stratalog.plans import synthesis
 from stratalog.registry import base as B
@@ -233,3 +233,32 @@ def _(s, d):
 def _contexts(s, d):
     from stratalog.registry.context_q import contexts
     return contexts(s, d)
+
+
+NAMED_DAY = """SELECT d, CASE k % 3 WHEN 0 THEN c_name || ' jr' WHEN 1 THEN upper(c_name) ELSE c_name[5:] END AS key,
+    CASE WHEN k % 5 = 0 THEN 'Not mentioned' ELSE n || ' orders' END AS note
+  FROM (SELECT o_orderdate AS d, c_custkey AS k, c_name, count(*) AS n
+        FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"""
+
+
+@query("label_notes", f"""WITH e AS ({NAMED_DAY}),
+  h AS (SELECT strftime(d, '%Y-%m-%d') AS period_start, c_name AS label, key, note,
+      row_number() OVER (PARTITION BY d, c_name ORDER BY key) AS k
+    FROM e JOIN customer ON contains(lower(key), lower(c_name)) OR contains(lower(c_name), lower(key)))
+SELECT period_start, label, key, note FROM h WHERE k = 1 AND note <> 'Not mentioned'""")
+def _(s, d):
+    """Every customer as a label, found in the names of each day's orders by containment."""
+    from stratalog.operators import entities
+    name, n = F.col("c_name"), F.col("c_custkey")
+    people = B.table(s, d, "customer")
+    named = B.table(s, d, "orders").join(people, F.col("o_custkey") == n).groupBy(
+        "o_orderdate", n, name).agg(F.count(F.lit(1)).alias("n"))
+    key = F.when(n % 3 == 0, F.concat(name, F.lit(" jr"))).when(n % 3 == 1, F.upper(name)).otherwise(
+        F.substr(name, F.lit(5)))
+    note = F.when(n % 5 == 0, "Not mentioned").otherwise(F.concat(F.col("n").cast("string"), F.lit(" orders")))
+    units = named.select("o_orderdate", key.alias("key"), note.alias("note")).groupBy("o_orderdate").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "note")))).alias("entities"))
+    day = P.date_text(F.col("o_orderdate"))
+    units = units.select(F.lit("day").alias("level"), day.alias("period_start"), day.alias("period_end"), "entities")
+    return entities.label_notes(units, people.select(name.alias("label"), name.alias("term")), "day").select(
+        "period_start", "label", "key", "note")

@@ -147,3 +147,33 @@ def test_what_is_no_date_has_one_partition(spark, tmp_path):
     writers.write_raw(batch, str(tmp_path / "s"))
     assert writers.read_store(spark, str(tmp_path / "s"), months=["other"]).count() == 499
     assert writers.read_store(spark, str(tmp_path / "s")).filter(F.col("date") == "2024-02-03").count() == 1
+
+
+# --- labels and names that contain one another ----------------------------------------------
+
+
+def test_containment_equals_all_pairs(spark):
+    from stratalog.operators import entities
+    rng = random.Random(5)
+    some = sorted({"".join(rng.choices("abc #", k=rng.randrange(0, 9))) for _ in range(120)})
+    others = sorted({"".join(rng.choices("abc #", k=rng.randrange(0, 6))) for _ in range(120)} | {"abc" * 20})
+    a, b = (spark.createDataFrame([(x,) for x in v], "x STRING") for v in (others, some))
+    got = sorted((r.inner, r.outer) for r in entities.contained(a, b).collect())
+    assert got == sorted((x, y) for x in others for y in some if x and x in y)
+    assert "NestedLoop" not in entities.contained(a, b)._jdf.queryExecution().toString()
+
+
+def test_label_notes_equal_dossiers(spark):
+    from stratalog.operators import entities
+    rng = random.Random(6)
+    names = ["Ann", "Anna Berg", "Bo", "x", "Cy-Lee", "ann b", "Dora", "Dorabella"]
+    rows = [("day", f"2024-01-{i + 1:02d}", f"2024-01-{i + 1:02d}",
+             {k: rng.choice(["here", "Not mentioned today", None]) for k in rng.sample(names, rng.randrange(0, 6))})
+            for i in range(28)]
+    units = spark.createDataFrame(rows, "level STRING, period_start STRING, period_end STRING, entities "
+                                        "MAP<STRING, STRING>")
+    labels = {"Ann": ["anna"], "Bo": [], "Dora": ["dorabella of the hill"], "nobody": ["zzz"], "Lee": ["cy-lee"]}
+    terms = spark.createDataFrame([(k, t) for k, v in labels.items() for t in (k, *v)], "label STRING, term STRING")
+    want = entities.dossiers(units, labels, "day")
+    got = entities.label_notes(units, terms, "day").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
