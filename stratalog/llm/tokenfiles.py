@@ -45,7 +45,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8"), ("n_toke
 BLOCK_BYTES = 1 << 20
 BLOCKS_PER_FILE = 64
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 16 << 20, 64 << 10
-CACHED = 1 << 17  # chunks of text, and pieces of chunks, whose ids a worker keeps
+CACHED = 1 << 18  # chunks of text, and pieces of chunks, whose ids a worker keeps
 # The parts of a tokenizer file whose effect on PLAIN text is known here: lower case, then
 # these pieces, each for itself.  Fixed values of the file.
 NORMALIZER = {"type": "Sequence", "normalizers": [
