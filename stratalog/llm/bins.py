@@ -7,25 +7,26 @@ lengths whatever the corpus, and so has the work.
 Best-fit decreasing gives the incumbent.  If it needs more bins than the lower bound, a
 depth-first search fills bins around the largest length left.  It enumerates the fillings of
 the rest that no other dominates, in the order of what they waste: maximal ones, where no length
-left over could stand beside the items, in place of one of them, or in place of two that are
-together no longer.  Sums that the lengths can reach are known beforehand as bits, so the
-enumeration never walks into a dead end; it is lazy, and goes on where it stopped when a branch
-has failed.  A filling is used as often as the counts allow, then less often.  A branch is given
+left over could replace one item or two and still fit.  Sums that the lengths can reach are known
+beforehand as bits, so the enumeration never walks into a dead end; it is lazy, and goes on where
+it stopped when a branch has failed.  A filling is used as often as the counts allow, then less often.  A branch is given
 up when its waste, or the lower bound of what is left, rules out a better packing, or when
 the same lengths were left before in as few bins.  The search stops at the lower bound or
-after ``nodes`` branches, its only limit; the incumbent is then the answer, so a limit never
-drops a document.
+after ``nodes`` fillings, dominated ones counted, its only limit; the incumbent is then the
+answer, so a limit never drops a document.
 """
 
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import islice
 
 FEW_LENGTHS = 40  # with no more lengths left, a branch is also held against their lower bound
+HELD = 32         # nodes whose enumeration is kept; one further up is begun again when it is its turn
 
 
 @dataclass(frozen=True)
@@ -76,8 +77,10 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> list[Pattern]:
     return [Pattern(f, n) for fillings in open_.values() for f, n in fillings.items()]
 
 
-def fillings(counts: Mapping[int, int], room: int, waste: int) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room`` that leave at most ``waste``, the fullest first, lazily."""
+def fillings(counts: Mapping[int, int], room: int, waste: int
+             ) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """Undominated fillings of ``room`` that leave at most ``waste``, the fullest first, lazily; None
+    for a dominated one, so that the caller can count what it costs to go on."""
     lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
     rising = lengths[::-1]
     mask = (1 << room + 1) - 1
@@ -107,18 +110,14 @@ def fillings(counts: Mapping[int, int], room: int, waste: int) -> Iterator[tuple
         used = dict(chosen)
         items = [n for n, k in chosen for _ in range(min(k, 2))]
 
-        def spare(low: int, high: int) -> bool:
-            return any(used.get(n, 0) < counts[n] for n in rising[low:high])
-
-        return (any(spare(bisect_right(rising, s), bisect_right(rising, s + rest)) for s in {0, *items})
-                or any(spare(bisect_left(rising, s), bisect_right(rising, s + rest))
-                       for s in {a + b for i, a in enumerate(items) for b in items[i + 1:]}))
+        return any(used.get(n, 0) < counts[n]
+                   for s in {0, *items, *(a + b for i, a in enumerate(items) for b in items[i + 1:])}
+                   for n in rising[bisect_right(rising, s):bisect_right(rising, s + rest)])
 
     for rest in range(min(waste, room) + 1):
         if reach[0] >> room - rest & 1:
             for chosen in exact(0, room - rest, ()):
-                if not dominated(chosen, rest):
-                    yield chosen
+                yield None if rest and dominated(chosen, rest) else chosen
 
 
 def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> list[Pattern]:
@@ -135,13 +134,16 @@ def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> li
     mark = {n: rng.getrandbits(128) for n in sorted(counts)}
     state, seen = sum(mark[n] * c for n, c in counts.items()), {}
 
-    def branches(tried: tuple | None) -> Iterator[tuple[Counter, int]]:
+    def branches(tried: tuple | None) -> Iterator[tuple[tuple | None, int]]:
         """A filling with a number of uses each; the filling used just before is not tried again."""
         largest = max(left)
         now = {**left, largest: left[largest] - 1}
         waste = (bins - 1) * capacity - total - (used * capacity - total + sum(
             n * c for n, c in left.items()))
         for chosen in fillings(now, capacity - largest, waste):
+            if chosen is None:
+                yield None, 0
+                continue
             items = Counter({largest: 1})
             items.update(dict(chosen))
             pattern = tuple(sorted(items.items(), reverse=True))
@@ -168,22 +170,31 @@ def complete(counts: Mapping[int, int], capacity: int, nodes: int = 5_000) -> li
         seen[state] = used
         return False
 
-    stack = [branches(None)] if bins > least else []
+    # Nodes from the root down: the filling used before, how many branches were taken, their source.
+    stack: list[list] = [[None, 0, None]] if bins > least else []
     while stack and visited < nodes:
         if len(done) == len(stack):
             pattern = done.pop()
             apply(pattern.items, -pattern.times)
-        found = next(stack[-1], None)
+        node = stack[-1]
+        if node[2] is None:
+            node[2] = islice(branches(node[0]), node[1], None)
+        found = next(node[2], None)
         if found is None:
             stack.pop()
             continue
         visited += 1
+        node[1] += 1
         pattern, times = found
+        if pattern is None:
+            continue
         apply(pattern, times)
         done.append(Pattern(pattern, times))
         if left:
             if not hopeless():
-                stack.append(branches(pattern))
+                stack.append([pattern, 0, None])
+                if len(stack) > HELD:
+                    stack[-HELD - 1][2] = None
             continue
         if used < bins:
             best, bins = list(done), used

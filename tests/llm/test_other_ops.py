@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -143,6 +144,13 @@ def test_bin_completion_on_large_histograms():
     counts = Counter(rng.randrange(300, 420) for _ in range(20_000))
     found = checked(counts, 2048, bins.complete(counts, 2048, nodes=1000))
     assert bins.lower_bound(counts, 2048) <= found <= checked(counts, 2048, bins.best_fit(counts, 2048))
+    # Nearly every length occurs, so dominated fillings abound; they count as steps, and few are held.
+    wide = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(50_000))
+    tracemalloc.start()
+    found = checked(wide, 2048, bins.complete(wide, 2048, nodes=1500))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert bins.lower_bound(wide, 2048) <= found <= checked(wide, 2048, bins.best_fit(wide, 2048))
     assert bins.complete({}, 10) == []
     with pytest.raises(ValueError):
         bins.complete({11: 1}, 10)
