@@ -181,7 +181,9 @@ def describe_with(fn: models.ModelFn, entries: DataFrame, templates: dict[str, s
         def ask(now: DataFrame) -> DataFrame:
             asked = prompts.finish_prompts(now, level, own, system, n, context_window, output_budget, keys)
             told = now.select(*on, "run", "told", "period_end").join(fields_of(asked), on)
-            return told.withColumn("context", X.summary_context(told.columns)).drop("period_end")
+            if "context" not in built:
+                built["context"] = [X.summary_context(told.columns)]
+            return told.withColumn("context", *built["context"]).drop("period_end")
 
         return pending.join(waves.in_waves(rows, back, ask, keys), on, "left")
 

@@ -268,10 +268,16 @@ ORACLES["describe_run"] = f"SELECT level, period_start, true AS told FROM ({ORAC
 
 @query("describe_run", None)
 def _(s, d):
-    """All levels with the stand-in model, grandchildren offered; every unit gets a summary."""
+    """All levels with the stand-in model, grandchildren offered; every unit gets a summary.
+
+    Months and years tell of the months and years before them, which takes a wave each; weeks, of
+    which there are a hundred in a row, stand alone here (for their kind see ``describe_waves``).
+    """
     rows = B.raw_entry(s, d)
-    templates = {f"{level}_historical": "{date}\n{history}\n{entries}" + (
-        "" if level == "day" else "\n{grandchild_items}") for level in ("day", "week", "month", "year")}
+    templates = {"day_historical": "{date}\n{history}\n{entries}",
+                 "week_isolated": "{date}\n{entries}\n{grandchild_items}",
+                 **{f"{level}_historical": "{date}\n{history}\n{entries}\n{grandchild_items}"
+                    for level in ("month", "year")}}
     describe = hierarchy.describe_with(models.stub_model, rows, templates, SYSTEM, 2)
     return hierarchy.run_hierarchy(rows, describe=describe).select(
         "level", "period_start", F.col("summary").isNotNull().alias("told"))
