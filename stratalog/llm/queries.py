@@ -176,6 +176,26 @@ def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.find_groups(docs, neardup.Plan(words=2))
 
 
+# Pairs by shared shingles, links by the sizes of sets, components by following links.
+ORACLES["op2_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w
+        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+shingle AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+        WHERE 100 * common >= 80 * (len(x.s) + len(y.s) - common)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets
+        UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 @query
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     # Pages have no time of capture; the id in seconds gives every page one of its own.
