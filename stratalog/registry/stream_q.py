@@ -20,10 +20,18 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _live_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is a file or a folder of files.
+
+    The path is a pattern, since the file source takes a plain path for a folder.
+    """
+    schema = B.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def _live_entries(spark: SparkSession, sf: str) -> DataFrame:
     """The conversation table as a stream of entries."""
-    schema = B.table(spark, sf, "conversations").schema
-    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    c = _live_table(spark, sf, "conversations")
     day = F.date_add(F.lit("2023-12-25").cast("date"), (F.col("conv_id") * 3 % 730).cast("int"))
     at = F.timestamp_seconds(F.lit(8 * 3600) + F.col("turn") * 300)
     return ingest.with_entry_id(c.select(
