@@ -81,9 +81,7 @@ def _(s, d):
   THEN round(n_chars / CAST(n_chars // 3 AS DOUBLE), 4) END AS empirical_ratio FROM documents""")
 def _(s, d):
     folder = _run_folder(s)
-    schema = B.table(s, d, "documents").schema
-    calls = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    rows = calls.select(
+    rows = _live_table(s, d, "documents").select(
         F.lit("2024-01-01T00:00:00").alias("timestamp"), F.col("source").alias("model"),
         F.ceil(F.col("n_chars") / 4).alias("estimated_input_tokens"),
         F.floor(F.col("n_chars") / 3).alias("actual_input_tokens"),

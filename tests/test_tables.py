@@ -29,7 +29,7 @@ def same(spark, con, name, sf):
     assert text.startswith("ok") and text != "ok 0", text
 
 
-@pytest.mark.parametrize("name", ["merge_stream"])
+@pytest.mark.parametrize("name", ["merge_stream", "usage_stream"])
 def test_streams_over_folders(spark, con, folders, name):
     assert os.path.isdir(f"{folders}/conversations.parquet")
     same(spark, con, name, folders)
