@@ -17,6 +17,7 @@ DAY_RESERVE, LEVEL_RESERVE = 2000, 5000
 NO_HISTORY = "(nothing recorded before)"
 BELOW_NOTE = "(No earlier {level} is known; these are the '{child}' summaries before it.)\n\n"
 PART_NOTE = "(part {part} of {parts})\n"
+LONGEST_TEXT = 2**31 - 1  # a page that no text fills
 
 
 def target_days(days: DataFrame, start: str | None = None, end: str | None = None,
@@ -64,15 +65,16 @@ def _literal_chars(template: str) -> int:
 def day_prompts(entries: DataFrame, template: str, system: str, n: int = 3,
                 context_window: int = 262_144, output_budget: int = 1024,
                 dates: DataFrame | None = None, keys: Sequence[str] = (),
-                part_note: str = PART_NOTE) -> DataFrame:
+                part_note: str = PART_NOTE, paged: bool = True) -> DataFrame:
     """Prompts per date: keys, date, page, n_history, n_dropped, prompt_chars, prompt.
 
     The template names {date}, {entries} and, with history, {history} and {n}.  Whole past
     days are dropped, oldest first, until the prompt fits; ``n_dropped`` says how many.  A
     day whose own text does not fit comes as several pages of half a window, each a full
     prompt without history that says which part it is; only a single entry longer than that
-    can exceed the window, and stays whole.  With ``dates`` only those days and the ``n``
-    before them are read.
+    can exceed the window, and stays whole.  Without ``paged`` such a day is one prompt, without
+    history and longer than the window.  With ``dates`` only those days and the ``n`` before them
+    are read.
     """
     keys = list(keys)
     limit = context_window - (output_budget + DAY_RESERVE)
@@ -92,10 +94,13 @@ def day_prompts(entries: DataFrame, template: str, system: str, n: int = 3,
     if room <= 0:
         raise ValueError("the window has no room for a day's text")
     whole = C.day_sizes(entries, keys).withColumnRenamed("chars", "_whole")
-    small = entries.join(whole.filter(F.col("_whole") <= room), [*keys, "date"], "left_semi")
-    large = entries.join(whole.filter(F.col("_whole") > room), [*keys, "date"], "left_semi")
-    pages = ingest.day_text(small, keys=keys, page_chars=room).unionByName(
-        ingest.day_text(large, keys=keys, page_chars=max(room // 2, 1)))
+    if paged:
+        small = entries.join(whole.filter(F.col("_whole") <= room), [*keys, "date"], "left_semi")
+        large = entries.join(whole.filter(F.col("_whole") > room), [*keys, "date"], "left_semi")
+        pages = ingest.day_text(small, keys=keys, page_chars=room).unionByName(
+            ingest.day_text(large, keys=keys, page_chars=max(room // 2, 1)))
+    else:
+        pages = ingest.day_text(entries, keys=keys, page_chars=LONGEST_TEXT)
     asked = pages if dates is None else pages.join(dates.select(*keys, "date"), [*keys, "date"],
                                                    "left_semi")
     if with_history:

@@ -34,3 +34,26 @@ def test_streams_over_folders(spark, con, folders, name):
     assert os.path.isdir(f"{folders}/conversations.parquet")
     same(spark, con, name, folders)
     same(spark, con, name, SF)
+
+
+@pytest.fixture(scope="module")
+def long_days(spark, tmp_path_factory):
+    """All conversations on two days, whose texts do not fit the window."""
+    root = tmp_path_factory.mktemp("long")
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    rows.selectExpr("conv_id % 2 + 730 * conv_id AS conv_id", "turn", "role", "repeat(text, 40) AS text"
+                    ).write.parquet(f"{root}/conversations.parquet")
+    for name in TABLES:
+        if name != "conversations":
+            os.symlink(f"{SF}/{name}.parquet", f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["day_prompts"])
+def test_long_days_are_one_prompt(spark, long_days, name):
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{long_days}/conversations.parquet/*.parquet'")
+    longest = con.execute("SELECT max(n) FROM (SELECT sum(length(text)) AS n FROM conversations "
+                          "GROUP BY conv_id % 730)").fetchone()[0]
+    assert longest > 40_000 * 3.2
+    same(spark, con, name, long_days)
