@@ -49,7 +49,7 @@ def long_days(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["day_prompts"])
+@pytest.mark.parametrize("name", ["day_prompts", "apply_model"])
 def test_long_days_are_one_prompt(spark, long_days, name):
     con = connect(SF)
     con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{long_days}/conversations.parquet/*.parquet'")
