@@ -8,9 +8,8 @@ Knowledge stays a flat table, one row per fact: an entity may own a third of all
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalog.functions import text as X
 from stratalog.operators import paging
@@ -215,33 +214,37 @@ def dossiers(units: DataFrame, labels: dict[str, Sequence[str]], level: str,
             .select(*keys, "period_start", "period_end", "unit", "_e.label", "_e.key", "_e.note"))
 
 
-GRAM = 3
+GRAMS = (1, 2, 4, 8, 16, 32)
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """inner, outer: all pairs of the strings of two one-column tables where one is part of the other.
 
-    A string that is part of another shares all its grams of three letters (of as many as it has,
-    if fewer) with it, so each inner string is looked up by the one of its grams that fewest outer
-    strings have, and the hits are checked in full.  Blank strings are part of nothing.
+    A string that is part of another shares all its grams with it.  An inner string's grams are of
+    the greatest of the sizes that it has, so that names made to one pattern are told apart, and
+    the string is looked up by the one of them that fewest outer strings have; the hits are checked
+    in full.  Blank strings are part of nothing.
     """
-    def grams(size: int):
-        places = F.sequence(F.lit(1), F.length("s") - size + 1)
-        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("s", i, F.lit(size)))))
-
-    a, b = (df.select(F.col(df.columns[0]).alias("s")).filter(F.col("s") != "").distinct() for df in (inner, outer))
-    found = []
-    for size in range(1, GRAM + 1):
-        fits = F.length("s") == size if size < GRAM else F.length("s") >= size
-        held = b.filter(F.length("s") >= size).select(F.col("s").alias("outer"), grams(size).alias("g"))
-        often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        asked = a.filter(fits).select(F.col("s").alias("inner"), grams(size).alias("g"))
-        # A gram that no outer string has rules its string out.
-        rare = asked.join(often, "g", "left").groupBy("inner").agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0")
-        found.append(rare.select("inner", "m.g").join(held, "g").filter(
-            F.contains("outer", F.col("inner"))).select("inner", "outer"))
-    return reduce(DataFrame.unionByName, found)
+    def strings(df: DataFrame) -> DataFrame:
+        return df.select(F.col(df.columns[0]).alias("s")).filter(F.col("s") != "").distinct()
+
+    def grams(size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("s") - size + 1), lambda i: F.substr("s", i, size))
+
+    a, b = strings(inner), strings(outer)
+    size = F.element_at(F.filter(F.array(*[F.lit(n) for n in GRAMS]), lambda n: n <= F.length("s")), -1)
+    sizes = a.select(F.collect_set(size)).scalar()
+    # One gram may be in millions of strings, and a table of grams is many times its strings: no
+    # side of these joins is small, whatever the size of the files they come from.
+    held = b.withColumn("_sizes", sizes).select(F.col("s").alias("outer"), F.explode(F.array_distinct(F.flatten(
+        F.transform(F.filter("_sizes", lambda n: n <= F.length("s")), grams)))).alias("g"))
+    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = a.select(F.col("s").alias("inner"), F.explode(F.array_distinct(grams(size))).alias("g"))
+    # A gram that no outer string has rules its string out.
+    rare = asked.join(often.hint("merge"), "g", "left").groupBy("inner").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0")
+    return rare.select("inner", "m.g").join(held.hint("merge"), "g").filter(
+        F.contains("outer", F.col("inner"))).select("inner", "outer")
 
 
 def label_notes(units: DataFrame, terms: DataFrame, level: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -259,7 +262,8 @@ def label_notes(units: DataFrame, terms: DataFrame, level: str, keys: Sequence[s
     names, words = entries.select("_name").distinct(), asked.select("_term").distinct()
     pairs = contained(words, names).select(F.col("inner").alias("_term"), F.col("outer").alias("_name")).unionByName(
         contained(names, words).select(F.col("inner").alias("_name"), F.col("outer").alias("_term"))).distinct()
-    hits = pairs.join(asked, "_term").select("_name", "label").distinct().join(entries, "_name")
+    hits = pairs.join(asked.hint("merge"), "_term").select("_name", "label").distinct().join(
+        entries.hint("merge"), "_name")
     first = hits.groupBy(*on, "label").agg(F.min(F.struct("_at", "key", "note")).alias("_e"))
     told = ~F.contains(F.lower(F.coalesce("_e.note", F.lit("not mentioned"))), F.lit("not mentioned"))
     return first.filter(told).select(*on, "label", "_e.key", "_e.note")

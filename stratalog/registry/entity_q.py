@@ -251,7 +251,7 @@ def _(s, d):
     from stratalog.operators import entities
     name, n = F.col("c_name"), F.col("c_custkey")
     people = B.table(s, d, "customer")
-    named = B.table(s, d, "orders").join(people, F.col("o_custkey") == n).groupBy(
+    named = B.table(s, d, "orders").join(people.hint("merge"), F.col("o_custkey") == n).groupBy(
         "o_orderdate", n, name).agg(F.count(F.lit(1)).alias("n"))
     key = F.when(n % 3 == 0, F.concat(name, F.lit(" jr"))).when(n % 3 == 1, F.upper(name)).otherwise(
         F.substr(name, F.lit(5)))

@@ -163,6 +163,15 @@ def test_containment_equals_all_pairs(spark):
     assert "NestedLoop" not in entities.contained(a, b)._jdf.queryExecution().toString()
 
 
+def test_grams_of_small_files_are_not_broadcast(spark, tmp_path):
+    from stratalog.operators import entities
+    spark.range(3000).selectExpr("printf('customer#%09d', id) AS x").write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    found = entities.contained(names.selectExpr("substr(x, 5) AS x"), names)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 3000
+
+
 def test_label_notes_equal_dossiers(spark):
     from stratalog.operators import entities
     rng = random.Random(6)
