@@ -54,11 +54,20 @@ def document_lengths(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 COUNTED = "doc_len long, tokens array<struct<token: string, tf: long>>"
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
+
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of few rows and bytes, or of one row: each token of a part is a Python object."""
+    size = max(batch.nbytes // max(len(batch), 1), 1)
+    rows = min(SLICE_ROWS, max(SLICE_BYTES // size, 1))
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     find = regex.compile(TOKEN).findall
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         lengths, ends, names, counts = [], [0], [], []
         for text in batch.to_pylist():
             found = find(text or "")

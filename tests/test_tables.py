@@ -57,3 +57,15 @@ def test_long_days_are_one_prompt(spark, long_days, name):
                           "GROUP BY conv_id % 730)").fetchone()[0]
     assert longest > 40_000 * 3.2
     same(spark, con, name, long_days)
+
+
+def test_long_batches_are_counted_in_slices():
+    import pyarrow as pa
+    from stratalog.operators import search
+    texts = ["a b a", "", None, "x " * 400_000] + [f"w{i} w{i} z" for i in range(2000)]
+    parts = list(search._counted(iter([pa.array(texts)])))
+    assert max(len(p) for p in parts) <= search.SLICE_ROWS
+    got = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_len"] for r in got] == [3, 0, 0, 400_000] + [3] * 2000
+    assert got[0]["tokens"] == [{"token": "a", "tf": 2}, {"token": "b", "tf": 1}]
+    assert list(search._counted(iter([pa.array([], pa.string())]))) == []
