@@ -69,3 +69,42 @@ def test_long_batches_are_counted_in_slices():
     assert [r["doc_len"] for r in got] == [3, 0, 0, 400_000] + [3] * 2000
     assert got[0]["tokens"] == [{"token": "a", "tf": 2}, {"token": "b", "tf": 1}]
     assert list(search._counted(iter([pa.array([], pa.string())]))) == []
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as they are between tables too large for a broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set(name, held)
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_prompts_that_share_a_context_are_not_shuffled(spark, no_broadcast):
+    import random
+    from stratalog.operators import context
+    from stratalog.plans import synthesis
+    text = f"{random.Random(3).getrandbits(400_000):x}"
+    ctx = spark.createDataFrame([("2024-01-01", 0, 1, 0, len(text), text)],
+                                "center_date STRING, page LONG, n LONG, start LONG, chars LONG, text STRING")
+    lead = len(synthesis.type_b_head(1, 1))
+    evidence = spark.range(400).selectExpr(
+        "'e' AS id", "'2024-01-01' AS period_start", "id AS seq", "concat('TYPE A ', id, '!') AS head",
+        "'2024-01-01' AS context_date", f"{len(text)}L AS context_chars",
+        f"CAST(length(concat('TYPE A ', id, '!')) + {lead + len(text)} AS BIGINT) AS block_chars", "1000L AS tokens")
+    chunks = context.pack_chunks(evidence, ["id"], synthesis.evidence_order(), 1000, 3).localCheckpoint()
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used():
+        return sum(os.path.getsize(p) for p in blocks.getAllFiles().mkString("\n").split("\n") if os.path.exists(p))
+    before = used()
+    got = {r.chunk: r.prompt for r in synthesis.chunk_prompts(evidence, ctx, chunks, "{entity}:{entity_timeline}").collect()}
+    assert used() - before < 20 * len(text)
+    assert len(got) == 400
+    for chunk, prompt in got.items():
+        want = synthesis.BLOCK_RULE.join(f"TYPE A {i}!{synthesis.type_b_head(1, 1)}{text}" 
+                                           for i in range(max(chunk - 3, 0), chunk + 1))
+        assert prompt.endswith("\n\n" + want)
