@@ -108,3 +108,11 @@ def test_prompts_that_share_a_context_are_not_shuffled(spark, no_broadcast):
         want = synthesis.BLOCK_RULE.join(f"TYPE A {i}!{synthesis.type_b_head(1, 1)}{text}" 
                                            for i in range(max(chunk - 3, 0), chunk + 1))
         assert prompt.endswith("\n\n" + want)
+
+
+def test_a_file_per_row_is_written_by_many_tasks(spark, tmp_path):
+    from stratalog.registry import source_q
+    source_q._one_per_file(spark.range(64).coalesce(1), str(tmp_path / "out"))
+    names = [n for n in os.listdir(tmp_path / "out") if n.endswith(".json")]
+    assert len(names) == 64 and len({n.split("-")[1] for n in names}) > 8
+    assert spark.read.json(str(tmp_path / "out")).distinct().count() == 64
