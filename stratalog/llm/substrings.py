@@ -37,8 +37,9 @@ NO_ID = 2**63 - 1  # stands for a null id inside, after all others
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-ENTRIES_PER_BUCKET = 1 << 20
-FLUSH_ENTRIES = 1 << 20
+# An entry takes some 100 bytes of a worker while it is settled, at both ends of the shuffle.
+ENTRIES_PER_BUCKET = 1 << 19
+FLUSH_ENTRIES = 1 << 19
 _PACKED = "place long, docs binary, counts binary, keys binary"
 _PACKED_ARROW = pa.schema([("place", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()),
                            ("keys", pa.binary())])
@@ -217,6 +218,7 @@ def _anchor_entries(reps: DataFrame, buckets: int) -> DataFrame:
             keys = anchor_keys(words.runs(ANCHOR)[at], buckets)
             docs = batch.column(0).to_numpy(zero_copy_only=False)[words.text[at]]
             entries.add(docs, keys, (keys >> np.uint64(32)).astype(np.int64))
+            del words, at, keys, docs  # not held beside what a flush takes
             if entries.size >= FLUSH_ENTRIES:
                 yield from entries.flush()
         yield from entries.flush()
@@ -237,6 +239,7 @@ def _window_entries(flagged: DataFrame, anchor_buckets: int, buckets: int) -> Da
             place = words.runs(WINDOW, seed=1000)[starts] % np.uint64(buckets)
             docs = batch.column(0).to_numpy(zero_copy_only=False)[words.text[starts]]
             entries.add(docs, words.runs(WINDOW)[starts], place.astype(np.int64))
+            del words, at, shared, keys, starts, place, docs
             if entries.size >= FLUSH_ENTRIES:
                 yield from entries.flush()
         yield from entries.flush()

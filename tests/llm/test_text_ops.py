@@ -125,6 +125,25 @@ def test_repeats_equal_brute_force(spark, flush, monkeypatch):
     assert substrings.find_repeats(frame(spark, [])).count() == 0
 
 
+def test_a_flush_of_entries_takes_bounded_memory():
+    import tracemalloc
+    import numpy as np
+    keys = np.random.default_rng(1).integers(0, 1 << 40, 1 << 14).astype(np.uint64)
+    for smallest in (False, True):
+        tracemalloc.start()
+        entries, at, n = substrings.Entries(smallest, 64), 0, 0
+        while entries.size < substrings.FLUSH_ENTRIES:
+            docs, at = np.repeat(np.arange(at, at + 128), 128), at + 128
+            entries.add(docs, keys + np.uint64(at), (keys % 64).astype(np.int64))
+            n += len(docs)
+        kind = np.uint64 if smallest else np.uint32
+        rows = [r for b in entries.flush() for r in b.to_pylist() if r["place"] >= 0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 << 20 and entries.size == 0
+        assert n * 0.9 < sum(len(r["keys"]) // kind().itemsize for r in rows) <= n
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
