@@ -186,6 +186,22 @@ def test_errors_and_repeats(spark, tmp_path):
                                                     "seconds"]
 
 
+def test_jobs_of_a_journal_follow_the_logarithm_of_its_calls(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "if(id % 10 = 3, 'fails', concat('p', id)) AS prompt")
+    sc, folder = spark.sparkContext, str(tmp_path)
+    sc.setJobGroup("journal", "journal")
+    try:
+        done = models.apply_model(rows, counting(folder), journal=f"{folder}/journal", commit_calls=1).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("journal")) < 60
+    assert sorted(calls(folder)) == sorted({r.prompt for r in done})
+    assert all(r.error == "ValueError: no answer" if r.prompt == "fails" else r.reply == f"done {r.prompt}" for r in done)
+    assert models.read_journal(spark, f"{folder}/journal").count() == 90
+    slow = models.apply_model(rows, counting(folder), "s", concurrency=2, journal=f"{folder}/slow", commit_calls=30)
+    assert len(slow.collect()) == 100 and models._doubling(10) == [1, 1, 2, 4, 2] and models._doubling(0) == []
+
+
 def test_labels_follow_the_text_not_its_place(spark, tmp_path):
     """A new export with a turn on top shifts all places; old turns keep their labels unasked."""
     folder, journal = str(tmp_path), str(tmp_path / "labels")
