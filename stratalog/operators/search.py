@@ -53,7 +53,8 @@ def document_lengths(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return corpus.select(*keys, *DOC, F.size(tokens()).cast("long").alias("doc_len"))
 
 
-COUNTED = "doc_len long, tokens array<struct<token: string, tf: long>>"
+COUNTED = ("doc_len long, tokens array<struct<token: string, tf: long>>, "
+           "letters array<struct<letter: string, first: int, n: int>>")
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
@@ -69,27 +70,48 @@ def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     find = regex.compile(TOKEN).findall
     for batch in (part for whole in batches for part in _slices(whole)):
         lengths, ends, names, counts = [], [0], [], []
+        letters, firsts, sizes, letter_ends = [], [], [], [0]
         for text in batch.to_pylist():
             found = find(text or "")
             n = Counter(found)
             lengths.append(len(found))
-            names += n.keys()
-            counts += n.values()
+            own = sorted(n)
+            at = 1
+            for letter, m in Counter([t[0] for t in own]).items():
+                letters.append(letter)
+                firsts.append(at)
+                sizes.append(m)
+                at += m
+            names += own
+            counts += map(n.__getitem__, own)
             ends.append(len(names))
+            letter_ends.append(len(letters))
         pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())],
                                            names=["token", "tf"])
+        parts = pa.StructArray.from_arrays([pa.array(letters, pa.string()), pa.array(firsts, pa.int32()),
+                                            pa.array(sizes, pa.int32())], names=["letter", "first", "n"])
         yield pa.StructArray.from_arrays(
-            [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-            names=["doc_len", "tokens"])
+            [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+             pa.ListArray.from_arrays(pa.array(letter_ends, pa.int32()), parts)],
+            names=["doc_len", "tokens", "letters"])
 
 
 def count_tokens(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, source_type, source_id, date, doc_len, tokens: each text's tokens with their numbers.
+    """keys, source_type, source_id, date, doc_len, tokens, letters: each text's tokens with their numbers.
 
-    A text sits in one row and is counted there, in Arrow batches, after it was folded.
+    A text sits in one row and is counted there, in Arrow batches, after it was folded.  Tokens are in
+    order; ``letters`` says from where on and how many of them begin with a letter.
     """
     bare = F.arrow_udf(_counted, COUNTED)(X.fold("content"))
-    return corpus.select(*keys, *DOC, bare.alias("_c")).select(*keys, *DOC, "_c.doc_len", "_c.tokens")
+    return corpus.select(*keys, *DOC, bare.alias("_c")).select(*keys, *DOC, "_c.doc_len", "_c.tokens", "_c.letters")
+
+
+def by_letter(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``count_tokens`` by first letter: keys, source_type, source_id, date, doc_len, tokens, letter."""
+    cut = F.transform("letters", lambda s: F.struct(
+        F.slice("tokens", s["first"], s["n"]).alias("tokens"), s["letter"].alias("letter")))
+    return counted.select(*keys, *DOC, "doc_len", F.explode(cut).alias("_l")).select(
+        *keys, *DOC, "doc_len", "_l.*")
 
 
 def postings(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

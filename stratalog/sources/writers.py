@@ -203,7 +203,9 @@ def write_turn_cache(entries: DataFrame, path: str) -> None:
                    F.lit("").alias("response")).write.mode("overwrite").json(path)
 
 
-POSTING = "source_type STRING, source_id STRING, date STRING, doc_len BIGINT, token STRING, tf BIGINT"
+# Segments written before tokens were kept by document and letter have one token a row.
+LETTER = ("source_type STRING, source_id STRING, date STRING, doc_len BIGINT, "
+          "tokens ARRAY<STRUCT<token: STRING, tf: BIGINT>>, token STRING, tf BIGINT, letter STRING")
 DOCUMENT = "source_type STRING, source_id STRING, date STRING, doc_len BIGINT"
 
 
@@ -215,7 +217,7 @@ def write_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
 def append_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """Add searchable rows to an index; rows that are there already are replaced.
 
-    The batch becomes an immutable segment: its postings by first letter of the token, its
+    The batch becomes an immutable segment: the tokens of each document by first letter, its
     documents, and as tombstones the older segments' documents it replaces.  Earlier segments are
     neither read, but for the ids of their documents, nor written, and one commit makes it seen.
     """
@@ -225,9 +227,7 @@ def append_index(corpus: DataFrame, path: str, keys: Sequence[str] = ()) -> None
     def change(now: commits.Snapshot) -> dict[str, str]:
         name = f"segment-{now.n + 1:09d}"
         folder = commits.new_folder(path)
-        (search.postings(counted, keys).withColumn("letter", F.substring("token", 1, 1))
-         .hint("rebalance", "letter").sortWithinPartitions("letter", "token")
-         .write.partitionBy("letter").parquet(f"{folder}/postings"))
+        _write_letters(search.by_letter(counted, keys), folder)
         counted.select(*doc, "date", "doc_len").write.parquet(f"{folder}/documents")
         older = [f for p, f in now.folders.items() if p < name]
         dead = spark.createDataFrame([], _columns(keys) + "source_type STRING, source_id STRING, "
@@ -262,9 +262,8 @@ def merge_index(spark: SparkSession, path: str, keys: Sequence[str] = (), factor
     doc, folders = [*keys, "source_type", "source_id"], [at.folders[p] for p in chosen]
     dead = stored(_tombstones(spark, list(at.folders.values()), keys), "tombstones")
     folder = commits.new_folder(path)
-    live = read_postings(spark, folders, keys).join(dead, [*doc, "segment"], "left_anti").drop("segment")
-    (live.hint("rebalance", "letter").sortWithinPartitions("letter", "token")
-     .write.partitionBy("letter").parquet(f"{folder}/postings"))
+    live = _letters(spark, folders, keys).join(dead, [*doc, "segment"], "left_anti").drop("segment")
+    _write_letters(live, folder)
     _documents(spark, folders, keys).join(dead, [*doc, "segment"], "left_anti").drop("segment").write.parquet(
         f"{folder}/documents")
     # What the merged segments say of segments that stay must still be said.
@@ -313,8 +312,19 @@ def _tombstones(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]
     return _tombstone_rows(spark, folders, keys).select(*keys, "source_type", "source_id", "segment").distinct()
 
 
+def _letters(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return _of_segments(spark, folders, "postings", _columns(keys) + LETTER)
+
+
+def _write_letters(rows: DataFrame, folder: str) -> None:
+    """A row per document and letter, in a folder per letter: far fewer rows than there are postings."""
+    rows.hint("rebalance", "letter").write.partitionBy("letter").parquet(f"{folder}/postings")
+
+
 def read_postings(spark: SparkSession, folders: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return _of_segments(spark, folders, "postings", _columns(keys) + POSTING + ", letter STRING")
+    rows = _letters(spark, folders, keys).withColumn("_p", F.explode_outer("tokens"))
+    return rows.select(*keys, *search.DOC, "doc_len", F.coalesce("_p.token", "token").alias("token"),
+                       F.coalesce("_p.tf", "tf").alias("tf"), "letter", "segment")
 
 
 def read_index(spark: SparkSession, path: str, keys: Sequence[str] = ()

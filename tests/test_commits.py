@@ -186,3 +186,24 @@ def test_label_notes_equal_dossiers(spark):
     want = entities.dossiers(units, labels, "day")
     got = entities.label_notes(units, terms, "day").select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+
+
+def test_an_index_has_a_row_per_document_and_letter(spark, tmp_path):
+    df = spark.createDataFrame([("raw", "1", "2024-01-01", "beta alpha apple alpha élan 7"),
+                                ("raw", "2", "2024-01-02", ""), ("raw", "3", "2024-01-03", "gamma beta")],
+                               "source_type STRING, source_id STRING, date STRING, content STRING")
+    path = str(tmp_path / "index")
+    writers.append_index(df, path)
+    folder = next(iter(commits.snapshot(spark, path).folders.values()))
+    assert spark.read.parquet(f"{folder}/postings").count() == 6  # a, b, e, 7; g, b
+    got = {(r.source_id, r.letter, r.token, r.tf) for r in writers.read_index(spark, path)[0].collect()}
+    want = {("1", "a", "alpha", 2), ("1", "a", "apple", 1), ("1", "b", "beta", 1), ("1", "e", "elan", 1),
+            ("1", "7", "7", 1), ("3", "b", "beta", 1), ("3", "g", "gamma", 1)}
+    assert got == want
+    # A segment with one token a row, as they were written before.
+    (search.postings(search.count_tokens(df)).withColumn("letter", F.substring("token", 1, 1))
+     .write.mode("overwrite").partitionBy("letter").parquet(f"{folder}/postings"))
+    spark.catalog.refreshByPath(folder)
+    assert {(r.source_id, r.letter, r.token, r.tf) for r in writers.read_index(spark, path)[0].collect()} == want
+    writers.append_index(df.filter("source_id = '3'").withColumn("content", F.lit("delta")), path)
+    assert ranks(spark, *writers.read_index(spark, path), "alp del bet").keys() == {("raw", "1"), ("raw", "3")}
