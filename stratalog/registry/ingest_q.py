@@ -269,13 +269,17 @@ FROM ({RESOLVED.replace("dated_block", "shelf_block")})""")(
 
 
 def _read_lines(s, d):
-    """The documents in eight text files, read back by lines; a date holds until the next one."""
+    """The documents in eight texts, read back by lines; a date holds until the next one.
+
+    A text is a folder of files, written by as many tasks as Spark deals its sorted rows to.
+    """
     from stratalog.registry.source_q import _folder
     path = _folder(s)
     shelf = F.pmod(F.col("file").cast("long"), F.lit(8)).alias("shelf")
     (B.dated_document(s, d).select(shelf, F.col("file").cast("long").alias("n"), "text")
-     .repartition(8, "shelf").sortWithinPartitions("shelf", "n").drop("n").write.partitionBy("shelf").text(path))
-    return readers.read_line_dated_text(s, path).drop("source_file")
+     .repartitionByRange("shelf", "n").sortWithinPartitions("shelf", "n").drop("n")
+     .write.partitionBy("shelf").text(path))
+    return readers.read_line_dated_text(s, path, folders=True).drop("source_file")
 
 
 query("detect_dates", "SELECT file, CAST(line_no AS INTEGER) AS line_no, anchor FROM dated_line")(

@@ -262,18 +262,21 @@ def split_lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def read_line_dated_text(spark: SparkSession, path: str | list[str], fn: models.ModelFn | None = None,
-                         journal: str | None = None) -> DataFrame:
+                         journal: str | None = None, folders: bool = False) -> DataFrame:
     """Long texts with date lines between paragraphs, as entry rows.
 
     A file is known by its whole path, is read by lines and in as many parts as Spark splits it
     into.  A line's place is the start of its part and its number there; the lines are made
     durable once, so a model is asked about each line once, and with a ``journal`` in no later
-    run again.
+    run again.  With ``folders`` a text is a folder, whose files in the order of their names are
+    its parts, as Spark writes a sorted table.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("part"),
-                     F.monotonically_increasing_id().alias("n"))
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    part = F.struct(F.col("_metadata.file_name").alias("name"), start.alias("start")) if folders else start
+    place = F.struct(part.alias("part"), F.monotonically_increasing_id().alias("n"))
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.col("value").alias("line"))
+        (F.regexp_replace(file, "/[^/]*$", "") if folders else file).alias("file"),
+        place.alias("line_no"), F.col("value").alias("line"))
     dated = cut_lineage(models.detect_dates(lines, fn, journal=journal))
     block = F.struct("line_no.part", F.floor(F.col("line_no.n") / 65_536).alias("n"))
     filled = ingest.forward_fill_dates(dated, block=block)

@@ -116,3 +116,20 @@ def test_a_file_per_row_is_written_by_many_tasks(spark, tmp_path):
     names = [n for n in os.listdir(tmp_path / "out") if n.endswith(".json")]
     assert len(names) == 64 and len({n.split("-")[1] for n in names}) > 8
     assert spark.read.json(str(tmp_path / "out")).distinct().count() == 64
+
+
+def test_line_dated_texts_are_written_by_many_tasks(spark, con, tmp_path, monkeypatch):
+    from stratalog.registry import source_q
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    paths = []
+    monkeypatch.setattr(source_q, "_folder", lambda s: paths.append(str(tmp_path / f"t{len(paths)}")) or paths[-1])
+    from stratalog.session import RUNTIME
+    monkeypatch.setitem(RUNTIME, name, "false")
+    monkeypatch.setitem(RUNTIME, "spark.sql.shuffle.partitions", "20")
+    try:
+        same(spark, con, "line_dated_entries", SF)
+    finally:
+        spark.conf.set(name, "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    files = [n for d, _, names in os.walk(paths[0]) for n in names if n.endswith(".txt")]
+    assert len(os.listdir(paths[0])) >= 8 and len({n.split("-")[1] for n in files}) > 12
