@@ -110,6 +110,81 @@ def test_prompts_that_share_a_context_are_not_shuffled(spark, no_broadcast):
         assert prompt.endswith("\n\n" + want)
 
 
+def mentions_of(spark, dates_of, texts, page_chars=None, keys=""):
+    """Contexts, and one evidence block per entity and date; ``texts`` has a date's text in parts."""
+    from stratalog.plans import synthesis
+    ctx, size = [], {}
+    for date, parts in texts.items():
+        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        ctx += [("t", date, i, 1, at, len(part), part) for i, (at, part) in enumerate(zip(starts, parts))]
+        size[date] = sum(map(len, parts))
+    lead, rows = len(synthesis.type_b_head(1, 1)), []
+    for who, dates in dates_of.items():
+        for seq, date in enumerate(dates):
+            head, more = f"TYPE A {who} {date}!", size.get(date, 0)
+            rows.append(("t", who, date, seq, head, date, more, len(head) + (lead + more if more else 0), 10))
+    return (spark.createDataFrame(rows, "tenant STRING, id STRING, period_start STRING, seq LONG, head STRING, "
+                                  "context_date STRING, context_chars LONG, block_chars LONG, tokens LONG"),
+            spark.createDataFrame(ctx, "tenant STRING, center_date STRING, page LONG, n LONG, start LONG, "
+                                  "chars LONG, text STRING"))
+
+
+def timeline(who, dates, texts):
+    from stratalog.plans import synthesis
+    return synthesis.BLOCK_RULE.join(f"TYPE A {who} {date}!" + (
+        synthesis.type_b_head(1, 1) + "".join(texts[date]) if date in texts else "") for date in dates)
+
+
+def test_prompts_that_need_other_dates_share_texts(spark, no_broadcast):
+    """60 entities with 60 combinations of eight dates: a text moves a few times, not once per combination."""
+    import hashlib
+    import itertools
+    import random
+    from stratalog.plans import synthesis
+    dice = random.Random(5)
+    texts = {f"2024-01-0{i}": [f"{dice.getrandbits(200_000):x}"] for i in range(1, 9)}
+    dates_of = {f"e{i}": list(c) for i, c in enumerate(dice.sample(list(itertools.combinations(texts, 4)), 60))}
+    evidence, ctx = (x.drop("tenant") for x in mentions_of(spark, dates_of, texts))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used():
+        return sum(os.path.getsize(p) for p in blocks.getAllFiles().mkString("\n").split("\n") if os.path.exists(p))
+    before = used()
+    arcs = synthesis.synthesize_entities(evidence, ctx, lambda system, user: hashlib.sha256(user.encode()).hexdigest(),
+                                         "{entity}:{entity_timeline}", "{entity}{n_chunks}{partial_arcs}")
+    got = {r.id: (r.arc_chunks_used, r.arc_summary) for r in arcs.collect()}
+    assert used() - before < 40 * 50_000  # 60 combinations of four texts of 50,000 characters are 240 of them
+    assert got == {who: (1, hashlib.sha256(f"{who}:\n\n{timeline(who, dates, texts)}".encode()).hexdigest())
+                   for who, dates in dates_of.items()}
+
+
+def test_long_prompts_are_joined_at_the_call(spark):
+    """Contexts of several pages, dates far apart and dates without text, under keys: whole and at the call."""
+    from stratalog.operators import context
+    from stratalog.plans import models, synthesis
+    days = [f"2024-0{m}-1{d}" for m in range(1, 7) for d in range(3)]
+    texts = {day: [f"{day}/{p}" * (5 + p) + "\n" for p in range(i % 4 + 1)] for i, day in enumerate(days) if i % 5}
+    dates_of = {"near": days[:3], "far": days[::8], "all": days, "bare": [days[0]]}
+    evidence, ctx = mentions_of(spark, dates_of, texts)
+    chunks = context.pack_chunks(evidence, ["tenant", "id"], synthesis.evidence_order(), 1000, 3)
+
+    def asked(**how):
+        return synthesis.chunk_prompts(evidence, ctx, chunks, "{entity}>{entity_timeline}", keys=["tenant"],
+                                       page_chars=150, **how)
+    said = models.apply_model(asked(whole=False), lambda s, u: f"{s}{u}", "sys ").collect()
+    assert {(r.id, r.page): r.reply for r in said} == {(r.id, r.page): f"sys {r.prompt}" for r in said}
+    pages = {}
+    for r in asked().orderBy("page").collect():
+        assert r.prompt.startswith(f"{r.id}>\n\n") and r.date_range == f"{dates_of[r.id][0]} → {dates_of[r.id][-1]}"
+        assert len(r.prompt) < 150 + 150 + len(f"{r.id}>\n\n")
+        pages.setdefault(r.id, []).append(r.prompt[len(f"{r.id}>\n\n"):])
+    assert {k: "".join(v) for k, v in pages.items()} == {who: timeline(who, d, texts) for who, d in dates_of.items()}
+    assert len(pages["all"]) > 3
+    calls = models.apply_model(asked(whole=False), lambda s, u: f"{s}{u}", "sys ", concurrency=3, keep=False)
+    assert "prompt" not in calls.columns and {(r.id, r.page, r.reply) for r in calls.collect()} == {
+        (r.id, r.page, r.reply) for r in said}
+
+
 def test_a_file_per_row_is_written_by_many_tasks(spark, tmp_path):
     from stratalog.registry import source_q
     source_q._one_per_file(spark.range(64).coalesce(1), str(tmp_path / "out"))
